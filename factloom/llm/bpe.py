@@ -122,7 +122,8 @@ class _Block:
     def rows(self, block: int):
         """One row with the documents (kind 0), and one per shard with its words (kind 1), in shard and word order.
 
-        Positions are renumbered to that order, so an answer needs no keys."""
+        Positions refer to words by falling frequency, which deflates well; ``c`` maps them to that order, so an
+        answer needs no keys."""
         coded = [w.encode("utf-8", "surrogatepass") for w in self.words]
         shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % self.shards for w in coded), np.int64, len(coded))
         order = sorted(range(len(coded)), key=lambda i: (shard[i], coded[i]))
@@ -132,9 +133,12 @@ class _Block:
         missing = np.fromiter((d is None for d in self.docs), bool, len(self.docs))
         docs = np.fromiter((0 if d is None else d for d in self.docs), np.int64, len(self.docs))
         head = np.stack([docs, missing.astype(np.int64), np.asarray(self.lengths, np.int64)])
-        renumbered = to[places]
-        planes = np.stack([(renumbered >> s).astype(np.uint8) for s in (0, 8, 16, 24)]) if len(renumbered) else np.empty((4, 0), np.uint8)
-        yield block, -1, 0, C.pack_array(head), C.pack_array(planes), None
+        by_count = np.argsort(-np.bincount(places, minlength=len(coded)), kind="stable")
+        rank = np.empty(len(coded), np.uint32)
+        rank[by_count] = np.arange(len(coded), dtype=np.uint32)
+        ranks = rank[places]
+        planes = np.stack([(ranks >> s).astype(np.uint8) for s in (0, 8, 16, 24)])
+        yield block, -1, 0, C.pack_array(head), C.pack_array(planes), C.pack_array(to[by_count])
         at = 0
         ranked = [coded[i] for i in order]
         counts = np.bincount(shard, minlength=self.shards) if len(coded) else np.zeros(self.shards, np.int64)
@@ -174,12 +178,13 @@ def _gather(raw: bytes, digests: bool):
         table = token_bytes(parse_ranks(raw))
 
         def rows():
-            for _, group in C.groups_of(C.rows_of(batches, ["block", "a", "b"]), 1):
-                _, head, planes = next(group)
+            for _, group in C.groups_of(C.rows_of(batches, ["block", "a", "b", "c"]), 1):
+                _, head, planes, order = next(group)
                 docs, missing, lengths = C.unpack_array(head, np.int64).reshape(3, -1)
                 planes = C.unpack_array(planes, np.uint8).reshape(4, -1)
                 ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
-                for _, a, b in group:
+                order = C.unpack_array(order, np.uint32)
+                for _, a, b, _ in group:
                     ids.append(C.unpack_array(a, np.uint32))
                     sizes.append(C.unpack_array(b, np.uint32))
                 ids, sizes = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
@@ -188,7 +193,7 @@ def _gather(raw: bytes, digests: bool):
                 for doc, gone, n in zip(docs.tolist(), missing.tolist(), lengths.tolist(), strict=True):
                     p = planes[:, at : at + n].astype(np.int64)
                     at += n
-                    words = p[0] | p[1] << 8 | p[2] << 16 | p[3] << 24
+                    words = order[p[0] | p[1] << 8 | p[2] << 16 | p[3] << 24]
                     long = sizes[words]
                     ends = np.cumsum(long)
                     own = ids[np.repeat(starts[words] - (ends - long), long) + np.arange(int(ends[-1]) if n else 0)]
