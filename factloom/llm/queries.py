@@ -24,5 +24,35 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=5, percent=85)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_minhash": op3_minhash}
-ORACLES: dict[str, str] = {}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    model = train(docs, _read(spark, sf_dir, "labels"), fold != 0)
+    return score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_repeated_lines
+
+    out = drop_repeated_lines(_read(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exactdedup import groups
+
+    return groups(_read(spark, sf_dir, "documents"), keep="max")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents"))
+
+
+from . import exactdedup, linededup, mixing  # noqa: E402
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_line_dedup": op6_line_dedup, "op8_content_sort": op8_content_sort, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE, "op8_content_sort": exactdedup.ORACLE, "op10_mixing": mixing.ORACLE}
