@@ -52,7 +52,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
-from . import exactdedup, linededup, mixing  # noqa: E402
+def op4_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_line_dedup": op6_line_dedup, "op8_content_sort": op8_content_sort, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE, "op8_content_sort": exactdedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_records
+
+    return page_records(_read(spark, sf_dir, "pages"))
+
+
+from . import exactdedup, linededup, mixing, warc  # noqa: E402
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_anisotropic": op4_anisotropic, "op6_line_dedup": op6_line_dedup, "op8_content_sort": op8_content_sort, "op9_warc_zip": op9_warc_zip, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE, "op8_content_sort": exactdedup.ORACLE, "op9_warc_zip": warc.ORACLE, "op10_mixing": mixing.ORACLE}

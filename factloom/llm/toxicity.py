@@ -1,21 +1,24 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with block-max inverted indexes.
 
-Training (bounded, documented): at most ``max_examples`` labelled rows, the first by a seeded digest of the id;
-of them, terms whose document frequency differs between the labels (chi-square at least ``min_chi2``, at least
-``min_df`` examples, at most ``max_terms`` terms) carry TF-IDF weights, ``(1 + ln tf) * ln(1 + n / df)``, unit length.
-Examples with no such term are summed up by their share of toxic labels, the prior of a zero vector.
+Training (bounded, documented): at most ``max_examples`` labelled rows, the first by a seeded digest of the id; of near
+copies among them (equal in one of four min-hashes of word triples) one stays, so that a group of copies has one voice.
+Terms are words (A-Z lower-cased, ASCII punctuation blanked) and their first 5 and 7 bytes; those whose document
+frequency differs between the labels (chi-square at least ``min_chi2``, at least ``min_df`` examples, at most
+``max_terms`` terms) weigh ``tf / words * ln(1 + n / df)``, and one coordinate holds the share of all other words
+times ``rest``, so that cosine also tells how dense the weighted terms are. Vectors have unit length. Examples
+without a weighted term are one point of the index, with their share of toxic labels and as many votes as are left.
 
 Index: postings per term over examples in blocks of ``block`` neighbours; each posting list also holds the
 largest weight of every block. A query adds its terms' block maxima, visits blocks in falling order of that bound
 and stops when the bound is below the k-th best cosine: the nearest examples are exact, most blocks are skipped.
 
-Votes weigh ``cosine ** 2``; with a prior vote they give a raw share, which a logistic curve fitted on
+Votes weigh ``cosine ** 8``; with a weak prior vote they give a raw share, which a logistic curve fitted on
 leave-one-out votes of the examples turns into a calibrated score. Evidence: the nearest examples' ids.
 
 The index is bounded by ``max_examples`` rows of ``max_terms`` terms, so it is shipped to the executors; every whole
 text is scored in one pass without a shuffle.
 
-Defined results: null and empty texts, and texts without a weighted term, get the zero-vector score and no
+Defined results: null and empty texts, and texts without a weighted term, get the score of examples without one and no
 evidence; labels of a repeated doc_id count by majority, a tie as toxic; rows with null ids are scored and are
 held out of learning; labels null are ignored; with no usable label every score is 0.
 """
@@ -41,6 +44,27 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def stems_of(word: bytes) -> list[bytes]:
+    """The word and its prefixes that may carry a weight."""
+    return [word, *(word[:k] + b"*" for k in (5, 7) if len(word) > k)]
+
+
+class _Memo(dict):
+    """Weighted terms of a word; remembers up to ``room`` words."""
+
+    room = 300_000
+
+    def __init__(self, idf):
+        super().__init__()
+        self.idf = idf
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) >= self.room:
+            self.clear()
+        found = self[word] = tuple(t for t in stems_of(word) if t in self.idf)
+        return found
+
+
 class Index:
     """Block-max inverted index over unit TF-IDF vectors; exact top-k by cosine."""
 
@@ -83,32 +107,51 @@ class Index:
 
 
 class Model:
-    """What the executors get; bounded by the documented parameters."""
+    """What the executors get; bounded by the documented parameters.
+
+    Term 0 is the share of other words; example 0 stands for all examples without a weighted term."""
 
-    def __init__(self, idf: dict[bytes, tuple[int, float]], vectors: list[dict[int, float]], labels: list[int], ids: list[int], prior: float, k: int, block: int):
-        self.idf, self.vectors, self.labels, self.ids, self.prior, self.k, self.block = idf, vectors, labels, ids, prior, k, block
+    def __init__(self, idf: dict[bytes, tuple[int, float]], examples: list[tuple[dict[int, float], int, int]], prior: float, k: int, block: int, rest: float):
+        self.idf, self.prior, self.k, self.block, self.rest = idf, prior, k, block, rest
+        self.vectors = [{0: 1.0}, *(v for v, _, _ in examples)]
+        self.labels = [prior, *(float(y) for _, y, _ in examples)]
+        self.ids = [None, *(i for _, _, i in examples)]
         self.curve = (1.0, 0.0)
-        self.index = Index(vectors, block)
+        self._ready()
+
+    def _ready(self) -> None:
+        self.index, self.memo = Index(self.vectors, self.block), _Memo(self.idf)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("index", "memo")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.index = Index(self.vectors, self.block)
-
-    def vector(self, terms: list[bytes]) -> dict[int, float]:
-        tf = Counter(t for t in terms if t in self.idf)
-        return unit({self.idf[t][0]: (1 + math.log(n)) * self.idf[t][1] for t, n in tf.items()})
+        self._ready()
+
+    def vector(self, words: list[bytes]) -> dict[int, float]:
+        """Unit vector; empty without a weighted term."""
+        memo = self.memo
+        hits = [found for w in words if (found := memo[w])]
+        if not hits:
+            return {}
+        tf = Counter(t for found in hits for t in found)
+        v = {self.idf[t][0]: n / len(words) * self.idf[t][1] for t, n in tf.items()}
+        v[0] = self.rest * (1 - len(hits) / len(words))
+        return unit(v)
 
     def raw(self, query: dict[int, float], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
         found = self.index.nearest(query, self.k, without)
-        weight = sum(s * s for s, _ in found)
-        votes = sum(s * s * self.labels[i] for s, i in found)
-        return (votes + 0.1 * self.prior) / (weight + 0.1), found
+        votes, weight, left = 0.0, 0.0, self.k
+        for s, i in found:
+            n = 1 if i else left
+            votes, weight, left = votes + n * s**8 * self.labels[i], weight + n * s**8, left - n
+            if not left:
+                break
+        return (votes + 0.02 * self.prior) / (weight + 0.02), [p for p in found if p[1]]
 
-    def score(self, terms: list[bytes]) -> tuple[float, list[int]]:
-        query = self.vector(terms)
+    def score(self, words: list[bytes]) -> tuple[float, list[int]]:
+        query = self.vector(words)
         if not query:
             return self.prior, []
         raw, found = self.raw(query)
@@ -120,8 +163,8 @@ class Model:
 
     def fit(self) -> None:
         """Logistic curve on leave-one-out votes, by Newton steps with a weak pull to the identity."""
-        x = np.array([logit(self.raw(v, i)[0]) for i, v in enumerate(self.vectors)])
-        y = np.array(self.labels, float)
+        x = np.array([logit(self.raw(v, i)[0]) for i, v in enumerate(self.vectors) if i])
+        y = np.array(self.labels[1:])
         a, b = 1.0, 0.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -146,21 +189,42 @@ def unit(v: dict[int, float]) -> dict[int, float]:
 
 
 _TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("term", pa.binary())])
-_TF = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.binary()))])
+_MINS = pa.schema([("doc_id", pa.int64()), ("mins", pa.list_(pa.int64()))])
+
+
+def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        known = C.WordHash()
+        for doc, text in C.rows_of(batches, ["doc_id", "text"]):
+            w = np.array([known[t] for t in terms_of(text)], np.uint64)
+            if len(w) > 2:
+                with np.errstate(over="ignore"):
+                    h = C.mix64(C.mix64(C.mix64(w[:-2]) + w[1:-1]) + w[2:])
+                    yield doc, [int(C.mix64(h ^ np.uint64(s)).min().astype(np.int64)) for s in (1, 2, 3, 4)]
+
+    yield from C.emit(_MINS, rows())
+
 
+def _explode(gone: frozenset):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = C.rows_of(batches, ["doc_id", "toxic", "text"])
+        yield from C.emit(_TERMS, ((d, y, t) for d, y, text in rows if d not in gone for t in {s for w in set(terms_of(text)) for s in stems_of(w)}), 16384)
+
+    return run
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from C.emit(_TERMS, ((d, y, t) for d, y, text in C.rows_of(batches, ["doc_id", "toxic", "text"]) for t in set(terms_of(text))), 16384)
 
+def _vectors(model: Model, gone: frozenset):
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))])
 
-def _chosen(keep: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from C.emit(_TF, ((d, y, [t for t in terms_of(text) if t in keep]) for d, y, text in C.rows_of(batches, ["doc_id", "toxic", "text"])))
+        rows = C.rows_of(batches, ["doc_id", "toxic", "text"])
+        found = ((d, y, model.vector(terms_of(text))) for d, y, text in rows if d not in gone)
+        yield from C.emit(schema, ((d, y, list(v), list(v.values())) for d, y, v in found))
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: int = 12_000, max_terms: int = 2_000, min_chi2: float = 30.0, min_df: int = 5, k: int = 16, block: int = 64, seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: int = 8_000, max_terms: int = 2_000, min_chi2: float = 30.0, min_df: int = 5, k: int = 16, block: int = 64, rest: float = 0.02, seed: int = 7) -> Model:
     """Fit on rows of ``labels`` (``doc_id, toxic``) for which ``learn`` (over ``doc_id``) holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(learn)
     known = known.groupBy("doc_id").agg(F.when(F.avg("toxic") >= 0.5, 1).otherwise(0).alias("toxic"))
@@ -168,26 +232,34 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: in
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample has at most max_examples rows of two numbers: a bounded broadcast.
     labelled = C.table(two.join(F.broadcast(sample), "doc_id"), "toxic-examples")
-    sums = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
+    seen: set[tuple[int, int]] = set()
+    copies = []
+    for r in sorted(labelled.mapInArrow(_min_hashes, "doc_id long, mins array<long>").collect(), key=lambda r: r["doc_id"]):
+        keys = set(enumerate(r["mins"]))
+        if keys & seen:
+            copies.append(r["doc_id"])
+        seen |= keys
+    gone = frozenset(copies)
+    own = labelled if not copies else labelled.where(~F.array_contains(F.lit(copies), F.col("doc_id")))
+    sums = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = int(sums["n"]), int(sums["pos"])
     if not n:
-        return Model({}, [], [], [], 0.0, k, block)
+        return Model({}, [], 0.0, k, block, rest)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
-    chi = F.try_divide(F.lit(float(n)) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
-    terms = labelled.mapInArrow(_explode, "doc_id long, toxic int, term binary").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     # A term of every example, or labels all alike, tell nothing: the quotient is null and drops out.
+    chi = F.try_divide(F.lit(float(n)) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
+    terms = labelled.mapInArrow(_explode(gone), "doc_id long, toxic int, term binary").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     found = terms.where(F.col("a") + F.col("b") >= min_df).withColumn("chi", chi)
     top = found.where(F.col("chi") >= min_chi2).orderBy(F.desc("chi"), "term").limit(max_terms).select("term", (F.col("a") + F.col("b")).alias("df")).collect()
-    idf = {bytes(r["term"]): (i, math.log(1 + n / r["df"])) for i, r in enumerate(sorted(top, key=lambda r: bytes(r["term"])))}
-    rows = labelled.mapInArrow(_chosen(frozenset(idf)), "doc_id long, toxic int, terms array<binary>").where(F.size("terms") > 0).collect() if idf else []
-    rows.sort(key=lambda r: r["doc_id"])
-    model = Model(idf, [], [], [], 0.0, k, block)
+    idf = {bytes(r["term"]): (i, math.log(1 + n / r["df"])) for i, r in enumerate(sorted(top, key=lambda r: bytes(r["term"])), 1)}
+    bare = Model(idf, [], 0.0, k, block, rest)
+    rows = labelled.mapInArrow(_vectors(bare, gone), "doc_id long, toxic int, terms array<int>, weights array<double>").where(F.size("terms") > 0).collect() if idf else []
     # Neighbours of a block share terms: examples in order of their strongest term skip more blocks.
-    made = sorted(((model.vector([bytes(t) for t in r["terms"]]), int(r["toxic"]), r["doc_id"]) for r in rows), key=lambda x: (max(x[0], key=x[0].get), x[2]))
+    made = [(dict(zip(r["terms"], r["weights"], strict=True)), int(r["toxic"]), r["doc_id"]) for r in rows]
+    made.sort(key=lambda x: (max((t for t in x[0] if t), key=x[0].get), x[2]))
     zero_pos, zero = pos - sum(y for _, y, _ in made), n - len(made)
-    prior = zero_pos / zero if zero else pos / n
-    model = Model(idf, [v for v, _, _ in made], [y for _, y, _ in made], [i for _, _, i in made], prior, k, block)
+    model = Model(idf, made, zero_pos / zero if zero else pos / n, k, block, rest)
     if made:
         model.fit()
     return model
