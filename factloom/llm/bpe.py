@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,31 @@ def _split_blocks(pattern: str, shards: int, block_chars: int, id_column: str, t
     return run
 
 
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Frequency ranks in about their entropy: a deflated plane of bit lengths, then each length's remainders as bits."""
+    up = ranks.astype(np.int64) + 1
+    bits = (np.frexp(up.astype(np.float64))[1] - 1).astype(np.uint8)
+    plane = zlib.compress(bits.tobytes(), 6)
+    parts = [np.array([len(up), len(plane)], np.uint32).tobytes(), plane]
+    for b in range(1, int(bits.max(initial=0)) + 1):
+        rest = (up[bits == b] - (1 << b)).astype("<u4")
+        parts.append(np.packbits(np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :b]).tobytes())
+    return b"".join(parts)
+
+
+def unpack_ranks(blob: bytes) -> np.ndarray:
+    n, size = np.frombuffer(blob, np.uint32, 2).tolist()
+    bits = np.frombuffer(zlib.decompress(blob[8 : 8 + size]), np.uint8)
+    out, at = np.zeros(n, np.int64), 8 + size
+    for b in range(1, int(bits.max(initial=0)) + 1):
+        where = np.flatnonzero(bits == b)
+        long = (len(where) * b + 7) // 8
+        rest = np.unpackbits(np.frombuffer(blob, np.uint8, long, at), count=len(where) * b).reshape(-1, b)
+        at += long
+        out[where] = (1 << b) - 1 + rest @ (np.int64(1) << np.arange(b))
+    return out
+
+
 class _Block:
     def __init__(self, find, shards: int):
         self.find, self.shards, self.chars = find, shards, 0
@@ -136,9 +162,7 @@ class _Block:
         by_count = np.argsort(-np.bincount(places, minlength=len(coded)), kind="stable")
         rank = np.empty(len(coded), np.uint32)
         rank[by_count] = np.arange(len(coded), dtype=np.uint32)
-        ranks = rank[places]
-        planes = np.stack([(ranks >> s).astype(np.uint8) for s in (0, 8, 16, 24)])
-        yield block, -1, 0, C.pack_array(head), C.pack_array(planes), C.pack_array(to[by_count])
+        yield block, -1, 0, C.pack_array(head), pack_ranks(rank[places]), C.pack_array(to[by_count])
         at = 0
         ranked = [coded[i] for i in order]
         counts = np.bincount(shard, minlength=self.shards) if len(coded) else np.zeros(self.shards, np.int64)
@@ -164,7 +188,7 @@ def _encode_words(raw: bytes, pattern: str, room: int):
                         got = known[w] = merge(w)
                     ids += got
                     sizes.append(len(got))
-                yield block, shard, 1, C.pack_array(np.asarray(ids, np.uint32)), C.pack_array(np.asarray(sizes, np.uint32)), None
+                yield block, shard, 1, C.pack_uints(np.asarray(ids, np.uint32)), C.pack_uints(np.asarray(sizes, np.uint32)), None
 
         yield from C.emit(_BLOCKS, rows(), 256)
 
@@ -179,21 +203,20 @@ def _gather(raw: bytes, digests: bool):
 
         def rows():
             for _, group in C.groups_of(C.rows_of(batches, ["block", "a", "b", "c"]), 1):
-                _, head, planes, order = next(group)
+                _, head, ranks, order = next(group)
                 docs, missing, lengths = C.unpack_array(head, np.int64).reshape(3, -1)
-                planes = C.unpack_array(planes, np.uint8).reshape(4, -1)
-                ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+                ranks = unpack_ranks(ranks)
+                ids, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 order = C.unpack_array(order, np.uint32)
                 for _, a, b, _ in group:
-                    ids.append(C.unpack_array(a, np.uint32))
-                    sizes.append(C.unpack_array(b, np.uint32))
-                ids, sizes = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+                    ids.append(C.unpack_uints(a))
+                    sizes.append(C.unpack_uints(b))
+                ids, sizes = np.concatenate(ids).astype(np.uint32), np.concatenate(sizes)
                 starts = np.cumsum(sizes) - sizes
                 at = 0
                 for doc, gone, n in zip(docs.tolist(), missing.tolist(), lengths.tolist(), strict=True):
-                    p = planes[:, at : at + n].astype(np.int64)
+                    words = order[ranks[at : at + n]]
                     at += n
-                    words = order[p[0] | p[1] << 8 | p[2] << 16 | p[3] << 24]
                     long = sizes[words]
                     ends = np.cumsum(long)
                     own = ids[np.repeat(starts[words] - (ends - long), long) + np.arange(int(ends[-1]) if n else 0)]

@@ -91,7 +91,7 @@ def width(spark: SparkSession) -> int:
 def pack_words(words: list[bytes]) -> bytes:
     """Sorted words share prefixes, so deflate shrinks them well."""
     sizes = np.fromiter(map(len, words), np.uint32, len(words)).tobytes()
-    return zlib.compress(np.uint32(len(words)).tobytes() + sizes + b"".join(words), 1)
+    return zlib.compress(np.uint32(len(words)).tobytes() + sizes + b"".join(words), 6)
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
@@ -114,6 +114,21 @@ def unpack_array(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), kind)
 
 
+def pack_uints(a: np.ndarray) -> bytes:
+    """Unsigned integers by byte planes; planes of zeros at the top cost nothing."""
+    wide = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T)
+    return bytes([wide]) + zlib.compress(planes.tobytes(), 6)
+
+
+def unpack_uints(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros(planes.shape[1], np.int64)
+    for i, plane in enumerate(planes):
+        out |= plane.astype(np.int64) << (8 * i)
+    return out
+
+
 class WordHash(dict):
     """64-bit hash of a word, remembered for up to ``room`` words."""
 
