@@ -102,6 +102,14 @@ def _split_blocks(pattern: str, shards: int, block_chars: int, id_column: str, t
     return run
 
 
+def by_count(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words by falling count, ties in order, and each word's rank there."""
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(counts), np.uint32)
+    rank[order] = np.arange(len(counts), dtype=np.uint32)
+    return order, rank
+
+
 def pack_ranks(ranks: np.ndarray) -> bytes:
     """Frequency ranks in about their entropy: a deflated plane of bit lengths, then each length's remainders as bits."""
     up = ranks.astype(np.int64) + 1
@@ -148,8 +156,8 @@ class _Block:
     def rows(self, block: int):
         """One row with the documents (kind 0), and one per shard with its words (kind 1), in shard and word order.
 
-        Positions refer to words by falling frequency, which deflates well; ``c`` maps them to that order, so an
-        answer needs no keys."""
+        Positions refer to words by falling count, which codes well; ``c`` has the counts in that order, from which
+        the reader finds the ranks again, so an answer needs no keys."""
         coded = [w.encode("utf-8", "surrogatepass") for w in self.words]
         shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % self.shards for w in coded), np.int64, len(coded))
         order = sorted(range(len(coded)), key=lambda i: (shard[i], coded[i]))
@@ -159,10 +167,8 @@ class _Block:
         missing = np.fromiter((d is None for d in self.docs), bool, len(self.docs))
         docs = np.fromiter((0 if d is None else d for d in self.docs), np.int64, len(self.docs))
         head = np.stack([docs, missing.astype(np.int64), np.asarray(self.lengths, np.int64)])
-        by_count = np.argsort(-np.bincount(places, minlength=len(coded)), kind="stable")
-        rank = np.empty(len(coded), np.uint32)
-        rank[by_count] = np.arange(len(coded), dtype=np.uint32)
-        yield block, -1, 0, C.pack_array(head), pack_ranks(rank[places]), C.pack_array(to[by_count])
+        counts = np.bincount(to[places], minlength=len(coded))
+        yield block, -1, 0, C.pack_array(head), pack_ranks(by_count(counts)[1][to[places]]), C.pack_uints(counts)
         at = 0
         ranked = [coded[i] for i in order]
         counts = np.bincount(shard, minlength=self.shards) if len(coded) else np.zeros(self.shards, np.int64)
@@ -207,7 +213,7 @@ def _gather(raw: bytes, digests: bool):
                 docs, missing, lengths = C.unpack_array(head, np.int64).reshape(3, -1)
                 ranks = unpack_ranks(ranks)
                 ids, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                order = C.unpack_array(order, np.uint32)
+                order = by_count(C.unpack_uints(order))[0]
                 for _, a, b, _ in group:
                     ids.append(C.unpack_uints(a))
                     sizes.append(C.unpack_uints(b))

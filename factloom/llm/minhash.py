@@ -252,7 +252,8 @@ def links_of(reps: DataFrame, texts: DataFrame, *, size: int, percent: int, tile
     )
     # In a unit of two tiles, side tells them apart; in a unit of one tile all rows have side false.
     units = C.table(units.drop("self"), "minhash-units")
-    payload = units.join(texts, "rep").repartition(wide, "unit").sortWithinPartitions("unit", "side", "rep").select("unit", "side", "rep", "text")
+    # A merge join at every size: the candidates grow with the corpus, so their list is never broadcast.
+    payload = units.join(texts.hint("merge"), "rep").repartition(wide, "unit").sortWithinPartitions("unit", "side", "rep").select("unit", "side", "rep", "text")
     return payload.mapInArrow(_verify(size, percent), "a long, b long")
 
 

@@ -64,7 +64,26 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(_read(spark, sf_dir, "pages"))
 
 
+def op5_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    out = format_chats(_read(spark, sf_dir, "conversations"), F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(5)) != 0)
+    return out.select("conv_id", "segment", "n_lines", F.size("roles").alias("n_turns"), F.concat_ws(",", "roles").alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"), "n_right")
+
+
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(_read(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 from . import exactdedup, linededup, mixing, warc  # noqa: E402
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_anisotropic": op4_anisotropic, "op6_line_dedup": op6_line_dedup, "op8_content_sort": op8_content_sort, "op9_warc_zip": op9_warc_zip, "op10_mixing": op10_mixing}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_anisotropic": op4_anisotropic, "op5_chat_hmm": op5_chat_hmm, "op6_line_dedup": op6_line_dedup, "op7_pitman_yor": op7_pitman_yor, "op8_content_sort": op8_content_sort, "op9_warc_zip": op9_warc_zip, "op10_mixing": op10_mixing, "pipeline": pipeline}
 ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE, "op8_content_sort": exactdedup.ORACLE, "op9_warc_zip": warc.ORACLE, "op10_mixing": mixing.ORACLE}
