@@ -105,12 +105,12 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int =
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
     hot = C.table(runs.repeated(min_docs).select("d", "last_doc"), "line-repeated")
-    lost = lines.select("doc_id", F.inline("digests")).join(hot, "d").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "i").distinct()
+    lost = lines.select("doc_id", F.inline("digests")).join(hot.hint("merge"), "d").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "i").distinct()
     lists = C.table(lost.groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("gone")), "line-lost")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = some.join(lists, some.doc_id.eqNullSafe(lists.doc_id), "left").select(some.doc_id, "text", "gone")
+    # Merge joins at every size: short lists compress so well that a file's size says little of its rows.
+    met = some.join(lists.hint("merge"), some.doc_id.eqNullSafe(lists.doc_id), "left").select(some.doc_id, "text", "gone")
     split = met.withColumn("lines", lines_of(F.col("text")))
-    # Rows that repeat an id hold other lines: numbers beyond a row's lines, or of lines that it lacks, need its own digests.
     stay = F.filter("lines", lambda line, i: ~F.array_contains("gone", i))
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n"))
     dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size(stay))
