@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Lookalike characters of the search form.
 FOLD_FROM = "º–—−‘’“” "
@@ -23,7 +24,7 @@ TOKEN_PUNCTUATION = ".,:;()[]{}\"'"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(value: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it. An Arrow batch at a time."""
     return value.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))

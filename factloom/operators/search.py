@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from ..functions import text as T
 
@@ -83,7 +84,7 @@ def passages_in(texts: DataFrame, passages: DataFrame, *, key: str = "doc_id", t
     return texts.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def offsets(text: pd.Series) -> pd.Series:
     """For each character of the search form, the place in the original text that it stems from."""
     drop = set(T.DROPPED)
@@ -122,7 +123,7 @@ def cited_line(line: Column, before: Column) -> Column:
     return F.when(F.rtrim(before).endswith(":") & ~F.contains(line, F.lit(":")), F.concat_ws("\n", before, line)).otherwise(line)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_ratio(page: pd.Series, quote: pd.Series) -> pd.Series:
     """Diagnostic similarity 0 to 100 of a quote with its best window of a page; never decides a score."""
     from difflib import SequenceMatcher
