@@ -9,7 +9,8 @@ markers, ``<|im_end|>``.
 
 ``transcripts_of`` writes conversations (``conv_id, turn, role, text``) as raw transcripts in one of four marker styles,
 some markers left out, the roles kept beside the lines to learn from or to compare with. A transcript
-is a segment of at most ``segment`` turn numbers of a conversation, so no group is unbounded; repeated rows count once.
+is a segment of at most ``segment`` turn numbers of a conversation, and more than four times as many distinct rows in it
+make several transcripts, so no group is unbounded; repeated rows count once.
 
 Defined results: null texts are empty lines; null roles, and roles that are none of the three, are written as user;
 a null turn sorts first, a null conv_id is a conversation; an empty transcript has no turns; ties in turn go
@@ -135,7 +136,12 @@ def transcripts_of(conversations: DataFrame, segment: int = 128) -> DataFrame:
     """``conv_id, segment, raw, states``: raw transcripts with the true state of each line."""
     some = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
     cut = some.withColumn("segment", F.floor(F.coalesce("turn", F.lit(0)) / segment))
-    grouped = cut.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # Turn numbers that very many distinct rows share are dealt over several transcripts; most tables have none.
+    crowded = cut.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).where(F.col("n") > 4 * segment)
+    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment"))
+    part = F.coalesce(F.pmod(F.xxhash64("a.role", "a.text"), F.ceil(F.col("b.n") / (4 * segment))), F.lit(0))
+    cut = cut.alias("a").join(crowded.alias("b"), same, "left").select("a.*", part.alias("part"))
+    grouped = cut.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return grouped.mapInArrow(_write, "conv_id long, segment long, raw string, states array<int>")
 
 
