@@ -101,15 +101,17 @@ def field_defined(field: Column, form: Column) -> Column:
 
 def constituent_shares(c: Column) -> Column:
     """Array of (cas, share): the share behind a registry number up to the next, else the one before it."""
-    low = T.collapse(F.lower(c))
-    numbers = F.regexp_extract_all(low, F.lit(f"({CAS_NUMBER})"), F.lit(1))
-    gaps = F.split(low, CAS_NUMBER, -1)
 
-    def share(gap: Column) -> Column:
-        return V.parse_concentration(F.regexp_replace(gap, EC_NUMBER, " "))
+    def read(low: Column) -> Column:
+        numbers = F.regexp_extract_all(low, F.lit(f"({CAS_NUMBER})"), F.lit(1))
+        gaps = F.split(low, CAS_NUMBER, -1)
+        shares = F.transform(gaps, lambda g: T.let(V.share_form(F.regexp_replace(g, EC_NUMBER, " ")), V.share_of))
+        return F.struct(numbers.alias("numbers"), shares.alias("shares"))
+
+    def paired(x: Column) -> Column:
+        return F.transform(x["numbers"], lambda n, i: F.struct(n.alias("cas"), F.coalesce(F.element_at(x["shares"], i + 2), F.element_at(x["shares"], i + 1)).alias("share")))
 
-    shares = F.transform(gaps, lambda g: share(g))
-    return F.transform(numbers, lambda n, i: F.struct(n.alias("cas"), F.coalesce(F.element_at(shares, i + 2), F.element_at(shares, i + 1)).alias("share")))
+    return T.let(T.let(T.collapse(F.lower(c)), read), paired)
 
 
 def whole_share(s: Column) -> Column:
@@ -122,13 +124,19 @@ def partial_share(s: Column) -> Column:
 
 def premise(c: Column) -> Column:
     """What one span gives an audit: its form, header and completeness flags, whole and partial registry numbers."""
-    low, shares = T.collapse(F.lower(c)), constituent_shares(c)
+    low = T.collapse(F.lower(c))
+
+    def split(shares: Column) -> Column:
+        return F.struct(
+            F.transform(F.filter(shares, lambda x: whole_share(x["share"])), lambda x: x["cas"]).alias("whole"),
+            F.transform(F.filter(shares, lambda x: ~whole_share(x["share"]) & partial_share(x["share"])), lambda x: x["cas"]).alias("partial"),
+        )
+
     return F.struct(
         form_cue(c).alias("form"),
         F.coalesce(low.rlike(COMPOSITION_HEADER), F.lit(False)).alias("header"),
         F.coalesce(low.rlike(COMPLETENESS), F.lit(False)).alias("complete"),
-        F.transform(F.filter(shares, lambda x: whole_share(x["share"])), lambda x: x["cas"]).alias("whole"),
-        F.transform(F.filter(shares, lambda x: ~whole_share(x["share"]) & partial_share(x["share"])), lambda x: x["cas"]).alias("partial"),
+        T.let(constituent_shares(c), split).alias("shares"),
     )
 
 
@@ -140,8 +148,8 @@ def premise_roles(c: Column) -> Column:
             F.array(
                 F.when(p["form"].isNotNull(), "form_declaration"),
                 F.when(p["header"], "composition_header"),
-                F.when(F.size(p["whole"]) > 0, "sole_constituent"),
-                F.when(F.size(p["partial"]) > 0, "partial_constituent"),
+                F.when(F.size(p["shares"]["whole"]) > 0, "sole_constituent"),
+                F.when(F.size(p["shares"]["partial"]) > 0, "partial_constituent"),
                 F.when(p["complete"], "completeness_statement"),
             )
         )

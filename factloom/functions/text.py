@@ -30,6 +30,11 @@ def nfkc(value: pd.Series) -> pd.Series:
     return value.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: lambdas have no common-subexpression elimination."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
@@ -103,7 +108,7 @@ def longest_common_run(gold: Column, other: Column) -> Column:
 
     def row(acc: Column, g: Column) -> Column:
         now = F.transform(other, lambda p, i: F.when(p == g, F.when(i == 0, F.lit(0)).otherwise(F.element_at(acc["runs"], F.greatest(i, F.lit(1)))) + 1).otherwise(F.lit(0)))
-        return F.struct(now.alias("runs"), F.greatest(acc["best"], F.coalesce(F.array_max(now), F.lit(0))).alias("best"))
+        return let(now, lambda n: F.struct(n.alias("runs"), F.greatest(acc["best"], F.coalesce(F.array_max(n), F.lit(0))).alias("best")))
 
     start = F.struct(F.transform(other, lambda _: F.lit(0)).alias("runs"), F.lit(0).alias("best"))
     return F.aggregate(gold, start, row, lambda acc: acc["best"])
@@ -111,18 +116,23 @@ def longest_common_run(gold: Column, other: Column) -> Column:
 
 def span_overlap(predicted: Column, gold: Column) -> Column:
     """Struct of matched, gold_tokens, predicted_tokens, coverage, dilution and iou of two texts' tokens."""
-    g, p = span_tokens(gold), span_tokens(predicted)
-    ng, np_, m = F.size(g), F.size(p), longest_common_run(g, p)
-    some = (ng > 0) & (np_ > 0)
     zero = F.lit(0.0)
-    return F.struct(
-        F.when(some, m).otherwise(F.lit(0)).alias("matched"),
-        ng.alias("gold_tokens"),
-        np_.alias("predicted_tokens"),
-        F.when(some, m / ng).otherwise(zero).alias("coverage"),
-        F.when(some, np_ / ng).otherwise(zero).alias("dilution"),
-        F.when(some, m / (ng + np_ - m)).otherwise(zero).alias("iou"),
-    )
+
+    def measures(x: Column) -> Column:
+        ng, np_, m = x["ng"], x["np"], x["m"]
+        some = (ng > 0) & (np_ > 0)
+        return F.struct(
+            F.when(some, m).otherwise(F.lit(0)).alias("matched"),
+            ng.alias("gold_tokens"),
+            np_.alias("predicted_tokens"),
+            F.when(some, m / ng).otherwise(zero).alias("coverage"),
+            F.when(some, np_ / ng).otherwise(zero).alias("dilution"),
+            F.when(some, m / (ng + np_ - m)).otherwise(zero).alias("iou"),
+        )
+
+    both = F.struct(span_tokens(gold).alias("g"), span_tokens(predicted).alias("p"))
+    counted = let(both, lambda t: F.struct(F.size(t["g"]).alias("ng"), F.size(t["p"]).alias("np"), longest_common_run(t["g"], t["p"]).alias("m")))
+    return let(counted, measures)
 
 
 def token_count(c: Column) -> Column:

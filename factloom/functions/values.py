@@ -69,8 +69,16 @@ def quantities_match(a: Column, b: Column, tolerance: float | Column) -> Column:
 
 def parse_concentration(c: Column, compat: bool = False) -> Column:
     """Struct low, high, low_inclusive, high_inclusive in percent; a null bound is none; null when nothing is read."""
+    return F.when(c.isNotNull() & (c != ""), T.let(share_form(c, compat), share_of))
+
+
+def share_form(c: Column, compat: bool = False) -> Column:
     low = F.translate(F.lower(T.nfkc(c) if compat else c), "–—−", "---")
-    low = T.collapse(F.regexp_replace(low, f"(?i){NOISE}", " "))
+    return T.collapse(F.regexp_replace(low, f"(?i){NOISE}", " "))
+
+
+def share_of(low: Column) -> Column:
+    """The interval that a text in share form states."""
     yes, none = F.lit(True), F.lit(None).cast("double")
 
     def interval(a: Column, b: Column, a_in: Column, b_in: Column) -> Column:
@@ -85,7 +93,7 @@ def parse_concentration(c: Column, compat: bool = False) -> Column:
         .when(mark == ">", interval(value, none, F.lit(False), yes))
         .otherwise(interval(value, value, yes, yes))
     )
-    return F.when(c.isNull() | (c == ""), None).when(low.rlike(RANGE), ranged).when(low.rlike(SINGLE), single)
+    return F.when(low.rlike(RANGE), ranged).when(low.rlike(SINGLE), single)
 
 
 def _bound(a: Column, b: Column) -> Column:

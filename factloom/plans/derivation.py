@@ -27,13 +27,13 @@ ROLES = ("form_declaration", "composition_header", "sole_constituent", "partial_
 def audit(premises: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Per claim: how many spans fill each role (constituents by distinct registry number) and the declared forms."""
     read = premises.select(*keys, Q.premise(F.col(text)).alias("p"))
-    flat = read.select(*keys, F.col("p.form").alias("form"), F.col("p.header").alias("header"), F.col("p.complete").alias("complete"), "p.whole", "p.partial")
+    flat = read.select(*keys, F.col("p.form").alias("form"), F.col("p.header").alias("header"), F.col("p.complete").alias("complete"), F.col("p.shares").alias("shares"))
     grouped = flat.groupBy(*keys).agg(
         F.count("form").alias("form_declaration"),
         F.count_if("header").alias("composition_header"),
         F.count_if("complete").alias("completeness_statement"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("whole")))).cast("long").alias("sole_constituent"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("partial")))).cast("long").alias("partial_constituent"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("shares.whole")))).cast("long").alias("sole_constituent"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("shares.partial")))).cast("long").alias("partial_constituent"),
         F.array_sort(F.collect_set("form")).alias("declared"),
     )
     return grouped.select(*keys, *ROLES, "declared")
