@@ -1,10 +1,10 @@
 """Line dedup on levelled sorted runs of line hashes.
 
-``LineRuns`` is a store in the shared folder: each batch of documents adds one run, a table of line digests sorted by
-digest with the number of documents and the largest document id; when a level holds ``fanout`` runs they are
-merged into one run of the next level, so that n batches leave at most ``fanout * log(n)`` runs and a digest is
-rewritten once per level. ``novel`` merge-anti-joins a new batch with the runs (lines that no earlier batch held) and
-``repeated`` joins all runs for lines found in enough documents.
+``LineRuns`` is a store in the shared folder. A batch's digests, counted and sorted, merge-anti-join the runs: those that
+no run holds become the batch's own run, the rest a tally of lines met again, so that a digest is in one run only. When
+a level holds ``fanout`` runs they are merged into one run of the next level, so that n batches leave at most
+``fanout * log(n)`` runs and a digest is rewritten once per level. ``novel`` gives the lines of a batch that no run
+holds and ``repeated`` adds the tallies to the runs for lines found in enough documents.
 
 A key is a line stripped of space, tab, LF, VT, FF and CR at both ends with A-Z lower-cased; its digest is the 128-bit
 MD5 of its UTF-8. A line counts once a document, however often it occurs there. Runs hold digests, not lines.
@@ -42,27 +42,51 @@ def keyed(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs ``d, n_docs, last_doc`` under ``path``."""
+    """Levelled sorted runs ``d, n_docs, last_doc`` under ``path``; ``tallies`` count digests of runs in later batches."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.path = path or C.scratch_path(spark, "line-runs")
         self.levels: list[list[str]] = []
+        self.tallies: list[str] = []
         self.made = 0
 
     def _write(self, run: DataFrame) -> str:
+        """Write rows that a join or aggregate on ``d`` has already dealt by digest, each shard sorted."""
         self.made += 1
         path = f"{self.path}/run-{self.made:06d}"
-        run.repartitionByRange(C.width(self.spark), "d").sortWithinPartitions("d").write.option("compression", "zstd").parquet(path)
+        run.sortWithinPartitions("d").write.option("compression", "zstd").parquet(path)
         return path
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema("d binary, n_docs long, last_doc long").parquet(*paths)
 
+    def _unseen(self, rows: DataFrame, runs: list[str]) -> DataFrame:
+        """Rows whose digest no run holds: a chain of merge anti joins, ``rows`` being dealt by digest once."""
+        for path in runs:
+            rows = rows.join(self._read([path]).select("d").hint("merge"), "d", "left_anti")
+        return rows
+
     def add(self, batch: DataFrame) -> None:
-        """Add the lines of a batch (``doc_id, digests``) as a run and compact full levels."""
+        """Anti-join the lines of a batch (``doc_id, digests``) with the runs, add a run, compact full levels."""
         each = batch.select("doc_id", F.explode(F.array_distinct(F.transform("digests", lambda p: p["d"]))).alias("d"))
-        self._push(0, self._write(each.groupBy("d").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))))
+        counted = self._write(each.groupBy("d").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        held = [p for level in self.levels for p in level]
+        if held:
+            fresh = self._write(self._unseen(self._read([counted]), held))
+            self.tallies.append(self._write(self._unseen(self._read([counted]), [fresh])))
+            C.drop_path(self.spark, counted)
+            if len(self.tallies) >= self.fanout:
+                self.tallies = [self._compact(self.tallies)]
+        else:
+            fresh = counted
+        self._push(0, fresh)
+
+    def _compact(self, paths: list[str]) -> str:
+        merged = self._write(self.merged(paths))
+        for old in paths:
+            C.drop_path(self.spark, old)
+        return merged
 
     def _push(self, level: int, path: str) -> None:
         while len(self.levels) <= level:
@@ -70,13 +94,10 @@ class LineRuns:
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = self._write(self.merged(full))
-            for old in full:
-                C.drop_path(self.spark, old)
-            self._push(level + 1, merged)
+            self._push(level + 1, self._compact(full))
 
     def merged(self, paths: list[str] | None = None) -> DataFrame:
-        paths = [p for level in self.levels for p in level] if paths is None else paths
+        paths = [p for level in self.levels for p in level] + self.tallies if paths is None else paths
         if not paths:
             return self.spark.createDataFrame([], "d binary, n_docs long, last_doc long")
         return self._read(paths).groupBy("d").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
@@ -87,16 +108,14 @@ class LineRuns:
     def novel(self, batch: DataFrame) -> DataFrame:
         """``doc_id, i, d``: the batch's long lines that no run holds."""
         lines = batch.select("doc_id", F.inline("digests"))
-        for paths in self.levels:
-            for path in paths:
-                lines = lines.join(self._read([path]).hint("merge"), "d", "left_anti")
-        return lines.select("doc_id", "i", "d")
+        return self._unseen(lines, [p for level in self.levels for p in level]).select("doc_id", "i", "d")
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept`` (the text that stays) for every row.
 
-    ``batches`` splits the table by a hash of the id; each batch adds one run, as a daily load would."""
+    ``batches`` splits the table by a hash of the id; each batch is anti-joined with the
+    runs before it and adds its own, as a daily load would."""
     spark = docs.sparkSession
     rows = keyed(docs, min_chars)
     part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(3)), F.lit(batches))

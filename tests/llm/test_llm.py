@@ -278,6 +278,9 @@ def test_line_runs_levels(spark):
         runs.add(batch(lo, lo + 2))
     assert [len(x) for x in runs.levels] == [1, 1]
     assert [tuple(r)[1:] for r in runs.repeated(6).collect()] == [(6, 6)]
+    held = [r["d"] for level in runs.levels for r in runs._read(level).collect()]
+    assert len(held) == len(set(held)) == 7
+    assert [tuple(r)[1:] for r in runs._read(runs.tallies).collect()] == [(4, 6)]
     assert {r["doc_id"] for r in runs.novel(batch(6, 9)).collect()} == {7, 8}
 
 
