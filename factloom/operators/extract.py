@@ -89,7 +89,7 @@ def parse_numeric(raw: Column, punctuation: str = " :;,.") -> Column:
 
 def parse_cas(raw: Column) -> Column:
     """The first token that has a registry number's shape."""
-    return F.filter(F.transform(F.split(T.collapse(raw), " "), T.normalize_cas), lambda t: t.rlike(T.CAS))[0]
+    return F.get(F.filter(F.transform(F.split(T.collapse(raw), " "), lambda t: T.normalize_cas(t)), lambda t: t.rlike(T.CAS)), F.lit(0))
 
 
 PARSERS = {
@@ -118,8 +118,8 @@ def declared_form(rows: DataFrame, document: str = "document", phrases: tuple[tu
     low, form = T.search_form(F.col("text")), Q.form_cue(F.col("text"))
     hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)) & (form == f), F.struct(F.lit(i).alias("phrase"), F.lit(f).alias("form"))) for i, (p, f) in enumerate(phrases)]))
     found = rows.withColumn("hit", F.array_min(hits)).where("hit is not null")
-    best = found.groupBy(document).agg(F.min(F.struct("hit.phrase", "page", "row_no", "hit.form")).alias("b"))
-    return best.select(document, F.col("b.form").alias("form"), F.col("b.page").alias("page"), F.col("b.row_no").alias("row_no"))
+    best = found.groupBy(document).agg(F.min(F.struct("hit.phrase", "page", "row_no", "hit.form", "text")).alias("b"))
+    return best.select(document, F.col("b.form").alias("form"), F.col("b.page").alias("page"), F.col("b.row_no").alias("row_no"), F.col("b.text").alias("text"))
 
 
 def share_run(words: Column) -> Column:
@@ -141,7 +141,7 @@ def share_run(words: Column) -> Column:
 
 
 def ingredient_rows(rows: DataFrame, document: str = "document") -> DataFrame:
-    """One item per registry number of section 3, its first row: ``document, cas, name, concentration, page, row_no``."""
+    """One item per registry number of section 3, its first row: ``document, cas, name, concentration, page, row_no, at, text``."""
     inside = composition_rows(rows, document).withColumn("words", F.split(T.collapse(F.col("text")), " "))
     numbered = inside.withColumn("run", share_run(F.col("words"))).select("*", F.posexplode("words").alias("at", "word")).withColumn("cas", T.normalize_cas(F.col("word"))).where(F.col("cas").rlike(T.CAS))
     first = numbered.withColumn("n", F.row_number().over(Window.partitionBy(document, "cas").orderBy("page", "row_no", "at"))).where("n = 1")
@@ -150,4 +150,4 @@ def ingredient_rows(rows: DataFrame, document: str = "document") -> DataFrame:
         lambda w: w.isNotNull(),
     )
     share = F.when(F.col("run").isNotNull(), F.array_join(F.slice("words", F.col("run.start") + 1, F.col("run.end") - F.col("run.start")), " "))
-    return first.select(document, "cas", F.nullif(F.trim(F.array_join(kept, " "), F.lit(" :;,|-")), F.lit("")).alias("name"), share.alias("concentration"), "page", "row_no")
+    return first.select(document, "cas", F.nullif(F.trim(F.array_join(kept, " "), F.lit(" :;,|-")), F.lit("")).alias("name"), share.alias("concentration"), "page", "row_no", "at", "text")

@@ -60,9 +60,9 @@ def visual_rows(tokens: DataFrame, page: list[str], overlap: float = 0.4) -> Dat
 
 
 def row_texts(rows: DataFrame, page: list[str]) -> DataFrame:
-    """Rows of a page: text from left to right and enclosing box."""
+    """Rows of a page: text from left to right, enclosing box and the words with their left and right edges."""
     grouped = rows.groupBy(*page, "row_no").agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1", "text"))).alias("t"))
-    return grouped.select(*page, "row_no", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), G.union(F.col("t")).alias("box"))
+    return grouped.select(*page, "row_no", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), G.union(F.col("t")).alias("box"), F.transform("t", lambda x: F.struct(x["text"].alias("text"), x["x0"].alias("x0"), x["x1"].alias("x1"))).alias("words"))
 
 
 def ocr_lines(words: DataFrame, page: list[str], order: str = "word_no") -> DataFrame:

@@ -18,6 +18,7 @@ from .operators import retrieval as R
 from .operators import scoring as S
 from .operators import search
 from .plans import derivation as D
+from .plans import extraction as P
 from .streaming.events import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,6 +432,36 @@ def extract_flash_point(spark, sf_dir):
     return X.first_usable(X.candidates(rows, "flash_point"), "flash_point").select("document", "state", "value")
 
 
+_IDENT = "'identifier_undefined_for_form'"
+
+
+@query(
+    "WITH p AS (SELECT p_partkey AS document, p_partkey % 4 AS kind, p_size, trim(regexp_replace(trim(p_name, ' :;,.'), '\\s+', ' ', 'g')) AS name FROM part), f AS (SELECT unnest(['product_name', 'supplier_name', 'substance_or_mixture', 'product_cas_number', 'chemical_formula', 'molecular_weight', 'flash_point']) AS field) "
+    "SELECT document, field, "
+    "CASE WHEN field = 'product_name' THEN 'PRESENT' WHEN field = 'flash_point' THEN CASE WHEN document % 3 = 0 THEN 'PRESENT' ELSE 'NO_DATA' END WHEN field = 'substance_or_mixture' AND kind <> 2 THEN 'PRESENT' "
+    "WHEN field IN ('product_cas_number', 'chemical_formula', 'molecular_weight') AND kind < 2 THEN 'NOT_APPLICABLE' WHEN field = 'product_cas_number' AND kind = 3 OR field = 'chemical_formula' AND kind = 2 THEN 'PRESENT' ELSE 'NOT_STATED' END AS state, "
+    "CASE WHEN field = 'product_name' THEN name WHEN field = 'flash_point' AND document % 3 = 0 THEN p_size || ' C' WHEN field = 'substance_or_mixture' AND kind < 2 THEN 'MIXTURE' WHEN field = 'substance_or_mixture' AND kind = 3 THEN 'SUBSTANCE' "
+    "WHEN field = 'product_cas_number' AND kind = 3 THEN '7440-37-1' WHEN field = 'chemical_formula' AND kind = 2 THEN 'H2O' END AS value, "
+    f"CASE WHEN field = 'substance_or_mixture' AND kind IN (1, 3) THEN 'composition_implies_form' WHEN field IN ('product_cas_number', 'chemical_formula', 'molecular_weight') AND kind < 2 THEN {_IDENT} END AS rule, "
+    "CASE WHEN field = 'substance_or_mixture' AND kind = 3 THEN 2 WHEN field = 'substance_or_mixture' AND kind = 1 THEN 3 WHEN field IN ('product_cas_number', 'chemical_formula', 'molecular_weight') AND kind = 0 THEN 1 "
+    "WHEN field IN ('product_cas_number', 'chemical_formula', 'molecular_weight') AND kind = 1 THEN 3 ELSE 0 END AS n_premises FROM p, f"
+)
+def extract_document_fields(spark, sf_dir):
+    kind = F.col("p_partkey") % 4
+    section = lambda *rows: F.array(F.lit("SECTION 3: Composition"), *map(F.lit, rows), F.lit("SECTION 4: First aid"))
+    shares = (
+        F.when(kind == 0, F.array(F.lit("Chemical description: Mixture of substances")))
+        .when(kind == 1, section("Ingredient C.A.S. No. % by Wt", "Aluminum 7429-90-5 1~10", "Copper 7440-50-8 1~15"))
+        .when(kind == 2, F.array(F.lit("Molecular formula: H2O")))
+        .otherwise(section("argon 7440-37-1 100", "There are no impurities or stabilizers", "CAS No.: 7440-37-1"))
+    )
+    flash = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" C"))).otherwise("no data available")
+    texts = F.concat(F.array(F.concat(F.lit("Product name: "), F.col("p_name"))), shares, F.array(F.concat(F.lit("Flash point: "), flash)))
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("document"), F.lit(1).alias("page"), F.posexplode(texts).alias("row_no", "text"))
+    claims = P.extract_documents(rows)
+    return claims.select("document", "field", "state", "value", "rule", F.coalesce(F.array_size("premises"), F.lit(0)).alias("n_premises"))
+
+
 @query(
     "SELECT DISTINCT l_orderkey AS document, (l_linenumber + 1000) || '-10-' || (l_linenumber % 10) AS cas, 'material ' || chr((96 + l_linenumber)::INT) AS name, (l_linenumber * 10) || ' - ' || (l_linenumber * 10 + 5) || ' %' AS concentration FROM lineitem"
 )
