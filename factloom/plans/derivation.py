@@ -106,3 +106,32 @@ def premise_groups(premises: DataFrame, keys: list[str], value: str, text: str =
     found = flat.groupBy(*keys, "role", "needed").agg(F.count_if("fills").alias("spans"))
     short = found.where("spans < needed").select(*keys).distinct()
     return found.join(short, keys, "left_anti")
+
+
+def gold_problems() -> Column:
+    """Codes of what is wrong with a gold field (product_form, field, state, derivation, rule, value, n_evidence), sorted."""
+    state, kind, field, form = F.col("state"), F.col("derivation"), F.col("field"), F.col("product_form")
+    has_value, absent = F.coalesce(F.col("value") != "", F.lit(False)), state == "NOT_STATED"
+    derived, defined = kind.isin("ONTOLOGY", "COMPOSITION_IMPLIED"), Q.field_defined(field, form)
+    checks = (
+        ("present_without_value", (state == "PRESENT") & ~has_value),
+        ("value_without_present", (state != "PRESENT") & has_value),
+        ("no_evidence", ~absent & (F.col("n_evidence") == 0)),
+        ("evidence_on_not_stated", absent & (F.col("n_evidence") > 0)),
+        ("not_stated_not_absent", absent & (kind != "ABSENT")),
+        ("ontology_state", (kind == "ONTOLOGY") & (state != "NOT_APPLICABLE")),
+        ("ontology_but_defined", (kind == "ONTOLOGY") & defined),
+        ("present_but_undefined", (state == "PRESENT") & ~defined),
+        ("rule_not_registered", derived & ~rule_applies(F.col("rule"), field, state)),
+        ("rule_on_underived", ~derived & F.col("rule").isNotNull()),
+        ("form_disagrees", (field == "substance_or_mixture") & (state == "PRESENT") & ~F.col("value").eqNullSafe(form)),
+        ("form_not_stated", (field == "substance_or_mixture") & (state != "PRESENT") & (form != "UNDETERMINED")),
+    )
+    known = F.array_sort(F.array_compact(F.array(*[F.when(bad, code) for code, bad in checks])))
+    return F.when(field.isin(*[name for name, *_ in Q.FIELDS]), known).otherwise(F.array(F.lit("unknown_field")))
+
+
+def missing_fields(gold: DataFrame, document: str = "document") -> DataFrame:
+    """``document, field`` of product fields that a document's gold lacks."""
+    held = gold.groupBy(document).agg(F.collect_set(F.when(F.col("field").isin(*[n for n, *_ in Q.FIELDS]), F.col("field"))).alias("held"))
+    return held.select(document, F.explode(F.array_except(F.array(*[F.lit(n) for n, *_ in Q.FIELDS]), "held")).alias("field"))

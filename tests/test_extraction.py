@@ -1,5 +1,6 @@
 """Whole-document extraction on small pages."""
 
+from factloom.plans import derivation as D
 from factloom.plans import extraction as P
 
 ROWS = "document string, page int, row_no int, text string"
@@ -56,3 +57,22 @@ def test_documents(spark):
     assert got["pure", "product_cas_number"]["rationale"] == "CAS check digit failed"
     assert read("pure", "flash_point") == ("NOT_APPLICABLE", None, "DIRECT", None)
     assert {got["bare", f]["state"] for d, f in got if d == "bare"} == {"NOT_STATED"}
+
+
+def test_gold_problems(spark):
+    gold = spark.createDataFrame(
+        [
+            ("d", "MIXTURE", "flash_point", "PRESENT", "EXPLICIT", None, "61 C", 1),
+            ("d", "MIXTURE", "molecular_weight", "PRESENT", "ONTOLOGY", None, None, 0),
+            ("d", "MIXTURE", "substance_or_mixture", "NOT_STATED", "EXPLICIT", "r", "x", 1),
+            ("d", "MIXTURE", "chemical_formula", "NOT_APPLICABLE", "ONTOLOGY", D.IDENTIFIER_RULE, None, 1),
+            ("d", "MIXTURE", "colour", "PRESENT", "EXPLICIT", None, "red", 1),
+        ],
+        "document string, product_form string, field string, state string, derivation string, rule string, value string, n_evidence int",
+    )
+    got = {r["field"]: r["p"] for r in gold.select("field", D.gold_problems().alias("p")).collect()}
+    assert got["flash_point"] == got["chemical_formula"] == []
+    assert got["molecular_weight"] == ["no_evidence", "ontology_state", "present_but_undefined", "present_without_value", "rule_not_registered"]
+    assert got["substance_or_mixture"] == ["evidence_on_not_stated", "form_not_stated", "not_stated_not_absent", "rule_on_underived", "value_without_present"]
+    assert got["colour"] == ["unknown_field"]
+    assert {r["field"] for r in D.missing_fields(gold).collect()} == {"product_name", "supplier_name", "product_cas_number"}
