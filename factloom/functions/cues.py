@@ -142,15 +142,11 @@ def premise(c: Column) -> Column:
 
 def premise_roles(c: Column) -> Column:
     """Sorted array of the roles that one span fills."""
-    p = premise(c)
-    return F.array_sort(
-        F.array_compact(
-            F.array(
-                F.when(p["form"].isNotNull(), "form_declaration"),
-                F.when(p["header"], "composition_header"),
-                F.when(F.size(p["shares"]["whole"]) > 0, "sole_constituent"),
-                F.when(F.size(p["shares"]["partial"]) > 0, "partial_constituent"),
-                F.when(p["complete"], "completeness_statement"),
-            )
-        )
+    found = lambda p: F.array(
+        F.when(p["form"].isNotNull(), "form_declaration"),
+        F.when(p["header"], "composition_header"),
+        F.when(F.size(p["shares"]["whole"]) > 0, "sole_constituent"),
+        F.when(F.size(p["shares"]["partial"]) > 0, "partial_constituent"),
+        F.when(p["complete"], "completeness_statement"),
     )
+    return F.array_sort(F.array_compact(T.let(premise(c), found)))

@@ -15,6 +15,8 @@ from ..functions import values as V
 AXES = ("state", "value", "page", "span", "bbox", "derivation", "support")
 #: Order of the cumulative stages.
 STAGES = AXES[:-1] + ("support",)
+#: Kinds of values that a span supports by its text.
+KINDS = ("name", "identifier", "formula", "quantity", "temperature")
 THRESHOLDS = {"span_coverage": 0.8, "span_iou": 0.5, "box_coverage": 0.8, "box_iou": 0.5, "row_coverage": 0.8, "row_height": 2.5}
 
 
@@ -30,25 +32,31 @@ def undecidable(axes: tuple[str, ...] = AXES) -> Column:
     return reduce(lambda a, b: a | b, (F.col(a) == "undecidable" for a in axes))
 
 
-def localisation(pairs: DataFrame) -> DataFrame:
-    """Measures of (citation, target) pairs; on other pages all are 0."""
-    same = F.col("cited_page") == F.col("gold_page")
-    span, box = T.span_overlap(F.col("cited_text"), F.col("gold_text")), G.containment(F.col("cited_box"), F.col("gold_box"))
+MEASURES = ("page_match", "span_coverage", "span_iou", "box_coverage", "box_iou", "span_dilution", "box_dilution")
+
+
+def measured(cited: Column, gold: Column) -> Column:
+    """Struct of MEASURES of a citation against a target, both structs of page, text and box; on other pages all are 0."""
+    met = F.struct(T.span_overlap(cited["text"], gold["text"]).alias("span"), G.containment(cited["box"], gold["box"]).alias("box"))
     zero = F.lit(0.0)
-    put = lambda c: F.coalesce(F.when(same, c), zero)
-    return pairs.select(
-        "*",
-        F.coalesce(same.cast("int"), F.lit(0)).alias("page_match"),
-        put(span["coverage"]).alias("span_coverage"),
-        put(span["iou"]).alias("span_iou"),
-        put(box["coverage"]).alias("box_coverage"),
-        put(G.iou(F.col("cited_box"), F.col("gold_box"))).alias("box_iou"),
-        put(span["dilution"]).alias("span_dilution"),
-        put(box["dilution"]).alias("box_dilution"),
-    )
+    shaped = lambda *values: F.struct(*[F.coalesce(v, zero if i else F.lit(0)).alias(name) for i, (name, v) in enumerate(zip(MEASURES, values, strict=True))])
+    held = T.let(met, lambda m: shaped(F.lit(1), m["span"]["coverage"], m["span"]["iou"], m["box"]["coverage"], G.iou(cited["box"], gold["box"]), m["span"]["dilution"], m["box"]["dilution"]))
+    return F.when(cited["page"] == gold["page"], held).otherwise(shaped(F.lit(0), *[zero] * 6))
 
 
-MEASURES = ("page_match", "span_coverage", "span_iou", "box_coverage", "box_iou", "span_dilution", "box_dilution")
+def located(best: Column, axis: str) -> Column:
+    """Whether a target's best citation locates it on the axis page, span or bbox."""
+    t = THRESHOLDS
+    if axis == "page":
+        return best["page_match"] == 1
+    part = "span" if axis == "span" else "box"
+    return (best[f"{part}_coverage"] >= t[f"{part}_coverage"]) & (best[f"{part}_iou"] >= t[f"{part}_iou"])
+
+
+def localisation(pairs: DataFrame) -> DataFrame:
+    """Measures of (citation, target) pairs as columns."""
+    side = lambda name: F.struct(*[F.col(f"{name}_{c}").alias(c) for c in ("page", "text", "box")])
+    return pairs.withColumn("_m", measured(side("cited"), side("gold"))).select(*pairs.columns, "_m.*")
 
 
 def best_citations(measured: DataFrame, target: list[str]) -> DataFrame:
@@ -59,28 +67,25 @@ def best_citations(measured: DataFrame, target: list[str]) -> DataFrame:
 
 def group_axes(best: DataFrame, claim: list[str], group: str = "role", needed: str = "needed") -> DataFrame:
     """Axes page, span and bbox of a claim: each target group needs its number of hits on an axis."""
-    t = THRESHOLDS
-    hits = best.groupBy(*claim, group, needed).agg(
-        F.count_if(F.col("page_match") == 1).alias("page"),
-        F.count_if((F.col("span_coverage") >= t["span_coverage"]) & (F.col("span_iou") >= t["span_iou"])).alias("span"),
-        F.count_if((F.col("box_coverage") >= t["box_coverage"]) & (F.col("box_iou") >= t["box_iou"])).alias("bbox"),
-    )
+    row = {m: F.col(m) for m in MEASURES}
+    hits = best.groupBy(*claim, group, needed).agg(*[F.count_if(located(row, a)).alias(a) for a in ("page", "span", "bbox")])
     verdict = lambda a: F.when(F.bool_and(F.col(a) >= F.col(needed)), "satisfied").otherwise("violated").alias(a)
     return hits.groupBy(*claim).agg(verdict("page"), verdict("span"), verdict("bbox"))
 
 
-def support(state: Column, value: Column, span: Column, kind: str, verbatim: Column) -> Column:
-    """Gold-free verdict of a direct claim from its cited span."""
-    present = Q.form_cue(span) == F.upper(value) if kind == "categorical" else V.value_supported_by(value, span, kind)
+def support(state: Column, value: Column, span: Column, kind: str | Column, verbatim: Column) -> Column:
+    """Gold-free verdict of a direct claim from its first cited span (null or blank: not cited). ``kind`` may vary by row."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    cited = F.coalesce(T.collapse(span) != "", F.lit(False))
+    held = reduce(lambda out, k: out.when(kind == k, V.value_supported_by(value, span, k)), KINDS[1:], F.when(kind == KINDS[0], V.value_supported_by(value, span, KINDS[0])))
+    yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "satisfied").otherwise("violated")
+    declared = T.let(Q.form_cue(span), lambda f: F.when(f.isNull(), "undecidable").otherwise(yes(f == V.canonical_value(value, "categorical"))))
     cue = F.coalesce(Q.state_cue(Q.value_part(span)), Q.state_cue(span))
     return (
-        F.when(state == "NOT_STATED", "n/a")
-        .when(span.isNull() | (span == ""), "violated")
-        .when(~verbatim, "violated")
-        .when(state == "PRESENT", F.when(F.coalesce(present, F.lit(False)), "satisfied").otherwise("violated"))
-        .when(cue.isNull(), "undecidable")
-        .when(cue == state, "satisfied")
-        .otherwise("violated")
+        F.when(state == "NOT_STATED", F.when(span.isNotNull(), "violated").otherwise("n/a"))
+        .when(~cited | ~verbatim, "violated")
+        .when(state == "PRESENT", F.when(F.coalesce(value, F.lit("")) == "", "violated").when(kind == "categorical", declared).otherwise(yes(held)))
+        .otherwise(T.let(cue, lambda c: F.when(c.isNull(), "undecidable").otherwise(yes(c == state))))
     )
 
 
