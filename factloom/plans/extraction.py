@@ -116,13 +116,17 @@ def _by_field(choices: dict[str, Column]) -> Column:
     return reduce(lambda out, kv: out.when(F.col("field") == kv[0], kv[1]), list(choices.items())[1:], F.when(F.col("field") == next(iter(choices)), next(iter(choices.values()))))
 
 
-def first_claims(found: DataFrame, document: str = "document") -> DataFrame:
-    """Of each field the first candidate by page and row that gives a state or a value: one aggregate for all fields."""
+def read_candidates(found: DataFrame) -> DataFrame:
+    """Candidates that give a state or a value, with ``state`` and ``parsed``."""
     flash = F.when((F.col("field") == "flash_point") & T.search_form(F.col("value")).rlike("|".join(X.FLASH_CUES)), "NOT_APPLICABLE")
     parsed = _by_field({f: p(F.col("value")) for f, p in X.PARSERS.items()})
     read = found.where("value <> ''").withColumn("parsed", parsed).withColumn("state", F.coalesce(flash, Q.state_cue(F.col("value")), F.when(F.col("parsed").isNotNull(), "PRESENT")))
-    kept = read.where("state is not null").withColumn("parsed", F.when(F.col("state") == "PRESENT", F.col("parsed")))
-    best = kept.groupBy(document, "field").agg(F.min(F.struct("page", "row_no", "state", "parsed")).alias("b"))
+    return read.where("state is not null").withColumn("parsed", F.when(F.col("state") == "PRESENT", F.col("parsed")))
+
+
+def first_claims(found: DataFrame, document: str = "document") -> DataFrame:
+    """Of each field the first candidate by page and row that gives a state or a value: one aggregate for all fields."""
+    best = read_candidates(found).groupBy(document, "field").agg(F.min(F.struct("page", "row_no", "state", "parsed")).alias("b"))
     return best.select(document, "field", F.col("b.state").alias("state"), F.col("b.parsed").alias("value"), F.col("b.page").alias("page"), F.col("b.row_no").alias("row_no"))
 
 

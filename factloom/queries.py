@@ -18,6 +18,7 @@ from .operators import retrieval as R
 from .operators import scoring as S
 from .operators import search
 from .plans import derivation as D
+from .plans import evaluation as E
 from .plans import extraction as P
 from .streaming.events import windowed_counts
 
@@ -462,6 +463,47 @@ def extract_document_fields(spark, sf_dir):
     return claims.select("document", "field", "state", "value", "rule", F.coalesce(F.array_size("premises"), F.lit(0)).alias("n_premises"))
 
 
+_SCORED = {
+    # field: axes in order for a claim that is right, has another value or rule, another state or kind
+    "flash_point": ("+++++++", "+-++++-", "-----++"),
+    "chemical_formula": ("+++++++", "+++++--", "+++++-?"),
+}
+_ROW = {side: f"struct<field: string, state: string, derivation: string, rule: string, value: string, evidence: {E.SPANS if side == 'gold' else E.SPANS[6:-1]}, premises: {E.SPANS}>" for side in ("gold", "claim")}
+_STATUS = {"+": "satisfied", "-": "violated", "?": "undecidable"}
+
+
+@query(
+    "SELECT p_partkey AS document, field, "
+    + ", ".join(
+        "CASE p_partkey % 4 WHEN 0 THEN 'violated' "
+        + " ".join(f"WHEN {i + 1} THEN CASE field " + " ".join(f"WHEN '{f}' THEN '{_STATUS[v[i][a]]}'" for f, v in _SCORED.items()) + " END" for i in range(3))
+        + f" END AS {axis}"
+        for a, axis in enumerate(S.AXES)
+    )
+    + ", p_partkey % 4 = 1 AS joint FROM part, (VALUES ('flash_point'), ('chemical_formula')) AS f(field)"
+)
+def evaluate_claims(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("document"), F.col("p_size").cast("int").alias("size"), (F.col("p_partkey") % 4).alias("kind"))
+    k, none, no_spans = F.col("kind"), F.lit(None).cast("string"), F.array().cast(E.SPANS)
+    flash, mixture, missing = F.format_string("Flash point: %d C", "size"), F.lit("Chemical description: Mixture of substances"), F.lit("Flash point: no data available")
+    span = lambda n, text, y: F.struct(F.lit(n), text, F.struct(F.lit(0.1), F.lit(y), F.lit(0.9), F.lit(y + 0.1))).cast(E.SPANS[6:-1])
+    rows = lambda kind, *values: parts.where("kind > 0" if kind == "claim" else "true").select("document", F.inline(F.array(*[F.struct(*v).cast(_ROW[kind]) for v in values])))
+    gold = rows(
+        "gold",
+        (F.lit("flash_point"), F.lit("PRESENT"), F.lit("EXPLICIT"), none, F.format_string("%d C", "size"), F.array(span(1, flash, 0.1)), no_spans),
+        (F.lit("chemical_formula"), F.lit("NOT_APPLICABLE"), F.lit("ONTOLOGY"), F.lit(D.IDENTIFIER_RULE), none, no_spans, F.array(span(1, mixture, 0.3))),
+    )
+    said, shown = F.format_string("%d C", F.col("size") + F.when(k == 2, 5).otherwise(0)), F.when(k == 3, span(2, missing, 0.1)).otherwise(span(1, flash, 0.1))
+    claims = rows(
+        "claim",
+        (F.lit("flash_point"), F.when(k == 3, "NO_DATA").otherwise("PRESENT"), F.lit("DIRECT"), none, F.when(k < 3, said), shown, no_spans),
+        (F.lit("chemical_formula"), F.lit("NOT_APPLICABLE"), F.when(k == 3, "DIRECT").otherwise("DERIVED"), F.when(k == 1, D.IDENTIFIER_RULE).when(k == 2, D.COMPOSITION_RULE), none, F.when(k == 3, span(1, mixture, 0.3)), F.when(k < 3, F.array(span(1, mixture, 0.3))).otherwise(no_spans)),
+    )
+    texts = F.array(F.struct(F.lit(1).alias("page"), F.concat_ws("\n", flash, mixture).alias("text")), F.struct(F.lit(2).alias("page"), missing.alias("text")))
+    pages = parts.select("document", F.inline(texts)).withColumn("row_text", F.col("text"))
+    return E.evaluate(gold, claims, pages).select("document", "field", *S.AXES, "joint")
+
+
 @query(
     "SELECT DISTINCT l_orderkey AS document, (l_linenumber + 1000) || '-10-' || (l_linenumber % 10) AS cas, 'material ' || chr((96 + l_linenumber)::INT) AS name, (l_linenumber * 10) || ' - ' || (l_linenumber * 10 + 5) || ' %' AS concentration FROM lineitem"
 )
