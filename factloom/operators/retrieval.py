@@ -97,3 +97,62 @@ def p90(c: str) -> Column:
     """The element at floor(0.9 n) of the sorted values, clamped."""
     values = F.array_sort(F.collect_list(c))
     return F.element_at(values, F.least(F.size(values), F.floor(F.size(values) * 0.9).cast("int") + 1))
+
+
+def evidence_sets(gold: DataFrame) -> DataFrame:
+    """``document, field, state, derivation, pieces, n_pieces, n_pages, cross_page``: direct evidence and premises (arrays of
+    page and text), each with its kind, and the pages they lie on. ``ingredients`` is not a field; null arrays are empty."""
+    some = lambda name, kind: F.transform(F.coalesce(name, F.array().cast("array<struct<page: int, text: string>>")), lambda e: F.struct(e["page"].cast("int").alias("page"), e["text"].alias("text"), F.lit(kind).alias("kind")))
+    packed = gold.where("field <> 'ingredients'").withColumn("pieces", F.concat(some("evidence", "direct"), some("premises", "premise")))
+    pages = F.size(F.array_distinct(F.transform("pieces", lambda p: p["page"])))
+    return packed.select("document", "field", "state", "derivation", "pieces", F.size("pieces").alias("n_pieces"), pages.alias("n_pages"), (pages > 1).alias("cross_page"))
+
+
+def rankable(sets: DataFrame) -> DataFrame:
+    """Evidence sets that a ranking is judged on: those with pieces, of fields that gold states."""
+    return sets.where((F.col("n_pieces") > 0) & (F.col("state") != "NOT_STATED"))
+
+
+#: Below this score a judge is taken to have missed a page.
+LOW_SCORE = 0.5
+
+
+def case_picks(scored: DataFrame) -> DataFrame:
+    """``stratum, n, document, field, score`` of judged instances (``document, field, derivation, cross_page, piece_scores``).
+
+    Of derived instances whose best piece scores low, the worst of each stratum; ``contrast`` is the explicit instance whose
+    worst piece scores highest among those without a low one. Ties go to the smaller key in the strata, the larger in the
+    contrast. One partial aggregate."""
+    best, worst = F.array_max("piece_scores"), F.array_min("piece_scores")
+    explicit = F.col("derivation") == "EXPLICIT"
+    stratum = (
+        F.when(explicit, F.when(worst >= LOW_SCORE, "contrast"))
+        .when(best >= LOW_SCORE, None)
+        .when(F.col("derivation") == "COMPOSITION_IMPLIED", "composition_implied")
+        .when(F.col("derivation") == "ONTOLOGY", F.when(F.col("cross_page"), "ontology_cross_page").otherwise("ontology_same_page"))
+    )
+    rows = scored.select(stratum.alias("stratum"), F.struct(F.when(explicit, worst).otherwise(best).alias("score"), "document", "field").alias("k")).where("stratum is not null")
+    picked = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+    pick = F.when(F.col("stratum") == "contrast", F.col("high")).otherwise(F.col("low"))
+    return picked.withColumn("pick", pick).select("stratum", "n", "pick.document", "pick.field", "pick.score")
+
+
+def judge_stats(pages: DataFrame) -> DataFrame:
+    """One row over judged pages (``document, field, page, derivation, is_gold, score``; one row a page of an instance): counts,
+    shares below LOW_SCORE and medians of gold pages by explicit and derived, saturation, derived instances scored 0 throughout."""
+    explicit = F.col("derivation") == "EXPLICIT"
+    kinds = {"explicit": explicit & F.col("is_gold"), "derived": ~explicit & F.col("is_gold")}
+    parts = []
+    for name, cond in kinds.items():
+        score = F.when(cond, F.col("score"))
+        parts += [F.count(score).alias(f"{name}_pages"), F.avg((score < LOW_SCORE).cast("int")).alias(f"{name}_share_low"), F.median(score).alias(f"{name}_median")]
+    one = pages.agg(
+        *parts,
+        F.count("score").alias("pages"),
+        F.count_if(F.col("score") < 0).alias("below_0"),
+        F.count_if(F.col("score") > 1).alias("above_1"),
+        F.count_if(F.col("score") == 0).alias("zeros"),
+        F.count_if(F.col("score") == 1).alias("ones"),
+    )
+    flat = pages.where(~explicit).groupBy("document", "field").agg(F.bool_and(F.col("score") == 0).alias("flat")).agg(F.count_if("flat").alias("derived_all_zero"))
+    return one.crossJoin(flat)  # one row each
