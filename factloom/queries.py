@@ -20,6 +20,7 @@ from .operators import search
 from .plans import derivation as D
 from .plans import evaluation as E
 from .plans import extraction as P
+from .plans import responses as M
 from .streaming.events import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -504,6 +505,48 @@ def evaluate_claims(spark, sf_dir):
     return E.evaluate(gold, claims, pages).select("document", "field", *S.AXES, "joint")
 
 
+@query(
+    "WITH s AS (SELECT o_orderkey AS document, CASE o_orderkey % 3 WHEN 0 THEN 'EXPLICIT' WHEN 1 THEN 'ONTOLOGY' ELSE 'COMPOSITION_IMPLIED' END AS d, o_orderkey % 2 = 0 AS cross_page, greatest(o_orderkey * 7 % 10, o_orderkey % 11) / 10.0::DOUBLE AS best, least(o_orderkey * 7 % 10, o_orderkey % 11) / 10.0::DOUBLE AS worst FROM orders), "
+    "t AS (SELECT CASE WHEN d = 'EXPLICIT' THEN CASE WHEN worst >= 0.5 THEN 'contrast' END WHEN best >= 0.5 THEN NULL WHEN d = 'COMPOSITION_IMPLIED' THEN 'composition_implied' WHEN cross_page THEN 'ontology_cross_page' ELSE 'ontology_same_page' END AS stratum, document, CASE WHEN d = 'EXPLICIT' THEN worst ELSE best END AS score FROM s), "
+    "r AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN stratum = 'contrast' THEN -score ELSE score END, CASE WHEN stratum = 'contrast' THEN -document ELSE document END) AS i FROM t WHERE stratum IS NOT NULL) "
+    "SELECT stratum, n, document, score FROM r WHERE i = 1"
+)
+def judged_cases(spark, sf_dir):
+    k = F.col("o_orderkey")
+    scores = F.array((k * 7 % 10) / 10.0, (k % 11) / 10.0)
+    kind = F.when(k % 3 == 0, "EXPLICIT").when(k % 3 == 1, "ONTOLOGY").otherwise("COMPOSITION_IMPLIED")
+    scored = read(spark, sf_dir, "orders").select(k.alias("document"), F.lit("x").alias("field"), kind.alias("derivation"), (k % 2 == 0).alias("cross_page"), scores.alias("piece_scores"))
+    return R.case_picks(scored).select("stratum", "n", "document", "score")
+
+
+#: Last digits of the documents that break a rule; a derived claim that cites nothing breaks three.
+_BROKEN = {
+    "no_structured_output": (1,), "schema_invalid": (2,), "quote_not_verbatim": (3,), "state_carries_value": (4,), "present_without_value": (5,), "not_stated_with_citation": (6,),
+    "claim_without_citation": (7, 9), "direct_with_rule_or_premises": (8,), "derived_without_rule": (9,), "derived_without_premises": (9,),
+}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS code, count(*) FILTER (s_suppkey % 10 IN ({', '.join(map(str, _BROKEN.get(c, (-1,))))})) AS n, n AS documents FROM supplier" for c in M.CODES)
+)
+def response_breach_counts(spark, sf_dir):
+    """Answers that break the contract in one way each, by the document's last digit."""
+    k = F.col("s_suppkey") % 10
+    quote = F.to_json(F.struct(F.lit(1).alias("page"), F.concat(F.lit("Product name: "), F.when(k == 3, "other").otherwise(F.col("s_name"))).alias("quote")))
+    state = F.when(k == 4, "NO_DATA").when(k == 6, "NOT_STATED").otherwise("PRESENT")
+    kind, cited = F.when(k == 9, "DERIVED").otherwise("DIRECT"), F.when(k == 7, "null").otherwise(quote)
+    cited = F.when(k == 9, "null").otherwise(cited)
+    claim = F.concat(
+        F.lit('{"state": "'), state, F.lit('", "value": '), F.when(k.isin(5, 6), "null").otherwise(F.concat(F.lit('"'), F.col("s_name"), F.lit('"'))), F.lit(', "derivation": "'), kind,
+        F.lit('", "rule": '), F.when(k == 8, F.lit(f'"{D.IDENTIFIER_RULE}"')).otherwise("null"), F.lit(', "evidence": '), cited, F.lit(', "premises": []}'),
+    )
+    rest = ", ".join(f'"{name}": {{"state": "NOT_STATED", "value": null, "derivation": "DIRECT", "rule": null, "evidence": null, "premises": []}}' for name, *_ in Q.FIELDS[1:])
+    answer = F.concat(F.lit('{"product_name": '), claim, F.lit(f', {rest}, "ingredients_state": "NOT_STATED", "ingredients": []}}'))
+    docs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document"), F.when(k == 2, "{}").when(k != 1, answer).alias("content"), F.concat(F.lit("Product name: "), F.col("s_name")).alias("text"))
+    pages = docs.select("document", F.lit(1).alias("page"), "text", F.col("text").alias("row_text"))
+    return M.breach_counts(M.breaches(docs.select("document", "content"), pages))
+
+
 @query(
     "SELECT DISTINCT l_orderkey AS document, (l_linenumber + 1000) || '-10-' || (l_linenumber % 10) AS cas, 'material ' || chr((96 + l_linenumber)::INT) AS name, (l_linenumber * 10) || ' - ' || (l_linenumber * 10 + 5) || ' %' AS concentration FROM lineitem"
 )
