@@ -1,8 +1,8 @@
 """Language-model scoring with a hierarchical Pitman-Yor model over words.
 
 Restaurants: the root (over all words, above a uniform base on the V known words and one unknown) and one for each
-context word that makes up at least ``1 / contexts`` of the training tokens, so at most ``contexts`` of them; the tokens
-after other words share the root. The symbol for a text's end also stands before its first word.
+context word seen in training; tokens after a word that training lacks share the root. The symbol for a text's end also
+stands before its first word.
 In each restaurant customers sit at tables by the Chinese-restaurant process; a table is a customer of the root.
 
 Data flow (texts never cross the network; blocks of documents exchange sorted lists with word shards):
@@ -10,10 +10,11 @@ Data flow (texts never cross the network; blocks of documents exchange sorted li
 2. Shards sum the counts (N, V, each word's number) and answer each block.
 3. Blocks send their (context, word) pairs with training counts to the words' shards. All pairs of a word, and so all
    its tables, meet in one shard; lists are summed per block first, so a frequent pair is one entry a block.
-4. Gibbs sweeps: every shard re-seats each dish's customers given all else; between sweeps only the tables of each
-   restaurant (at most ``contexts`` numbers a shard) are summed. Each sweep's seating is a written table.
-5. Shards answer blocks with the root's probability of each word in every kept sample, and each pair's count and tables;
-   blocks average the samples' predictive probabilities and sum logarithms per document.
+4. Gibbs sweeps: every shard re-seats each dish's customers given all else; between sweeps the tables of each restaurant
+   are summed in its context word's shard, which answers each shard with the sums it uses. A restaurant's customers are
+   its word's training count. Seatings and sums are written tables; the driver holds a few totals.
+5. Shards answer blocks with the root's probability and the restaurant's tables of each word in every kept sample, and
+   each pair's count and tables; blocks average the samples' predictive probabilities and sum logarithms per document.
 
 Discounts come from the counts of counts of each level (``n1 / (n1 + 2 n2)``). From 64 customers of a dish on,
 seating goes in doubling steps with a binomial number of new tables. Results depend on seed and shard number only.
@@ -40,8 +41,8 @@ from .bpe import by_count, pack_ranks, unpack_ranks
 END = b"\n"
 _KINDS = "block long, shard int, kind int, a binary, b binary, c binary, d binary"
 _ROWS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in "abcd")])
-#: kinds: 0 a block's documents, 1 words of a block, 2 a shard's dictionary, 4 pairs, 5 a seating, 6 its sums
-_PAIR_BITS, _CONTEXT_BITS = 51, 11
+#: kinds: 0 a block's documents, 1 words of a block, 2 a shard's dictionary, 4 pairs, 5 a seating, 6 its sums, 7 its
+#: tables by context, 8 the answers to those, 9 all tables of a shard's contexts
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -98,15 +99,16 @@ def _blocks(shards: int, block_chars: int):
     return run
 
 
-def _frequent(n: int, contexts: int):
-    """Words of the dictionaries that make up at least 1 / contexts of all training tokens."""
-    schema = pa.schema([("shard", pa.int32()), ("at", pa.int64())])
+class Keys:
+    """Numbers of words over all shards, and of (word, context) pairs within the word's shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((shard, C.unpack_uints(a)) for shard, a in C.rows_of(batches, ["shard", "a"]))
-        yield from C.emit(schema, ((shard, i) for shard, total in found for i in np.flatnonzero((total * contexts >= n) & (total > 0)).tolist()))
+    def __init__(self, shards: int, width: int):
+        if shards * width * width >= 1 << 63:
+            raise ValueError("dictionaries are too wide for pair numbers: more shuffle partitions make them smaller")
+        self.width, self.words = width, shards * width
 
-    return run
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.divmod(keys, self.words)
 
 
 def _count():
@@ -129,7 +131,7 @@ def _count():
                 own = np.fromiter((number[w] for w in C.unpack_words(a)), np.int64)
                 yield block, shard, 1, C.pack_uints(total[own]), C.pack_uints(np.diff(own, prepend=0)), None, None
             mass, ones, twos = int(total.sum()), int((total == 1).sum()), int((total == 2).sum())
-            yield -1, shard, 2, C.pack_uints(total), np.array([mass, int((total > 0).sum()), ones, twos], np.int64).tobytes(), None, None
+            yield -1, shard, 2, C.pack_uints(total), np.array([mass, int((total > 0).sum()), ones, twos, len(total)], np.int64).tobytes(), None, None
 
         yield from C.emit(_ROWS, rows(), 256)
 
@@ -139,7 +141,7 @@ def _count():
 class _Block:
     """A block's tokens with what its shards answered; the same steps give the same pair order each time."""
 
-    def __init__(self, head: tuple, answers: list[tuple], shards: int, numbers: dict[tuple[int, int], int]):
+    def __init__(self, head: tuple, answers: list[tuple], keys: Keys, least: float):
         _, _, _, a, b, c, d = head
         self.ids, self.missing, self.train, self.lengths = C.unpack_array(a, np.int64).reshape(4, -1)
         self.tokens = by_count(C.unpack_uints(c))[0][unpack_ranks(b)]
@@ -150,41 +152,31 @@ class _Block:
         self.sizes = [len(x) for x in own]
         self.count, self.number = np.concatenate(counts), np.concatenate(own)
         self.shard = np.repeat(np.array(self.asked, np.int64), self.sizes)
-        self.context = np.full(len(self.number), -1, np.int64)
-        known: dict[int, list[tuple[int, int]]] = {}
-        for (s, i), k in numbers.items():
-            known.setdefault(s, []).append((i, k))
-        at = 0
-        for s, x in zip(self.asked, own, strict=True):
-            for i, k in known.get(s, ()):
-                j = int(np.searchsorted(x, i))
-                if j < len(x) and x[j] == i:
-                    self.context[at + j] = k
-            at += len(x)
         firsts = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[firsts] = end
-        self.before = self.context[before]
         self.in_train = np.repeat(self.train.astype(bool), self.lengths)
-        self.some = np.flatnonzero(self.before >= 0)
-        w = self.tokens[self.some]
-        key = self.shard[w] << _PAIR_BITS | self.before[self.some] << (_PAIR_BITS - _CONTEXT_BITS) | self.number[w]
-        self.pairs, self.pair = np.unique(key, return_inverse=True)
+        self.some = np.flatnonzero(self.count[before] >= least)
+        self.before = before[self.some]
+        # Words are in order of shard and number, and so are pairs.
+        pairs, self.pair = np.unique(self.tokens[self.some].astype(np.int64) << 32 | self.before, return_inverse=True)
+        w, u = pairs >> 32, pairs & 0xFFFFFFFF
+        self.pair_shard = self.shard[w]
+        self.pairs = self.number[w] * keys.words + self.shard[u] * keys.width + self.number[u]
 
     def messages(self, block: int) -> Iterator[tuple]:
         """Per shard: pair keys as differences, their training counts, and the block's word numbers."""
         seen = np.bincount(self.pair[self.in_train[self.some]], minlength=len(self.pairs))
-        cuts = np.searchsorted(self.pairs, np.array(self.asked, np.int64) << _PAIR_BITS)
+        cuts = np.searchsorted(self.pair_shard, np.array(self.asked, np.int64))
         ends = [*cuts[1:].tolist(), len(self.pairs)]
         at = 0
         for s, i, j, n in zip(self.asked, cuts.tolist(), ends, self.sizes, strict=True):
-            low = self.pairs[i:j] & ((1 << _PAIR_BITS) - 1)
-            yield block, s, 4, C.pack_uints(np.diff(low, prepend=0)), C.pack_uints(seen[i:j]), C.pack_uints(np.diff(self.number[at : at + n], prepend=0)), None
+            yield block, s, 4, C.pack_uints(np.diff(self.pairs[i:j], prepend=0)), C.pack_uints(seen[i:j]), C.pack_uints(np.diff(self.number[at : at + n], prepend=0)), None
             at += n
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], shards: int, numbers) -> Iterator[tuple[int, _Block, list]]:
+def _gathered(batches: Iterator[pa.RecordBatch], keys: Keys, least: float) -> Iterator[tuple[int, _Block, list]]:
     """Blocks with their rows sorted by kind and shard: documents, count answers, then pair answers."""
     for (block,), group in C.groups_of(C.rows_of(batches, _ROWS.names), 1):
         head = next(group)
@@ -194,12 +186,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], shards: int, numbers) -> Iterat
                 answers.append((r[1], r[3], r[4]))
             else:
                 rest.append(r)
-        yield block, _Block(head, answers, shards, numbers), rest
+        yield block, _Block(head, answers, keys, least), rest
 
 
-def _pairs(shards: int, numbers):
+def _pairs(keys: Keys, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from C.emit(_ROWS, (m for block, b, _ in _gathered(batches, shards, numbers) for m in b.messages(block)), 64)
+        yield from C.emit(_ROWS, (m for block, b, _ in _gathered(batches, keys, least) for m in b.messages(block)), 64)
 
     return run
 
@@ -226,12 +218,10 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
 
 
 class State:
-    """What all shards share: sizes, discounts, and each restaurant's customers and tables. At most ``contexts`` numbers."""
+    """What all shards share: sizes, discounts and the root's totals."""
 
-    def __init__(self, n: int, v: int, root_discount: float, contexts: int):
-        self.n, self.v, self.d0, self.d, self.theta = n, v, root_discount, 0.5, 1.0
-        self.customers = np.zeros(contexts)
-        self.tables = np.zeros(contexts)
+    def __init__(self, n: int, v: int, root_discount: float, discount: float = 0.5):
+        self.n, self.v, self.d0, self.d, self.theta = n, v, root_discount, discount, 1.0
         self.root_customers, self.root_tables = float(n), 0.0
 
     def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -246,7 +236,40 @@ def _discount(ones: float, twos: float) -> float:
     return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
 
 
-def _merge(contexts: int):
+def _by_context(shard: int, context: np.ndarray, tables: np.ndarray, keys: Keys) -> Iterator[tuple]:
+    """A shard's tables of each context, to the contexts' shards: kind 7 rows ``numbers, tables`` that name the sender."""
+    used, place = np.unique(context, return_inverse=True)
+    own = np.bincount(place, tables, len(used)).astype(np.int64)
+    at = used // keys.width
+    for to in np.unique(at).tolist():
+        i, j = np.searchsorted(at, [to, to + 1]).tolist()
+        yield to, 7, C.pack_uints(np.diff(used[i:j] - to * keys.width, prepend=0)), C.pack_uints(own[i:j]), None, None, None, shard
+
+
+def _sum_contexts():
+    """Kind 7 rows summed per context: answers to each sender in its order (kind 8), and all sums of the shard (kind 9)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            asked, sums, shard = [], np.zeros(0, np.int64), None
+            for shard, a, b, sender in C.rows_of(batches, ["shard", "a", "b", "sender"]):
+                at = np.cumsum(C.unpack_uints(a))
+                asked.append((sender, at))
+                if at[-1] >= len(sums):
+                    sums = np.pad(sums, (0, int(at[-1]) + 1 - len(sums)))
+                sums[at] += C.unpack_uints(b)
+            if shard is None:
+                return
+            for sender, at in asked:
+                yield sender, 8, C.pack_uints(sums[at]), None, None, None, None, shard
+            yield shard, 9, C.pack_uints(sums), None, None, None, None, shard
+
+        yield from C.emit(_SEATED, rows(), 64)
+
+    return run
+
+
+def _merge(pair_keys: Keys):
     """A shard's pair lists from all blocks summed: kind 5 row ``keys, counts, tables, dictionary``; tables start at one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,60 +286,67 @@ def _merge(contexts: int):
                 return
             found, place = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
-            own = np.bincount(found >> (_PAIR_BITS - _CONTEXT_BITS), n, contexts).astype(np.int64)
-            t = np.bincount(found >> (_PAIR_BITS - _CONTEXT_BITS), minlength=contexts)
-            yield shard, 5, C.pack_uints(np.diff(found, prepend=0)), C.pack_uints(n), C.pack_uints(np.ones(len(n), np.int64)), total, None
-            yield shard, 6, C.pack_uints(own), C.pack_uints(t), np.array([(n == 1).sum(), (n == 2).sum()], np.int64).tobytes(), None, None
+            one = np.ones(len(n), np.int64)
+            yield shard, 5, C.pack_uints(np.diff(found, prepend=0)), C.pack_uints(n), C.pack_uints(one), total, None, shard
+            yield shard, 6, None, None, np.array([n.sum(), len(n), (n == 1).sum(), (n == 2).sum()], np.int64).tobytes(), None, None, shard
+            yield from _by_context(shard, pair_keys.split(found)[1], one, pair_keys)
 
-        yield from C.emit(_SEATED, rows(), 1)
+        yield from C.emit(_SEATED, rows(), 64)
 
     return run
 
 
-_SEAT_COLUMNS = "shard int, kind int, a binary, b binary, c binary, d binary, e binary"
-_SEATED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in "abcde")])
+_SEAT_COLUMNS = "shard int, kind int, a binary, b binary, c binary, d binary, e binary, sender int"
+_SEATED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in "abcde"), ("sender", pa.int32())])
 
 
-def _sweep(state: State, seed: int, sweep: int):
+def _sweep(state: State, seed: int, sweep: int, pair_keys: Keys):
     """One Gibbs sweep of a shard: contexts' dishes given the root, then the root's dishes given the base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for shard, a, b, c, d, e in C.rows_of(batches, ["shard", "a", "b", "c", "d", "e"]):
+            for (shard,), group in C.groups_of(C.rows_of(batches, ["shard", "a", "b", "c", "d", "e"]), 1):
+                _, a, b, c, d, e = next(group)
+                sums = np.concatenate([np.empty(0, np.int64), *(C.unpack_uints(r[1]) for r in group)])
                 rng = np.random.default_rng([seed, shard, sweep])
-                keys, counts, tables, total = np.cumsum(C.unpack_uints(a)), C.unpack_uints(b), C.unpack_uints(c), C.unpack_uints(d)
-                context, word = keys >> (_PAIR_BITS - _CONTEXT_BITS), keys & ((1 << (_PAIR_BITS - _CONTEXT_BITS)) - 1)
+                counts, tables, total = C.unpack_uints(b), C.unpack_uints(c), C.unpack_uints(d)
+                word, context = pair_keys.split(np.cumsum(C.unpack_uints(a)))
+                held = sums[np.unique(context, return_inverse=True)[1]]
                 direct = total - np.bincount(word, counts, len(total)).astype(np.int64)
                 root_customers = direct + np.bincount(word, tables, len(total)).astype(np.int64)
                 root_tables = C.unpack_uints(e) if e else np.minimum(root_customers, 1)
                 p = state.root(root_customers, root_tables)
-                tables = seat(counts, (state.theta + state.d * state.tables[context]) * p[word], state.d, rng)
+                tables = seat(counts, (state.theta + state.d * held) * p[word], state.d, rng)
                 root_customers = direct + np.bincount(word, tables, len(total)).astype(np.int64)
                 base = (state.theta + state.d0 * state.root_tables) / (state.v + 1)
                 root_tables = seat(root_customers, np.full(len(total), base), state.d0, rng)
-                yield shard, 5, a, b, C.pack_uints(tables), d, C.pack_uints(root_tables)
-                own = np.bincount(context, tables, len(state.tables)).astype(np.int64)
-                yield shard, 6, C.pack_uints(own), None, np.array([root_customers.sum(), root_tables.sum()], np.int64).tobytes(), None, None
+                yield shard, 5, a, b, C.pack_uints(tables), d, C.pack_uints(root_tables), shard
+                yield shard, 6, None, None, np.array([root_customers.sum(), root_tables.sum()], np.int64).tobytes(), None, None, shard
+                yield from _by_context(shard, context, tables, pair_keys)
 
-        yield from C.emit(_SEATED, rows(), 1)
+        yield from C.emit(_SEATED, rows(), 64)
 
     return run
 
 
-def _answer(states: list[State]):
-    """A shard's last seatings (kind 5, in sample order) and the blocks' messages (kind 4): what each block asked for."""
+def _answer(states: list[State], pair_keys: Keys):
+    """A shard's last seatings and its contexts' tables (kinds 5 and 9, in sample order) and the blocks' messages (kind 4): what each block asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            keys, counts, tables, probs = None, None, [], []
+            keys, counts, tables, probs, held = None, None, [], [], []
             for block, shard, kind, a, b, c, d, e in C.rows_of(batches, ["block", "shard", "kind", "a", "b", "c", "d", "e"]):
                 if kind == 5:
                     keys, counts, total = np.cumsum(C.unpack_uints(a)), C.unpack_uints(b), C.unpack_uints(d)
                     t = C.unpack_uints(c)
-                    word = keys & ((1 << (_PAIR_BITS - _CONTEXT_BITS)) - 1)
+                    word = pair_keys.split(keys)[0]
                     customers = total - np.bincount(word, counts, len(total)).astype(np.int64) + np.bincount(word, t, len(total)).astype(np.int64)
                     probs.append(states[len(probs)].root(customers, C.unpack_uints(e)))
                     tables.append(t)
+                    held.append(np.zeros(len(total), np.int64))
+                elif kind == 9:
+                    sums = C.unpack_uints(a)
+                    held[-1][: len(sums)] = sums
                 else:
                     asked, words = np.cumsum(C.unpack_uints(a)), np.cumsum(C.unpack_uints(c))
                     at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
@@ -324,7 +354,7 @@ def _answer(states: list[State]):
                     sums = np.sum(tables, axis=0)
                     n = np.where(hit, counts[at], 0) if len(keys) else np.zeros(len(asked), np.int64)
                     t = np.where(hit, sums[at], 0) if len(keys) else np.zeros(len(asked), np.int64)
-                    yield block, shard, 4, C.pack_uints(n), C.pack_uints(t), C.pack_array(np.stack([p[words] for p in probs])), None
+                    yield block, shard, 4, C.pack_uints(n), C.pack_uints(t), C.pack_array(np.stack([p[words] for p in probs])), C.pack_uints(np.concatenate([x[words] for x in held]))
 
         yield from C.emit(_ROWS, rows(), 256)
 
@@ -334,25 +364,26 @@ def _answer(states: list[State]):
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _finish(states: list[State], shards: int, numbers):
+def _finish(states: list[State], keys: Keys, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = states[0]
 
         def rows() -> Iterator[tuple]:
-            for _, b, rest in _gathered(batches, shards, numbers):
+            for _, b, rest in _gathered(batches, keys, least):
                 n = np.concatenate([C.unpack_uints(r[3]) for r in rest])
                 t = np.concatenate([C.unpack_uints(r[4]) for r in rest])
                 probs = np.concatenate([C.unpack_array(r[5], np.float64).reshape(len(states), -1) for r in rest], axis=1)
+                held = np.concatenate([C.unpack_uints(r[6]).reshape(len(states), -1) for r in rest], axis=1)
                 known = b.count > 0
                 for i, s in enumerate(states):
                     probs[i][~known] = s.unknown()
                 base = np.log10((b.count + 1.0) / (first.n + (first.v + 1.0)))[b.tokens]
                 p = probs.mean(axis=0)[b.tokens]
-                u = b.before[b.some]
-                room = first.theta + first.customers[u]
+                u = b.before
+                room = first.theta + b.count[u]
                 shared = np.zeros(len(u))
                 for i, s in enumerate(states):
-                    shared += (s.theta + s.d * s.tables[u]) * probs[i][b.tokens[b.some]]
+                    shared += (s.theta + s.d * held[i][u]) * probs[i][b.tokens[b.some]]
                 p[b.some] = (np.maximum(n[b.pair] - first.d * t[b.pair] / len(states), 0) + shared / len(states)) / room
                 log = np.log10(p)
                 firsts = np.cumsum(b.lengths) - b.lengths
@@ -365,61 +396,66 @@ def _finish(states: list[State], shards: int, numbers):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, *, contexts: int = 2_000, sweeps: int = 3, kept: int = 2, block_chars: int = 12_000_000, seed: int = 5) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, contexts: int | None = None, sweeps: int = 3, kept: int = 2, block_chars: int = 12_000_000, seed: int = 5) -> DataFrame:
     """Score every whole text; learns from rows where ``held_out`` (over ``doc_id``) is not true.
 
+    With ``contexts``, only words of at least ``1 / contexts`` of the training tokens get a restaurant.
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
-    if contexts >= 1 << _CONTEXT_BITS or not 0 < kept <= sweeps:
-        raise ValueError("contexts are fewer than 2048, kept samples at most the sweeps")
+    if not 0 < kept <= sweeps:
+        raise ValueError("kept samples are at most the sweeps")
     spark = docs.sparkSession
     shards = min(C.width(spark), 4096)
     wide = C.width(spark)
     three = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     blocks = C.table(three.mapInArrow(_blocks(shards, block_chars), _KINDS), "lm-blocks")
     counted = C.table(blocks.where("kind = 1").repartitionById(shards, F.col("shard")).mapInArrow(_count(), _KINDS), "lm-counts")
-    sums = np.zeros(4, np.int64)
-    for r in counted.where("kind = 2").select("b").collect():  # four numbers a shard
-        sums += np.frombuffer(bytes(r["b"]), np.int64)
+    sums, width = np.zeros(4, np.int64), 1
+    for r in counted.where("kind = 2").select("b").collect():  # five numbers a shard
+        *four, words = np.frombuffer(bytes(r["b"]), np.int64).tolist()
+        sums, width = sums + four, max(width, words)
     n, v, ones, twos = sums.tolist()
-    # At most `contexts` words can each hold that share.
-    frequent = [tuple(r) for r in counted.where("kind = 2").select("shard", "a").mapInArrow(_frequent(n, contexts), "shard int, at long").collect()]
-    numbers = {place: k for k, place in enumerate(sorted(frequent))}
-    width = max(len(numbers), 1)
+    least = max(1.0, n / contexts) if contexts else 1.0
+    keys = Keys(shards, width)
     answers = counted.where("kind = 1")
     heads = blocks.where("kind = 0")
     meet = heads.unionByName(answers).repartition(wide, "block").sortWithinPartitions("block", "kind", "shard")
-    messages = C.table(meet.mapInArrow(_pairs(shards, numbers), _KINDS), "lm-pairs")
+    messages = C.table(meet.mapInArrow(_pairs(keys, least), _KINDS), "lm-pairs")
     inputs = messages.select("shard", "kind", "a", "b").unionByName(counted.where("kind = 2").select("shard", "kind", "a", "b"))
-    seating = C.table(inputs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(width), _SEAT_COLUMNS), "lm-seating")
-    state = State(n, v, _discount(ones, twos), width)
-    counts = np.zeros(2, np.int64)
-    for r in seating.where("kind = 6").select("a", "b", "c").collect():  # `contexts` numbers a shard
-        state.customers += C.unpack_uints(bytes(r["a"]))
-        state.tables += C.unpack_uints(bytes(r["b"]))
+    seating = C.table(inputs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(keys), _SEAT_COLUMNS), "lm-seating")
+
+    def summed(seats: DataFrame) -> DataFrame:
+        return C.table(seats.where("kind = 7").repartitionById(shards, F.col("shard")).mapInArrow(_sum_contexts(), _SEAT_COLUMNS), "lm-sums")
+
+    tables = summed(seating)
+    counts = np.zeros(4, np.int64)
+    for r in seating.where("kind = 6").select("c").collect():  # four numbers a shard
         counts += np.frombuffer(bytes(r["c"]), np.int64)
-    state.d = _discount(*counts.tolist())
-    state.root_customers, state.root_tables = float(n - state.customers.sum() + state.tables.sum()), float(v)
+    customers, pairs, ones_of_pairs, twos_of_pairs = counts.tolist()
+    state = State(n, v, _discount(ones, twos), _discount(ones_of_pairs, twos_of_pairs))
+    state.root_customers, state.root_tables = float(n - customers + pairs), float(v)
     states, samples = [], []
     for sweep in range(sweeps):
-        seating = C.table(seating.where("kind = 5").mapInArrow(_sweep(state, seed, sweep), _SEAT_COLUMNS), "lm-seating")
-        now = State(n, v, state.d0, width)
-        now.d, now.customers = state.d, state.customers
+        both = seating.where("kind = 5").unionByName(tables.where("kind = 8"))
+        seats = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "sender")
+        seating = C.table(seats.mapInArrow(_sweep(state, seed, sweep, keys), _SEAT_COLUMNS), "lm-seating")
+        tables = summed(seating)
+        now = State(n, v, state.d0, state.d)
         root = np.zeros(2, np.int64)
-        for r in seating.where("kind = 6").select("a", "c").collect():
-            now.tables += C.unpack_uints(bytes(r["a"]))
+        for r in seating.where("kind = 6").select("c").collect():
             root += np.frombuffer(bytes(r["c"]), np.int64)
         now.root_customers, now.root_tables = map(float, root)
         state = now
         if sweep >= sweeps - kept:
             states.append(state)
-            samples.append(seating.where("kind = 5").select(F.lit(sweep - sweeps).cast("long").alias("block"), "shard", "kind", "a", "b", "c", "d", "e"))
+            own = seating.where("kind = 5").unionByName(tables.where("kind = 9"))
+            samples.append(own.select(F.lit(sweep - sweeps).cast("long").alias("block"), "shard", "kind", "a", "b", "c", "d", "e"))
     asked = messages.withColumn("e", F.lit(None).cast("binary"))
     for s in samples:
         asked = asked.unionByName(s)
     # Negative block numbers put a shard's seatings, in sample order, before the blocks that ask.
-    replies = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block").mapInArrow(_answer(states), _KINDS)
+    replies = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block", "kind").mapInArrow(_answer(states, keys), _KINDS)
     final = heads.unionByName(answers).unionByName(replies).repartition(wide, "block").sortWithinPartitions("block", "kind", "shard")
-    out = final.mapInArrow(_finish(states, shards, numbers), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = final.mapInArrow(_finish(states, keys, least), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

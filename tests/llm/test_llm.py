@@ -309,6 +309,16 @@ def test_language_model_sums_to_one(spark):
     assert 0 < sum(got[1000 + j] for j in range(5)) <= 1 + 1e-9
 
 
+def test_language_model_learns_rare_contexts(spark):
+    """Each of 3,000 context words holds less than 1/2000 of the tokens; its one follower is likelier than another's."""
+    train = [(i, f"c{i % 3000} f{i % 3000} c{i % 3000} f{i % 3000}") for i in range(6000)]
+    ask = [(10_000 + i, f"c{i} f{i + i % 2}") for i in range(40)]
+    table = spark.createDataFrame(train + ask, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(table, F.col("doc_id") >= 10_000).collect()}
+    right, wrong = [got[10_000 + i] for i in range(0, 40, 2)], [got[10_000 + i] for i in range(1, 40, 2)]
+    assert min(right) > max(wrong) + 2
+
+
 def test_seats_are_bounded():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 500, 100_000])
