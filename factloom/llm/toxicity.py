@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with block-max inverted indexes.
 
 Training (bounded, documented): at most ``max_examples`` labelled rows, the first by a seeded digest of the id; of near
-copies among them (equal in one of four min-hashes of word triples) one stays, so that a group of copies has one voice.
+copies among them one stays, so that a group of copies has one voice: in order of ids an example goes if its word triples
+have a Jaccard of at least ``copy`` with a kept example of the same label (met by one of eight min-hashes, then counted).
 Terms are words (A-Z lower-cased, ASCII punctuation blanked) and their first 5 and 7 bytes; those whose document
 frequency differs between the labels (chi-square at least ``min_chi2``, at least ``min_df`` examples, at most
 ``max_terms`` terms) weigh ``tf / words * ln(1 + n / df)``, and one coordinate holds the share of all other words
@@ -189,20 +190,60 @@ def unit(v: dict[int, float]) -> dict[int, float]:
 
 
 _TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("term", pa.binary())])
-_MINS = pa.schema([("doc_id", pa.int64()), ("mins", pa.list_(pa.int64()))])
+_MINS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("mins", pa.list_(pa.int64()))])
+_TRIPLES = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("triples", pa.binary())])
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Distinct hashed word triples of texts with three words or more."""
+    known = C.WordHash()
+    for doc, toxic, text in C.rows_of(batches, ["doc_id", "toxic", "text"]):
+        w = np.array([known[t] for t in terms_of(text)], np.uint64)
+        if len(w) > 2:
+            with np.errstate(over="ignore"):
+                yield doc, toxic, np.unique(C.mix64(C.mix64(C.mix64(w[:-2]) + w[1:-1]) + w[2:]))
+
+
+def _mins_of(h: np.ndarray) -> list[int]:
+    return [int(C.mix64(h ^ C.mix64(np.array([s], np.uint64))).min().astype(np.int64)) for s in range(1, 9)]
 
 
 def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        known = C.WordHash()
-        for doc, text in C.rows_of(batches, ["doc_id", "text"]):
-            w = np.array([known[t] for t in terms_of(text)], np.uint64)
-            if len(w) > 2:
-                with np.errstate(over="ignore"):
-                    h = C.mix64(C.mix64(C.mix64(w[:-2]) + w[1:-1]) + w[2:])
-                    yield doc, [int(C.mix64(h ^ np.uint64(s)).min().astype(np.int64)) for s in (1, 2, 3, 4)]
+    yield from C.emit(_MINS, ((doc, toxic, _mins_of(h)) for doc, toxic, h in _triples(batches)))
+
+
+def _triple_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from C.emit(_TRIPLES, ((doc, toxic, h.tobytes()) for doc, toxic, h in _triples(batches)))
+
+
+def near_copies(labelled: DataFrame, copy: float) -> list[int]:
+    """Ids that go: each has a Jaccard of at least ``copy`` with a kept example of its label and a smaller id.
+
+    The driver holds the triples of kept examples that share a min-hash with another."""
+    mins = labelled.mapInArrow(_min_hashes, "doc_id long, toxic int, mins array<long>").collect()
+    met = Counter((r["toxic"], *x) for r in mins for x in enumerate(r["mins"]))
+    ask = sorted({r["doc_id"] for r in mins if any(met[r["toxic"], *x] > 1 for x in enumerate(r["mins"]))})
+    if not ask:
+        return []
+    sets = labelled.where(F.array_contains(F.lit(ask), F.col("doc_id"))).mapInArrow(_triple_sets, "doc_id long, toxic int, triples binary").orderBy("doc_id")
+    kept: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+    gone: list[int] = []
+    for r in sets.toLocalIterator():
+        doc, h = r["doc_id"], np.frombuffer(bytes(r["triples"]), np.uint64)
+        places = [(r["toxic"], *x) for x in enumerate(_mins_of(h))]
+        others = {id(k): k for place in places for i, k in kept.get(place, ()) if i != doc}
+        if any(min(len(h), len(k)) >= copy * max(len(h), len(k)) and _jaccard(h, k) >= copy for k in others.values()):
+            gone.append(doc)
+        else:
+            for place in places:
+                if met[place] > 1:
+                    kept.setdefault(place, []).append((doc, h))
+    return sorted(set(gone))
+
 
-    yield from C.emit(_MINS, rows())
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def _explode(gone: frozenset):
@@ -224,7 +265,7 @@ def _vectors(model: Model, gone: frozenset):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: int = 8_000, max_terms: int = 2_000, min_chi2: float = 30.0, min_df: int = 5, k: int = 16, block: int = 64, rest: float = 0.02, seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: int = 8_000, max_terms: int = 2_000, min_chi2: float = 30.0, min_df: int = 5, k: int = 16, block: int = 64, rest: float = 0.02, copy: float = 0.8, seed: int = 7) -> Model:
     """Fit on rows of ``labels`` (``doc_id, toxic``) for which ``learn`` (over ``doc_id``) holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(learn)
     known = known.groupBy("doc_id").agg(F.when(F.avg("toxic") >= 0.5, 1).otherwise(0).alias("toxic"))
@@ -232,13 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: in
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample has at most max_examples rows of two numbers: a bounded broadcast.
     labelled = C.table(two.join(F.broadcast(sample), "doc_id"), "toxic-examples")
-    seen: set[tuple[int, int]] = set()
-    copies = []
-    for r in sorted(labelled.mapInArrow(_min_hashes, "doc_id long, mins array<long>").collect(), key=lambda r: r["doc_id"]):
-        keys = set(enumerate(r["mins"]))
-        if keys & seen:
-            copies.append(r["doc_id"])
-        seen |= keys
+    copies = near_copies(labelled, copy)
     gone = frozenset(copies)
     own = labelled if not copies else labelled.where(~F.array_contains(F.lit(copies), F.col("doc_id")))
     sums = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()

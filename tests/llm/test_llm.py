@@ -109,6 +109,21 @@ def test_toxicity_held_out(spark):
     assert clean.columns == ["doc_id", "text", "lang", "size"] and clean.count() == 502
 
 
+def test_toxicity_drops_confirmed_copies_only(spark):
+    """Texts with a common passage (Jaccard about 0.3) all stay; of near copies with one label the first stays."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, 0, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(40)]
+    base = [f"z{i}" for i in range(100)]
+    rows += [(100 + i, i % 2, " ".join([*base[:-1], f"y{i}"])) for i in range(6)]
+    rows += [(106, 0, "two words"), (107, 0, "two words"), (108, 0, None)]
+    assert toxicity.near_copies(spark.createDataFrame(rows, "doc_id long, toxic int, text string"), 0.8) == [102, 103, 104, 105]
+    labels = spark.createDataFrame([r[:2] for r in rows[:40]], "doc_id long, toxic int").withColumn("toxic", (F.col("doc_id") < 8).cast("int"))
+    docs = spark.createDataFrame([(i, t + (" vile" if i < 8 else "")) for i, _, t in rows[:40]], "doc_id long, text string")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert sum(y for i, y in zip(model.ids, model.labels, strict=True) if i is not None) == 8
+
+
 def test_toxicity_without_labels(spark, empty):
     docs, labels = toxic_docs(spark, 12)
     none = toxicity.train(docs, labels.limit(0), F.lit(True))
