@@ -83,9 +83,10 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3
 def apply_mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, block: int = 16, seed: int = 17) -> DataFrame:
     """The mixed corpus in whole documents: each row of ``docs`` as often as the mix takes it, to the nearest whole.
 
-    Only the one document that a shard cuts is rounded. Rows that repeat an identifier share its count's mean."""
+    Only the one document that a shard cuts is rounded. Rows that repeat an identifier, null too, share its count's mean."""
     taken = mix(docs, weights=weights, limit=limit, block=block, seed=seed).where("size > 0").groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
-    met = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    taken = taken.withColumnRenamed("doc_id", "_id")
+    met = docs.where(F.col("doc_id").isNotNull() | F.col("text").rlike(C.WORD)).join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return met.select(*docs.columns)
 
 

@@ -428,6 +428,14 @@ def test_mixing(spark, docs, texts, empty):
     assert applied.columns == docs.columns and applied.where("text = ''").count() == 0
 
 
+def test_mix_keeps_null_ids(spark):
+    rows = [(None if i < 3 else i, "a b c d " * 20, "s") for i in range(12)] + [(None, "", "s"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(docs).where("doc_id is null and size > 0").agg(F.sum("taken") / F.sum("size")).first()[0]
+    got = mixing.apply_mix(docs).where("doc_id is null").collect()
+    assert taken >= 1 and len(got) == 3 * round(taken) and all(r["text"] for r in got)
+
+
 def test_pipeline_runs_whole(spark, tmp_path):
     import corpus_pipeline
 
