@@ -568,7 +568,7 @@ def event_windows(spark, sf_dir):
 
 @query()
 def fuzzy_score(spark, sf_dir):
-    """Diagnostic score of each passage in the documents that share its first eight characters; rows only."""
+    """Diagnostic score of each passage in the documents that hold it verbatim, so always 100; near matches are not looked for; rows only."""
     hits = search.passages_in(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     met = hits.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), "item_id")
     return met.select("doc_id", "item_id", search.partial_ratio(T.search_form(F.col("text")), T.search_form(F.col("q"))).alias("score"))
