@@ -47,7 +47,25 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop(made_table: DataFrame) -> None:
+    """Delete a table made by ``table`` that nothing reads any more."""
+    spark, path = made_table.sparkSession, made_table.scratch
+    if (spark, path) in _MADE:
+        _MADE.remove((spark, path))
+    drop_path(spark, path)
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """A column name that none of the given column lists holds, whatever the case."""
+    held = {c.lower() for columns in taken for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
