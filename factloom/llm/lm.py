@@ -18,6 +18,7 @@ Data flow (texts never cross the network; blocks of documents exchange sorted li
 
 Discounts come from the counts of counts of each level (``n1 / (n1 + 2 n2)``). From 64 customers of a dish on,
 seating goes in doubling steps with a binomial number of new tables. Results depend on seed and shard number only.
+Seatings that no kept sample needs are deleted as soon as the next one is written.
 
 Defined results: null and empty texts are one end token; repeated rows are texts of their own; a null id learns (its
 fold is null, hence not held out); other columns are ignored; with no training token every probability is uniform.
@@ -25,7 +26,6 @@ fold is null, hence not held out); other columns are ignored; with no training t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +41,8 @@ from .bpe import by_count, pack_ranks, unpack_ranks
 END = b"\n"
 _KINDS = "block long, shard int, kind int, a binary, b binary, c binary, d binary"
 _ROWS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in "abcd")])
-#: kinds: 0 a block's documents, 1 words of a block, 2 a shard's dictionary, 4 pairs, 5 a seating, 6 its sums, 7 its
-#: tables by context, 8 the answers to those, 9 all tables of a shard's contexts
+#: kinds: 0 a block's documents, 1 words of a block, 2 a shard's dictionary, 3 a shard's pairs, 4 a block's pairs, 5 a
+#: seating, 6 its sums, 7 its tables by context, 8 the answers to those, 9 all tables of a shard's contexts
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -270,7 +270,7 @@ def _sum_contexts():
 
 
 def _merge(pair_keys: Keys):
-    """A shard's pair lists from all blocks summed: kind 5 row ``keys, counts, tables, dictionary``; tables start at one."""
+    """A shard's pair lists from all blocks summed: kind 3 row ``keys, counts, dictionary``; every pair starts with one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -287,7 +287,7 @@ def _merge(pair_keys: Keys):
             found, place = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
             one = np.ones(len(n), np.int64)
-            yield shard, 5, C.pack_uints(np.diff(found, prepend=0)), C.pack_uints(n), C.pack_uints(one), total, None, shard
+            yield shard, 3, C.pack_uints(np.diff(found, prepend=0)), C.pack_uints(n), None, total, None, shard
             yield shard, 6, None, None, np.array([n.sum(), len(n), (n == 1).sum(), (n == 2).sum()], np.int64).tobytes(), None, None, shard
             yield from _by_context(shard, pair_keys.split(found)[1], one, pair_keys)
 
@@ -301,17 +301,24 @@ _SEATED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *((n, pa.binar
 
 
 def _sweep(state: State, seed: int, sweep: int, pair_keys: Keys):
-    """One Gibbs sweep of a shard: contexts' dishes given the root, then the root's dishes given the base."""
+    """One Gibbs sweep of a shard: contexts' dishes given the root, then the root's dishes given the base.
+
+    Rows come by shard and kind: the pairs (3), the seating before if any (5), the contexts' sums by sender (8)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for (shard,), group in C.groups_of(C.rows_of(batches, ["shard", "a", "b", "c", "d", "e"]), 1):
-                _, a, b, c, d, e = next(group)
-                sums = np.concatenate([np.empty(0, np.int64), *(C.unpack_uints(r[1]) for r in group)])
+            for (shard,), group in C.groups_of(C.rows_of(batches, ["shard", "kind", "a", "b", "c", "d", "e"]), 1):
+                _, _, a, b, _, d, _ = next(group)
+                counts, total = C.unpack_uints(b), C.unpack_uints(d)
+                tables, e, sums = np.ones(len(counts), np.int64), None, [np.empty(0, np.int64)]
+                for _, kind, answer, _, c, _, last in group:
+                    if kind == 5:
+                        tables, e = C.unpack_uints(c), last
+                    else:
+                        sums.append(C.unpack_uints(answer))
                 rng = np.random.default_rng([seed, shard, sweep])
-                counts, tables, total = C.unpack_uints(b), C.unpack_uints(c), C.unpack_uints(d)
                 word, context = pair_keys.split(np.cumsum(C.unpack_uints(a)))
-                held = sums[np.unique(context, return_inverse=True)[1]]
+                held = np.concatenate(sums)[np.unique(context, return_inverse=True)[1]]
                 direct = total - np.bincount(word, counts, len(total)).astype(np.int64)
                 root_customers = direct + np.bincount(word, tables, len(total)).astype(np.int64)
                 root_tables = C.unpack_uints(e) if e else np.minimum(root_customers, 1)
@@ -320,7 +327,7 @@ def _sweep(state: State, seed: int, sweep: int, pair_keys: Keys):
                 root_customers = direct + np.bincount(word, tables, len(total)).astype(np.int64)
                 base = (state.theta + state.d0 * state.root_tables) / (state.v + 1)
                 root_tables = seat(root_customers, np.full(len(total), base), state.d0, rng)
-                yield shard, 5, a, b, C.pack_uints(tables), d, C.pack_uints(root_tables), shard
+                yield shard, 5, None, None, C.pack_uints(tables), None, C.pack_uints(root_tables), shard
                 yield shard, 6, None, None, np.array([root_customers.sum(), root_tables.sum()], np.int64).tobytes(), None, None, shard
                 yield from _by_context(shard, context, tables, pair_keys)
 
@@ -329,32 +336,33 @@ def _sweep(state: State, seed: int, sweep: int, pair_keys: Keys):
     return run
 
 
-def _answer(states: list[State], pair_keys: Keys):
-    """A shard's last seatings and its contexts' tables (kinds 5 and 9, in sample order) and the blocks' messages (kind 4): what each block asked for."""
+def _answer(pair_keys: Keys):
+    """A shard's pairs, its kept seatings and contexts' tables (kinds 3, then 5 and 9 in sample order) answer the blocks' messages (kind 4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            keys, counts, tables, probs, held = None, None, [], [], []
+            keys, counts, tables, root, held = None, None, [], [], []
             for block, shard, kind, a, b, c, d, e in C.rows_of(batches, ["block", "shard", "kind", "a", "b", "c", "d", "e"]):
-                if kind == 5:
+                if kind == 3:
                     keys, counts, total = np.cumsum(C.unpack_uints(a)), C.unpack_uints(b), C.unpack_uints(d)
-                    t = C.unpack_uints(c)
                     word = pair_keys.split(keys)[0]
-                    customers = total - np.bincount(word, counts, len(total)).astype(np.int64) + np.bincount(word, t, len(total)).astype(np.int64)
-                    probs.append(states[len(probs)].root(customers, C.unpack_uints(e)))
-                    tables.append(t)
+                    direct = total - np.bincount(word, counts, len(total)).astype(np.int64)
+                    sums = np.zeros(len(keys), np.int64)
+                elif kind == 5:
+                    t = C.unpack_uints(c)
+                    sums += t
+                    root.append((direct + np.bincount(word, t, len(total)).astype(np.int64), C.unpack_uints(e)))
                     held.append(np.zeros(len(total), np.int64))
                 elif kind == 9:
-                    sums = C.unpack_uints(a)
-                    held[-1][: len(sums)] = sums
+                    own = C.unpack_uints(a)
+                    held[-1][: len(own)] = own
                 else:
                     asked, words = np.cumsum(C.unpack_uints(a)), np.cumsum(C.unpack_uints(c))
                     at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
                     hit = (keys[at] == asked) if len(keys) else np.zeros(len(asked), bool)
-                    sums = np.sum(tables, axis=0)
                     n = np.where(hit, counts[at], 0) if len(keys) else np.zeros(len(asked), np.int64)
                     t = np.where(hit, sums[at], 0) if len(keys) else np.zeros(len(asked), np.int64)
-                    yield block, shard, 4, C.pack_uints(n), C.pack_uints(t), C.pack_array(np.stack([p[words] for p in probs])), C.pack_uints(np.concatenate([x[words] for x in held]))
+                    yield block, shard, 4, C.pack_uints(n), C.pack_uints(t), C.pack_uints(np.concatenate([x[words] for pair in root for x in pair])), C.pack_uints(np.concatenate([x[words] for x in held]))
 
         yield from C.emit(_ROWS, rows(), 256)
 
@@ -372,7 +380,8 @@ def _finish(states: list[State], keys: Keys, least: float):
             for _, b, rest in _gathered(batches, keys, least):
                 n = np.concatenate([C.unpack_uints(r[3]) for r in rest])
                 t = np.concatenate([C.unpack_uints(r[4]) for r in rest])
-                probs = np.concatenate([C.unpack_array(r[5], np.float64).reshape(len(states), -1) for r in rest], axis=1)
+                root = np.concatenate([C.unpack_uints(r[5]).reshape(2 * len(states), -1) for r in rest], axis=1)
+                probs = np.stack([s.root(root[2 * i], root[2 * i + 1]) for i, s in enumerate(states)])
                 held = np.concatenate([C.unpack_uints(r[6]).reshape(len(states), -1) for r in rest], axis=1)
                 known = b.count > 0
                 for i, s in enumerate(states):
@@ -396,17 +405,18 @@ def _finish(states: list[State], keys: Keys, least: float):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, *, contexts: int | None = None, sweeps: int = 3, kept: int = 2, block_chars: int = 12_000_000, seed: int = 5) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, contexts: int | None = None, sweeps: int = 3, kept: int = 2, block_chars: int = 12_000_000, shard_bytes: int = 16 << 20, seed: int = 5) -> DataFrame:
     """Score every whole text; learns from rows where ``held_out`` (over ``doc_id``) is not true.
 
-    With ``contexts``, only words of at least ``1 / contexts`` of the training tokens get a restaurant.
+    With ``contexts``, only words of at least ``1 / contexts`` of the training tokens get a restaurant. Words are dealt
+    over a shard for each ``shard_bytes`` of text, at most the session's shuffle partitions.
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
     if not 0 < kept <= sweeps:
         raise ValueError("kept samples are at most the sweeps")
     spark = docs.sparkSession
-    shards = min(C.width(spark), 4096)
     wide = C.width(spark)
     three = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    shards = min(wide, 1 + (three.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes)
     blocks = C.table(three.mapInArrow(_blocks(shards, block_chars), _KINDS), "lm-blocks")
     counted = C.table(blocks.where("kind = 1").repartitionById(shards, F.col("shard")).mapInArrow(_count(), _KINDS), "lm-counts")
     sums, width = np.zeros(4, np.int64), 1
@@ -421,24 +431,31 @@ def score(docs: DataFrame, held_out: Column, *, contexts: int | None = None, swe
     meet = heads.unionByName(answers).repartition(wide, "block").sortWithinPartitions("block", "kind", "shard")
     messages = C.table(meet.mapInArrow(_pairs(keys, least), _KINDS), "lm-pairs")
     inputs = messages.select("shard", "kind", "a", "b").unionByName(counted.where("kind = 2").select("shard", "kind", "a", "b"))
-    seating = C.table(inputs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(keys), _SEAT_COLUMNS), "lm-seating")
+    start = C.table(inputs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(keys), _SEAT_COLUMNS), "lm-start")
+    pairs_of = start.where("kind = 3")
 
     def summed(seats: DataFrame) -> DataFrame:
         return C.table(seats.where("kind = 7").repartitionById(shards, F.col("shard")).mapInArrow(_sum_contexts(), _SEAT_COLUMNS), "lm-sums")
 
-    tables = summed(seating)
+    tables = summed(start)
     counts = np.zeros(4, np.int64)
-    for r in seating.where("kind = 6").select("c").collect():  # four numbers a shard
+    for r in start.where("kind = 6").select("c").collect():  # four numbers a shard
         counts += np.frombuffer(bytes(r["c"]), np.int64)
     customers, pairs, ones_of_pairs, twos_of_pairs = counts.tolist()
     state = State(n, v, _discount(ones, twos), _discount(ones_of_pairs, twos_of_pairs))
     state.root_customers, state.root_tables = float(n - customers + pairs), float(v)
-    states, samples = [], []
+    states, samples, seating = [], [pairs_of.select(F.lit(-sweeps - 1).cast("long").alias("block"), "shard", "kind", "a", "b", "c", "d", "e")], None
     for sweep in range(sweeps):
-        both = seating.where("kind = 5").unionByName(tables.where("kind = 8"))
+        both = pairs_of.unionByName(tables.where("kind = 8"))
+        if seating is not None:
+            both = both.unionByName(seating.where("kind = 5"))
         seats = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "sender")
-        seating = C.table(seats.mapInArrow(_sweep(state, seed, sweep, keys), _SEAT_COLUMNS), "lm-seating")
+        last, seating = (seating, tables), C.table(seats.mapInArrow(_sweep(state, seed, sweep, keys), _SEAT_COLUMNS), "lm-seating")
         tables = summed(seating)
+        if sweep <= sweeps - kept:  # no kept sample reads what came before this sweep
+            for old in last:
+                if old is not None:
+                    C.drop(old)
         now = State(n, v, state.d0, state.d)
         root = np.zeros(2, np.int64)
         for r in seating.where("kind = 6").select("c").collect():
@@ -452,12 +469,8 @@ def score(docs: DataFrame, held_out: Column, *, contexts: int | None = None, swe
     asked = messages.withColumn("e", F.lit(None).cast("binary"))
     for s in samples:
         asked = asked.unionByName(s)
-    # Negative block numbers put a shard's seatings, in sample order, before the blocks that ask.
-    replies = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block", "kind").mapInArrow(_answer(states, keys), _KINDS)
+    # Negative block numbers put a shard's pairs and seatings, in sample order, before the blocks that ask.
+    replies = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block", "kind").mapInArrow(_answer(keys), _KINDS)
     final = heads.unionByName(answers).unionByName(replies).repartition(wide, "block").sortWithinPartitions("block", "kind", "shard")
     out = final.mapInArrow(_finish(states, keys, least), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
-
-
-def perplexity(log10: float, tokens: int) -> float:
-    return math.pow(10, -log10 / tokens)
