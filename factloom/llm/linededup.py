@@ -11,8 +11,9 @@ MD5 of its UTF-8. A line counts once a document, however often it occurs there.
 All of it is DataFrame work: partial aggregates before each shuffle take frequent lines, joins meet on digests, and
 documents are rebuilt from the list of line numbers that they lose.
 
-Defined results: null and empty texts are one empty line; rows count as documents of their own, rows with a null id
-count as id null, the smallest; a line's every occurrence in its keeper stays; other columns are ignored.
+Defined results: null and empty texts are one empty line; rows count as documents of their own, also those that repeat
+an id or a whole row, and all rows of the keeper's id keep the line; rows with a null id count as id null, the
+smallest; a line's every occurrence in its keeper stays; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +31,20 @@ def _key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, C.ASCII_UPPER, C.ASCII_LOWER))
 
 
+def _mark(text: Column) -> Column:
+    """Tells rows of one id apart by their text; rows equal in both lose the same lines."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
 def keyed(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``row, doc_id, n_lines, digests``: digests of the long lines with their numbers, an array a row."""
+    """``doc_id, mark, digests``: digests of the long lines with their numbers, an array a row."""
     long = F.filter(F.transform(lines_of(F.col("text")), lambda line, i: F.struct(i.alias("i"), _key(line).alias("key"))), lambda p: F.char_length(p["key"]) >= min_chars)
     digests = F.transform(long, lambda p: F.struct(p["i"].alias("i"), F.unhex(F.md5(p["key"])).alias("d")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digests.alias("digests"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), digests.alias("digests"))
 
 
 class LineRuns:
@@ -69,7 +75,8 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Anti-join the lines of a batch (``doc_id, digests``) with the runs, add a run, compact full levels."""
-        each = batch.select("doc_id", F.explode(F.array_distinct(F.transform("digests", lambda p: p["d"]))).alias("d"))
+        # Strings, as distinct binary values are found in quadratic time.
+        each = batch.select("doc_id", F.explode(F.array_distinct(F.transform("digests", lambda p: F.hex(p["d"])))).alias("d")).withColumn("d", F.unhex("d"))
         counted = self._write(each.groupBy("d").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
         held = [p for level in self.levels for p in level]
         if held:
@@ -123,17 +130,33 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int =
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
-    hot = C.table(runs.repeated(min_docs).select("d", "last_doc"), "line-repeated")
-    lost = lines.select("doc_id", F.inline("digests")).join(hot.hint("merge"), "d").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "i").distinct()
-    lists = C.table(lost.groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("gone")), "line-lost")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hot = C.table(runs.repeated(min_docs), "line-repeated")
+    own = F.col("doc_id").eqNullSafe(F.col("last_doc"))
+    entries = lines.select("doc_id", "mark", F.inline("digests"))
+    # Digests of more than a 1 / (2 * partitions) share of all entries number at most twice the partitions: a bounded
+    # broadcast, so that no task of the merge join holds the rows of a very frequent line.
+    wide = C.width(spark)
+    total = runs.merged().agg(F.sum("n_docs")).first()[0] or 0
+    often = F.col("n_docs") > total / (2 * wide)
+    very = F.broadcast(hot.where(often).select(F.col("d").alias("of"), "last_doc"))
+    rest = entries.join(very.select("of"), F.col("d") == F.col("of"), "left_anti").join(hot.where(~often).select("d", "last_doc").hint("merge"), "d")
+    lost = entries.join(very, F.col("d") == F.col("of")).select("doc_id", "mark", "i", "last_doc").unionByName(rest.select("doc_id", "mark", "i", "last_doc")).where(~own)
+    lists = C.table(lost.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("i")).alias("gone")), "line-lost")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark(F.col("text")).alias("mark"))
     # Merge joins at every size: short lists compress so well that a file's size says little of its rows.
-    met = some.join(lists.hint("merge"), some.doc_id.eqNullSafe(lists.doc_id), "left").select(some.doc_id, "text", "gone")
-    split = met.withColumn("lines", lines_of(F.col("text")))
-    stay = F.filter("lines", lambda line, i: ~F.array_contains("gone", i))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n"))
-    dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size(stay))
-    return split.select("doc_id", F.size("lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept"))
+    met = some.join(lists.hint("merge"), some.doc_id.eqNullSafe(lists.doc_id) & (some.mark == lists.mark), "left").select(some.doc_id, "text", "gone")
+    # The lines are bound once; a set difference of line numbers keeps the work in proportion to their number.
+    bound = F.transform(
+        F.array(lines_of(F.col("text"))),
+        lambda own: F.struct(
+            F.size(own).alias("n"),
+            F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone")), lambda i: F.get(own, i)), "\n").alias("kept"),
+        ),
+    )[0]
+    n_lines = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
+    done = met.withColumn("done", F.when(F.col("gone").isNotNull(), bound))
+    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.col("done.kept"))
+    return done.select("doc_id", F.coalesce(F.col("done.n"), n_lines, F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 ORACLE = r"""
