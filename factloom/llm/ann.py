@@ -5,23 +5,30 @@ sample (``sample`` vectors, the first by a seeded digest) by alternating steps o
 ``|r|^2 + (eta - 1) * (r . x)^2`` of the residual ``r = x - code(x)``: error parallel to the vector, which changes
 large inner products most, counts ``eta`` times. Codes are chosen by coordinate descent on that loss.
 
-Index: every row is encoded in one pass, two four-bit codes a byte, kept with its vector. Search: queries are taken in
-blocks of ``query_block``, a bounded broadcast; every index partition builds each query's tables of 16 inner products a
-subspace, scans the codes of ``row_block`` rows at a time, keeps the best ``rerank`` of each query, scores them exactly
-in double precision on the original vectors and passes on its ``k`` best; a window joins the partitions' lists.
-Every row is scanned, so no cell is hot, and a frequent vector is a row like any other.
-
-Defined results: vectors that are null, zero or hold a null, NaN or infinite component, or whose length is not the most
-frequent one of the sample, and rows with a null id, take no part; ids that repeat count as rows of their own, a query
-never meets rows of its own id; ties go to the smaller id; with fewer candidates than ``k`` all are returned.
+Index: every row is encoded in one pass, two four-bit codes a byte, kept with its vector in the files of a written table.
+Search: tasks write the queries to the shared folder in files of at most ``query_block``; pairs of a query file and a
+group of index files are rows, dealt over tasks that read both. A task builds each query's tables of 16 inner products a
+subspace, scans the codes of ``row_block`` rows at a time, keeps the best ``rerank`` of each query (equal estimates:
+the smaller ids), scores them exactly in double precision on the original vectors and passes on its ``k`` best; a window
+joins the groups' lists. Every row is scanned, so no cell is hot, and a frequent vector is a row like any other.
+
+Defined results: vectors that are null, zero or hold a null, NaN or infinite component, or whose length is not the
+commonest one of the table's usable vectors (the longer of equally common ones), and rows with a null id, take no part;
+ids that repeat count as rows of their own, a query never meets rows of its own id; ties go to the smaller id; with fewer
+candidates than ``k`` all are returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +115,9 @@ def tables(book: Codebook, queries: np.ndarray) -> np.ndarray:
     return (lut[0::2, None, :, :] + lut[1::2, :, None, :]).reshape(len(lut) // 2, 256, -1).astype(np.float32)
 
 
-def usable(vector: Column, dims: int) -> Column:
+def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return vector.isNotNull() & (F.size(vector) == dims) & finite & F.exists(vector, lambda v: v != 0)
+    return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
 _CODED = pa.schema([("vec_id", pa.int64()), ("codes", pa.binary()), ("vector", pa.binary())])
@@ -144,39 +151,102 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(book: Codebook, block: list[tuple[int, list[float]]], k: int, rerank: int, row_block: int):
+def chosen(near: np.ndarray, take: int) -> np.ndarray:
+    """Mask of the ``take`` largest values of every column, equal ones by smaller row."""
+    if take >= len(near):
+        return np.ones(near.shape, bool)
+    cut = np.partition(near, len(near) - take, axis=0)[len(near) - take]
+    above, level = near > cut, near == cut
+    return above | (level & (np.cumsum(level, axis=0) <= take - above.sum(axis=0)))
+
+
+_FILES = pa.schema([("part", pa.int32()), ("queries", pa.string())])
+
+
+def _store(folder: str, dims: int, query_block: int):
+    """Writes a partition's queries as files of at most ``query_block``, under names of this attempt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids = np.array([q for q, _ in block], np.int64)
-        queries = unit_rows(np.array([v for _, v in block], np.float64))
-        found_ids = [np.empty(0, np.int64)] * len(block)
-        found = [np.empty(0)] * len(block)
-
-        def scan(ids: np.ndarray, codes: np.ndarray, x: np.ndarray) -> None:
-            unit = unit_rows(x)
-            for low in range(0, len(query_ids), 128):
-                some = slice(low, low + 128)
-                tab = tables(book, queries[some].astype(np.float32))
-                near = np.zeros((len(ids), tab.shape[2]), np.float32)
-                for b in range(tab.shape[0]):
-                    near += tab[b][codes[:, b]]
-                near[ids[:, None] == query_ids[None, some]] = -np.inf
-                take = min(rerank, len(ids))
-                top = np.argpartition(-near, take - 1, axis=0)[:take]
-                for j in range(tab.shape[2]):
-                    q, rows = low + j, top[:, j]
-                    rows = rows[ids[rows] != query_ids[q]]
-                    all_ids = np.concatenate([found_ids[q], ids[rows]])
-                    scores = np.concatenate([found[q], unit[rows] @ queries[q]])
-                    best = best_of(all_ids, scores, k)
-                    found_ids[q], found[q] = all_ids[best], scores[best]
+        part = TaskContext.get().partitionId()
+        kind = np.dtype([("id", "<i8"), ("vector", "<f8", (dims,))])
+
+        def file(rows: list[tuple]) -> tuple:
+            uri, buffer = f"{folder}/{uuid.uuid4().hex}.npy", io.BytesIO()
+            np.save(buffer, np.array(rows, kind))
+            fs, path = pafs.FileSystem.from_uri(uri)
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(path) as out:
+                out.write(buffer.getvalue())
+            return part, uri
+
+        def files() -> Iterator[tuple]:
+            held: list[tuple] = []
+            for row in C.rows_of(batches, ["vec_id", "embedding"]):
+                held.append(row)
+                if len(held) == query_block:
+                    yield file(held)
+                    held = []
+            if held:
+                yield file(held)
+
+        yield from C.emit(_FILES, files())
 
-        for batch in batches:
-            for low in range(0, batch.num_rows, row_block):
-                part = batch.slice(low, row_block)
-                codes = np.stack([np.frombuffer(c, np.uint8) for c in part.column("codes").to_pylist()])
-                x = np.stack([np.frombuffer(v, np.float64) for v in part.column("vector").to_pylist()])
-                scan(part.column("vec_id").to_numpy(zero_copy_only=False), codes, x)
-        yield from C.emit(_NEAR, ((int(q), int(i), float(s)) for q, ids, scores in zip(query_ids, found_ids, found, strict=True) for i, s in zip(ids, scores, strict=True)))
+    return run
+
+
+class _Found:
+    """The k best rows of each query of a file so far."""
+
+    def __init__(self, book: Codebook, uri: str, k: int, rerank: int):
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_stream(path) as f:
+            rows = np.load(io.BytesIO(f.read()))
+        self.query_ids, self.queries = rows["id"], unit_rows(rows["vector"])
+        self.book, self.k, self.rerank = book, k, rerank
+        self.ids = [np.empty(0, np.int64)] * len(rows)
+        self.scores = [np.empty(0)] * len(rows)
+
+    def scan(self, ids: np.ndarray, codes: np.ndarray, x: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, codes, unit = ids[order], codes[order], unit_rows(x[order])
+        for low in range(0, len(self.query_ids), 128):
+            some = slice(low, low + 128)
+            tab = tables(self.book, self.queries[some].astype(np.float32))
+            near = np.zeros((len(ids), tab.shape[2]), np.float32)
+            for b in range(tab.shape[0]):
+                near += tab[b][codes[:, b]]
+            near[ids[:, None] == self.query_ids[None, some]] = -np.inf
+            keep = chosen(near, self.rerank)
+            for q in range(low, low + tab.shape[2]):
+                rows = np.flatnonzero(keep[:, q - low])
+                rows = rows[ids[rows] != self.query_ids[q]]
+                # Summed along the row, so that equal vectors have equal scores wherever they stand.
+                exact = (unit[rows] * self.queries[q]).sum(axis=1)
+                all_ids, scores = np.concatenate([self.ids[q], ids[rows]]), np.concatenate([self.scores[q], exact])
+                best = best_of(all_ids, scores, self.k)
+                self.ids[q], self.scores[q] = all_ids[best], scores[best]
+
+    def rows(self) -> Iterator[tuple]:
+        for q, ids, scores in zip(self.query_ids.tolist(), self.ids, self.scores, strict=True):
+            for i, s in zip(ids.tolist(), scores.tolist(), strict=True):
+                yield q, i, s
+
+
+def _search(book: Codebook, k: int, rerank: int, row_block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for uri, files in C.rows_of(batches, ["queries", "files"]):
+                found = _Found(book, uri, k, rerank)
+                for name in files:
+                    fs, path = pafs.FileSystem.from_uri(name)
+                    with fs.open_input_file(path) as f:
+                        for part in pq.ParquetFile(f).iter_batches(row_block, columns=["vec_id", "codes", "vector"]):
+                            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                            x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(part.num_rows, -1)
+                            found.scan(part.column("vec_id").to_numpy(zero_copy_only=False), codes, x)
+                yield from found.rows()
+
+        yield from C.emit(_NEAR, rows())
 
     return run
 
@@ -187,27 +257,26 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, sub: int = 2, e
     ``sample`` bounds the rows that fit the codebooks; all rows are indexed. ``rerank`` rows of every ``row_block``
     are scored exactly for each query."""
     spark = vectors.sparkSession
-    two = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
-    first = two.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "vec_id")), "vec_id").limit(sample).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = [len(r["embedding"]) for r in first if r["embedding"]]
-    if not sizes:
-        return empty
-    dims = max(sorted(set(sizes)), key=sizes.count)
-    fit_on = [r["embedding"] for r in first if r["embedding"] and len(r["embedding"]) == dims and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
-    if not fit_on:
-        return empty
-    book = Codebook(dims, sub, eta).fit(unit_rows(np.array(fit_on, np.float64)).astype(np.float32), seed)
-    good = two.where(usable(F.col("embedding"), dims))
+    wide = C.width(spark)
+    two = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").where(usable(F.col("embedding")))
+    sizes = two.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    if sizes is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims = sizes["dims"]
+    good = two.where(F.size("embedding") == dims)
+    first = good.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "vec_id")), "vec_id").limit(sample).collect()
+    book = Codebook(dims, sub, eta).fit(unit_rows(np.array([r["embedding"] for r in first], np.float64)).astype(np.float32), seed)
     index = C.table(good.mapInArrow(_encode(book), "vec_id long, codes binary, vector binary"), "ann-index")
-    asked = C.table(good.where(is_query).repartition(1 + good.where(is_query).count() // query_block).select("vec_id", "embedding", F.spark_partition_id().alias("part")), "ann-queries")
-    parts = None
-    for r in asked.select("part").distinct().orderBy("part").collect():
-        block = [(q["vec_id"], list(q["embedding"])) for q in asked.where(F.col("part") == r["part"]).orderBy("vec_id").collect()]
-        for low in range(0, len(block), query_block):
-            near = index.mapInArrow(_search(book, block[low : low + query_block], k, rerank, row_block), "query_id long, vec_id long, score double")
-            parts = near if parts is None else parts.unionByName(near)
-    if parts is None:
-        return empty
+    asked = good.where(is_query)
+    parts = max(1, -(-asked.count() // query_block))
+    folder = C.scratch_path(spark, "ann-queries")
+    if "://" not in folder and not folder.startswith("file:"):
+        folder = "file://" + folder
+    stored = C.table(asked.repartition(parts).mapInArrow(_store(folder, dims, query_block), "part int, queries string"), "ann-query-files")
+    # Enough groups of index files that the tasks fill the cluster however few the query files are.
+    groups = -(-2 * wide // parts)
+    files = index.select(F.input_file_name().alias("file")).distinct().groupBy(F.pmod(F.xxhash64("file"), F.lit(groups)).alias("group")).agg(F.array_sort(F.collect_list("file")).alias("files"))
+    pairs = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(stored, "part").select("queries", "files")
+    near = pairs.repartition(min(parts * groups, 4 * wide)).mapInArrow(_search(book, k, rerank, row_block), "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
