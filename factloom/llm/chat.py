@@ -4,28 +4,32 @@ States: each role as a turn's first line or a later one. A line's features are t
 (``marker_of``), whether it ends in a question mark, its length class and whether it is blank; given the state they count
 as independent. Start, transition and feature tables are counted from transcripts whose roles are known (a partial
 aggregate; the tables' size is fixed), with one added to each count. Viterbi finds the likeliest states of a
-transcript; a first-line state opens a turn. Canonical form: ``<|im_start|>role``, the turn's lines without
-markers, ``<|im_end|>``.
+conversation; a first-line state opens a turn. Canonical form: ``<|im_start|>role``, the turn's lines, ``<|im_end|>``.
+A marker goes only from a first line whose state has the role that the marker names; any other stays text. The two
+tokens inside a text get a backslash (``escaped``; ``turns_from`` reads turns back), so no text forges a turn.
 
 ``transcripts_of`` writes conversations (``conv_id, turn, role, text``) as raw transcripts in one of four marker styles,
-some markers left out, the roles kept beside the lines to learn from or to compare with. A transcript
-is a segment of at most ``segment`` turn numbers of a conversation, and more than four times as many distinct rows in it
-make several transcripts, so no group is unbounded; repeated rows count once.
+some markers left out, the roles kept beside the lines to learn from or to compare with. Rows are range-partitioned and
+sorted, and runs of a conversation are cut in segments of at most ``segment`` turns, so no conversation is gathered,
+however long. Segments of one conversation are decoded together: each gives its best scores from any first to any last
+state (36 numbers), a pass over these finds the states at the cuts, and each segment is decoded between
+them: the path is that of the whole conversation. Rendered pieces in order of ``segment`` make up the conversation.
 
 Defined results: null texts are empty lines; null roles, and roles that are none of the three, are written as user;
-a null turn sorts first, a null conv_id is a conversation; an empty transcript has no turns; ties in turn go
-by role and text; other columns are ignored.
+a null turn sorts first, a null conv_id is a conversation; an empty transcript is one empty line, a null one has no turns;
+ties in turn go by role, the text's first 32 characters and its hash; repeated rows count once; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,71 +82,139 @@ class Hmm:
                     self.step[a, 2 * r + 1] = -np.inf
         self.tables = (logs(marker), logs(end), logs(length))
 
-    def viterbi(self, seen: list[tuple[int, int, int]]) -> list[int]:
+    def scores(self, seen: list[tuple[int, int, int]]) -> np.ndarray:
+        """Log probability of each line's features in each state."""
+        obs = np.array(seen)
+        return sum(t[:, obs[:, i]] for i, t in enumerate(self.tables)).T
+
+    def viterbi(self, seen: list[tuple[int, int, int]], first: int | None = None, last: int | None = None) -> list[int]:
+        """The likeliest states; with ``first`` and ``last``, among those that begin and end so."""
         if not seen:
             return []
-        obs = np.array(seen)
-        score = sum(t[:, obs[:, i]] for i, t in enumerate(self.tables)).T
+        score = self.scores(seen)
         back = np.empty((len(seen), 6), np.int64)
         now = self.start + score[0]
+        if first is not None:
+            now = np.where(np.arange(6) == first, score[0], -np.inf)
         for i in range(1, len(seen)):
             paths = now[:, None] + self.step
             back[i] = paths.argmax(axis=0)
             now = paths[back[i], np.arange(6)] + score[i]
-        states = [int(now.argmax())]
+        states = [int(now.argmax()) if last is None else last]
         for i in range(len(seen) - 1, 0, -1):
             states.append(int(back[i][states[-1]]))
         return states[::-1]
 
+    def transfer(self, seen: list[tuple[int, int, int]]) -> np.ndarray:
+        """Best score of a path from each first state to each last state."""
+        score = self.scores(seen)
+        now = np.where(np.eye(6, dtype=bool), score[0], -np.inf)
+        for row in score[1:]:
+            now = (now[:, :, None] + self.step).max(axis=1) + row
+        return now
+
+    def cuts(self, transfers: list[np.ndarray]) -> list[tuple[int, int]]:
+        """First and last state of each segment on the best path through all of them."""
+        now, steps = self.start[:, None] + transfers[0], []
+        ends = now.max(axis=0)
+        steps.append((None, now.argmax(axis=0)))
+        for t in transfers[1:]:
+            into = ends[:, None] + self.step
+            whole = into.max(axis=0)[:, None] + t
+            steps.append((into.argmax(axis=0), whole.argmax(axis=0)))
+            ends = whole.max(axis=0)
+        last, out = int(ends.argmax()), []
+        for into, first_of in reversed(steps):
+            first = int(first_of[last])
+            out.append((first, last))
+            last = int(into[first]) if into is not None else last
+        return out[::-1]
+
 
 def turns_of(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
+    """Turns of a transcript or a piece of one; a piece may begin with the rest of a turn."""
     turns: list[tuple[str, list[str]]] = []
     for line, s in zip(lines, states, strict=True):
         if s % 2 == 0:
-            turns.append((ROLES[s // 2], [marker_of(line)[1]]))
-        else:
+            kind, rest = marker_of(line)
+            turns.append((ROLES[s // 2], [rest if kind == s // 2 + 1 else line]))
+        elif turns:
             turns[-1][1].append(line)
+        else:
+            turns.append((ROLES[s // 2], [line]))
     return [(role, "\n".join(own)) for role, own in turns]
 
 
-def canonical(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in turns)
+_TOKEN = regex.compile(r"<(\\*)\|im_(start|end)\|>")
+_ESCAPED = regex.compile(r"<\\(\\*)\|im_(start|end)\|>")
+_TURN = regex.compile(r"<\|im_start\|>(\w+)\n(.*?)<\|im_end\|>\n", regex.DOTALL)
+
+
+def escaped(text: str) -> str:
+    return _TOKEN.sub(r"<\1\\|im_\2|>", text)
+
+
+def canonical(turns: list[tuple[str, str]], *, goes_on: bool = False, ends: bool = True) -> str:
+    """Canonical form; a piece may go on with the turn before it or leave its last turn open."""
+    out = []
+    for i, (role, text) in enumerate(turns):
+        out.append(("\n" if goes_on and i == 0 else f"<|im_start|>{role}\n") + escaped(text) + ("<|im_end|>\n" if ends or i < len(turns) - 1 else ""))
+    return "".join(out)
+
+
+def turns_from(rendered: str) -> list[tuple[str, str]]:
+    """Role and text of every turn of a canonical form."""
+    return [(role, _ESCAPED.sub(r"<\1|im_\2|>", text)) for role, text in _TURN.findall(rendered)]
 
 
 def _crc(*parts) -> int:
     return zlib.crc32(":".join(map(str, parts)).encode())
 
 
-def _raw(conv, segment: int, turns: list[dict]) -> tuple[str, list[int]]:
+def _raw(conv, turns: list[tuple]) -> tuple[str, list[int]]:
     style = STYLES[_crc(conv) % len(STYLES)]
     lines, states = [], []
-    for at, t in enumerate(turns):
-        role = t["role"] if t["role"] in ROLES else "user"
-        marked = at == 0 or _crc(conv, segment, at) % 6 != 0
-        for i, line in enumerate((t["text"] or "").split("\n")):
+    for turn, role, text in turns:
+        marked = not turn or _crc(conv, turn, role, text) % 6 != 0
+        role = role if role in ROLES else "user"
+        for i, line in enumerate((text or "").split("\n")):
             lines.append((style[role] if marked and i == 0 else "") + line)
             states.append(2 * ROLES.index(role) + (i > 0))
     return "\n".join(lines), states
 
 
-_RAW = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("raw", pa.string()), ("states", pa.list_(pa.int32()))])
+_RAW = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("raw", pa.string()), ("states", pa.list_(pa.int32()))])
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from C.emit(_RAW, ((conv, seg, *_raw(conv, seg, turns)) for conv, seg, turns in C.rows_of(batches, ["conv_id", "segment", "turns"])), 256)
+def _write(segment: int, segment_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+
+        def rows() -> Iterator[tuple]:
+            number = place
+            for (conv,), group in C.groups_of(C.rows_of(batches, ["conv_id", "turn", "role", "text"]), 1):
+                held, chars = [], 0
+                for _, turn, role, text in group:
+                    if held and (len(held) == segment or chars + len(text or "") > segment_chars):
+                        yield conv, number, *_raw(conv, held)
+                        number, held, chars = number + 1, [], 0
+                    held.append((turn, role, text))
+                    chars += len(text or "")
+                yield conv, number, *_raw(conv, held)
+                number += 1
+
+        yield from C.emit(_RAW, rows(), 256)
+
+    return run
 
 
-def transcripts_of(conversations: DataFrame, segment: int = 128) -> DataFrame:
-    """``conv_id, segment, raw, states``: raw transcripts with the true state of each line."""
+def transcripts_of(conversations: DataFrame, segment: int = 128, segment_chars: int = 4_000_000) -> DataFrame:
+    """``conv_id, place, raw, states``: raw transcripts, cut in segments that ``place`` orders, with each line's true state."""
     some = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
-    cut = some.withColumn("segment", F.floor(F.coalesce("turn", F.lit(0)) / segment))
-    # Turn numbers that very many distinct rows share are dealt over several transcripts; most tables have none.
-    crowded = cut.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).where(F.col("n") > 4 * segment)
-    same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment"))
-    part = F.coalesce(F.pmod(F.xxhash64("a.role", "a.text"), F.ceil(F.col("b.n") / (4 * segment))), F.lit(0))
-    cut = cut.alias("a").join(crowded.alias("b"), same, "left").select("a.*", part.alias("part"))
-    grouped = cut.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return grouped.mapInArrow(_write, "conv_id long, segment long, raw string, states array<int>")
+    order = ["conv_id", "turn", "role", "head", "tail"]
+    keyed = some.withColumn("head", F.substring("text", 1, 32)).withColumn("tail", F.xxhash64("text"))
+    spread = keyed.repartitionByRange(C.width(conversations.sparkSession), *order).sortWithinPartitions(*order)
+    return spread.mapInArrow(_write(segment, segment_chars), "conv_id long, place long, raw string, states array<int>")
 
 
 _COUNTS = pa.schema([("kind", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
@@ -172,17 +244,57 @@ def train(transcripts: DataFrame) -> Hmm:
     return Hmm(*(t.reshape(s) for t, s in zip(tables, shapes, strict=True)))
 
 
+_TRANSFERS = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("scores", pa.binary())])
+_CUTS = pa.schema([("at", pa.int64()), ("segment", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("ends", pa.bool_())])
+
+
+def _transfer(model: Hmm):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = C.rows_of(batches, ["conv_id", "place", "raw"])
+        yield from C.emit(_TRANSFERS, ((conv, place, model.transfer([features(x) for x in raw.split("\n")]).tobytes()) for conv, place, raw in rows))
+
+    return run
+
+
+def _cut(model: Hmm):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for _, group in C.groups_of(C.rows_of(batches, ["conv_id", "place", "scores"]), 1):
+                places, transfers = [], []
+                for _, place, scores in group:
+                    places.append(place)
+                    transfers.append(np.frombuffer(scores).reshape(6, 6))
+                found = model.cuts(transfers)
+                for i, (place, (first, last)) in enumerate(zip(places, found, strict=True)):
+                    yield place, i, first, last, i + 1 == len(found) or found[i + 1][0] % 2 == 0
+
+        yield from C.emit(_CUTS, rows())
+
+    return run
+
+
+def cut_states(transcripts: DataFrame, model: Hmm) -> DataFrame:
+    """``at, segment, first, last, ends`` for each segment of a conversation of several: its number, the states of its first and
+    last line, and whether its last turn ends there. A task holds 288 bytes a segment of its conversations."""
+    many = transcripts.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("of"))
+    split = transcripts.where("raw is not null").join(many, F.col("conv_id").eqNullSafe(F.col("of")), "left_semi")
+    scored = split.mapInArrow(_transfer(model), "conv_id long, place long, scores binary")
+    dealt = scored.repartition(C.width(transcripts.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")
+    return dealt.mapInArrow(_cut(model), "at long, segment long, first int, last int, ends boolean")
+
+
 def _parse(model: Hmm):
-    schema = pa.schema([*list(_RAW)[:2], ("n_lines", pa.int64()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("rendered", pa.string()), ("n_right", pa.int64())])
+    schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("n_lines", pa.int64()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("rendered", pa.string()), ("n_right", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for conv, seg, raw, truth in C.rows_of(batches, ["conv_id", "segment", "raw", "states"]):
-                lines = raw.split("\n") if raw else []
-                states = model.viterbi([features(x) for x in lines])
+            for conv, segment, first, last, ends, raw, truth in C.rows_of(batches, ["conv_id", "segment", "first", "last", "ends", "raw", "states"]):
+                lines = [] if raw is None else raw.split("\n")
+                states = model.viterbi([features(x) for x in lines], first, last)
                 turns = turns_of(lines, states)
+                goes_on = bool(states) and states[0] % 2 == 1
                 right = sum(a // 2 == b // 2 for a, b in zip(states, truth or [], strict=False))
-                yield conv, seg, len(lines), [r for r, _ in turns], [t for _, t in turns], canonical(turns), right
+                yield conv, segment or 0, len(lines), [r for r, _ in turns], [t for _, t in turns], canonical(turns, goes_on=goes_on, ends=ends is not False), right
 
         yield from C.emit(schema, rows(), 256)
 
@@ -190,15 +302,14 @@ def _parse(model: Hmm):
 
 
 def parse(transcripts: DataFrame, model: Hmm) -> DataFrame:
-    """``conv_id, segment, n_lines, roles, texts, rendered, n_right`` (lines whose role is the known one)."""
-    return transcripts.mapInArrow(_parse(model), "conv_id long, segment long, n_lines long, roles array<string>, texts array<string>, rendered string, n_right long")
+    """``conv_id, segment, n_lines, roles, texts, rendered, n_right`` (lines whose role is the known one) for each segment."""
+    cuts = C.table(cut_states(transcripts, model), "chat-cuts")
+    met = transcripts.join(cuts, F.col("place") == F.col("at"), "left").select("conv_id", "segment", "first", "last", "ends", "raw", "states")
+    return met.mapInArrow(_parse(model), "conv_id long, segment long, n_lines long, roles array<string>, texts array<string>, rendered string, n_right long")
 
 
 def format_chats(conversations: DataFrame, learn: Column, *, segment: int = 128) -> DataFrame:
-    """Write raw transcripts of ``conversations``, learn from those where ``learn`` (over ``conv_id``) holds, parse all."""
+    """Write raw transcripts of ``conversations``, learn from those where ``learn`` (over ``conv_id``) holds, parse all;
+    ``held_out`` tells the others."""
     raw = C.table(transcripts_of(conversations, segment), "chat-raw")
-    return parse(raw, train(raw.where(learn)))
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return parse(raw, train(raw.where(learn))).withColumn("held_out", ~F.coalesce(learn, F.lit(False)))

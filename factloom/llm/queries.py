@@ -68,7 +68,7 @@ def op5_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats
 
     out = format_chats(_read(spark, sf_dir, "conversations"), F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(5)) != 0)
-    return out.select("conv_id", "segment", "n_lines", F.size("roles").alias("n_turns"), F.concat_ws(",", "roles").alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"), "n_right")
+    return out.select("conv_id", "segment", "n_lines", F.size("roles").alias("n_turns"), F.concat_ws(",", "roles").alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"), "held_out", "n_right")
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
