@@ -70,14 +70,16 @@ def groups(docs: DataFrame, *, keep: str = "min", prefix: int = 16) -> DataFrame
 
 
 def drop_duplicates(docs: DataFrame, *, keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay; of rows that repeat a kept identifier and text one stays."""
-    decided = groups(docs, keep=keep).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    tagged = docs.withColumn("_sha_own", F.sha2(normalised(F.col("text")), 256))
-    stays = tagged.join(decided, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha_own") == F.col("_sha")), "left_semi")
+    """The rows of ``docs`` (all columns, whatever their names) that stay; of rows that repeat a kept identifier and text one
+    stays. Null texts count as empty; of a group with null identifiers only one row stays; an empty table stays empty."""
+    of, digest, own = (C.fresh(n, docs.columns) for n in ("keep_of", "keep_digest", "own_digest"))
+    decided = groups(docs, keep=keep).where("kept").select(F.col("doc_id").alias(of), F.col("text_sha256").alias(digest)).distinct()
+    tagged = docs.withColumn(own, F.sha2(normalised(F.col("text")), 256))
+    stays = tagged.join(decided, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(digest)), "left_semi")
     again = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    if again.isEmpty():
-        return stays.drop("_sha_own")
-    return stays.dropDuplicates(["doc_id", "_sha_own"]).drop("_sha_own")
+    if not again.isEmpty():
+        stays = stays.dropDuplicates(["doc_id", own])
+    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """

@@ -310,11 +310,11 @@ def _score(model: Model):
     return run
 
 
-def _score_with(model: Model, columns: list[str], schema: pa.Schema):
+def _score_with(model: Model, names: list[str], text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array([model.score(terms_of(t))[0] for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*columns, "_toxic_score"])
+            score = pa.array([model.score(terms_of(t))[0] for t in batch.column(text).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=names)
 
     return run
 
@@ -326,8 +326,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` (all its columns) whose score is below the threshold."""
+    """Rows of ``docs`` (all its columns, whatever their names) whose score is below the threshold; null and empty texts
+    are scored like any other, and an empty table stays empty."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("_toxic_score", DoubleType())])
-    return docs.mapInArrow(_score_with(model, docs.columns, None), schema).where(F.col("_toxic_score") < threshold).drop("_toxic_score")
+    name = C.fresh("toxic_score", docs.columns)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    scored = docs.mapInArrow(_score_with(model, [*docs.columns, name], docs.columns.index("text")), schema)
+    return scored.where(F.col(name) < threshold).drop(name)
