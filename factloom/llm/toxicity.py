@@ -3,15 +3,15 @@
 Training (bounded, documented): at most ``max_examples`` labelled rows, the first by a seeded digest of the id; of near
 copies among them one stays, so that a group of copies has one voice: in order of ids an example goes if its word triples
 have a Jaccard of at least ``copy`` with a kept example of the same label (met by one of eight min-hashes, then counted).
-Terms are words (A-Z lower-cased, ASCII punctuation blanked) and their first 5 and 7 bytes; those whose document
-frequency differs between the labels (chi-square at least ``min_chi2``, at least ``min_df`` examples, at most
-``max_terms`` terms) weigh ``tf / words * ln(1 + n / df)``, and one coordinate holds the share of all other words
-times ``rest``, so that cosine also tells how dense the weighted terms are. Vectors have unit length. Examples
-without a weighted term are one point of the index, with their share of toxic labels and as many votes as are left.
+Terms are words (A-Z lower-cased, ASCII punctuation blanked) and their first 5 and 7 bytes. A term weighs
+``tf / words * ln(1 + n / df) * phi ** 2`` with ``phi`` the correlation of the term and the label over the examples: terms that
+tell nothing fade instead of being cut by a bar, so that the rule is the same at every number of examples. The
+``max_terms`` of largest correlation are kept, and one more coordinate of ``rest`` tells cosine how dense they are. Vectors
+have unit length.
 
-Index: postings per term over examples in blocks of ``block`` neighbours; each posting list also holds the
-largest weight of every block. A query adds its terms' block maxima, visits blocks in falling order of that bound
-and stops when the bound is below the k-th best cosine: the nearest examples are exact, most blocks are skipped.
+Index: a term's postings are impacts over examples in blocks of ``block`` neighbours, with the largest impact of every
+block. A query adds its terms' block maxima, visits blocks in falling order of that bound and stops when the bound is
+below the k-th best cosine; what is near enough is scored again in double precision: the nearest examples are exact.
 
 Votes weigh ``cosine ** 8``; with a weak prior vote they give a raw share, which a logistic curve fitted on
 leave-one-out votes of the examples turns into a calibrated score. Evidence: the nearest examples' ids.
@@ -19,9 +19,10 @@ leave-one-out votes of the examples turns into a calibrated score. Evidence: the
 The index is bounded by ``max_examples`` rows of ``max_terms`` terms, so it is shipped to the executors; every whole
 text is scored in one pass without a shuffle.
 
-Defined results: null and empty texts, and texts without a weighted term, get the score of examples without one and no
-evidence; labels of a repeated doc_id count by majority, a tie as toxic; rows with null ids are scored and are
-held out of learning; labels null are ignored; with no usable label every score is 0.
+Defined results: null and empty texts, and texts without a weighted term, get the share of toxic examples without one (of
+all examples if there is none) and no evidence; labels of a repeated doc_id count by majority, a tie as toxic, and of
+its rows the smallest text is learnt from; rows with null ids are scored and are held out of learning; labels null are
+ignored; with no usable label every score is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,109 +52,104 @@ def stems_of(word: bytes) -> list[bytes]:
 
 
 class _Memo(dict):
-    """Weighted terms of a word; remembers up to ``room`` words."""
+    """Numbers of a word's weighted terms; remembers up to ``room`` words."""
 
     room = 300_000
 
-    def __init__(self, idf):
+    def __init__(self, weights: dict[bytes, tuple[int, float]]):
         super().__init__()
-        self.idf = idf
+        self.weights = weights
 
-    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.room:
             self.clear()
-        found = self[word] = tuple(t for t in stems_of(word) if t in self.idf)
+        found = self[word] = tuple(self.weights[t][0] for t in stems_of(word) if t in self.weights)
         return found
 
 
 class Index:
-    """Block-max inverted index over unit TF-IDF vectors; exact top-k by cosine."""
+    """Block-max inverted index over unit vectors (``terms, weights`` arrays); exact top-k by cosine."""
 
-    def __init__(self, vectors: list[dict[int, float]], block: int = 64):
-        self.n, self.block = len(vectors), block
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = 64):
+        self.vectors, self.n, self.block = vectors, len(vectors), block
         self.blocks = (self.n + block - 1) // block
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((i, w))
-        self.ids, self.weights, self.maxima, self.cuts = {}, {}, {}, {}
-        for t, found in lists.items():
-            ids = np.array([i for i, _ in found], np.int64)
-            weights = np.array([w for _, w in found])
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, ids // block, weights)
-            self.ids[t], self.weights[t], self.maxima[t] = ids, weights, top
-            self.cuts[t] = np.searchsorted(ids, np.arange(self.blocks + 1) * block)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+        self.terms = 1 + max((int(t.max()) for t, _ in vectors if len(t)), default=-1)
+        self.impacts = np.zeros((self.terms, self.blocks, block), np.float32)
+        for i, (t, w) in enumerate(vectors):
+            self.impacts[t, i // block, i % block] = w
+        self.maxima = self.impacts.max(axis=2, initial=0)
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k largest cosines above 0, largest first, ties to the smaller number."""
-        use = [(t, w) for t, w in query.items() if t in self.ids]
-        if not use:
+        use = query[0] < self.terms
+        terms, weights = query[0][use], query[1][use].astype(np.float32)
+        if not len(terms) or not self.n:
             return []
-        bound = sum(w * self.maxima[t] for t, w in use)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, w in use:
-                i, j = self.cuts[t][b], self.cuts[t][b + 1]
-                if i < j:
-                    score[self.ids[t][i:j] - b * self.block] += w * self.weights[t][i:j]
-            at = np.flatnonzero(score > 0)
-            best += [(float(score[x]), b * self.block + int(x)) for x in at if b * self.block + int(x) != without]
-            best.sort(key=lambda p: (-p[0], p[1]))
-            del best[k:]
-        return best
+        bound = weights @ self.maxima[terms]
+        order = np.argsort(-bound, kind="stable")
+        seen, found, at, step, least = [], [], 0, 4, 0.0
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-5:
+            some = order[at : at + step]
+            near = np.einsum("t,tbi->bi", weights, self.impacts[np.ix_(terms, some)]).ravel()
+            seen.append((some[:, None] * self.block + np.arange(self.block)).ravel())
+            found.append(near)
+            at, step = at + step, 2 * step
+            whole = np.concatenate(found)
+            if len(whole) > k + 1:  # one of them may be ``without``
+                least = float(np.partition(whole, len(whole) - k - 1)[len(whole) - k - 1])
+        if not seen:
+            return []
+        whole, ids = np.concatenate(found), np.concatenate(seen)
+        close = ids[(whole > 0) & (whole >= least - 1e-5)]
+        full = np.zeros(self.terms)
+        full[terms] = query[1][use]
+        best = [(float(full[t] @ w), i) for i in close.tolist() if i != without and i < self.n for t, w in (self.vectors[i],)]
+        return sorted((p for p in best if p[0] > 0), key=lambda p: (-p[0], p[1]))[:k]
 
 
 class Model:
-    """What the executors get; bounded by the documented parameters.
+    """What the executors get; bounded by the documented parameters. Term 0 is the constant coordinate."""
 
-    Term 0 is the share of other words; example 0 stands for all examples without a weighted term."""
-
-    def __init__(self, idf: dict[bytes, tuple[int, float]], examples: list[tuple[dict[int, float], int, int]], prior: float, k: int, block: int, rest: float):
-        self.idf, self.prior, self.k, self.block, self.rest = idf, prior, k, block, rest
-        self.vectors = [{0: 1.0}, *(v for v, _, _ in examples)]
-        self.labels = [prior, *(float(y) for _, y, _ in examples)]
-        self.ids = [None, *(i for _, _, i in examples)]
+    def __init__(self, weights: dict[bytes, tuple[int, float]], examples: list[tuple[np.ndarray, np.ndarray, int, int]], prior: float, k: int, block: int, rest: float):
+        self.weights, self.prior, self.k, self.block, self.rest = weights, prior, k, block, rest
+        self.vectors = [(t, w) for t, w, _, _ in examples]
+        self.labels = [float(y) for _, _, y, _ in examples]
+        self.ids = [i for _, _, _, i in examples]
         self.curve = (1.0, 0.0)
         self._ready()
 
     def _ready(self) -> None:
-        self.index, self.memo = Index(self.vectors, self.block), _Memo(self.idf)
+        self.index, self.memo = Index(self.vectors, self.block), _Memo(self.weights)
+        self.factor = np.array([0.0, *(w for _, w in sorted(self.weights.values()))])
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "memo")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "memo", "factor")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._ready()
 
-    def vector(self, words: list[bytes]) -> dict[int, float]:
-        """Unit vector; empty without a weighted term."""
+    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector as terms and weights; empty without a weighted term."""
         memo = self.memo
-        hits = [found for w in words if (found := memo[w])]
+        hits = [t for w in words for t in memo[w]]
         if not hits:
-            return {}
-        tf = Counter(t for found in hits for t in found)
-        v = {self.idf[t][0]: n / len(words) * self.idf[t][1] for t, n in tf.items()}
-        v[0] = self.rest * (1 - len(hits) / len(words))
-        return unit(v)
+            return np.empty(0, np.int64), np.empty(0)
+        tf = np.bincount(hits, minlength=len(self.factor))
+        terms = np.flatnonzero(tf)
+        v = np.concatenate([[self.rest], tf[terms] * self.factor[terms] / len(words)])
+        return np.concatenate([[0], terms]), v / math.sqrt(float(v @ v))
 
-    def raw(self, query: dict[int, float], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
+    def raw(self, query: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
         found = self.index.nearest(query, self.k, without)
-        votes, weight, left = 0.0, 0.0, self.k
+        votes, weight = 0.0, 0.0
         for s, i in found:
-            n = 1 if i else left
-            votes, weight, left = votes + n * s**8 * self.labels[i], weight + n * s**8, left - n
-            if not left:
-                break
-        return (votes + 0.02 * self.prior) / (weight + 0.02), [p for p in found if p[1]]
+            votes, weight = votes + s**8 * self.labels[i], weight + s**8
+        return (votes + 0.02 * self.prior) / (weight + 0.02), found
 
     def score(self, words: list[bytes]) -> tuple[float, list[int]]:
         query = self.vector(words)
-        if not query:
+        if not len(query[0]):
             return self.prior, []
         raw, found = self.raw(query)
         return self.calibrated(raw), [self.ids[i] for _, i in found]
@@ -163,20 +159,27 @@ class Model:
         return 1 / (1 + math.exp(-min(max(a * logit(raw) + b, -30.0), 30.0)))
 
     def fit(self) -> None:
-        """Logistic curve on leave-one-out votes, by Newton steps with a weak pull to the identity."""
-        x = np.array([logit(self.raw(v, i)[0]) for i, v in enumerate(self.vectors) if i])
-        y = np.array(self.labels[1:])
-        a, b = 1.0, 0.0
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        """Logistic curve on leave-one-out votes, by Newton steps, halved while they do not lower the loss, with a weak pull to the identity."""
+        x = np.array([logit(self.raw(v, i)[0]) for i, v in enumerate(self.vectors)])
+        y = np.array(self.labels)
+
+        def loss(at: np.ndarray) -> float:
+            z = at[0] * x + at[1]
+            return float((np.logaddexp(0, z) - y * z).sum() + ((at - (1.0, 0.0)) ** 2).sum() / 2)
+
+        at = np.array([1.0, 0.0])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -500, 500)))
             w = p * (1 - p)
-            g = np.array([((p - y) * x).sum() + (a - 1), (p - y).sum() + b])
+            g = np.array([((p - y) * x).sum() + at[0] - 1, (p - y).sum() + at[1]])
             h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
-            step = np.linalg.solve(h, g)
-            a, b = a - float(step[0]), b - float(step[1])
+            step, now = np.linalg.solve(h, g), loss(at)
+            while loss(at - step) > now and abs(step).max() > 1e-12:
+                step = step / 2
+            at = at - step
             if abs(step).max() < 1e-9:
                 break
-        self.curve = (a, b)
+        self.curve = (float(at[0]), float(at[1]))
 
 
 def logit(p: float) -> float:
@@ -184,11 +187,6 @@ def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def unit(v: dict[int, float]) -> dict[int, float]:
-    norm = math.sqrt(sum(w * w for w in v.values()))
-    return {t: w / norm for t, w in v.items()} if norm else {}
-
-
 _TERMS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("term", pa.binary())])
 _MINS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("mins", pa.list_(pa.int64()))])
 _TRIPLES = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("triples", pa.binary())])
@@ -260,19 +258,20 @@ def _vectors(model: Model, gone: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = C.rows_of(batches, ["doc_id", "toxic", "text"])
         found = ((d, y, model.vector(terms_of(text))) for d, y, text in rows if d not in gone)
-        yield from C.emit(schema, ((d, y, list(v), list(v.values())) for d, y, v in found))
+        yield from C.emit(schema, ((d, y, t.tolist(), w.tolist()) for d, y, (t, w) in found))
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: int = 8_000, max_terms: int = 2_000, min_chi2: float = 30.0, min_df: int = 5, k: int = 16, block: int = 64, rest: float = 0.02, copy: float = 0.8, seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: int = 8_000, max_terms: int = 2_000, k: int = 16, block: int = 64, rest: float = 0.002, copy: float = 0.8, seed: int = 7) -> Model:
     """Fit on rows of ``labels`` (``doc_id, toxic``) for which ``learn`` (over ``doc_id``) holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(learn)
     known = known.groupBy("doc_id").agg(F.when(F.avg("toxic") >= 0.5, 1).otherwise(0).alias("toxic"))
     sample = known.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id")), "doc_id").limit(max_examples)
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The sample has at most max_examples rows of two numbers: a bounded broadcast.
-    labelled = C.table(two.join(F.broadcast(sample), "doc_id"), "toxic-examples")
+    # The sample has at most max_examples rows of two numbers: a bounded broadcast. A repeated id is one example.
+    met = two.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    labelled = C.table(met, "toxic-examples")
     copies = near_copies(labelled, copy)
     gone = frozenset(copies)
     own = labelled if not copies else labelled.where(~F.array_contains(F.lit(copies), F.col("doc_id")))
@@ -285,16 +284,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, max_examples: in
     # A term of every example, or labels all alike, tell nothing: the quotient is null and drops out.
     chi = F.try_divide(F.lit(float(n)) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
     terms = labelled.mapInArrow(_explode(gone), "doc_id long, toxic int, term binary").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    found = terms.where(F.col("a") + F.col("b") >= min_df).withColumn("chi", chi)
-    top = found.where(F.col("chi") >= min_chi2).orderBy(F.desc("chi"), "term").limit(max_terms).select("term", (F.col("a") + F.col("b")).alias("df")).collect()
-    idf = {bytes(r["term"]): (i, math.log(1 + n / r["df"])) for i, r in enumerate(sorted(top, key=lambda r: bytes(r["term"])), 1)}
-    bare = Model(idf, [], 0.0, k, block, rest)
-    rows = labelled.mapInArrow(_vectors(bare, gone), "doc_id long, toxic int, terms array<int>, weights array<double>").where(F.size("terms") > 0).collect() if idf else []
+    df = F.col("a") + F.col("b")
+    top = terms.withColumn("chi", chi).where("chi > 0").orderBy(F.desc("chi"), "term").limit(max_terms).select("term", df.alias("df"), (F.col("chi") / n).alias("phi2")).collect()
+    weights = {bytes(r["term"]): (i, math.log(1 + n / r["df"]) * r["phi2"]) for i, r in enumerate(sorted(top, key=lambda r: bytes(r["term"])), 1)}
+    bare = Model(weights, [], 0.0, k, block, rest)
+    rows = labelled.mapInArrow(_vectors(bare, gone), "doc_id long, toxic int, terms array<int>, weights array<double>").where(F.size("terms") > 0).collect() if weights else []
     # Neighbours of a block share terms: examples in order of their strongest term skip more blocks.
-    made = [(dict(zip(r["terms"], r["weights"], strict=True)), int(r["toxic"]), r["doc_id"]) for r in rows]
-    made.sort(key=lambda x: (max((t for t in x[0] if t), key=x[0].get), x[2]))
-    zero_pos, zero = pos - sum(y for _, y, _ in made), n - len(made)
-    model = Model(idf, made, zero_pos / zero if zero else pos / n, k, block, rest)
+    made = [(np.array(r["terms"], np.int64), np.array(r["weights"]), int(r["toxic"]), r["doc_id"]) for r in rows]
+    made.sort(key=lambda x: (int(x[0][1:][np.argmax(x[1][1:])]), -float(x[1][1:].max()), x[3]))
+    zero_pos, zero = pos - sum(y for _, _, y, _ in made), n - len(made)
+    model = Model(weights, made, zero_pos / zero if zero else pos / n, k, block, rest)
     if made:
         model.fit()
     return model
