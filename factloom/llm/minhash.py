@@ -6,9 +6,12 @@
    largest value that its document's signature still holds. Texts of many shingles stop after one step.
 2. Documents with equal sets collapse to one representative (the smallest id) by an aggregate on the digest.
 3. Signatures are cut in bands; representatives that agree in a band are candidates. Buckets with the same
-   members count once. Buckets above ``tile`` members are dealt into tiles and compared tile by tile, so
-   that no task gathers a large bucket and no pair is lost; only links of a spanning forest leave a task.
-4. Links are confirmed on full sets: ``100 * intersection >= percent * union``.
+   members count once. A bucket of up to ``tile`` members is compared in one task. The members of a larger one are first
+   dealt in chunks, each with the bucket's smallest member as a hub, and the links found give components; most large
+   groups are one component by then and done. Of the others, every member outside the bucket's largest component
+   meets all members in further tiles of at most ``wide_tile`` members or ``tile_shingles`` shingles: a text goes to as
+   many tasks as there are tiles of those outsiders, no task gathers a large bucket and no pair is lost.
+4. Links are confirmed on full sets: ``100 * intersection >= percent * union``; only a spanning forest leaves a task.
 5. Components by alternating large-star and small-star steps on written tables (logarithmically many).
 
 Recall of the bands at the threshold is ``1 - (1 - j^r)^b``: with r 5, b 24, j 0.85 about 0.9999992 a pair.
@@ -232,41 +235,59 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         print_of = now
 
 
-def tiles_of(n: Column, tile: int) -> Column:
-    return F.ceil(n / F.lit(float(tile))).cast("int")
-
-
-def links_of(reps: DataFrame, texts: DataFrame, *, size: int, percent: int, tile: int) -> DataFrame:
-    """Confirmed links ``a, b`` between representatives; ``reps`` has ``rep, bands``, ``texts`` has ``rep, text``."""
-    spark = reps.sparkSession
-    wide = C.width(spark)
-    dealt = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
-    chosen = C.table(buckets.groupBy("n", "low", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "minhash-buckets")
-    units = (
-        dealt.join(chosen, "bucket")
-        .withColumn("tiles", tiles_of(F.col("n"), tile))
-        .withColumn("own", F.when(F.col("tiles") == 1, 0).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles"))).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("rep", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("self"))
-    )
-    # In a unit of two tiles, side tells them apart; in a unit of one tile all rows have side false.
-    units = C.table(units.drop("self"), "minhash-units")
+def _checked(units: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` within units (``rep, unit, side``); with both sides in a unit, links across them."""
+    units = C.table(units, "minhash-units")
     # A merge join at every size: the candidates grow with the corpus, so their list is never broadcast.
-    payload = units.join(texts.hint("merge"), "rep").repartition(wide, "unit").sortWithinPartitions("unit", "side", "rep").select("unit", "side", "rep", "text")
-    return payload.mapInArrow(_verify(size, percent), "a long, b long")
+    payload = units.join(texts.hint("merge"), "rep").repartition(C.width(units.sparkSession), "unit").sortWithinPartitions("unit", "side", "rep").select("unit", "side", "rep", "text")
+    return C.table(payload.mapInArrow(_verify(size, percent), "a long, b long"), "minhash-links")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, tile: int = 256) -> DataFrame:
+def links_of(reps: DataFrame, texts: DataFrame, *, size: int, percent: int, tile: int, chunk: int, wide_tile: int, tile_shingles: int) -> DataFrame:
+    """Confirmed links ``a, b`` between representatives; ``reps`` has ``rep, weight, bands``, ``texts`` has ``rep, text``."""
+    dealt = reps.select("rep", "weight", F.explode("bands").alias("bucket"))
+    buckets = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
+    chosen = C.table(buckets.groupBy("n", "low", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "low"), "minhash-buckets")
+    members = C.table(dealt.join(chosen, "bucket"), "minhash-members")
+    chunks = F.when(F.col("n") > tile, F.ceil(F.col("n") / F.lit(float(chunk)))).otherwise(F.lit(1)).cast("int")
+    own = members.where(F.col("rep") != F.col("low")).select("rep", F.xxhash64("bucket", F.pmod(F.xxhash64("rep", F.lit(7)), chunks)).alias("unit"))
+    hubs = chosen.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), (chunks - 1).cast("long")))).select(F.col("low").alias("rep"), F.xxhash64("bucket", "at").alias("unit"))
+    first = _checked(own.unionByName(hubs).withColumn("side", F.lit(False)), texts, size, percent)
+    if chosen.where(F.col("n") > tile).limit(1).isEmpty():
+        return first
+    roots = components(first)
+    placed = members.where(F.col("n") > tile).join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "weight", F.coalesce("root", "rep").alias("root"))
+    placed = C.table(placed, "minhash-placed")
+    shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("weight").alias("w"))
+    largest = shares.groupBy("bucket").agg(F.max(F.struct("m", "w", "root")).alias("main"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+
+    def tiles(m: Column, w: Column) -> Column:
+        return F.greatest(F.ceil(m / F.lit(float(wide_tile))), F.ceil(w / F.lit(float(tile_shingles)))).cast("long")
+
+    open_ = largest.where(F.col("m") > F.col("main.m")).select(F.col("bucket").alias("of"), F.col("main.root").alias("main"), tiles(F.col("m") - F.col("main.m"), F.col("w") - F.col("main.w")).alias("outer"), tiles(F.col("main.m"), F.col("main.w")).alias("inner"))
+    open_ = C.table(open_, "minhash-open")
+    if open_.limit(1).isEmpty():
+        return first
+    met = placed.join(open_, F.col("bucket") == F.col("of"))
+    zero = F.lit(0).cast("long")
+    deal = lambda n: F.pmod(F.xxhash64("rep", F.lit(9)), n)
+    out = met.where(F.col("root") != F.col("main")).withColumn("own", deal(F.col("outer")))
+    among = out.withColumn("other", F.explode(F.sequence(zero, F.col("outer") - 1))).select("rep", F.xxhash64("bucket", F.lit(1), F.least("own", "other"), F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("side"))
+    across = out.withColumn("other", F.explode(F.sequence(zero, F.col("inner") - 1))).select("rep", F.xxhash64("bucket", F.lit(2), "own", "other").alias("unit"), F.lit(False).alias("side"))
+    inside = met.where(F.col("root") == F.col("main")).withColumn("own", deal(F.col("inner"))).withColumn("other", F.explode(F.sequence(zero, F.col("outer") - 1))).select("rep", F.xxhash64("bucket", F.lit(2), "other", "own").alias("unit"), F.lit(True).alias("side"))
+    return first.unionByName(_checked(among.unionByName(across).unionByName(inside), texts, size, percent))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, tile: int = 256, chunk: int = 64, wide_tile: int = 1024, tile_shingles: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_shingles, component_id, kept``."""
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = C.table(two.mapInArrow(_sign(size, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "minhash-signed")
     some = signed.where("doc_id is not null and set_key is not null")
     classes = C.table(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     member = C.table(some.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"), "minhash-members")
-    reps = some.join(classes, (some.set_key == classes.set_key) & (some.doc_id == classes.rep), "left_semi").select(F.col("doc_id").alias("rep"), "bands")
+    reps = some.join(classes, (some.set_key == classes.set_key) & (some.doc_id == classes.rep), "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("weight"), "bands")
     texts = two.select(F.col("doc_id").alias("rep"), "text")
-    links = links_of(reps, texts, size=size, percent=percent, tile=tile)
+    links = links_of(reps, texts, size=size, percent=percent, tile=tile, chunk=chunk, wide_tile=wide_tile, tile_shingles=tile_shingles)
     # Rows that repeat an id with other texts make that id one node.
     again = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     roots = C.table(components(links.unionByName(again), "minhash-links"), "minhash-roots")

@@ -245,8 +245,9 @@ def test_near_duplicates(spark, texts):
             w[rng.randrange(len(w))] = "new%d" % rng.randrange(9)
         more.append((100 + i, " ".join(w)))
     table = spark.createDataFrame([(i, t, 1) for i, t in more], "doc_id long, text string, rep int").repartition(4)
-    got = {r[0]: tuple(r)[1:] for r in minhash.near_duplicates(table, percent=85, tile=16).collect()}
-    assert got == components_by_force(more, 5, 85)
+    want = components_by_force(more, 5, 85)
+    for small in ({"tile": 16}, {"tile": 8, "chunk": 3, "wide_tile": 5}, {"tile": 2, "chunk": 1, "tile_shingles": 200}):
+        assert {r[0]: tuple(r)[1:] for r in minhash.near_duplicates(table, percent=85, **small).collect()} == want
 
 
 def test_near_duplicates_edges(spark, empty):
