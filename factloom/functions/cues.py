@@ -35,6 +35,16 @@ FIELDS = (
     ("molecular_weight", "quantity", 0.05, ("SUBSTANCE",)),
     ("flash_point", "temperature", 0.6, ()),
 )
+# What each field is, as queries for it say.
+DESCRIPTIONS = {
+    "product_name": "Trade name / product identifier.",
+    "supplier_name": "Supplier, manufacturer or distributor named on the SDS.",
+    "substance_or_mixture": "Whether the product is a substance, mixture or article.",
+    "product_cas_number": "CAS of the product itself. Defined only for a substance.",
+    "chemical_formula": "Molecular formula of the product. Defined only for a substance.",
+    "molecular_weight": "Molecular weight in g/mol. Defined only for a substance.",
+    "flash_point": "Flash point, compared in degrees Celsius.",
+}
 # A composition header, registry and EC numbers, completeness statements.
 _CAS_WORD = r"(?<![a-z])(?:cas|c\.a\.s\.?)(?![a-z])"
 _SHARE_WORD = r"%|(?<![a-z])wt(?![a-z])|weight|concentration|(?<![a-z])conc(?![a-z])|content"
@@ -48,7 +58,7 @@ COMPLETENESS = (
 
 
 def any_cue(cues: tuple[str, ...]) -> str:
-    return "(?<![a-z0-9])(?:" + "|".join(re.escape(c).replace("/", "/") for c in cues) + ")(?![a-z0-9])"
+    return "(?<![a-z0-9])(?:" + "|".join(map(re.escape, cues)) + ")(?![a-z0-9])"
 
 
 def has_cue(cue: str, c: Column) -> Column:
@@ -68,28 +78,38 @@ def state_cue(c: Column) -> Column:
 
 def value_part(c: Column) -> Column:
     """The text after the last colon if there is any, else all of it."""
-    low = T.collapse(F.lower(c))
+    return T.let(T.collapse(F.lower(c)), _value_part)
+
+
+def _value_part(low: Column) -> Column:
     tail = F.trim(F.substring_index(low, ":", -1), F.lit(" .;"))
     return F.when(F.contains(low, F.lit(":")) & (tail != ""), tail).otherwise(F.trim(low, F.lit(" .;")))
 
 
 def form_cue(c: Column) -> Column:
     """The product form that a span declares, or null."""
-    low = T.collapse(F.lower(c))
-    part = value_part(low)
-    found = []
-    for order, (form, cues) in enumerate(FORM_CUES.items()):
-        for cue in cues:
-            at = rf"(?s)^(.*?){any_cue((cue,))}"
-            found.append(F.when(part.rlike(at), F.struct(F.length(F.regexp_extract(part, at, 1)).alias("at"), F.lit(order).alias("o"), F.lit(form).alias("form"))))
-    first = F.array_min(F.array_compact(F.array(*found)))
+    return T.let(T.collapse(F.lower(c)), declared_form)
+
+
+_FORM_WORD = r"(?s)^.*?(?<![a-z0-9])(" + "|".join(re.escape(cue) for cues in FORM_CUES.values() for cue in cues) + r")(?![a-z0-9])"
+
+
+def declared_form(low: Column) -> Column:
+    """``form_cue`` of a lower-cased text with single spaces: the first form word decides."""
+
+    def first(part: Column) -> Column:
+        word = F.regexp_extract(part, _FORM_WORD, 1)
+        form = F.lit(None).cast("string")
+        for name, cues in FORM_CUES.items():
+            form = F.when(word.isin(*cues), name).otherwise(form)
+        return F.when((word != "") & ~part.rlike(NEGATED_FORM), form)
+
     return (
         F.when(low == "", None)
         .when(low.rlike(NEGATED_ENTRY), "MIXTURE")
         .when(low.rlike(BOTH_HEADINGS), None)
         .when(low.rlike(HEADING), F.when(F.regexp_extract(low, HEADING, 1) == "mixtures", "MIXTURE").otherwise("SUBSTANCE"))
-        .when(part.rlike(NEGATED_FORM), None)
-        .otherwise(first["form"])
+        .otherwise(T.let(_value_part(low), first))
     )
 
 
@@ -101,7 +121,10 @@ def field_defined(field: Column, form: Column) -> Column:
 
 def constituent_shares(c: Column) -> Column:
     """Array of (cas, share): the share behind a registry number up to the next, else the one before it."""
+    return T.let(T.collapse(F.lower(c)), _shares_of)
 
+
+def _shares_of(low: Column) -> Column:
     def read(low: Column) -> Column:
         numbers = F.regexp_extract_all(low, F.lit(f"({CAS_NUMBER})"), F.lit(1))
         gaps = F.split(low, CAS_NUMBER, -1)
@@ -111,7 +134,8 @@ def constituent_shares(c: Column) -> Column:
     def paired(x: Column) -> Column:
         return F.transform(x["numbers"], lambda n, i: F.struct(n.alias("cas"), F.coalesce(F.element_at(x["shares"], i + 2), F.element_at(x["shares"], i + 1)).alias("share")))
 
-    return T.let(T.let(T.collapse(F.lower(c)), read), paired)
+    share = "struct<low: double, high: double, low_inclusive: boolean, high_inclusive: boolean>"
+    return F.when(low.rlike(CAS_NUMBER), T.let(read(low), paired)).otherwise(F.array().cast(f"array<struct<cas: string, share: {share}>>"))
 
 
 def whole_share(s: Column) -> Column:
@@ -124,20 +148,21 @@ def partial_share(s: Column) -> Column:
 
 def premise(c: Column) -> Column:
     """What one span gives an audit: its form, header and completeness flags, whole and partial registry numbers."""
-    low = T.collapse(F.lower(c))
-
     def split(shares: Column) -> Column:
         return F.struct(
             F.transform(F.filter(shares, lambda x: whole_share(x["share"])), lambda x: x["cas"]).alias("whole"),
             F.transform(F.filter(shares, lambda x: ~whole_share(x["share"]) & partial_share(x["share"])), lambda x: x["cas"]).alias("partial"),
         )
 
-    return F.struct(
-        form_cue(c).alias("form"),
-        F.coalesce(low.rlike(COMPOSITION_HEADER), F.lit(False)).alias("header"),
-        F.coalesce(low.rlike(COMPLETENESS), F.lit(False)).alias("complete"),
-        T.let(constituent_shares(c), split).alias("shares"),
-    )
+    def read(low: Column) -> Column:
+        return F.struct(
+            declared_form(low).alias("form"),
+            F.coalesce(low.rlike(COMPOSITION_HEADER), F.lit(False)).alias("header"),
+            F.coalesce(low.rlike(COMPLETENESS), F.lit(False)).alias("complete"),
+            T.let(_shares_of(low), split).alias("shares"),
+        )
+
+    return T.let(T.collapse(F.lower(c)), read)
 
 
 def premise_roles(c: Column) -> Column:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Lookalike characters of the search form.
 FOLD_FROM = "º–—−‘’“” "
@@ -24,10 +20,10 @@ TOKEN_PUNCTUATION = ".,:;()[]{}\"'"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf(StringType())
-def nfkc(value: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no built-in for it. An Arrow batch at a time."""
-    return value.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+def nfkc(c: Column) -> Column:
+    """Compatibility composition by the ICU library that Spark ships, on the JVM; ASCII texts pass untouched."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), composed).otherwise(c)
 
 
 def let(value: Column, body) -> Column:
@@ -53,34 +49,34 @@ def search_form(c: Column, casefold: bool = True) -> Column:
     return collapse(F.lower(out) if casefold else out)
 
 
-def normalize_text(c: Column, compat: bool = False) -> Column:
-    """Lower-cased text without trade marks; ``compat`` adds NFKC through Arrow, for other than plain Latin text."""
+def normalize_text(c: Column, compat: bool = True) -> Column:
+    """Lower-cased text without trade marks, in compatibility composition."""
     out = F.replace(c, F.lit("º"), F.lit("°"))
     out = nfkc(out) if compat else out
     return F.lower(collapse(F.translate(out, MARKS, "")))
 
 
-def normalize_name(c: Column, compat: bool = False) -> Column:
+def normalize_name(c: Column, compat: bool = True) -> Column:
     out = F.trim(normalize_text(c, compat), F.lit(" .,:;-–—"))
     return collapse(F.regexp_replace(out, rf"\b({'|'.join(SUFFIXES)})\.", "$1"))
 
 
-def name_key(c: Column, compat: bool = False) -> Column:
+def name_key(c: Column, compat: bool = True) -> Column:
     """Key of name equality: a break ``x- y`` inside a word is closed; null for a missing or empty name."""
     key = F.regexp_replace(normalize_name(c, compat), r"(?<=[a-z])- (?=[a-z])", "")
     return F.when(c.isNotNull() & (c != ""), key)
 
 
-def names_equal(a: Column, b: Column, compat: bool = False) -> Column:
+def names_equal(a: Column, b: Column, compat: bool = True) -> Column:
     return F.coalesce(name_key(a, compat) == name_key(b, compat), F.lit(False))
 
 
-def normalize_formula(c: Column, compat: bool = False) -> Column:
+def normalize_formula(c: Column, compat: bool = True) -> Column:
     out = F.translate(nfkc(c) if compat else c, SUBSCRIPTS + "·•", "0123456789**")
     return F.regexp_replace(out, SPACE, "")
 
 
-def normalize_cas(c: Column, compat: bool = False) -> Column:
+def normalize_cas(c: Column, compat: bool = True) -> Column:
     out = F.regexp_replace(nfkc(c) if compat else c, SPACE, "")
     return F.trim(F.translate(out, "–—−", "---"), F.lit(" .,:;"))
 
@@ -96,7 +92,7 @@ def cas_valid(c: Column) -> Column:
     return F.coalesce(F.when(cas.rlike(CAS), total % 10 == F.regexp_extract(cas, CAS, 3).cast("int")).otherwise(F.lit(False)), F.lit(False))
 
 
-def span_tokens(c: Column, compat: bool = False) -> Column:
+def span_tokens(c: Column, compat: bool = True) -> Column:
     """Lower-cased tokens without the punctuation at their ends; empty ones dropped."""
     out = F.replace(c, F.lit("º"), F.lit("°"))
     out = F.lower(collapse(F.translate(nfkc(out) if compat else out, "–—", "--")))

@@ -37,7 +37,7 @@ def _quantity(found: Column, value: Column, unit: str, prefix: Column) -> Column
     return F.when(found, F.struct(value.alias("value"), F.lit(unit).alias("unit"), comparator(prefix).alias("comparator")))
 
 
-def parse_temperature(c: Column, compat: bool = False) -> Column:
+def parse_temperature(c: Column, compat: bool = True) -> Column:
     """Struct value (Celsius), unit, comparator; the first Celsius figure wins over Fahrenheit; null without a unit."""
     low = F.replace(c, F.lit("º"), F.lit("°"))
     low = F.lower(T.nfkc(low) if compat else low)
@@ -52,7 +52,7 @@ def parse_temperature(c: Column, compat: bool = False) -> Column:
     return _quantity(has_c | has_f, F.when(has_c, in_c).otherwise(in_f), "C", prefix)
 
 
-def parse_quantity(c: Column, unit: str = MOLAR, compat: bool = False) -> Column:
+def parse_quantity(c: Column, unit: str = MOLAR, compat: bool = True) -> Column:
     low = F.lower(T.nfkc(c) if compat else c)
     pattern = rf"(?s)^(.*?)({NUMBER})\s*(?:{unit})?"
     return _quantity(low.rlike(pattern), number(F.regexp_extract(low, pattern, 2)), "g/mol", F.regexp_extract(low, pattern, 1))
@@ -67,33 +67,47 @@ def quantities_match(a: Column, b: Column, tolerance: float | Column) -> Column:
     return F.coalesce((a["comparator"] == b["comparator"]) & close(a["value"], b["value"], tolerance), F.lit(False))
 
 
-def parse_concentration(c: Column, compat: bool = False) -> Column:
+def parse_concentration(c: Column, compat: bool = True) -> Column:
     """Struct low, high, low_inclusive, high_inclusive in percent; a null bound is none; null when nothing is read."""
     return F.when(c.isNotNull() & (c != ""), T.let(share_form(c, compat), share_of))
 
 
-def share_form(c: Column, compat: bool = False) -> Column:
+def share_form(c: Column, compat: bool = True) -> Column:
     low = F.translate(F.lower(T.nfkc(c) if compat else c), "–—−", "---")
     return T.collapse(F.regexp_replace(low, f"(?i){NOISE}", " "))
 
 
+# Marks before a single share, with the bound that they set and whether it is part of the interval.
+MARKS = (
+    (r"<=|≤|nmt|at most|not more.*|max.*", "high", True),
+    (r"<", "high", False),
+    (r">=|≥|nlt|at least|not less.*|min.*", "low", True),
+    (r">", "low", False),
+)
+
+
 def share_of(low: Column) -> Column:
     """The interval that a text in share form states."""
-    yes, none = F.lit(True), F.lit(None).cast("double")
-
-    def interval(a: Column, b: Column, a_in: Column, b_in: Column) -> Column:
-        return F.struct(a.alias("low"), b.alias("high"), a_in.alias("low_inclusive"), b_in.alias("high_inclusive"))
-
-    ranged = interval(number(F.regexp_extract(low, RANGE, 1)), number(F.regexp_extract(low, RANGE, 3)), yes, F.regexp_extract(low, RANGE, 2) != "<")
-    mark, value = F.trim(F.regexp_extract(low, SINGLE, 1)), number(F.regexp_extract(low, SINGLE, 2))
-    single = (
-        F.when(mark.isin("<=", "≤", "nmt", "at most") | mark.rlike("^(not more|max)"), interval(none, value, yes, yes))
-        .when(mark == "<", interval(none, value, yes, F.lit(False)))
-        .when(mark.isin(">=", "≥", "nlt", "at least") | mark.rlike("^(not less|min)"), interval(value, none, yes, yes))
-        .when(mark == ">", interval(value, none, F.lit(False), yes))
-        .otherwise(interval(value, value, yes, yes))
-    )
-    return F.when(low.rlike(RANGE), ranged).when(low.rlike(SINGLE), single)
+
+    def ranged(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, RANGE, i)
+        return _interval(number(part(1)), number(part(3)), F.lit(True), part(2) != "<")
+
+    def single(found: Column) -> Column:
+        mark, value = F.trim(F.regexp_extract(found, SINGLE, 1)), number(F.regexp_extract(found, SINGLE, 2))
+        none, out = F.lit(None).cast("double"), _interval(value, value, F.lit(True), F.lit(True))
+        for pattern, bound, inclusive in reversed(MARKS):
+            high = bound == "high"
+            set_ = _interval(none if high else value, value if high else none, F.lit(high or inclusive), F.lit(inclusive or not high))
+            out = F.when(mark.rlike(f"^(?:{pattern})$"), set_).otherwise(out)
+        return out
+
+    # Only the stretch that matched is taken apart, and only once.
+    return F.when(low.rlike(RANGE), T.let(F.regexp_extract(low, RANGE, 0), ranged)).when(low.rlike(SINGLE), T.let(F.regexp_extract(low, SINGLE, 0), single))
+
+
+def _interval(a: Column, b: Column, a_in: Column, b_in: Column) -> Column:
+    return F.struct(a.alias("low"), b.alias("high"), a_in.alias("low_inclusive"), b_in.alias("high_inclusive"))
 
 
 def _bound(a: Column, b: Column) -> Column:
@@ -113,6 +127,23 @@ def concentrations_equal(a: Column, b: Column) -> Column:
     )
 
 
+def six_digits(value: Column) -> Column:
+    """A number to six significant digits, no zeros at the end, with an exponent below -4 and from 6 on."""
+
+    def shown(e: Column) -> Column:
+        power = F.substring_index(e, "e", -1).cast("int")
+        digits = F.translate(F.substring_index(e, "e", 1), "-.", "")
+        trim = lambda c: F.regexp_replace(c, r"\.?0+$", "")
+        long = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))
+        far = F.concat(trim(long), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+        whole = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        sign = F.when(F.startswith(e, F.lit("-")) & (digits != "000000"), "-").otherwise("")
+        return F.concat(sign, F.when(digits == "000000", "0").when((power < -4) | (power >= 6), far).when(power < 0, trim(small)).when(power == 5, digits).otherwise(trim(whole)))
+
+    return F.when(value.isNotNull(), T.let(F.format_string("%.5e", value), shown))
+
+
 def canonical_value(c: Column, kind: str) -> Column:
     """Canonical string of a value of one kind: name, identifier, formula, categorical, temperature or quantity."""
     if kind == "formula":
@@ -123,7 +154,7 @@ def canonical_value(c: Column, kind: str) -> Column:
         return F.replace(F.upper(T.normalize_text(c)), F.lit(" "), F.lit("_"))
     if kind in ("temperature", "quantity"):
         q = parse_temperature(c) if kind == "temperature" else parse_quantity(c)
-        shown = F.regexp_replace(F.format_string("%.6f", q["value"]), r"\.?0+$", "")
+        shown = six_digits(q["value"])
         return F.coalesce(F.concat(F.when(q["comparator"] == "=", "").otherwise(q["comparator"]), shown, F.lit(" "), q["unit"]), T.normalize_text(c))
     return T.normalize_name(c)
 

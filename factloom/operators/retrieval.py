@@ -40,8 +40,11 @@ def bm25(units: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.
 
 
 def all_scores(scores: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every unit of a document under every query, 0 without a common word; queries are a small table."""
-    every = units.select("document", "unit").crossJoin(F.broadcast(queries.select("query_id")))
+    """Every unit of a document under every query, 0 without a common word. A stated query set, sent as one array in blocks
+    of rows: each unit is repeated for each query, as the ranking of all units needs."""
+    spread = F.lit(1).alias("one")
+    listed = queries.select("query_id", spread).groupBy("one").agg(F.collect_set("query_id").alias("asked"))
+    every = units.select("document", "unit", spread).join(listed, "one").select("document", "unit", F.explode("asked").alias("query_id"))
     return every.join(scores, ["document", "unit", "query_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -60,6 +63,72 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.greatest(F.sqrt(dot(a, a)), tiny) * F.greatest(F.sqrt(dot(b, b)), tiny))
 
 
+_PACKED = "ids binary, vectors binary, n int, part int"
+
+
+def _pack(ids: str, vector: str, rows: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, held, names = TaskContext.get().partitionId(), [], ["ids", "vectors", "n", "part"]
+
+        def packed():
+            keys, matrix = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], np.float64)
+            return pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([matrix.tobytes()]), pa.array([len(held)], pa.int32()), pa.array([part], pa.int32())], names=names)
+
+        for batch in batches:
+            for pair in zip(batch.column(ids).to_pylist(), batch.column(vector).to_pylist(), strict=True):
+                held.append(pair)
+                if len(held) == rows:
+                    yield packed()
+                    held = []
+        if held:
+            yield packed()
+
+    return run
+
+
+def _nearest(k: int, digits: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(raw: bytes, n: int):
+            x = np.frombuffer(raw).reshape(n, -1)
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, asked = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+                near = np.round(unit(row["q_vectors"], row["q_n"]) @ unit(row["vectors"], row["n"]).T, digits)
+                out = [[], [], []]
+                for i, q in enumerate(asked.tolist()):
+                    order = np.lexsort((keys, -near[i]))
+                    order = order[keys[order] != q][:k]
+                    out[0] += [q] * len(order)
+                    out[1] += keys[order].tolist()
+                    out[2] += near[i][order].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def nearest_by_cosine(vectors: DataFrame, is_query: Column, *, k: int = 5, digits: int = 6, block: int = 1024) -> DataFrame:
+    """``query_id, vec_id, score, rank``: each query row's k rows of largest rounded cosine among all others, ties to the smaller id.
+
+    Rows and queries are packed in blocks; each block of rows meets each block of queries once, as one matrix product, and
+    passes on k rows a query. Vectors are of one length; null ones take no part."""
+    some = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    asked = some.where(is_query)
+    parts = max(1, -(-asked.count() // block))
+    queries = asked.repartition(parts).mapInArrow(_pack("vec_id", "embedding", block), _PACKED).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("n").alias("q_n"), F.col("part").alias("q"))
+    rows = some.mapInArrow(_pack("vec_id", "embedding", block), _PACKED).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).drop("part")
+    near = rows.join(queries, "q").mapInArrow(_nearest(k, digits), "query_id long, vec_id long, score double")
+    return ranked(near, ["query_id"], "vec_id").where(F.col("rank") <= k)
+
+
 def within_budget(ranks: DataFrame, keys: list[str], budget: int) -> DataFrame:
     """The ranked prefix whose running token sum stays within the budget; it ends at the first overflow."""
     run = F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
@@ -93,10 +162,15 @@ def slices(instances: DataFrame, named: dict[str, Column], k: int) -> DataFrame:
     return macro_micro(instances.withColumn("slice", F.explode(tags)), k, ["slice"])
 
 
-def p90(c: str) -> Column:
-    """The element at floor(0.9 n) of the sorted values, clamped."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, F.least(F.size(values), F.floor(F.size(values) * 0.9).cast("int") + 1))
+def percentile_row(values: DataFrame, by: list[str], value: str, share: float = 0.9) -> DataFrame:
+    """``by, p90``: the element at floor(share n) of a group's sorted values, clamped.
+
+    Equal values are counted first, so that what is ordered are a group's distinct values."""
+    counted = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_times"))
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_all", F.sum("_times").over(whole)).withColumn("_upto", F.sum("_times").over(upto))
+    at = F.least(F.col("_all") - 1, F.floor(F.col("_all") * share))
+    return placed.where(F.col("_upto") > at).groupBy(*by).agg(F.min("_value").alias(f"p{round(100 * share)}"))
 
 
 def evidence_sets(gold: DataFrame) -> DataFrame:
