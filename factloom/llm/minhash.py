@@ -275,7 +275,10 @@ def links_of(reps: DataFrame, texts: DataFrame, *, size: int, percent: int, tile
     among = out.withColumn("other", F.explode(F.sequence(zero, F.col("outer") - 1))).select("rep", F.xxhash64("bucket", F.lit(1), F.least("own", "other"), F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("side"))
     across = out.withColumn("other", F.explode(F.sequence(zero, F.col("inner") - 1))).select("rep", F.xxhash64("bucket", F.lit(2), "own", "other").alias("unit"), F.lit(False).alias("side"))
     inside = met.where(F.col("root") == F.col("main")).withColumn("own", deal(F.col("inner"))).withColumn("other", F.explode(F.sequence(zero, F.col("outer") - 1))).select("rep", F.xxhash64("bucket", F.lit(2), "other", "own").alias("unit"), F.lit(True).alias("side"))
-    return first.unionByName(_checked(among.unionByName(across).unionByName(inside), texts, size, percent))
+    units = C.table(among.unionByName(across).unionByName(inside), "minhash-outer")
+    # Few texts are asked for again: the join that picks them is left to Spark, which broadcasts ids only below its size limit.
+    again = texts.join(C.table(units.select("rep").distinct(), "minhash-again"), "rep", "left_semi")
+    return first.unionByName(_checked(units, again, size, percent))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, tile: int = 256, chunk: int = 64, wide_tile: int = 1024, tile_shingles: int = 4_000_000) -> DataFrame:
