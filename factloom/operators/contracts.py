@@ -70,6 +70,16 @@ def prediction_id(system: Column, configuration: Column, documents: Column) -> C
     return F.substring(F.sha2(F.concat(system, F.array_join(pairs, ""), F.array_join(names, "")), 256), 1, 16)
 
 
+def document_names(predictions: DataFrame) -> DataFrame:
+    """``system, documents``: the sorted names that a prediction set covers."""
+    return predictions.groupBy("system").agg(F.array_sort(F.collect_set("document")).alias("documents"))
+
+
+def declared_split(configuration: Column) -> Column:
+    """The split that a configuration declares, or null."""
+    return F.try_element_at(configuration, F.lit("split"))
+
+
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only, with the side."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
@@ -108,17 +118,21 @@ def cache_misses(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return requests.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def call_model(requests: DataFrame, caller: Callable[[str], str], key: str = "key", prompt: str = "prompt") -> DataFrame:
-    """``key, response, error``: an injected caller over requests; an error becomes a row, not a failed task."""
+def call_model(requests: DataFrame, caller: Callable[[str], str], key: str = "key", prompt: str = "prompt", tries: int = 1) -> DataFrame:
+    """``key, response, error``: an injected caller over requests, asked up to ``tries`` times; an error becomes a row, not a
+    failed task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, p in zip(batch[key], batch[prompt], strict=True):
-                try:
-                    rows.append((k, caller(p), None))
-                except Exception as e:
-                    rows.append((k, None, str(e)[:500]))
+                for left in range(tries - 1, -1, -1):
+                    try:
+                        rows.append((k, caller(p), None))
+                        break
+                    except Exception as e:
+                        if not left:
+                            rows.append((k, None, str(e)[:500]))
             yield pd.DataFrame(rows, columns=["key", "response", "error"])
 
     return requests.select(key, prompt).mapInPandas(run, "key string, response string, error string")
@@ -137,3 +151,19 @@ def parse_json_response(content: Column, schema: str) -> Column:
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, cached: Column) -> Column:
     """Dollars of a call from prices per million tokens; 0 for a cached or unpriced one."""
     return F.when(cached, F.lit(0.0)).otherwise(F.coalesce((tokens_in * price_in + tokens_out * price_out) / 1e6, F.lit(0.0)))
+
+
+def call_records(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Calls (``document, model, cached, input_tokens, output_tokens, latency_seconds, error``) with ``cost_usd``; ``prices`` has
+    ``model, price_in, price_out`` per million tokens, one row a model, and a model without one costs nothing."""
+    met = calls.join(prices.select("model", "price_in", "price_out"), "model", "left")
+    return met.withColumn("cost_usd", cost(F.col("input_tokens"), F.col("output_tokens"), F.col("price_in"), F.col("price_out"), F.col("cached"))).drop("price_in", "price_out")
+
+
+def run_record(calls: DataFrame, breaches: DataFrame) -> DataFrame:
+    """One row a model run: calls, cached and failed ones, tokens, seconds, cost, breaches and the documents that have any."""
+    sums = calls.agg(
+        F.count("*").alias("calls"), F.count_if("cached").alias("cached"), F.count("error").alias("failed"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.sum("latency_seconds").alias("latency_seconds"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
+    )
+    return sums.crossJoin(breaches.agg(F.count("*").alias("breaches"), F.count_distinct("document").alias("documents_with_breaches")))  # one row each

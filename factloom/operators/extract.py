@@ -44,13 +44,13 @@ MAX_COMPANY_TOKENS, MAX_LINEAR_TOKENS = 8, 12
 
 def label_slot(row: Column, labels: tuple[str, ...]) -> Column:
     """Struct (label, value) of the first label in order that opens the row's text, ahead of a colon, ``=`` or the end."""
-    low = F.lower(T.collapse(row))
-    out = None
-    for label in labels:
-        pattern = rf"^(?:[·•*\-]|\d+(?:\.\d+)*\.?)?\s*{re.escape(label)}\s*(?:[:=]\s*|$)"
-        hit = F.struct(F.lit(label).alias("label"), F.regexp_replace(T.collapse(row), rf"(?i){pattern}", "").alias("value"))
-        out = F.when(low.rlike(pattern), hit) if out is None else out.when(low.rlike(pattern), hit)
-    return out
+    pattern = rf"^(?:[·•*\-]|\d+(?:\.\d+)*\.?)?\s*({'|'.join(map(re.escape, labels))})\s*(?:[:=]\s*|$)"
+
+    def read(bare: Column) -> Column:
+        slot = lambda label: F.when(label != "", F.struct(label.alias("label"), F.regexp_replace(bare, f"(?i){pattern}", "").alias("value")))
+        return T.let(F.regexp_extract(F.lower(bare), pattern, 1), slot)
+
+    return T.let(T.collapse(row), read)
 
 
 def candidates(rows: DataFrame, field: str, document: str = "document") -> DataFrame:
@@ -115,9 +115,12 @@ def first_usable(found: DataFrame, field: str, document: str = "document") -> Da
 
 def declared_form(rows: DataFrame, document: str = "document", phrases: tuple[tuple[str, str], ...] = FORM_DECLARATIONS) -> DataFrame:
     """Per document the first (phrase, page, row) whose text holds the phrase and is read as its form."""
-    low, form = T.search_form(F.col("text")), Q.form_cue(F.col("text"))
-    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)) & (form == f), F.struct(F.lit(i).alias("phrase"), F.lit(f).alias("form"))) for i, (p, f) in enumerate(phrases)]))
-    found = rows.withColumn("hit", F.array_min(hits)).where("hit is not null")
+    def hits(x: Column) -> Column:
+        met = [F.when(F.contains(x["low"], F.lit(p)) & (x["form"] == f), F.struct(F.lit(i).alias("phrase"), F.lit(f).alias("form"))) for i, (p, f) in enumerate(phrases)]
+        return F.array_min(F.array_compact(F.array(*met)))
+
+    read = T.let(F.struct(T.search_form(F.col("text")).alias("low"), Q.form_cue(F.col("text")).alias("form")), hits)
+    found = rows.withColumn("hit", read).where("hit is not null")
     best = found.groupBy(document).agg(F.min(F.struct("hit.phrase", "page", "row_no", "hit.form", "text")).alias("b"))
     return best.select(document, F.col("b.form").alias("form"), F.col("b.page").alias("page"), F.col("b.row_no").alias("row_no"), F.col("b.text").alias("text"))
 

@@ -176,7 +176,9 @@ def percentile_row(values: DataFrame, by: list[str], value: str, share: float =
 def evidence_sets(gold: DataFrame) -> DataFrame:
     """``document, field, state, derivation, pieces, n_pieces, n_pages, cross_page``: direct evidence and premises (arrays of
     page and text), each with its kind, and the pages they lie on. ``ingredients`` is not a field; null arrays are empty."""
-    some = lambda name, kind: F.transform(F.coalesce(name, F.array().cast("array<struct<page: int, text: string>>")), lambda e: F.struct(e["page"].cast("int").alias("page"), e["text"].alias("text"), F.lit(kind).alias("kind")))
+    piece = lambda e, kind: F.struct(e["page"].cast("int").alias("page"), e["text"].alias("text"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<page: int, text: string, kind: string>>")
+    some = lambda name, kind: F.coalesce(F.transform(name, lambda e: piece(e, kind)), none)
     packed = gold.where("field <> 'ingredients'").withColumn("pieces", F.concat(some("evidence", "direct"), some("premises", "premise")))
     pages = F.size(F.array_distinct(F.transform("pieces", lambda p: p["page"])))
     return packed.select("document", "field", "state", "derivation", "pieces", F.size("pieces").alias("n_pieces"), pages.alias("n_pages"), (pages > 1).alias("cross_page"))

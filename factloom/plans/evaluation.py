@@ -155,6 +155,8 @@ def _axes(met: DataFrame, keys: list[str]) -> DataFrame:
         c("state").alias("gold_state"), p["state"].alias("predicted_state"), c("value").alias("gold_value"), p["value"].alias("predicted_value"),
         c("derivation").alias("gold_derivation"), p["derivation"].alias("predicted_derivation"), c("rule").alias("gold_rule"), p["rule"].alias("predicted_rule"),
         F.when(c("derived"), "premise").otherwise("direct").alias("evidence_role"),
+        F.array_sort(F.array_distinct(F.transform("targets", lambda t: t["page"]))).alias("gold_pages"), F.get("cited", 0)["page"].alias("predicted_page"),
+        F.array_join(F.transform("targets", lambda t: t["text"]), " | ").alias("gold_evidence"), F.array_join(F.transform("cited", lambda t: t["text"]), " | ").alias("predicted_evidence"),
         ok(p["state"] == c("state")).alias("state"), value.alias("value"), *[v.alias(k) for k, v in local.items()], derivation.alias("derivation"), support.alias("support"),
         c("located_needed").alias("gold_requires_evidence"), c("ambiguous").alias("gold_ambiguous"),
         F.coalesce((p["state"] == c("state")) | F.coalesce(p["state"] == c("alternative_state"), F.lit(False)), F.lit(False)).alias("state_lenient"),

@@ -32,8 +32,16 @@ def _joined(words: Column) -> Column:
 
 
 def _phrase_at(words: Column, at: Column, label: str) -> Column:
+    """Words from ``at`` on read as the label, a colon behind it aside; ``form`` is each word's search form."""
     n = len(label.split())
-    return (at + n <= F.size(words)) & (F.rtrim(T.search_form(_joined(F.slice(words, at + 1, n))), F.lit(":")) == label)
+    forms = F.transform(F.slice(words, at + 1, n), lambda w: w["form"])
+    return (at + n <= F.size(words)) & (F.rtrim(F.array_join(F.array_remove(forms, ""), " "), F.lit(":")) == label)
+
+
+def _formed(words: Column, boxed: bool) -> Column:
+    """Words with their search form, folded once for all labels."""
+    edges = ("x0", "x1") if boxed else ()
+    return F.transform(words, lambda w: F.struct(w["text"].alias("text"), T.search_form(w["text"]).alias("form"), *[w[e].alias(e) for e in edges]))
 
 
 def _without_separators(value: Column) -> Column:
@@ -66,6 +74,8 @@ def row_candidates(rows: DataFrame, document: str = "document", fields: tuple[st
     boxed = "words" in rows.columns
     source = "words" if boxed else "text"
     place = Window.partitionBy(document, "page").orderBy("row_no")
+    if boxed:
+        rows = rows.withColumn("words", _formed(F.col("words"), True))
     met = rows.withColumn("_after", F.lead("text").over(place)).withColumn("_next", F.lead(source).over(place))
 
     def candidate(field: str) -> Column:
@@ -86,7 +96,7 @@ def linear_candidates(lines: DataFrame, document: str = "document", fields: tupl
     on over the following lines up to twelve tokens or the next label of the field. A label lies within one line."""
     words = F.col("words") if "words" in lines.columns else F.transform(F.split(T.collapse(F.col("text")), " "), lambda w: F.struct(w.alias("text")))
     place = Window.partitionBy(document, "page").orderBy("row_no").rowsBetween(1, X.MAX_LINEAR_TOKENS)
-    texts = F.transform(words, lambda w: F.struct(w["text"].alias("text")))
+    texts = _formed(words, False)
     met = lines.select(document, "page", "row_no", texts.alias("_words")).where(F.size("_words") > 0)
     met = met.withColumn("_more", F.flatten(F.collect_list("_words").over(place)))
     first, second = F.get(F.col("_words"), 0)["text"], F.get(F.col("_words"), 1)["text"]

@@ -89,6 +89,54 @@ def fuzzy_flags(gold: DataFrame, pages: DataFrame, least: float = 90.0) -> DataF
     return met.groupBy(*KEYS).agg(*[F.coalesce(F.max(F.when(F.col("what") == w, F.col("score"))) >= least, F.lit(False)).alias(f"{w}_fuzzy") for w in ("value", "span")])
 
 
+# Columns of an oracle row over both text layers.
+ORACLE_COLUMNS = (
+    "document", "field", "gold_state", "gold_derivation", "gold_value", "value_exact_native", "value_exact_ocr", "value_typed_native", "value_typed_ocr", "value_fuzzy_native", "value_fuzzy_ocr",
+    "value_located_native", "value_located_ocr", "value_located_pages_native", "value_located_pages_ocr", "value_on_gold_page_native", "value_on_gold_page_ocr", "span_exact_native", "span_exact_ocr", "span_fuzzy_ocr", "note",
+)
+
+
+def oracle_rows(gold: DataFrame, native: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
+    """The oracle's 21 text columns for every gold field: yes, no, or blank where a flag does not apply or the document has no
+    such layer."""
+    flag = lambda c: F.when(c, "yes").when(~c, "no").otherwise("")
+    out, notes = None, []
+    for name, pages in (("native", native), ("ocr", ocr)):
+        base = oracle_flags(gold, native if pages is None else pages)
+        held = (native.limit(0) if pages is None else pages).select(F.col("document").alias("of")).distinct()
+        near = fuzzy_flags(gold, native.limit(0) if pages is None else pages)
+        met = base.join(near, KEYS, "left").join(held, F.col("document") == F.col("of"), "left")
+        there = F.col("of").isNotNull()
+        valued, spanned = there & F.col("value_exact").isNotNull(), there & F.col("span_exact").isNotNull()
+        on = lambda cond, c: F.when(cond, flag(F.coalesce(F.col(c), F.lit(False)))).otherwise("")
+        cells = {
+            f"value_exact_{name}": on(valued, "value_exact"), f"value_typed_{name}": on(valued, "value_typed"), f"value_fuzzy_{name}": on(valued, "value_fuzzy"), f"value_located_{name}": on(valued, "value_exact"),
+            f"value_located_pages_{name}": F.when(valued, F.array_join(F.transform("value_pages", lambda p: p.cast("string")), ";")).otherwise(""), f"value_on_gold_page_{name}": on(valued, "value_on_gold_page"),
+            f"span_exact_{name}": on(spanned, "span_exact"), f"span_fuzzy_{name}": on(spanned, "span_fuzzy"),
+        }
+        one = met.select(*KEYS, "gold_state", "gold_derivation", F.coalesce("gold_value", F.lit("")).alias("gold_value"), *[c.alias(k) for k, c in cells.items()])
+        out = one if out is None else out.join(one.drop("gold_state", "gold_derivation", "gold_value"), KEYS)
+        notes += [F.when(F.col(f"value_exact_{name}") == "no", f"value not found on {name}"), F.when(F.col(f"span_exact_{name}") == "no", f"span not found on {name}")]
+    return out.withColumn("note", F.concat_ws("; ", *notes)).select(*ORACLE_COLUMNS)
+
+
+def oracle_summary(rows: DataFrame) -> DataFrame:
+    """``part, flag, yes, decided, rate`` over oracle rows: product values, ingredient numbers, spans by kind of gold."""
+    item = F.col("field").startswith("ingredient_")
+    parts = {"product": ~item & (F.col("gold_state") == "PRESENT"), "ingredient": item & (F.col("gold_state") == "PRESENT"), "direct": F.col("gold_derivation") == "EXPLICIT", "premise": F.col("gold_derivation").isin(*E.GOLD_DERIVED)}
+    flags = [c for c in ORACLE_COLUMNS if c.startswith(("value_", "span_")) and "pages" not in c]
+    tags = F.array_compact(F.array(*[F.when(cond, name) for name, cond in parts.items()]))
+    cells = F.array(*[F.struct(F.lit(c).alias("flag"), F.col(c).alias("said")) for c in flags])
+    long = rows.select(F.explode(tags).alias("part"), cells.alias("cells")).select("part", F.inline("cells")).where("said <> ''")
+    return long.groupBy("part", "flag").agg(F.count_if(F.col("said") == "yes").alias("yes"), F.count("*").alias("decided")).withColumn("rate", F.col("yes") / F.col("decided"))
+
+
+def oracle_misses(rows: DataFrame) -> DataFrame:
+    """``document, field, layer``: product values that are stated but not located on a layer."""
+    miss = F.array_compact(F.array(*[F.when(F.col(f"value_located_{n}") == "no", n) for n in ("native", "ocr")]))
+    return rows.where(~F.col("field").startswith("ingredient_")).select(*KEYS, F.explode(miss).alias("layer"))
+
+
 def cite_line(text: Column, start: Column, end: Column) -> Column:
     """The lines around the characters ``start`` to ``end`` (from 0, end not included), with the line before when that ends
     in a colon and these have none."""

@@ -158,7 +158,7 @@ def premise_verifiable(gold: DataFrame) -> DataFrame:
 def gold_report(gold: DataFrame) -> DataFrame:
     """``what, name, n``: fields by state and derivation, spans, premises, spans that occur more than once or lack an OCR
     place, derived fields that the rules cannot verify."""
-    spans = gold.select("document", "field", F.size(F.coalesce("premises", F.array().cast(E.SPANS))).alias("premises"), F.inline_outer(F.concat("evidence", "premises")))
+    spans = gold.select("document", "field", F.inline_outer(F.concat("evidence", "premises")))
     flags = {"spans": F.col("page").isNotNull(), "ambiguous_spans": F.col("occurrences") > 1}
     if "ocr_box" in spans.columns:
         flags["spans_without_ocr"] = F.col("page").isNotNull() & F.col("ocr_box").isNull()

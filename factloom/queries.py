@@ -20,6 +20,7 @@ from .operators import search
 from .plans import derivation as D
 from .plans import evaluation as E
 from .plans import extraction as P
+from .plans import probes as B
 from .plans import responses as M
 from .streaming.events import windowed_counts
 
@@ -373,13 +374,21 @@ def cosine_topk(spark, sf_dir):
 
 
 @query(
-    f"WITH d AS (SELECT doc_id, {_FORM} AS t FROM documents), b AS (SELECT item_id, {_FORM} AS q FROM benchmark), h AS (SELECT doc_id, item_id FROM d JOIN b ON contains(t, q)) "
-    "SELECT item_id, count(h.doc_id) AS n_docs, min(h.doc_id) AS first_doc, count(h.doc_id) > 0 AS located FROM benchmark LEFT JOIN h USING (item_id) GROUP BY item_id"
+    f"WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS nr, count(*) OVER () AS n, {_FORM} AS q FROM benchmark), d AS (SELECT doc_id, {_FORM} AS t FROM documents), "
+    "m AS (SELECT doc_id AS document, q <> '' AND contains(t, q) AS held FROM d JOIN b ON doc_id % n = nr) "
+    "SELECT document, held AS value_exact, held::INT AS n_pages, held AS value_on_gold_page, held AS span_exact, CASE WHEN held THEN '' ELSE 'value not found; span not found' END AS note FROM m"
 )
 def locate_oracle_flags(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark")
-    hits = search.passages_in(read(spark, sf_dir, "documents"), b).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"), "first_doc", F.col("n").isNotNull().alias("located"))
+    """Gold of a document is one passage in turn, as value and as span; its one page is the document's text."""
+    passages = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    n = passages.count()
+    numbered = passages.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("nr"), F.col("text").alias("q"))  # a table of fixed size
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), "text")
+    span = F.array(F.struct(F.lit(1).alias("page"), F.col("q").alias("text"), F.lit(None).alias("box")).cast(E.SPANS[6:-1]))
+    gold = docs.select("document").join(numbered, F.col("document") % n == F.col("nr")).select("document", F.lit("product_name").alias("field"), F.lit("PRESENT").alias("state"), F.lit("EXPLICIT").alias("derivation"), F.lit(None).cast("string").alias("rule"), F.col("q").alias("value"), span.alias("evidence"), F.array().cast(E.SPANS).alias("premises"))
+    pages = docs.select("document", F.lit(1).alias("page"), "text", F.col("text").alias("row_text"))
+    flags = B.oracle_flags(gold, pages)
+    return flags.select("document", "value_exact", F.size("value_pages").alias("n_pages"), "value_on_gold_page", "span_exact", "note")
 
 
 @query("SELECT source, substr(sha256('engine' || chr(0) || 'layer=native' || chr(0) || 'split=' || source || (SELECT string_agg(chr(0) || x, '' ORDER BY x) FROM (SELECT doc_id::VARCHAR AS x FROM documents e WHERE e.source = d.source))), 1, 16) AS id FROM (SELECT DISTINCT source FROM documents) d")

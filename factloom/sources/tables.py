@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import contracts as K
+
 _REF = "struct<page: int, text: string, occurrence: int, case_sensitive: boolean>"
 _FIELD = f"struct<state: string, derivation: string, rule: string, value: string, accepted_values: array<string>, ambiguous: boolean, alternative_state: string, note: string, evidence: array<{_REF}>>"
 _ITEM = f"struct<name: string, cas_number: string, cas_state: string, concentration: string, note: string, evidence: array<{_REF}>>"
@@ -46,12 +48,12 @@ def ocr_words(spark: SparkSession, path: str) -> DataFrame:
     return words.where(F.trim("w.text") != "").select("document", F.col("page_number").alias("page"), "word_no", F.col("w.text").alias("text"), F.col("w.confidence").alias("confidence"), part(1, "image_width").alias("x0"), part(2, "image_height").alias("y0"), part(3, "image_width").alias("x1"), part(4, "image_height").alias("y1"))
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
+def predictions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Claims, one row per document and field; a repeated document's last entry wins."""
-    raw = spark.read.schema(PREDICTIONS).json(path, multiLine=True)
+    raw = spark.read.schema(PREDICTIONS).json(path, multiLine=multi_line)
     docs = raw.select("system", "configuration", F.posexplode("documents").alias("pos", "d"))
-    last = docs.groupBy("system", F.col("d.document").alias("document")).agg(F.max_by("d", "pos").alias("d"))
-    return last.select("system", "document", F.col("d.error").alias("error"), F.explode_outer("d.fields").alias("field", "claim"))
+    last = docs.groupBy("system", F.col("d.document").alias("document")).agg(F.max_by("d", "pos").alias("d"), F.max_by("configuration", "pos").alias("configuration"))
+    return last.select("system", "configuration", "document", F.col("d.error").alias("error"), F.explode_outer("d.fields").alias("field", "claim"))
 
 
 def units(spark: SparkSession, path: str) -> DataFrame:
@@ -59,8 +61,8 @@ def units(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """Names of the document files below a folder; contents are read only when asked for."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("document"), "length")
+    """Names of the document files below a folder, sorted; contents are read only when asked for."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("document"), "length").orderBy("document")
 
 
 def write_json(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
@@ -73,5 +75,43 @@ def write_report(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").csv(path, header=True)
 
 
-def append_log(row: DataFrame, path: str) -> None:
-    row.write.mode("append").csv(path, header=True)
+def pdf_words(words: DataFrame) -> DataFrame:
+    """Words of a PDF reader (``document, page, block, line, word_no, text, x0, y0, x1, y1, width, height``) in reading order:
+    ``line_no`` and ``word_no`` count from 0, blank words are dropped, boxes are fractions of the page."""
+    some = words.where(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "")
+    page = Window.partitionBy("document", "page")
+    lined = some.withColumn("line_no", F.dense_rank().over(page.orderBy("block", "line")) - 1)
+    placed = lined.withColumn("word_no", F.row_number().over(Window.partitionBy("document", "page", "line_no").orderBy("word_no")) - 1)
+    part = lambda c, of: (F.col(c) / F.col(of)).alias(c)
+    return placed.select("document", "page", "line_no", "word_no", "text", part("x0", "width"), part("y0", "height"), part("x1", "width"), part("y1", "height"))
+
+
+def checked_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """``predictions`` of which every claim fits the contract; the first that do not are named in the error."""
+    rows = predictions(spark, path)
+    c = F.col("claim")
+    shaped = rows.where(c.isNotNull()).select("document", "field", c["state"].alias("state"), c["value"].alias("value"), c["derivation"].alias("derivation"), c["rule"].alias("rule"), F.coalesce(F.array_size(c["premises"]), F.lit(0)).alias("n_premises"), c["evidence"].isNotNull().alias("has_evidence"))
+    off = shaped.withColumn("codes", K.claim_breaches()).where(F.size("codes") > 0).orderBy("document", "field").limit(20).collect()
+    if off:
+        raise K.PredictionSetError("; ".join(f"{r['document']}/{r['field']}: {', '.join(r['codes'])}" for r in off))
+    return rows
+
+
+def write_predictions(claims: DataFrame, path: str, system: str, configuration: dict[str, str]) -> None:
+    """Claims (``document, field`` and a claim's columns) as JSON lines that ``predictions`` reads back, a line a document."""
+    claim = F.struct(*[c for c in claims.columns if c not in ("document", "field", "error")])
+    fields = claims.groupBy("document").agg(F.map_from_entries(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", claim)))).alias("fields"))
+    conf = F.create_map(*[F.lit(x) for kv in sorted(configuration.items()) for x in kv])
+    record = fields.select(F.lit(system).alias("system"), conf.alias("configuration"), F.array(F.struct("document", "fields")).alias("documents"))
+    record.write.mode("overwrite").json(path)
+
+
+def exploration(fields: DataFrame) -> DataFrame:
+    """``what, name, n`` over gold fields: documents by product form, fields by derivation, references by field, and fields
+    with more than one reference."""
+    n = F.coalesce(F.array_size("evidence"), F.lit(0))
+    forms = fields.select("document", F.coalesce("product_form", F.lit("UNKNOWN")).alias("name")).distinct().groupBy("name").agg(F.count("*").alias("n"))
+    out = forms.select(F.lit("product_form").alias("what"), "name", "n")
+    for what, name, value in (("derivation", "derivation", F.count("*")), ("evidence", "field", F.sum(n)), ("multi_evidence", "field", F.count_if(n > 1))):
+        out = out.unionByName(fields.groupBy(F.col(name).alias("name")).agg(value.cast("long").alias("n")).select(F.lit(what).alias("what"), "name", "n"))
+    return out

@@ -62,3 +62,19 @@ def test_probes(spark, golds, layer):
     rates = {r["probe"]: (r["n"], r["claims"], r["passed"]) for r in B.probe_rates(B.run_probes(golds, *layer)).collect()}
     # The flash point in Fahrenheit is nowhere in the text; cited lines have no boxes here.
     assert rates == {"gold_value": (5, 4, 0), "gold_evidence": (5, 5, 5), "gold_verify": (5, 5, 4)}
+
+
+def test_oracle_rows(spark, golds, layer):
+    ocr = layer[0].where("page = 1")
+    rows = {r["field"]: r for r in B.oracle_rows(golds, layer[0], ocr).collect()}
+    one = rows["supplier_name"]
+    assert one.__fields__ == list(B.ORACLE_COLUMNS) and len(one) == 21
+    assert (one["value_exact_native"], one["value_exact_ocr"], one["value_located_pages_native"], one["value_on_gold_page_ocr"], one["span_exact_ocr"]) == ("yes", "no", "2", "no", "no")
+    assert one["note"] == "value not found on ocr; span not found on ocr"
+    assert rows["product_cas_number"]["value_exact_native"] == "" == rows["product_cas_number"]["note"]
+    bare = {r["field"]: r for r in B.oracle_rows(golds, layer[0]).collect()}
+    assert bare["product_name"]["value_exact_native"] == "yes" and bare["product_name"]["value_exact_ocr"] == "" and bare["product_name"]["span_fuzzy_ocr"] == ""
+    table = B.oracle_rows(golds, layer[0], ocr)
+    told = {(r["part"], r["flag"]): (r["yes"], r["decided"]) for r in B.oracle_summary(table).collect()}
+    assert told["product", "value_exact_native"] == (2, 3) and told["product", "value_exact_ocr"] == (1, 3) and told["premise", "span_exact_native"] == (1, 1)
+    assert {tuple(r) for r in B.oracle_misses(table).collect()} == {("d", "flash_point", "native"), ("d", "flash_point", "ocr"), ("d", "supplier_name", "ocr")}
