@@ -128,7 +128,8 @@ def concentrations_equal(a: Column, b: Column) -> Column:
 
 
 def six_digits(value: Column) -> Column:
-    """A number to six significant digits, no zeros at the end, with an exponent below -4 and from 6 on."""
+    """A number to six significant digits, no zeros at the end, with an exponent below -4 and from 6 on; a value whose shortest
+    form lies halfway between two rounds up."""
 
     def shown(e: Column) -> Column:
         power = F.substring_index(e, "e", -1).cast("int")

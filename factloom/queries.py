@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import cues as Q
@@ -22,26 +20,9 @@ from .plans import evaluation as E
 from .plans import extraction as P
 from .plans import probes as B
 from .plans import responses as M
+from .registry import ORACLES, QUERIES, query, read
 from .streaming.events import windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _FORM = "trim(regexp_replace(lower(translate(text, 'º–—−‘’“”™®', '°---''''\"\"')), '[\\s\\x1c-\\x1f]+', ' ', 'g'))"
 
 
@@ -586,3 +567,8 @@ def fuzzy_score(spark, sf_dir):
 @query()
 def nfkc_norm(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_text(F.col("text")), 256).alias("digest"))
+
+
+from . import plan_queries  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]
