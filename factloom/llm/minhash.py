@@ -23,6 +23,7 @@ kept; with fewer words than a shingle the whole sequence is the one shingle; a n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,64 +36,84 @@ from . import common as C
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+#: Bytes of a text, or shingles, that are worked on at a time, so that a very long text needs little more than its hashes.
+_SLICE = 1 << 19
+
+
+def word_codes(text: str | None, words_of: C.WordHash) -> list[np.ndarray]:
+    """Hashes of a text's words in order, a slice of the text at a time."""
+    raw, at, out = (text or "").encode("utf-8", "surrogatepass").lower(), 0, []
+    while at < len(raw):
+        end = at + _SLICE
+        if end < len(raw):
+            gap = _BLANK.search(raw, end)
+            end = gap.start() if gap else len(raw)
+        words = raw[at:end].split()
+        out.append(np.fromiter(map(words_of.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return out
 
 
 def shingle_hashes(texts: list[str | None], size: int, words_of: C.WordHash) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all texts one after another, repeats included, and each text's number of them."""
-    codes: list[int] = []
-    lengths = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-        codes += map(words_of.__getitem__, words)
-        lengths[i] = len(words)
-    w = np.array(codes, np.uint64)
+    codes = [word_codes(t, words_of) for t in texts]
+    lengths = np.fromiter((sum(map(len, c)) for c in codes), np.int64, len(texts))
+    w = np.concatenate([np.empty(0, np.uint64), *(part for c in codes for part in c)])
     n = np.where(lengths >= size, lengths - size + 1, np.minimum(lengths, 1))
-    starts = np.cumsum(lengths) - lengths
-    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    short = np.repeat(lengths < size, n)
-    out = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            use = at + k
-            term = C.mix64(w[np.minimum(use, max(len(w) - 1, 0))] + np.uint64(k + 1)) if len(w) else out
-            held = np.repeat(lengths, n)
-            out = np.where(short & (held <= k), out, out * _ODD + term)
-    return C.mix64(out), n
+    ends, starts = np.cumsum(n), np.cumsum(lengths) - lengths
+    out = np.zeros(int(n.sum()), np.uint64)
+    for low in range(0, len(out), _SLICE):
+        place = np.arange(low, min(low + _SLICE, len(out)))
+        text = np.searchsorted(ends, place, side="right")
+        at, held = starts[text] + place - (ends[text] - n[text]), lengths[text]
+        value = np.zeros(len(place), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                term = C.mix64(w[np.minimum(at + k, len(w) - 1)] + np.uint64(k + 1))
+                value = np.where((held < size) & (held <= k), value, value * _ODD + term)
+        out[low : low + len(place)] = C.mix64(value)
+    return out, n
 
 
 def superminhash(h: np.ndarray, n: np.ndarray, slots: int) -> np.ndarray:
     """Signatures (texts x slots): ``step << 56 | fraction``; all ones where a text has no shingle."""
     texts = len(n)
     sig = np.full(texts * slots, _TOP, np.uint64)
-    doc = np.repeat(np.arange(texts), n)
-    state = h
-    perm = None
+    doc = np.repeat(np.arange(texts, dtype=np.int32), n)
+
+    def step(state: np.ndarray, doc: np.ndarray, j: int, perm: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        state = C.mix64(state + _ODD)
+        pick = j + (C.mix64(state ^ _ODD) % np.uint64(slots - j)).astype(np.int64)
+        slot = pick
+        if perm is not None:
+            rows = np.arange(len(state))
+            slot = perm[rows, pick].astype(np.int64)
+            perm[rows, pick] = perm[:, j]
+            perm[:, j] = slot
+        np.minimum.at(sig, doc.astype(np.int64) * slots + slot, np.uint64(j << 56) | (state >> np.uint64(8)))
+        return state, slot
+
     with np.errstate(over="ignore"):
-        for j in range(slots):
-            state = C.mix64(state + _ODD)
-            frac = state >> np.uint64(8)
-            pick = j + (C.mix64(state ^ _ODD) % np.uint64(slots - j)).astype(np.int64)
-            if j == 0:
-                slot = pick
-            else:
-                rows = np.arange(len(state))
-                slot = perm[rows, pick].astype(np.int64)
-                perm[rows, pick] = perm[:, j]
-                perm[:, j] = slot
-            np.minimum.at(sig, doc * slots + slot, np.uint64(j << 56) | frac)
-            going = sig.reshape(texts, slots).max(axis=1) >= np.uint64((j + 1) << 56)
-            keep = going[doc]
-            if j == slots - 1 or not keep.any():
+        # Every shingle takes the first step, in slices; few take more.
+        for low in range(0, len(h), _SLICE):
+            step(h[low : low + _SLICE], doc[low : low + _SLICE], 0, None)
+        keep = (sig.reshape(texts, slots).max(axis=1) >= np.uint64(1 << 56))[doc]
+        state, doc = h[keep], doc[keep]
+        state = C.mix64(state + _ODD)
+        first = (C.mix64(state ^ _ODD) % np.uint64(slots)).astype(np.int64)
+        perm = np.tile(np.arange(slots, dtype=np.uint8), (len(state), 1))
+        rows = np.arange(len(state))
+        perm[rows, first] = 0
+        perm[:, 0] = first
+        for j in range(1, slots):
+            if not len(state):
                 break
-            if j == 0:
-                first = slot[keep]
-                perm = np.tile(np.arange(slots, dtype=np.uint8), (len(first), 1))
-                rows = np.arange(len(first))
-                perm[rows, first] = 0
-                perm[:, 0] = first
-            else:
-                perm = perm[keep]
-            state, doc = state[keep], doc[keep]
+            state, _ = step(state, doc, j, perm)
+            keep = (sig.reshape(texts, slots).max(axis=1) >= np.uint64((j + 1) << 56))[doc]
+            state, doc, perm = state[keep], doc[keep], perm[keep]
     return sig.reshape(texts, slots)
 
 
