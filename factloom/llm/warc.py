@@ -10,12 +10,15 @@ the shared folder under a name of its own attempt and returns it in the manifest
 is in no manifest and is never read.
 
 Reader: for each archive of the manifest it reads the end of the file, the ZIP64 locator and directory, finds the stored
-members (local headers tell where their bytes start), reads the index member, and deals records over tasks, which
-range-read their bytes, neighbours in one read of at most ``read_bytes``. Revisits take length from their response.
+members (local headers tell where their bytes start), reads the index members, and deals records over tasks, which
+range-read their bytes, neighbours in one read of at most ``read_bytes``. Data are all stored members
+``archive/*.warc`` and ``archive/*.warc.gz``; indexes are ``indexes/`` members of JSON lines or CDXJ (``offset``, ``length`` and,
+where there are several data members, ``filename``). A data member that no index names is scanned record by record.
+Records of any type are read; ids other than this writer's are null. Revisits take length from their response.
 
 Paths are URIs; Python tasks open them with Arrow file systems. Defined results: null html is an empty payload; a null
 page id writes a record with an empty id and loses to every other as a response; repeated ids are records of their own,
-of which one is the response; null urls are written empty; other columns are ignored.
+of which one is the response; null urls are written empty; an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -193,14 +197,82 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = 100, arc
     spark = pages.sparkSession
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     some = some.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
-    shared = some.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = some.join(C.table(shared.select(F.col("digest").alias("same"), "first"), "warc-shared"), F.col("digest") == F.col("same"), "left")
-    revisit = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    found = some.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = C.table(found.select(F.col("digest").alias("same"), "first", "n"), "warc-shared")
+    # Payloads of more than a 1 / (2 * partitions) share of the copies number at most twice the partitions: a bounded
+    # broadcast. Their rows join the others under keys of their own, so that no task holds the copies of one payload.
+    copies = shared.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > copies / (2 * C.width(spark))
+    very = F.broadcast(shared.where(often).select(F.col("same").alias("hot"), F.col("first").alias("hot_first")))
+    met = some.join(very, F.col("digest") == F.col("hot"), "left")
+    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    met = met.join(shared.where(~often).select("same", "first"), key == F.col("same"), "left")
+    met = met.withColumn("first", F.when(F.col("hot").isNotNull(), F.col("hot_first")).otherwise(F.col("first")))
+    revisit = (F.col("same").isNotNull() | F.col("hot").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = met.select("page_id", "url", F.when(revisit, "").otherwise(F.col("html")).alias("html"), "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
     return C.table(rows.repartition(archives or C.width(spark)).mapInArrow(_write(folder), "archive string, records long, bytes long"), "warc-manifest")
 
 
-_ENTRIES = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_ENTRIES = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("packed", pa.bool_())])
+_DATA = re.compile(r"archive/.+\.warc(\.gz)?$")
+_INDEX = re.compile(r"indexes/.+\.(jsonl|cdxj?|idx)(\.gz)?$")
+
+
+def _index_lines(read_at, at: int, size: int, packed: bool) -> Iterator[bytes]:
+    rest, unzip = b"", zlib.decompressobj(47)
+    for low in range(0, size, 4 << 20):
+        data = read_at(min(4 << 20, size - low), at + low)
+        while packed and unzip.unused_data == b"" and data:
+            rest += unzip.decompress(data)
+            data = unzip.unused_data
+            if unzip.eof:  # an index of several gzip members
+                unzip = zlib.decompressobj(47)
+        *lines, rest = (rest + (b"" if packed else data)).split(b"\n")
+        yield from lines
+    yield rest
+
+
+def indexed(found: dict[str, tuple[int, int]], read_at) -> Iterator[tuple[str, int, int]]:
+    """Data member, offset and length of every record that an index names."""
+    data = [name for name in found if _DATA.match(name)]
+    for name, (at, size) in found.items():
+        if _INDEX.match(name):
+            for line in _index_lines(read_at, at, size, name.endswith(".gz")):
+                brace = line.find(b"{")
+                entry = json.loads(line[brace:]) if brace >= 0 else {}
+                member = "archive/" + entry["filename"].rpartition("/")[2] if "filename" in entry else data[0] if len(data) == 1 else None
+                if member in found and "offset" in entry and "length" in entry:
+                    yield member, int(entry["offset"]), int(entry["length"])
+
+
+def scanned(read_at, at: int, size: int, packed: bool, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Offset and length, from the member's start, of every record of a data member, by reading it through."""
+    pos = 0
+    while pos < size:
+        low, done = pos, None
+        if packed:
+            unzip = zlib.decompressobj(31)
+            while done is None:
+                data = read_at(min(step, size - low), at + low)
+                if not data:
+                    raise ValueError("a WARC record is cut short")
+                unzip.decompress(data)
+                low += len(data)
+                if unzip.eof:
+                    done = low - len(unzip.unused_data)
+        else:
+            head = b""
+            while b"\r\n\r\n" not in head:
+                data = read_at(min(65_536, size - low), at + low)
+                if not data:
+                    raise ValueError("a WARC record is cut short")
+                head += data
+                low += len(data)
+            end = head.index(b"\r\n\r\n")
+            long = re.search(rb"(?im)^content-length:\s*(\d+)", head[:end])
+            done = pos + end + 4 + int(long[1] if long else 0) + 4
+        yield pos, min(done, size) - pos
+        pos = done
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +280,15 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (uri,) in C.rows_of(batches, ["archive"]):
             fs, path = open_fs(uri)
             with fs.open_input_file(path) as f:
-                found = members_of(lambda n, at, f=f: f.read_at(n, at), f.size())
-                start, (at, size) = found[DATA][0], found[INDEX]
-                rest = b""
-                for low in range(0, size, 4 << 20):
-                    *lines, rest = (rest + f.read_at(min(4 << 20, size - low), at + low)).split(b"\n")
-                    for line in lines:
-                        entry = json.loads(line)
-                        yield uri, start + entry["offset"], entry["length"]
+                read_at = lambda n, at, f=f: f.read_at(n, at)
+                found, named = members_of(read_at, f.size()), set()
+                for member, at, size in indexed(found, read_at):
+                    named.add(member)
+                    yield uri, found[member][0] + at, size, member.endswith(".gz")
+                for member, (start, long) in found.items():
+                    if _DATA.match(member) and member not in named:
+                        for at, size in scanned(read_at, start, long, member.endswith(".gz")):
+                            yield uri, start + at, size, member.endswith(".gz")
 
     yield from C.emit(_ENTRIES, rows(), 16_384)
 
@@ -225,36 +298,38 @@ _RECORDS = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("u
 
 
 def _page(urn: str | None) -> int | None:
-    number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    number = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    return int(number[1]) if number else None
 
 
 def _read(read_bytes: int, blocks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parsed(raw: bytes) -> tuple:
-            headers, block = parse_record(gzip.decompress(raw))
-            kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
-            if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
+        def parsed(raw: bytes, packed: bool) -> tuple:
+            headers, block = parse_record(gzip.decompress(raw) if packed else raw)
+            kind, digest, page = headers.get("warc-type"), headers.get("warc-payload-digest", "").removeprefix("sha256:"), _page(headers.get("warc-record-id"))
+            # Only this writer's blocks are bare payloads with hexadecimal digests.
+            own = kind == "response" and headers.get("warc-record-id", "").startswith("<urn:page:")
+            if own and hashlib.sha256(block).hexdigest() != digest:
                 raise ValueError("a payload differs from its digest")
-            return _page(headers["warc-record-id"]), kind, headers["warc-target-uri"], digest, _page(headers.get("warc-refers-to")), len(block), block if blocks else None
+            return page, kind, headers.get("warc-target-uri"), digest, _page(headers.get("warc-refers-to")), len(block), block if blocks else None
 
         def rows():
-            for (uri,), group in C.groups_of(C.rows_of(batches, ["archive", "offset", "length"]), 1):
+            for (uri,), group in C.groups_of(C.rows_of(batches, ["archive", "offset", "length", "packed"]), 1):
                 fs, path = open_fs(uri)
                 with fs.open_input_file(path) as f:
-                    held: list[tuple[int, int]] = []
-                    for _, at, size in group:
+                    held: list[tuple[int, int, bool]] = []
+                    for _, at, size, packed in group:
                         if held and (at != held[-1][0] + held[-1][1] or at + size - held[0][0] > read_bytes):
                             yield from cut(f, held)
                             held = []
-                        held.append((at, size))
+                        held.append((at, size, packed))
                     yield from cut(f, held)
 
-        def cut(f, held: list[tuple[int, int]]):
+        def cut(f, held: list[tuple[int, int, bool]]):
             start = held[0][0]
             raw = f.read_at(held[-1][0] + held[-1][1] - start, start)
-            for at, size in held:
-                yield parsed(raw[at - start : at - start + size])
+            for at, size, packed in held:
+                yield parsed(raw[at - start : at - start + size], packed)
 
         yield from C.emit(_RECORDS, rows())
 
@@ -264,7 +339,7 @@ def _read(read_bytes: int, blocks: bool):
 def read_archives(manifest: DataFrame, *, blocks: bool = True, read_bytes: int = 4 << 20) -> DataFrame:
     """All records of the manifest's archives; ``block`` is null unless asked for."""
     spark = manifest.sparkSession
-    listed = manifest.select("archive").repartition(C.width(spark), "archive").mapInArrow(_list, "archive string, offset long, length long")
+    listed = manifest.select("archive").repartition(C.width(spark), "archive").mapInArrow(_list, "archive string, offset long, length long, packed boolean")
     entries = C.table(listed, "warc-entries")
     spread = entries.repartitionByRange(C.width(spark), "archive", "offset").sortWithinPartitions("archive", "offset")
     return spread.mapInArrow(_read(read_bytes, blocks), RECORDS)

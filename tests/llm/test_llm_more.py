@@ -1,14 +1,18 @@
 """Brute-force versions and edge cases: apportionment, ties of searches, repeated ids, long texts, cut conversations, seating."""
 
+import gzip
+import hashlib
+import json
 import math
 import random
+import zipfile
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, chat, exactdedup, linededup, lm, mixing, toxicity
+from factloom.llm import ann, chat, exactdedup, linededup, lm, mixing, toxicity, warc
 
 
 def highest(weights, seats, caps=None):
@@ -258,3 +262,177 @@ def test_language_model_by_force(spark):
         want = sum(math.log10(predict(w, u)) for u, w in zip(["\n", *ws], ws))
         assert math.isclose(got[i]["score"], want, rel_tol=1e-9)
         assert math.isclose(got[i]["perplexity"], 10 ** (-want / len(ws)), rel_tol=1e-9)
+
+
+def test_warc_reader_takes_other_archives(spark, tmp_path):
+    """Several data members, packed and plain, with a CDXJ index, a gzipped one, or none at all."""
+    raws = [warc.record(k, i, f"http://{i}", p.encode(), hashlib.sha256(p.encode()).hexdigest(), len(p), r) for k, i, p, r in (("response", 1, "x" * 300, None), ("revisit", 2, "", 1), ("response", 3, "", None))]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"
+    packed = [gzip.compress(r) for r in (info, *raws)]
+    at, lines = 0, []
+    for p in packed:
+        lines.append("com,x)/ 2020 " + json.dumps({"filename": "rec-00.warc.gz", "offset": str(at), "length": len(p)}))
+        at += len(p)
+    manifest, want = [], {(1, "response", 300), (2, "revisit", 0), (3, "response", 0), (None, "warcinfo", 4)}
+    for name, index in (("cdxj", "indexes/index.cdxj"), ("gz", "indexes/index.cdx.gz"), ("none", None)):
+        path = tmp_path / f"{name}.wacz"
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("archive/rec-00.warc.gz", b"".join(packed))
+            if index:
+                text = "\n".join(lines).encode()
+                z.writestr(index, gzip.compress(text) if index.endswith("gz") else text)
+            z.writestr("pages/pages.jsonl", b"{}")
+        manifest.append((f"file://{path}",))
+    plain = tmp_path / "plain.zip"
+    with zipfile.ZipFile(plain, "w") as z:
+        z.writestr("archive/a.warc", b"".join((info, *raws[:1])))
+        z.writestr("archive/b.warc", b"".join(raws[1:]))
+    manifest.append((f"file://{plain}",))
+    for row in manifest:
+        got = warc.read_archives(spark.createDataFrame([row], "archive string")).collect()
+        assert {(r["page_id"], r["record_type"], r["block_bytes"]) for r in got} == want and len(got) == 4
+
+
+def test_warc_hot_payload(spark, tmp_path):
+    rows = [(i, "u", "<html>" + ("same" * 60 if i % 3 else f"own {i // 6}" * 30)) for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.page_records(pages, folder=f"file://{tmp_path}/h").collect()}
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    assert got == {i: ("response" if first[h] == i else "revisit", None if first[h] == i else first[h], len(h)) for i, _, h in rows}
+
+
+def mix_plainly(rows, *, limit=3, block=16, seed=17, scatter=True):
+    """``{position: taken}`` of (doc_id, text, source) rows: targets by repeated sharing, quotas one quotient after another."""
+    size = [len((t or "").encode().split()) for _, t, _ in rows]
+    order = [hashlib.md5(f"{seed}:{'null' + hashlib.md5((t or '').encode()).hexdigest() if i is None else i}".encode()).hexdigest() for i, t, _ in rows]
+    sources = sorted({s for _, _, s in rows if s is not None}) + ([None] if any(s is None for _, _, s in rows) else [])
+    own = {s: [i for i, r in enumerate(rows) if r[2] == s] for s in sources}
+    total, weight = {s: sum(size[i] for i in own[s]) for s in sources}, {s: (5, 2, 1)[j % 3] for j, s in enumerate(sources)}
+    left, open_, target = float(sum(total.values())), list(sources), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * level >= limit * total[s]]
+        if not over:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: float(limit * total[s]) for s in over}
+        left -= sum(limit * total[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+    shards, cut = {}, {}
+    for s in sources:
+        n = max(1, 2 ** math.ceil(math.log2(math.sqrt(len(own[s])))))
+        for i in own[s]:
+            shards.setdefault((s, int(order[i][:8], 16) % n), []).append(i)
+    for key, held in shards.items():
+        words = sum(size[i] for i in held)
+        if words:
+            cut[key] = max(1, math.floor(words / block + 0.5))
+    some = [s for s in sources if total[s]]
+    blocks = {s: sum(n for (of, _), n in cut.items() if of == s) for s in some}
+    share = [target[s] * blocks[s] / total[s] for s in some]
+    seats = dict(zip(some, highest(share, math.floor(sum(round(x, 6) for x in share) + 0.5), [limit * blocks[s] for s in some]), strict=True))
+    taken = [0] * len(rows)
+    for s in some:
+        mine = sorted(key for key in cut if key[0] == s)
+        for key, quota in zip(mine, highest([float(cut[k]) for k in mine], seats[s]), strict=True):
+            n, words, at = cut[key], sum(size[i] for i in shards[key]), 0
+            jump = (2_147_483_647 if scatter else 1) % n
+            name = f"{seed}:{key[1]}" + ("" if s is None else f":{s}")
+            shift = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % n
+            chosen = {j for j in range(n) if (j * jump + shift) % n < quota % n}
+            for i in sorted(shards[key], key=lambda i: (order[i], rows[i][0] is not None, rows[i][0], size[i])):
+                taken[i] = quota // n * size[i] + sum((at + w) * n // words in chosen for w in range(size[i]))
+                at += size[i]
+    return taken, size
+
+
+@pytest.mark.parametrize("scatter", [True, False])
+def test_mixing_by_force(spark, scatter):
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, "w " * rng.choice((0, 1, rng.randint(0, 400))) + str(i), rng.choice(["a", "b", "b", "c", "", None])) for i in range(240)] + [(500, None, "d"), (501, "", "d"), (502, "x " * 3000, "e")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want, size = mix_plainly(rows, scatter=scatter)
+    got = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(table, scatter=scatter).collect())
+    assert got == Counter((i, n, t) for (i, _, _), n, t in zip(rows, size, want, strict=True))
+
+
+def near_plainly(texts, percent=80, size=5):
+    """Smallest id reachable over links of shingle sets."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def test_pipeline_by_force(spark, tmp_path):
+    """Several sources, exact and near copies, null and empty texts, other columns: each stage against a plain version."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+    from factloom.llm import bpe
+
+    rng = random.Random(21)
+    w = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5))) for _ in range(n))
+    texts = {}
+    for i in range(160):
+        texts[i] = w(rng.randint(20, 90)) + (" vile brutish rot" * 2 if i % 8 == 0 else "")
+    for i in range(30):
+        texts[200 + i] = texts[1 + 2 * i].upper()  # exact copies but for case
+        near = texts[2 + 3 * i].split()
+        near[-1] = "changed"
+        texts[300 + i] = " ".join(near)
+    texts |= {400: None, 401: "", 402: "one"}
+    rows = [(i, t, "en", ("web", "books", "code")[i % 3] if i % 11 else None, len(t or ""), i) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mix_copy long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(160)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = toxicity.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")), F.lit(True))
+    kept = {i: t for i, t in texts.items() if model.score(toxicity.terms_of(t))[0] < 0.5}
+    assert {i for i in texts if i < 160 and i % 8 == 0} == {i for i in range(160) if i not in kept}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    first = {}
+    for i in sorted(kept):
+        first.setdefault((kept[i] or "").translate(low), i)
+    kept = {i: kept[i] for i in first.values()}
+    roots = near_plainly(kept)
+    kept = {i: t for i, t in kept.items() if roots[i] == i}
+    source = {r[0]: r[3] for r in rows}
+    ordered = [(i, t, source[i]) for i, t in kept.items()]
+    taken, size = mix_plainly(ordered, scatter=False)
+    copies = {r[0]: math.floor(t / n + 0.5) for r, t, n in zip(ordered, taken, size, strict=True) if n}
+    real = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))), special_tokens={})
+    want = Counter()
+    for i, n in copies.items():
+        if n:
+            ids = real.encode_ordinary(kept[i] or "")
+            want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((kept[i] or "").encode()).hexdigest()] = n
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """Empty tables, and rows of nulls and repeats only, pass all stages."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None)] * 3 + [(1, "same words here", "en", "s", 15)] * 4 + [(2, "", "en", "s", 0)])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert len(out) == len(rows[:1]) and all(r["doc_id"] == 1 and r["n_tokens"] > 0 for r in out)
