@@ -2,7 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read back as the next
 stage's ``docs``. All but the last return the columns of ``documents``; the last returns ids and digests of the tokens.
-Rows with null or empty texts pass the filters like any other text; the mix takes nothing from texts without a word.
+Columns other than those of ``documents`` pass through, whatever their names. Rows with null or empty texts are texts like any
+other to the filters, equal to each other in exact dedup; the mix takes nothing from texts without a word. Null identifiers
+are kept and order last; rows that repeat an identifier are near-dedup's one node and share the mix's mean count. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,24 +22,27 @@ from factloom.llm.toxicity import keep_clean, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents scored 0.5 or more by their nearest labelled examples (all labelled rows may be learnt from)."""
+    """Drop documents scored 0.5 or more by their nearest labelled examples (all labelled rows may be learnt from). Without usable
+    labels every score is 0 and all rows stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_clean(docs, train(docs, labels, F.lit(True)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts (A-Z lower-cased) the smallest doc_id stays, a null one only if there is no other; of repeated rows one."""
     return drop_duplicates(docs, keep="min")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more: the smallest doc_id of each component stays."""
+    """Five-word shingles, similarity 0.8 or more: the smallest doc_id of each component stays. Texts without words and rows
+    with a null id are linked with nothing and stay."""
     groups = C.table(near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id").distinct(), "pipeline-near")
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 5, 2, 1 in turn, at most three passes: rows as often as the mix takes them."""
+    """Sources at weights 5, 2, 1 in turn, at most three passes: rows as often as the mix takes them, in whole documents; texts
+    without a word go."""
     return apply_mix(docs)
 
 

@@ -179,10 +179,30 @@ def product_form(rows: DataFrame, document: str = "document") -> DataFrame:
     return best.select(document, "b.form", "b.rule", "b.confidence", "b.premises")
 
 
+def confidence_of(prior: Column, seen: Column) -> Column:
+    """The prior, or its mean with the OCR confidence of what was read (0 to 100; null or negative: none)."""
+    return F.when(seen >= 0, F.bround((prior + seen / 100) / 2, 4)).otherwise(prior)
+
+
+def row_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean ``confidence`` of the words of each row (keys), negative ones left out."""
+    return words.groupBy(*keys).agg(F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))).alias("confidence"))
+
+
+def ingredient_blocks(rows: DataFrame, document: str = "document") -> DataFrame:
+    """``document, state, evidence`` of the ingredient block: PRESENT where section 3 has items, citing its first row that
+    holds the word CAS if any; else NOT_STATED."""
+    items = X.ingredient_rows(rows, document).select(document).distinct().withColumn("held", F.lit(True))
+    heads = composition_rows(rows, document).where(F.lower("text").rlike(r"(?<![a-z])cas(?![a-z])")).groupBy(document).agg(F.min(F.struct("page", "row_no", "text")).alias("head"))
+    met = rows.select(document).distinct().join(items, document, "left").join(heads, document, "left")
+    return met.select(document, F.when(F.col("held"), "PRESENT").otherwise("NOT_STATED").alias("state"), F.when(F.col("held"), F.col("head")).alias("evidence"))
+
+
 def extract_documents(rows: DataFrame, layout: str = "rows", document: str = "document") -> DataFrame:
     """One claim a document and product field: ``document, field, state, value, derivation, rule, evidence, premises,
     confidence, rationale``. An explicit state other than PRESENT wins over a licensed derivation, that over an explicit
-    value; nothing found is NOT_STATED. A registry number with a wrong check digit stays, with a rationale."""
+    value; nothing found is NOT_STATED. A registry number with a wrong check digit stays, with a rationale. Rows of an OCR
+    layer may carry ``confidence``, the mean of their words' 0 to 100."""
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout}")
     found = (row_candidates if layout == "rows" else linear_candidates)(rows, document)
@@ -192,8 +212,9 @@ def extract_documents(rows: DataFrame, layout: str = "rows", document: str = "do
     # The verdict of the identifier rule depends on the premises only, so it is taken once a document.
     licensed = D.check_rule(F.lit(D.IDENTIFIER_RULE), F.lit("chemical_formula"), F.lit("NOT_APPLICABLE"), F.lit(None).cast("string"), F.size("premises")) == "satisfied"
     forms = forms.join(audited, document).select(document, "form", F.col("rule").alias("form_rule"), "confidence", "premises", "audit.*").withColumn("licensed", licensed).drop(*D.ROLES, "declared")
-    texts = explicit.join(rows.select(document, "page", "row_no", "text"), [document, "page", "row_no"], "left")
-    by_field = texts.groupBy(document).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("state", "value", F.struct("page", "row_no", "text").alias("evidence"))))).alias("explicit"))
+    seen = F.col("confidence").cast("double") if "confidence" in rows.columns else F.lit(None).cast("double")
+    texts = explicit.join(rows.select(document, "page", "row_no", "text", seen.alias("seen")), [document, "page", "row_no"], "left")
+    by_field = texts.groupBy(document).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("state", "value", F.struct("page", "row_no", "text").alias("evidence"), "seen")))).alias("explicit"))
     names = F.array(*[F.lit(name) for name, *_ in Q.FIELDS])
     base = rows.select(document).distinct().join(by_field, document, "left").join(forms, document, "left").withColumn("field", F.explode(names))
     base = base.withColumn("e", F.try_element_at("explicit", F.col("field")))
@@ -214,7 +235,7 @@ def extract_documents(rows: DataFrame, layout: str = "rows", document: str = "do
         F.when(derived_form, F.col("form_rule")).when(barred, D.IDENTIFIER_RULE).alias("rule"),
         F.when(is_form & known & ~derived_form, spot(F.get("premises", 0))).when(read, spot(e["evidence"])).alias("evidence"),
         F.when(derived_form | barred, F.transform("premises", spot)).alias("premises"),
-        F.when((is_form & known) | barred, F.col("confidence")).when(read, _by_field({k: F.lit(v) for k, v in PRIORS.items()})).alias("confidence"),
+        F.when((is_form & known) | barred, F.col("confidence")).when(read, confidence_of(_by_field({k: F.lit(v) for k, v in PRIORS.items()}), e["seen"])).alias("confidence"),
         F.when(flagged, "CAS check digit failed").when(derived_form, "composition table").when(barred, F.concat(F.lit("identifiers are undefined for "), F.col("form"))).alias("rationale"),
     ).withColumn("state", F.coalesce("state", F.lit("NOT_STATED")))
 

@@ -76,3 +76,14 @@ def test_gold_problems(spark):
     assert got["substance_or_mixture"] == ["evidence_on_not_stated", "form_not_stated", "not_stated_not_absent", "rule_on_underived", "value_without_present"]
     assert got["colour"] == ["unknown_field"]
     assert {r["field"] for r in D.missing_fields(gold).collect()} == {"product_name", "supplier_name", "product_cas_number"}
+
+
+def test_confidence_and_blocks(spark):
+    rows = [("a", 1, 0, "Flash point: 61 C", 80.0), ("a", 1, 1, "SECTION 3: Composition", 90.0), ("a", 1, 2, "Name CAS No. % by Wt", 90.0), ("a", 1, 3, "argon 7440-37-1 100", 90.0), ("b", 1, 0, "Flash point: 61 C", None)]
+    table = spark.createDataFrame(rows, "document string, page int, row_no int, text string, confidence double")
+    got = {r["document"]: r["confidence"] for r in P.extract_documents(table).where("field = 'flash_point'").collect()}
+    assert got == {"a": 0.85, "b": 0.9}
+    blocks = {r["document"]: (r["state"], r["evidence"] and r["evidence"]["row_no"]) for r in P.ingredient_blocks(table).collect()}
+    assert blocks == {"a": ("PRESENT", 2), "b": ("NOT_STATED", None)}
+    words = spark.createDataFrame([("a", 0, 90.0), ("a", 0, 70.0), ("a", 0, -1.0), ("a", 1, -1.0)], "document string, row_no int, confidence double")
+    assert {r["row_no"]: r["confidence"] for r in P.row_confidence(words, ["document", "row_no"]).collect()} == {0: 80.0, 1: None}
