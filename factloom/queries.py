@@ -454,9 +454,17 @@ def extract_document_fields(spark, sf_dir):
 
 _SCORED = {
     # field: axes in order for a claim that is right, has another value or rule, another state or kind
-    "flash_point": ("+++++++", "+-++++-", "-----++"),
+    **dict.fromkeys(("flash_point", "product_name", "supplier_name", "product_cas_number", "molecular_weight", "substance_or_mixture"), ("+++++++", "+-++++-", "-----++")),
     "chemical_formula": ("+++++++", "+++++--", "+++++-?"),
 }
+#: Lines of the page, with a field's value and another one; %d is the product's size.
+_LINES = {
+    "product_name": ("Product name: Acid %d", "Acid %d", "Base %d"),
+    "supplier_name": ("Supplier: Acme %d Ltd", "acme %d ltd.", "Other %d Ltd"),
+    "product_cas_number": ("CAS No.: 7732-18-5 (%d)", "7732-18-5", "7440-37-1"),
+    "molecular_weight": ("Molecular weight: %d g/mol", "%d,0 g/mol", "9%d g/mol"),
+    "substance_or_mixture": ("Substance/mixture %d: Mixture", "MIXTURE", "SUBSTANCE"),
+}
 _ROW = {side: f"struct<field: string, state: string, derivation: string, rule: string, value: string, evidence: {E.SPANS if side == 'gold' else E.SPANS[6:-1]}, premises: {E.SPANS}>" for side in ("gold", "claim")}
 _STATUS = {"+": "satisfied", "-": "violated", "?": "undecidable"}
 
@@ -469,7 +477,7 @@ _STATUS = {"+": "satisfied", "-": "violated", "?": "undecidable"}
         + f" END AS {axis}"
         for a, axis in enumerate(S.AXES)
     )
-    + ", p_partkey % 4 = 1 AS joint FROM part, (VALUES ('flash_point'), ('chemical_formula')) AS f(field)"
+    + f", p_partkey % 4 = 1 AS joint FROM part, (VALUES {', '.join(f'({chr(39)}{f}{chr(39)})' for f in _SCORED)}) AS f(field)"
 )
 def evaluate_claims(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("document"), F.col("p_size").cast("int").alias("size"), (F.col("p_partkey") % 4).alias("kind"))
@@ -477,18 +485,22 @@ def evaluate_claims(spark, sf_dir):
     flash, mixture, missing = F.format_string("Flash point: %d C", "size"), F.lit("Chemical description: Mixture of substances"), F.lit("Flash point: no data available")
     span = lambda n, text, y: F.struct(F.lit(n), text, F.struct(F.lit(0.1), F.lit(y), F.lit(0.9), F.lit(y + 0.1))).cast(E.SPANS[6:-1])
     rows = lambda kind, *values: parts.where("kind > 0" if kind == "claim" else "true").select("document", F.inline(F.array(*[F.struct(*v).cast(_ROW[kind]) for v in values])))
+    text_of = lambda form: F.replace(F.lit(form), F.lit("%d"), F.col("size").cast("string"))
+    lines = {f: (text_of(line), text_of(value), text_of(other), 0.5 + 0.04 * i) for i, (f, (line, value, other)) in enumerate(_LINES.items())}
     gold = rows(
         "gold",
+        *[(F.lit(f), F.lit("PRESENT"), F.lit("EXPLICIT"), none, value, F.array(span(1, line, y)), no_spans) for f, (line, value, _, y) in lines.items()],
         (F.lit("flash_point"), F.lit("PRESENT"), F.lit("EXPLICIT"), none, F.format_string("%d C", "size"), F.array(span(1, flash, 0.1)), no_spans),
         (F.lit("chemical_formula"), F.lit("NOT_APPLICABLE"), F.lit("ONTOLOGY"), F.lit(D.IDENTIFIER_RULE), none, no_spans, F.array(span(1, mixture, 0.3))),
     )
     said, shown = F.format_string("%d C", F.col("size") + F.when(k == 2, 5).otherwise(0)), F.when(k == 3, span(2, missing, 0.1)).otherwise(span(1, flash, 0.1))
     claims = rows(
         "claim",
+        *[(F.lit(f), F.when(k == 3, "NO_DATA").otherwise("PRESENT"), F.lit("DIRECT"), none, F.when(k == 1, value).when(k == 2, other), F.when(k == 3, span(2, missing, 0.1)).otherwise(span(1, line, y)), no_spans) for f, (line, value, other, y) in lines.items()],
         (F.lit("flash_point"), F.when(k == 3, "NO_DATA").otherwise("PRESENT"), F.lit("DIRECT"), none, F.when(k < 3, said), shown, no_spans),
         (F.lit("chemical_formula"), F.lit("NOT_APPLICABLE"), F.when(k == 3, "DIRECT").otherwise("DERIVED"), F.when(k == 1, D.IDENTIFIER_RULE).when(k == 2, D.COMPOSITION_RULE), none, F.when(k == 3, span(1, mixture, 0.3)), F.when(k < 3, F.array(span(1, mixture, 0.3))).otherwise(no_spans)),
     )
-    texts = F.array(F.struct(F.lit(1).alias("page"), F.concat_ws("\n", flash, mixture).alias("text")), F.struct(F.lit(2).alias("page"), missing.alias("text")))
+    texts = F.array(F.struct(F.lit(1).alias("page"), F.concat_ws("\n", flash, mixture, *[line for line, *_ in lines.values()]).alias("text")), F.struct(F.lit(2).alias("page"), missing.alias("text")))
     pages = parts.select("document", F.inline(texts)).withColumn("row_text", F.col("text"))
     return E.evaluate(gold, claims, pages).select("document", "field", *S.AXES, "joint")
 
