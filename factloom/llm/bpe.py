@@ -255,6 +255,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, digests: bool = Fa
     blocks = C.table(two.mapInArrow(_split_blocks(pattern, shards, block_chars, id_column, text_column), BLOCKS), "bpe-blocks")
     asked = blocks.where("kind = 1").repartitionById(shards, F.col("shard"))
     answers = asked.mapInArrow(_encode_words(raw, pattern, 500_000), BLOCKS)
-    meet = blocks.where("kind = 0").unionByName(answers).repartition(C.width(spark), "block").sortWithinPartitions("block", "shard")
+    wide = C.width(spark)
+    meet = blocks.where("kind = 0").unionByName(answers).repartitionById(wide, C.block_place(wide)).sortWithinPartitions("block", "shard")
     out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>, decoded binary")
     return meet.mapInArrow(_gather(raw, digests), out)

@@ -15,7 +15,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -96,6 +97,7 @@ def _forget_local() -> None:
 
 
 atexit.register(_forget_local)
+atexit.register(release)
 
 
 def width(spark: SparkSession) -> int:
@@ -103,6 +105,12 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def block_place(wide: int) -> Column:
+    """Partition of a block (``part << 32 | number``): blocks of neighbouring parts go to neighbouring partitions, so that few
+    large blocks spread evenly where hashes would collide."""
+    return F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) * 31, F.lit(wide)).cast("int")
+
+
 # -- packed blobs ------------------------------------------------------------------------------
 
 

@@ -428,7 +428,7 @@ def score(docs: DataFrame, held_out: Column, *, contexts: int | None = None, swe
     keys = Keys(shards, width)
     answers = counted.where("kind = 1")
     heads = blocks.where("kind = 0")
-    meet = heads.unionByName(answers).repartition(wide, "block").sortWithinPartitions("block", "kind", "shard")
+    meet = heads.unionByName(answers).repartitionById(wide, C.block_place(wide)).sortWithinPartitions("block", "kind", "shard")
     messages = C.table(meet.mapInArrow(_pairs(keys, least), _KINDS), "lm-pairs")
     inputs = messages.select("shard", "kind", "a", "b").unionByName(counted.where("kind = 2").select("shard", "kind", "a", "b"))
     start = C.table(inputs.repartitionById(shards, F.col("shard")).mapInArrow(_merge(keys), _SEAT_COLUMNS), "lm-start")
@@ -471,6 +471,6 @@ def score(docs: DataFrame, held_out: Column, *, contexts: int | None = None, swe
         asked = asked.unionByName(s)
     # Negative block numbers put a shard's pairs and seatings, in sample order, before the blocks that ask.
     replies = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block", "kind").mapInArrow(_answer(keys), _KINDS)
-    final = heads.unionByName(answers).unionByName(replies).repartition(wide, "block").sortWithinPartitions("block", "kind", "shard")
+    final = heads.unionByName(answers).unionByName(replies).repartitionById(wide, C.block_place(wide)).sortWithinPartitions("block", "kind", "shard")
     out = final.mapInArrow(_finish(states, keys, least), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
