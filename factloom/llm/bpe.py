@@ -138,17 +138,14 @@ def unpack_ranks(blob: bytes) -> np.ndarray:
 class _Block:
     def __init__(self, find, shards: int):
         self.find, self.shards, self.chars = find, shards, 0
-        self.words: dict[str, int] = {}
+        self.words: dict[str, int] = C.numbering()
         self.docs: list[int | None] = []
         self.lengths: list[int] = []
         self.places: list[np.ndarray] = []
 
     def add(self, doc, text: str) -> None:
-        found, words = self.find(text), self.words
-        for w in found:
-            if w not in words:
-                words[w] = len(words)
-        self.places.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+        found = self.find(text)
+        self.places.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
         self.docs.append(doc)
         self.lengths.append(len(found))
         self.chars += len(text)
@@ -160,7 +157,7 @@ class _Block:
         the reader finds the ranks again, so an answer needs no keys."""
         coded = [w.encode("utf-8", "surrogatepass") for w in self.words]
         shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % self.shards for w in coded), np.int64, len(coded))
-        order = sorted(range(len(coded)), key=lambda i: (shard[i], coded[i]))
+        order = C.by_shard(coded, shard)
         to = np.empty(len(coded), np.uint32)
         to[order] = np.arange(len(coded), dtype=np.uint32)
         places = np.concatenate(self.places) if self.places else np.empty(0, np.uint32)
@@ -170,7 +167,7 @@ class _Block:
         counts = np.bincount(to[places], minlength=len(coded))
         yield block, -1, 0, C.pack_array(head), pack_ranks(by_count(counts)[1][to[places]]), C.pack_uints(counts)
         at = 0
-        ranked = [coded[i] for i in order]
+        ranked = [coded[i] for i in order.tolist()]
         counts = np.bincount(shard, minlength=self.shards) if len(coded) else np.zeros(self.shards, np.int64)
         for s in np.flatnonzero(counts).tolist():
             n = int(counts[s])

@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,6 +156,19 @@ def unpack_uints(blob: bytes) -> np.ndarray:
     return out
 
 
+def numbering() -> dict:
+    """A dictionary that numbers new keys as they are asked for."""
+    numbers: dict = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
+def by_shard(words: list[bytes], shard: np.ndarray) -> np.ndarray:
+    """Places of the words in order of shard and word."""
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    return order[np.argsort(shard[order], kind="stable")]
+
+
 class WordHash(dict):
     """64-bit hash of a word, remembered for up to ``room`` words."""
 

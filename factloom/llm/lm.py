@@ -63,7 +63,7 @@ def _blocks(shards: int, block_chars: int):
             train = np.fromiter((not held for _, held in docs), bool, len(docs))
             counts = np.bincount(places_all[np.repeat(train, lengths)], minlength=len(coded))
             shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in coded), np.int64, len(coded))
-            order = np.array(sorted(range(len(coded)), key=lambda i: (shard[i], coded[i])), np.int64)
+            order = C.by_shard(coded, shard)
             to = np.empty(len(coded), np.uint32)
             to[order] = np.arange(len(coded), dtype=np.uint32)
             seen = np.bincount(to[places_all], minlength=len(coded))
@@ -79,15 +79,12 @@ def _blocks(shards: int, block_chars: int):
                     at += n
 
         def rows() -> Iterator[tuple]:
-            number, chars, words, docs, places = 0, 0, {}, [], []
+            number, chars, words, docs, places = 0, 0, C.numbering(), [], []
             for doc, held, text in C.rows_of(batches, ["doc_id", "held_out", "text"]):
                 if docs and chars + len(text or "") > block_chars:
                     yield from close(number, words, docs, places)
-                    number, chars, words, docs, places = number + 1, 0, {}, [], []
+                    number, chars, words, docs, places = number + 1, 0, C.numbering(), [], []
                 found = _words(text)
-                for w in found:
-                    if w not in words:
-                        words[w] = len(words)
                 places.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
                 docs.append((doc, held))
                 chars += len(text or "")
