@@ -81,6 +81,11 @@ def normalize_cas(c: Column, compat: bool = True) -> Column:
     return F.trim(F.translate(out, "–—−", "---"), F.lit(" .,:;"))
 
 
+def cas_word(word: Column) -> Column:
+    """``normalize_cas`` of a word without white space; plain ASCII words need no composition."""
+    return F.when(word.rlike(r"[^\x00-\x7f]"), normalize_cas(word)).otherwise(F.trim(word, F.lit(" .,:;")))
+
+
 CAS = r"^(\d{2,7})-(\d{2})-(\d)$"
 
 
@@ -100,14 +105,19 @@ def span_tokens(c: Column, compat: bool = True) -> Column:
 
 
 def longest_common_run(gold: Column, other: Column) -> Column:
-    """Longest run of tokens that both arrays hold side by side: one row of the table of runs at a time."""
+    """Longest run of tokens (without spaces) that both arrays hold side by side.
+
+    The best length grows by one at a time: at each token of ``gold`` only the run one longer than the best that ends there is
+    looked for in the other tokens' text."""
+
+    def grow(text: Column) -> Column:
+        def step(best: Column, at: Column) -> Column:
+            run = F.concat(F.lit(" "), F.array_join(F.slice(gold, F.greatest(at - best, F.lit(1)), best + 1), " "), F.lit(" "))
+            return best + F.when((at > best) & F.contains(text, run), 1).otherwise(0)
 
-    def row(acc: Column, g: Column) -> Column:
-        now = F.transform(other, lambda p, i: F.when(p == g, F.when(i == 0, F.lit(0)).otherwise(F.element_at(acc["runs"], F.greatest(i, F.lit(1)))) + 1).otherwise(F.lit(0)))
-        return let(now, lambda n: F.struct(n.alias("runs"), F.greatest(acc["best"], F.coalesce(F.array_max(n), F.lit(0))).alias("best")))
+        return F.aggregate(F.sequence(F.lit(1), F.size(gold)), F.lit(0), step)
 
-    start = F.struct(F.transform(other, lambda _: F.lit(0)).alias("runs"), F.lit(0).alias("best"))
-    return F.aggregate(gold, start, row, lambda acc: acc["best"])
+    return F.when(F.size(gold) > 0, let(F.concat(F.lit(" "), F.array_join(other, " "), F.lit(" ")), grow)).otherwise(F.lit(0))
 
 
 def span_overlap(predicted: Column, gold: Column) -> Column:

@@ -89,7 +89,7 @@ def parse_numeric(raw: Column, punctuation: str = " :;,.") -> Column:
 
 def parse_cas(raw: Column) -> Column:
     """The first token that has a registry number's shape."""
-    return F.get(F.filter(F.transform(F.split(T.collapse(raw), " "), lambda t: T.normalize_cas(t)), lambda t: t.rlike(T.CAS)), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(T.collapse(raw), " "), lambda t: T.cas_word(t)), lambda t: t.rlike(T.CAS)), F.lit(0))
 
 
 PARSERS = {
@@ -139,17 +139,17 @@ def share_run(words: Column) -> Column:
             F.when(better, a["i"] + 1).otherwise(a["best_e"]).alias("best_e"), (a["i"] + 1).alias("i"),
         )
 
-    best = F.aggregate(words, start, step)
-    return F.when(best["best_n"] > 0, F.struct(best["best_s"].alias("start"), best["best_e"].alias("end")))
+    run = lambda best: F.when(best["best_n"] > 0, F.struct(best["best_s"].alias("start"), best["best_e"].alias("end")))
+    return T.let(F.aggregate(words, start, step), run)
 
 
 def ingredient_rows(rows: DataFrame, document: str = "document") -> DataFrame:
     """One item per registry number of section 3, its first row: ``document, cas, name, concentration, page, row_no, at, text``."""
     inside = composition_rows(rows, document).withColumn("words", F.split(T.collapse(F.col("text")), " "))
-    numbered = inside.withColumn("run", share_run(F.col("words"))).select("*", F.posexplode("words").alias("at", "word")).withColumn("cas", T.normalize_cas(F.col("word"))).where(F.col("cas").rlike(T.CAS))
+    numbered = inside.withColumn("run", share_run(F.col("words"))).select("*", F.posexplode("words").alias("at", "word")).withColumn("cas", T.cas_word(F.col("word"))).where(F.col("cas").rlike(T.CAS))
     first = numbered.withColumn("n", F.row_number().over(Window.partitionBy(document, "cas").orderBy("page", "row_no", "at"))).where("n = 1")
     kept = F.filter(
-        F.transform("words", lambda w, i: F.when((i != F.col("at")) & ~F.coalesce((i >= F.col("run.start")) & (i < F.col("run.end")), F.lit(False)) & ~T.normalize_cas(w).rlike(EC_TOKEN) & ~w.rlike(LABEL_TOKEN), w)),
+        F.transform("words", lambda w, i: F.when((i != F.col("at")) & ~F.coalesce((i >= F.col("run.start")) & (i < F.col("run.end")), F.lit(False)) & ~T.cas_word(w).rlike(EC_TOKEN) & ~w.rlike(LABEL_TOKEN), w)),
         lambda w: w.isNotNull(),
     )
     share = F.when(F.col("run").isNotNull(), F.array_join(F.slice("words", F.col("run.start") + 1, F.col("run.end") - F.col("run.start")), " "))

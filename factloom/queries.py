@@ -75,8 +75,8 @@ def temperature_parse(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     word = F.element_at(F.array(F.lit("Flash point: "), F.lit("not less than "), F.lit("below ")), (F.col("p_partkey") % 3 + 1).cast("int"))
     unit = F.when(F.col("p_partkey") % 2 == 0, " ºC").otherwise(" °F (closed cup)")
-    q = V.parse_temperature(F.concat(word, F.col("p_size").cast("string"), unit))
-    return p.select("p_partkey", F.round(q["value"], 6).alias("celsius"), q["comparator"].alias("comparator"))
+    met = p.select("p_partkey", V.parse_temperature(F.concat(word, F.col("p_size").cast("string"), unit)).alias("q"))
+    return met.select("p_partkey", F.round("q.value", 6).alias("celsius"), "q.comparator")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 OR 0.04 * (l_linenumber % 3) <= 0.05 AS same FROM lineitem")
@@ -98,8 +98,8 @@ def concentration_interval(spark, sf_dir):
     lo, hi = F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.round(F.col("l_discount") * 100 + F.col("l_tax") * 100 + 1).cast("int").cast("string")
     k = F.col("l_linenumber") % 4
     text = F.when(k == 0, F.concat(lo, F.lit(" % – "), hi, F.lit("% w/w"))).when(k == 1, F.concat(lo, F.lit(" - <"), hi, F.lit(" wt. %"))).when(k == 2, F.concat(F.lit("NMT "), hi)).otherwise(F.concat(F.lit("> "), lo, F.lit(" percent")))
-    c = V.parse_concentration(text)
-    return li.select("l_orderkey", "l_linenumber", *[c[f].alias(f) for f in ("low", "high", "low_inclusive", "high_inclusive")])
+    read_once = li.select("l_orderkey", "l_linenumber", V.parse_concentration(text).alias("c"))
+    return read_once.select("l_orderkey", "l_linenumber", "c.low", "c.high", "c.low_inclusive", "c.high_inclusive")
 
 
 @query("SELECT p_partkey, p_partkey % 3 <> 1 AS temperature, true AS name, p_size % 2 = 0 AS identifier FROM part")
@@ -127,8 +127,8 @@ def span_overlap_lcs(spark, sf_dir):
     key = F.col("l_orderkey").cast("string")
     gold = F.concat(F.lit("Flash Point: "), key, F.lit(" °C"))
     said = F.concat(F.lit("(flash  point "), key, F.when(F.col("l_linenumber") % 2 == 0, " °C)").otherwise(" degrees)"), F.when(F.col("l_linenumber") % 3 == 0, " and more text").otherwise(""))
-    o = T.span_overlap(said, gold)
-    return li.select("l_orderkey", "l_linenumber", o["matched"].alias("matched"), o["coverage"].alias("coverage"), F.round(o["iou"], 6).alias("iou"))
+    met = li.select("l_orderkey", "l_linenumber", T.span_overlap(said, gold).alias("o"))  # one column, or each field would compute it
+    return met.select("l_orderkey", "l_linenumber", "o.matched", "o.coverage", F.round("o.iou", 6).alias("iou"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'NO_DATA' WHEN 1 THEN 'NOT_APPLICABLE' WHEN 2 THEN NULL WHEN 3 THEN 'NO_DATA' ELSE NULL END AS state FROM part")
