@@ -77,6 +77,13 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_read(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2)
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole text, some tails repeated by the contract's rule; cases as in ``repetitions``."""
+    from .repetitions import digests, find_runs, repeat_tail
+
+    return digests(find_runs(_read(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id"), edit=repeat_tail))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by the contract's rule and repaired by the cheapest edits; cases as in ``repair``."""
     from .repair import damage, repair
@@ -91,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-from . import exactdedup, linededup, mixing, repair, warc  # noqa: E402
+from . import exactdedup, linededup, mixing, repair, repetitions, warc  # noqa: E402
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_anisotropic": op4_anisotropic, "op5_chat_hmm": op5_chat_hmm, "op6_line_dedup": op6_line_dedup, "op7_pitman_yor": op7_pitman_yor, "op8_content_sort": op8_content_sort, "op9_warc_zip": op9_warc_zip, "op10_mixing": op10_mixing, "op13_turn_repair": op13_turn_repair, "pipeline": pipeline}
-ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE, "op8_content_sort": exactdedup.ORACLE, "op9_warc_zip": warc.ORACLE, "op10_mixing": mixing.ORACLE, "op13_turn_repair": repair.ORACLE}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_anisotropic": op4_anisotropic, "op5_chat_hmm": op5_chat_hmm, "op6_line_dedup": op6_line_dedup, "op7_pitman_yor": op7_pitman_yor, "op8_content_sort": op8_content_sort, "op9_warc_zip": op9_warc_zip, "op10_mixing": op10_mixing, "op12_word_runs": op12_word_runs, "op13_turn_repair": op13_turn_repair, "pipeline": pipeline}
+ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE, "op8_content_sort": exactdedup.ORACLE, "op9_warc_zip": warc.ORACLE, "op10_mixing": mixing.ORACLE, "op12_word_runs": repetitions.ORACLE, "op13_turn_repair": repair.ORACLE}

@@ -53,7 +53,7 @@ def flag(turns: DataFrame, present: Column | None = None) -> DataFrame:
     told = F.rtrim(F.col("text"), F.lit(BLANKS))
     rows = rows.withColumns({"initial": F.substring("role", 1, 1), "blank": told == "", "cut": ~F.right(told, F.lit(1)).isin(".", "!", "?")})
     # The first window asks for the rows of a conversation together, and the second and the aggregate find them so.
-    line = Window.partitionBy("conv_id", "present").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    line = Window.partitionBy("conv_id").orderBy(F.desc("present"), F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumns({"place": F.row_number().over(line), "before": F.lag("initial").over(line), "turn_before": F.lag("turn").over(line)})
     same = Window.partitionBy("conv_id", "present", "role", "text").orderBy("place")
     fault = F.when(F.col("blank"), "blank").when(F.row_number().over(same) > 1, "duplicate").when(F.col("cut"), "truncated")
