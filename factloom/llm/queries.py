@@ -77,6 +77,14 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_read(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2)
 
 
+def op11_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and learnt ones of every whole text; cases as in ``grammar``."""
+    from .grammar import digests, learn, scan
+
+    docs = _read(spark, sf_dir, "documents")
+    return digests(scan(docs, F.col("text"), F.col("doc_id"), learn(docs, F.col("text"))))
+
+
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every whole text, some tails repeated by the contract's rule; cases as in ``repetitions``."""
     from .repetitions import digests, find_runs, repeat_tail
@@ -100,5 +108,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from . import exactdedup, linededup, mixing, repair, repetitions, warc  # noqa: E402
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_anisotropic": op4_anisotropic, "op5_chat_hmm": op5_chat_hmm, "op6_line_dedup": op6_line_dedup, "op7_pitman_yor": op7_pitman_yor, "op8_content_sort": op8_content_sort, "op9_warc_zip": op9_warc_zip, "op10_mixing": op10_mixing, "op12_word_runs": op12_word_runs, "op13_turn_repair": op13_turn_repair, "pipeline": pipeline}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_anisotropic": op4_anisotropic, "op5_chat_hmm": op5_chat_hmm, "op6_line_dedup": op6_line_dedup, "op7_pitman_yor": op7_pitman_yor, "op8_content_sort": op8_content_sort, "op9_warc_zip": op9_warc_zip, "op10_mixing": op10_mixing, "op11_secret_grammar": op11_secret_grammar, "op12_word_runs": op12_word_runs, "op13_turn_repair": op13_turn_repair, "pipeline": pipeline}
 ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE, "op8_content_sort": exactdedup.ORACLE, "op9_warc_zip": warc.ORACLE, "op10_mixing": mixing.ORACLE, "op12_word_runs": repetitions.ORACLE, "op13_turn_repair": repair.ORACLE}
