@@ -333,5 +333,5 @@ def digests(found: DataFrame) -> DataFrame:
     named = [name for name, *_ in RULES]
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*named))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{n}") for n in named]
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{n}'))").cast("long").alias(f"n_{n}") for n in named]
     return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
