@@ -2,9 +2,9 @@
 
 Rules (``RULES``) find credentials that a keyword, a prefix or an alphabet gives away; these base spans always stay. The
 values they find, or a table of labelled credentials, are examples of formats: their prefix tree counts where each example
-goes on or ends, and states whose frequencies do not differ by a Hoeffding bound, nor those of their followers, are
-merged in order of length (red states are settled, blue ones tried against them; a merge is folded until the automaton is
-deterministic). The outcome is a probabilistic automaton for each kind. Everything else that looks like a token (a
+goes on or ends, and states whose frequencies do not differ by a chi-square test, nor those of their followers, are merged
+from the start on (the followers of a settled state among themselves, then with settled states; a merge is folded until the
+automaton is deterministic). The outcome is a probabilistic automaton for each kind. Everything else that looks like a token (a
 candidate: ``CANDIDATE``) is background; the character pairs of all background tokens of the corpus, counted once for each
 different token, give the probability that an ordinary token reads so.
 
@@ -111,25 +111,24 @@ class _Tree:
                 self.visits[state] += 1
             self.ends[state] += 1
 
-    def alike(self, a: int, b: int, alpha: float) -> bool:
-        """Whether endings and symbols of two states, and of what follows them, may have the same probabilities."""
-        room = math.sqrt(0.5 * math.log(2 / alpha))
+    def alike(self, a: int, b: int, bar: float) -> bool:
+        """Whether endings and symbols of two states, and of what follows them, may have the same probabilities.
+
+        Each pair of states is a two-sample chi-square over symbols and the end, as a normal deviate (Wilson and Hilferty)."""
         stack = [(a, b)]
         while stack:
             p, q = stack.pop()
             m, n = self.visits[p], self.visits[q]
-            if not m or not n:
-                continue
-            bound = room * (1 / math.sqrt(m) + 1 / math.sqrt(n))
-            if bound >= 1:  # too few to tell; what follows has fewer still
+            if min(m, n) < 4:  # too few to tell; what follows has fewer still
                 continue
-            if abs(self.ends[p] / m - self.ends[q] / n) > bound:
-                return False
-            for symbol in self.count[p].keys() | self.count[q].keys():
-                if abs(self.count[p].get(symbol, 0) / m - self.count[q].get(symbol, 0) / n) > bound:
+            counts = [(self.ends[p], self.ends[q])] if self.ends[p] or self.ends[q] else []
+            counts += [(self.count[p].get(x, 0), self.count[q].get(x, 0)) for x in self.count[p].keys() | self.count[q].keys()]
+            free = len(counts) - 1
+            if free:
+                square = sum((x * n - y * m) ** 2 / (x + y) for x, y in counts) / (m * n)
+                if ((square / free) ** (1 / 3) - 1 + 2 / (9 * free)) / math.sqrt(2 / (9 * free)) > bar:
                     return False
-                if symbol in self.next[p] and symbol in self.next[q]:
-                    stack.append((self.next[p][symbol], self.next[q][symbol]))
+            stack += [(self.next[p][x], self.next[q][x]) for x in self.next[p].keys() & self.next[q].keys()]
         return True
 
     def fold(self, into: int, tree: int) -> None:
@@ -147,27 +146,42 @@ class _Tree:
                     self.next[p][symbol] = to
 
 
-def infer(examples: list[np.ndarray], alpha: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def infer(examples: list[np.ndarray], bar: float = 3.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``step, score, end`` of the automaton of the examples (arrays of symbols): compatible states of their prefix tree merged.
 
-    A symbol that a state has not seen leads to a last state that is ordinary text: even chances, so it costs its surprise."""
+    What follows a settled state is merged among itself first, the most visited first: single branches are too thin to tell
+    formats apart. The outcome joins a settled state or is settled itself. ``bar`` is the deviate above which states differ.
+    A symbol that a state has not seen costs its surprise and leads where the commonest one does; from a state without any it
+    leads to a last state with even chances."""
     tree = _Tree(examples)
-    red = [0]
-    blue = [(0, symbol) for symbol in sorted(tree.next[0])]
-    while blue:
-        state, symbol = blue.pop(0)
-        tried = tree.next[state][symbol]
-        if tried in red:
+    red, held = [0], {0}
+    at = 0
+    while at < len(red):
+        state = red[at]
+        fresh = sorted((s for s, to in tree.next[state].items() if to not in held), key=lambda s: (-tree.visits[tree.next[state][s]], s))
+        if not fresh:
+            at += 1
             continue
-        for known in red:
-            if tree.alike(known, tried, alpha):
+        groups: list[int] = []
+        for symbol in fresh:
+            tried = tree.next[state][symbol]
+            known = next((g for g in groups if tree.alike(g, tried, bar)), None)
+            if known is None:
+                groups.append(tried)
+            else:
                 tree.next[state][symbol] = known
                 tree.fold(known, tried)
-                break
-        else:
-            red.append(tried)
-        held = set(red)
-        blue = sorted((r, s) for r in red for s, to in tree.next[r].items() if to not in held)
+        for tried in groups:
+            known = next((r for r in red if tree.alike(r, tried, bar)), None)
+            if known is None:
+                red.append(tried)
+                held.add(tried)
+                continue
+            for symbol, to in tree.next[state].items():
+                if to == tried:
+                    tree.next[state][symbol] = known
+            tree.fold(known, tried)
+        at = 0  # a fold may have given settled states new followers
     place = {state: i for i, state in enumerate(red)}
     lost = len(red)
     step = np.full((lost + 1, _N + 1), lost, np.int64)
@@ -176,6 +190,9 @@ def infer(examples: list[np.ndarray], alpha: float = 0.05) -> tuple[np.ndarray,
     for state, i in place.items():
         whole = tree.visits[state] + 1.0  # one visit more is shared by all that has not been seen
         score[i] = math.log(1 / whole / (_N + 2))
+        if tree.count[state]:
+            usual = max(tree.count[state], key=lambda x: (tree.count[state][x], -x))
+            step[i] = place[tree.next[state][usual]]
         end[i] = math.log((tree.ends[state] + 1 / (_N + 2)) / whole)
         for symbol, n in tree.count[state].items():
             step[i, symbol] = place[tree.next[state][symbol]]
@@ -234,7 +251,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield a, b, int(counts[a, b])
 
 
-def learn(texts: DataFrame, text: Column, *, labelled: DataFrame | None = None, examples: int = 2_000, longest: int = 512, fewest: int = 20, miss: float = 0.01, alpha: float = 0.05) -> dict:
+def learn(texts: DataFrame, text: Column, *, labelled: DataFrame | None = None, examples: int = 2_000, longest: int = 512, fewest: int = 20, miss: float = 0.01, bar: float = 3.1) -> dict:
     """Automata of every kind and the background table, from the base spans of all texts.
 
     ``labelled`` (``kind, value``) adds credentials known from elsewhere, whose kinds may be new."""
@@ -265,11 +282,11 @@ def learn(texts: DataFrame, text: Column, *, labelled: DataFrame | None = None,
             kept = [w for w, h in zip(words, held, strict=True) if not h]
             if len(words) < fewest or not kept or all(not h for h in held):
                 return made.empty_table()
-            step, score, end = infer(kept, alpha)
+            step, score, end = infer(kept, bar)
             tried = [w for w, h in zip(words, held, strict=True) if h]
             rate = likelihoods(tried, step, score, end) / (np.fromiter(map(len, tried), np.int64, len(tried)) + 1)
-            bar = float(np.quantile(rate, miss))
-            return pa.table([[key[0].as_py()], [len(end)], [step.tobytes()], [score.tobytes()], [end.tobytes()], [bar]], schema=made)
+            lowest = float(np.quantile(rate, miss))
+            return pa.table([[key[0].as_py()], [len(end)], [step.tobytes()], [score.tobytes()], [end.tobytes()], [lowest]], schema=made)
 
         made = pa.schema([("kind", pa.string()), ("states", pa.int64()), ("step", pa.binary()), ("score", pa.binary()), ("stop", pa.binary()), ("bar", pa.float64())])
         fitted = sample.groupBy("kind").applyInArrow(fit, "kind string, states long, step binary, score binary, stop binary, bar double")
@@ -312,7 +329,7 @@ def _spans(batches: Iterator[pa.RecordBatch], model: dict, odds: float) -> Itera
             yield key, [{"kind": k, "start": s, "end": e, "odds": o} for s, _, k, e, o in sorted(out, key=lambda x: x[:4])]
 
 
-def scan(texts: DataFrame, text: Column, key: Column, model: dict, *, odds: float = 1e6) -> DataFrame:
+def scan(texts: DataFrame, text: Column, key: Column, model: dict, *, odds: float = 100.0) -> DataFrame:
     """``key, spans`` for every row; a span has ``kind, start, end`` and, if learnt, its log-odds."""
     name = texts.select(key.alias("key")).dtypes[0][1]
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("odds", pa.float64())])
