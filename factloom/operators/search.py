@@ -13,9 +13,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as T
+from . import near
+from .near import likest_window, partial_ratio  # noqa: F401
 
 
 def contains(page: Column, quote: Column) -> Column:
@@ -129,56 +131,6 @@ def cited_line(line: Column, before: Column) -> Column:
     return F.when(F.rtrim(before).endswith(":") & ~F.contains(line, F.lit(":")), F.concat_ws("\n", before, line)).otherwise(line)
 
 
-def _likest(page: str | None, quote: str | None) -> tuple[float, int, int]:
-    """Likeness 0 to 100 of the shorter text with the best window of the longer one, and the window's place in ``page``."""
-    if not page or not quote:
-        return 0.0, 0, 0
-    at = page.find(quote)
-    if at >= 0:
-        return 100.0, at, at + len(quote)
-    from difflib import SequenceMatcher
-
-    short, long = (quote, page) if len(quote) <= len(page) else (page, quote)
-    best = (0.0, 0, 0)
-    matcher = SequenceMatcher(None, long, short, autojunk=False)
-    for block in matcher.get_matching_blocks():
-        start = max(0, block.a - block.b)
-        window = long[start : start + len(short)]
-        score = 100 * SequenceMatcher(None, window, short, autojunk=False).ratio()
-        if score > best[0]:
-            best = (score, start, start + len(window))
-    return best if short is quote else (best[0], 0, len(page))
-
-
-@F.pandas_udf(DoubleType())
-def partial_ratio(page: pd.Series, quote: pd.Series) -> pd.Series:
-    """Diagnostic similarity 0 to 100 of a quote with its best window of a page; never decides a score."""
-    return pd.Series([_likest(p, q)[0] for p, q in zip(page, quote, strict=True)])
-
-
-@F.pandas_udf(StructType().add("score", DoubleType()).add("start", IntegerType()).add("end", IntegerType()))
-def likest_window(page: pd.Series, quote: pd.Series) -> pd.DataFrame:
-    """The window of a page that is likest a quote; score 0 for a missing or empty text."""
-    return pd.DataFrame([_likest(p, q) for p, q in zip(page, quote, strict=True)], columns=["score", "start", "end"])
-
-
-def near_passages(texts: DataFrame, passages: DataFrame, *, least: float = 0.0, piece: int = 16, key: str = "doc_id") -> DataFrame:
-    """``key, item_id, score``: likeness of each passage with the texts that may hold it in altered form.
-
-    A passage is cut in pieces of ``piece`` characters of its search form (a shorter passage is one piece), which one automaton
-    finds in a single pass over the texts. Each piece found sets a window of the text around where the passage would stand,
-    a quarter of its length wider on either side, and the best window's likeness is the score. A text is missed only
-    where edits hit every piece of the passage."""
-    forms = passages.select("item_id", T.search_form(F.col("text")).alias("quote")).where("quote <> ''")
-    starts = F.sequence(F.lit(0), F.greatest(F.floor(F.length("quote") / piece) - 1, F.lit(0)).cast("int"))
-    cut = forms.select("item_id", "quote", F.explode(starts).alias("i")).select("item_id", "quote", (F.col("i") * piece).alias("shift"), F.substring(F.col("quote"), F.col("i") * piece + 1, F.lit(piece)).alias("text"))
-    # Pieces carry a number of their own; equal pieces of several passages are found once.
-    numbered = cut.withColumn("piece", F.xxhash64("item_id", "shift"))
-    hits = passages_in(texts, numbered.select(F.col("piece").alias("item_id"), "text"), key=key, form=False)
-    placed = hits.join(numbered.select(F.col("piece").alias("item_id"), F.col("item_id").alias("passage"), "quote", "shift"), "item_id")
-    slack = F.ceil(F.length("quote") / 4).cast("int")
-    low = F.greatest(F.lit(0), F.col("first_offset") - F.col("shift") - slack)
-    windows = placed.select(key, F.col("passage").alias("item_id"), "quote", low.cast("int").alias("low"), (F.length("quote") + 2 * slack).alias("wide")).distinct()
-    met = windows.join(texts.select(F.col(key).cast("long").alias(key), T.search_form(F.col("text")).alias("form")), key)
-    scored = met.select(key, "item_id", partial_ratio(F.substring(F.col("form"), F.col("low") + 1, F.col("wide")), F.col("quote")).alias("score"))
-    return scored.groupBy(key, "item_id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+def near_passages(texts: DataFrame, passages: DataFrame, *, least: float = 90.0, key: str = "doc_id") -> DataFrame:
+    """``key, item_id, score`` of every text and passage whose likeness is at least ``least``; none is missed."""
+    return near.matches(texts, passages, least=least, key=key).select(key, "item_id", "score")

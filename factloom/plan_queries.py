@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
@@ -12,8 +13,10 @@ from .operators import layout as L
 from .operators import scoring as S
 from .plans import derivation as D
 from .plans import evaluation as E
+from .plans import probes as B
 from .plans import ranking as R
 from .plans import resolution as N
+from .registry import FORM as _FORM
 from .registry import query, read
 from .sources import tables
 
@@ -203,3 +206,48 @@ def field_rates(spark, sf_dir):
     instances = e.select(F.col("event_type").alias("field"), *[status(3 + i).alias(a) for i, a in enumerate(S.AXES)]).withColumn("joint", S.joint())
     out = E.field_rates(instances)
     return out.select("field", "n", *[F.round(c, 6).alias(c) for c in (*S.AXES, "joint")])
+
+
+_LOCATED = rf"""
+WITH d AS (SELECT doc_id, {_FORM} AS form FROM documents),
+w AS (SELECT doc_id, unnest(string_split(form, ' ')) AS word, unnest(range(0, len(string_split(form, ' ')))) AS no FROM d WHERE form <> ''),
+p AS (SELECT *, coalesce(sum(len(word) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM w),
+v AS (SELECT doc_id, string_agg(word, ' ' ORDER BY no) AS quote FROM w WHERE no IN (3, 4) GROUP BY doc_id
+  UNION SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN reverse(word) ELSE word END FROM w WHERE no = 2),
+s AS (SELECT doc_id, quote, unnest(string_split(form, quote)) AS part, unnest(range(0, len(string_split(form, quote)))) AS k FROM d JOIN v USING (doc_id)),
+h AS (SELECT doc_id, quote, sum(len(part) + len(quote)) OVER (PARTITION BY doc_id, quote ORDER BY k) - len(quote) AS a, k,
+  count(*) OVER (PARTITION BY doc_id, quote) AS n FROM s),
+hits AS (SELECT doc_id, a, a + len(quote) AS e FROM h WHERE k < n - 1),
+boxed AS (SELECT DISTINCT h.doc_id FROM hits h JOIN p ON h.doc_id = p.doc_id AND p.a < h.e AND p.a + len(p.word) > h.a WHERE len(p.word) % 3 <> 0)
+SELECT v.doc_id AS document, layer, bool_or(hits.doc_id IS NOT NULL) AS value_exact,
+  bool_or(CASE layer WHEN 'native' THEN hits.doc_id ELSE boxed.doc_id END IS NOT NULL) AS value_located,
+  bool_or(CASE layer WHEN 'native' THEN hits.doc_id ELSE boxed.doc_id END IS NOT NULL)::INT AS n_located
+FROM (SELECT DISTINCT doc_id FROM v) v LEFT JOIN (SELECT DISTINCT doc_id FROM hits) hits USING (doc_id) LEFT JOIN boxed USING (doc_id), (VALUES ('native'), ('ocr')) l(layer)
+GROUP BY v.doc_id, layer"""
+
+
+@query(_LOCATED)
+def located_values(spark, sf_dir):
+    """Whether two values of each document (its third word, backwards in every third document, and the next two) stand on a layer
+    and have a word with a box under them; on the second layer words of a length divisible by three have none."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), "text")
+    pages = docs.select("document", F.lit(1).alias("page"), "text", F.col("text").alias("row_text"))
+    each = docs.select("document", F.posexplode(F.split("text", "[ \\n\\t]", -1)).alias("no", "text"))
+    order = Window.partitionBy("document").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0)).cast("int")).where("text <> ''")
+    box = G.box(F.col("start") * 0.1, F.lit(0.1), F.col("start") * 0.1 + 0.1, F.lit(0.2))
+    words = each.select("document", F.lit(1).alias("page"), "start", (F.col("start") + F.length("text")).alias("end"), "text", box.alias("box"))
+    form = F.filter(F.split(T.search_form(F.col("text")), " "), lambda w: w != "")
+    third = F.when(F.col("document") % 3 == 0, F.reverse(F.get("w", 2))).otherwise(F.get("w", 2))
+    some = docs.withColumn("w", form).where(F.size("w") > 2)
+    none = F.array().cast(E.SPANS)
+    gold = some.select(
+        "document", F.lit("product_name").alias("field"), F.lit("PRESENT").alias("state"), F.lit("EXPLICIT").alias("derivation"), F.lit(None).cast("string").alias("rule"),
+        third.alias("value"), F.array(F.array_join(F.slice("w", 4, 2), " ")).alias("accepted"), none.alias("evidence"), none.alias("premises"),
+    )
+    thin = words.withColumn("box", F.when(F.length(T.search_form(F.col("text"))) % 3 != 0, F.col("box")))
+    out = None
+    for layer, held in (("native", words), ("ocr", thin)):
+        flags = B.oracle_flags(gold, pages, held).select("document", F.lit(layer).alias("layer"), "value_exact", "value_located", F.size("located_pages").alias("n_located"))
+        out = flags if out is None else out.unionByName(flags)
+    return out

@@ -16,6 +16,8 @@ from ..functions import cues as Q
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import extract as X
+from ..operators import near as N
+from ..operators import ranges as R
 from ..operators import scoring as S
 from ..operators import search
 from . import derivation as D
@@ -53,40 +55,71 @@ def _holds(page: Column, quote: Column) -> Column:
     return search.contains(page, T.search_form(quote))
 
 
-def oracle_flags(gold: DataFrame, pages: DataFrame) -> DataFrame:
-    """``document, field, value_exact, value_typed, value_pages, value_on_gold_page, span_exact, note`` for one text layer.
+def oracle_flags(gold: DataFrame, pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """``document, field, value_exact, value_typed, value_pages, value_located, located_pages, value_on_gold_page, span_exact,
+    note`` for one text layer.
 
-    Flags are null where gold has no value or span; a document without pages holds nothing."""
+    A value is located where one of its exact places has a word with a box under it: ``words`` (``document, page, start, end,
+    text, box``) or the ``words`` that pages carry tell; without either every place counts. ``value_on_gold_page`` goes by
+    located pages. Flags are null where gold has no value or span; a document without pages holds nothing."""
     needles = _needles(gold)
     packed = needles.groupBy("document").agg(F.collect_list(F.struct("field", "kind", "values", "spans")).alias("needles"))
     texts = pages.select("document", F.col("page").cast("int").alias("page"), "text", "row_text", T.search_form(F.col("text")).alias("form"))
-    typed = lambda n, v, c: reduce(lambda out, k: out.when(n["kind"] == k, V.value_supported_by(v, F.col(c), k)), S.KINDS, F.when(n["kind"] == "categorical", V.value_supported_by(v, F.col(c), "categorical")))
+    kinds = (*S.KINDS, "categorical")
+    typed = lambda n, v, c: reduce(lambda out, k: out.when(n["kind"] == k, V.value_supported_by(v, c, k)), kinds, F)
     yes = lambda c: F.coalesce(c, F.lit(False))
     read = lambda n: F.struct(
         n["field"].alias("field"),
-        F.exists(n["values"], lambda v: yes(_holds(F.col("form"), v))).alias("exact"),
-        F.exists(n["values"], lambda v: yes(typed(n, v, "text")) | yes(typed(n, v, "row_text"))).alias("typed"),
+        F.exists(n["values"], lambda v: F.exists(F.array("text", "row_text"), lambda c: yes(typed(n, v, c)))).alias("typed"),
         F.exists(n["spans"], lambda s: yes(_holds(F.col("form"), s))).alias("span"),
+        F.array_distinct(F.filter(F.transform(n["values"], lambda v: T.search_form(v)), lambda q: yes(search.contains(F.col("form"), q)))).alias("quotes"),
     )
-    found = texts.join(packed, "document").select("document", "page", F.inline(F.transform("needles", read)))
-    held = found.groupBy(*KEYS).agg(F.bool_or("exact").alias("e"), F.bool_or("typed").alias("t"), F.bool_or("span").alias("s"), F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("page")))).alias("at"))
+    found = texts.join(packed, "document").select("document", "page", "form", F.inline(F.transform("needles", read)))
+    found = found.withColumn("exact", F.size("quotes") > 0)
+    at = lambda c: F.array_sort(F.collect_set(F.when(F.col(c), F.col("page"))))
+    held = found.groupBy(*KEYS).agg(F.bool_or("exact").alias("e"), F.bool_or("typed").alias("t"), F.bool_or("span").alias("s"), at("exact").alias("at"))
     met = needles.join(held, KEYS, "left")
+    if words is None and "words" in pages.columns:
+        words = R.page_words(pages)
+    if words is None:
+        met = met.withColumn("located", F.col("at"))
+    else:
+        located = located_pages(found.where("exact"), words)
+        met = met.join(located.groupBy(*KEYS).agg(F.array_sort(F.collect_set("page")).alias("located")), KEYS, "left")
     valued, spanned = F.size("values") > 0, F.size("spans") > 0
-    at = F.coalesce("at", F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    at, located = F.coalesce("at", none), F.coalesce("located", none)
     return met.select(
         *KEYS, F.col("state").alias("gold_state"), F.col("derivation").alias("gold_derivation"), F.col("value").alias("gold_value"),
         F.when(valued, yes(F.col("e"))).alias("value_exact"), F.when(valued, yes(F.col("t"))).alias("value_typed"), F.when(valued, at).alias("value_pages"),
-        F.when(valued, F.arrays_overlap(at, F.filter("pages", lambda p: p.isNotNull()))).alias("value_on_gold_page"), F.when(spanned, yes(F.col("s"))).alias("span_exact"),
-        F.concat_ws("; ", F.when(valued & ~yes(F.col("e")), "value not found"), F.when(spanned & ~yes(F.col("s")), "span not found")).alias("note"),
+        F.when(valued, F.size(located) > 0).alias("value_located"), F.when(valued, located).alias("located_pages"),
+        F.when(valued, F.arrays_overlap(located, F.filter("pages", lambda p: p.isNotNull()))).alias("value_on_gold_page"), F.when(spanned, yes(F.col("s"))).alias("span_exact"),
+        F.concat_ws("; ", F.when(valued & (F.size(located) == 0), "value not found"), F.when(spanned & ~yes(F.col("s")), "span not found")).alias("note"),
     )
 
 
+def located_pages(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``document, page, field`` where a place of one of the ``quotes`` in the page's ``form`` has a word with a box under it."""
+    page = ["document", "page"]
+    placed = found.select(*page, "field", "form", F.explode("quotes").alias("quote"))
+    placed = placed.select(*page, "field", F.length("quote").alias("size"), F.explode(R.places(F.col("form"), F.col("quote"))).alias("start"))
+    hits = placed.select(*page, "field", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
+    # Words of pages without a hit are not merged.
+    asked = words.join(hits.select(*page).distinct(), page, "left_semi")
+    boxes = R.boxes_under(hits, R.form_ranges(asked, page), page, ["field", "start", "end"])
+    return boxes.where("box is not null").select(*page, "field").distinct()
+
+
 def fuzzy_flags(gold: DataFrame, pages: DataFrame, least: float = 90.0) -> DataFrame:
     """``document, field, value_fuzzy, span_fuzzy``: diagnostic likeness of ``least`` or more on some page of the document."""
-    wanted = _needles(gold).select(*KEYS, F.explode(F.concat(F.transform("values", lambda v: F.struct(F.lit("value").alias("what"), v.alias("text"))), F.transform("spans", lambda v: F.struct(F.lit("span").alias("what"), v.alias("text"))))).alias("n"))
-    texts = pages.select("document", T.search_form(F.col("text")).alias("form"))
-    met = texts.join(wanted, "document").select(*KEYS, F.col("n.what").alias("what"), search.partial_ratio(F.col("form"), T.search_form(F.col("n.text"))).alias("score"))
-    return met.groupBy(*KEYS).agg(*[F.coalesce(F.max(F.when(F.col("what") == w, F.col("score"))) >= least, F.lit(False)).alias(f"{w}_fuzzy") for w in ("value", "span")])
+    needles = _needles(gold)
+    said = lambda what: F.transform(f"{what}s", lambda v: F.struct(F.lit(what).alias("what"), T.search_form(v).alias("quote")))
+    wanted = needles.select(*KEYS, F.inline(F.concat(said("value"), said("span")))).distinct()
+    texts = pages.select("document", F.col("page").cast("int").alias("page"), T.search_form(F.col("text")).alias("form"))
+    near = N.best_of(texts.join(wanted, "document"), [*KEYS, "what", "quote", "page"], least)
+    some = near.groupBy(*KEYS).agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("value", "span")])
+    paged = needles.join(texts.select("document").distinct(), "document", "left_semi").where((F.size("values") > 0) | (F.size("spans") > 0))
+    return paged.select(*KEYS).join(some, KEYS, "left").select(*KEYS, *[F.coalesce(F.col(w) > 0, F.lit(False)).alias(f"{w}_fuzzy") for w in ("value", "span")])
 
 
 # Columns of an oracle row over both text layers.
@@ -96,13 +129,13 @@ ORACLE_COLUMNS = (
 )
 
 
-def oracle_rows(gold: DataFrame, native: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
+def oracle_rows(gold: DataFrame, native: DataFrame, ocr: DataFrame | None = None, words: dict[str, DataFrame] | None = None) -> DataFrame:
     """The oracle's 21 text columns for every gold field: yes, no, or blank where a flag does not apply or the document has no
-    such layer."""
+    such layer. ``words`` has the words of a layer (``native``, ``ocr``) whose pages do not carry them."""
     flag = lambda c: F.when(c, "yes").when(~c, "no").otherwise("")
     out, notes = None, []
     for name, pages in (("native", native), ("ocr", ocr)):
-        base = oracle_flags(gold, native if pages is None else pages)
+        base = oracle_flags(gold, native if pages is None else pages, (words or {}).get(name))
         held = (native.limit(0) if pages is None else pages).select(F.col("document").alias("of")).distinct()
         near = fuzzy_flags(gold, native.limit(0) if pages is None else pages)
         met = base.join(near, KEYS, "left").join(held, F.col("document") == F.col("of"), "left")
@@ -110,13 +143,13 @@ def oracle_rows(gold: DataFrame, native: DataFrame, ocr: DataFrame | None = None
         valued, spanned = there & F.col("value_exact").isNotNull(), there & F.col("span_exact").isNotNull()
         on = lambda cond, c: F.when(cond, flag(F.coalesce(F.col(c), F.lit(False)))).otherwise("")
         cells = {
-            f"value_exact_{name}": on(valued, "value_exact"), f"value_typed_{name}": on(valued, "value_typed"), f"value_fuzzy_{name}": on(valued, "value_fuzzy"), f"value_located_{name}": on(valued, "value_exact"),
-            f"value_located_pages_{name}": F.when(valued, F.array_join(F.transform("value_pages", lambda p: p.cast("string")), ";")).otherwise(""), f"value_on_gold_page_{name}": on(valued, "value_on_gold_page"),
+            f"value_exact_{name}": on(valued, "value_exact"), f"value_typed_{name}": on(valued, "value_typed"), f"value_fuzzy_{name}": on(valued, "value_fuzzy"), f"value_located_{name}": on(valued, "value_located"),
+            f"value_located_pages_{name}": F.when(valued, F.array_join(F.transform("located_pages", lambda p: p.cast("string")), ";")).otherwise(""), f"value_on_gold_page_{name}": on(valued, "value_on_gold_page"),
             f"span_exact_{name}": on(spanned, "span_exact"), f"span_fuzzy_{name}": on(spanned, "span_fuzzy"),
         }
         one = met.select(*KEYS, "gold_state", "gold_derivation", F.coalesce("gold_value", F.lit("")).alias("gold_value"), *[c.alias(k) for k, c in cells.items()])
         out = one if out is None else out.join(one.drop("gold_state", "gold_derivation", "gold_value"), KEYS)
-        notes += [F.when(F.col(f"value_exact_{name}") == "no", f"value not found on {name}"), F.when(F.col(f"span_exact_{name}") == "no", f"span not found on {name}")]
+        notes += [F.when(F.col(f"value_located_{name}") == "no", f"value not found on {name}"), F.when(F.col(f"span_exact_{name}") == "no", f"span not found on {name}")]
     return out.withColumn("note", F.concat_ws("; ", *notes)).select(*ORACLE_COLUMNS)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import cues as Q
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import search
+from ..operators import near, search
 from . import derivation as D
 from . import evaluation as E
 
@@ -176,17 +176,12 @@ def best_place(pages: DataFrame, needles: DataFrame, least: float = 90.0) -> Dat
     """``document, needle, page, start, exact, score``: a needle's place in its document (``document, needle``), exact places
     first, then by likeness of ``least`` or more, earlier pages first. Diagnostic."""
     forms = pages.select("document", F.col("page").cast("int").alias("page"), T.search_form(F.col("text")).alias("form"))
-    met = needles.select("document", "needle", T.search_form(F.col("needle")).alias("quote")).join(forms, "document")
-    exact = F.coalesce(search.contains(F.col("form"), F.col("quote")), F.lit(False))
-    held = met.withColumn("exact", exact).where("quote <> ''")
-    found_first = Window.partitionBy("document", "needle")
+    asked = needles.select("document", "needle", T.search_form(F.col("needle")).alias("quote")).where("quote <> ''").distinct()
+    met = asked.join(forms, "document").withColumn("exact", F.contains("form", F.col("quote")))
     # Pages of a needle that stands somewhere verbatim need no likeness.
-    held = held.withColumn("some", F.max("exact").over(found_first))
-    ask = ~F.col("some")
-    held = held.withColumn("near", search.likest_window(F.when(ask, F.col("form")), F.when(ask, F.col("quote"))))
-    scored = held.select("document", "needle", "page", "exact", F.when(F.col("exact"), F.position(F.col("quote"), F.col("form")) - 1).otherwise(F.col("near.start")).alias("start"), F.when(F.col("exact"), 100.0).otherwise(F.col("near.score")).alias("score"))
-    good = scored.where(F.col("exact") | (F.col("score") >= least))
-    best = good.groupBy("document", "needle").agg(F.max_by(F.struct("page", "start", "exact", "score"), F.struct("exact", "score", -F.col("page"))).alias("b"))
+    met = met.withColumn("some", F.max("exact").over(Window.partitionBy("document", "needle"))).where("exact or not some")
+    found = near.best_of(met, ["document", "needle", "page", "exact"], least)
+    best = found.groupBy("document", "needle").agg(F.max_by(F.struct("page", "start", "exact", "score"), F.struct("exact", "score", -F.col("page"))).alias("b"))
     return best.select("document", "needle", "b.*")
 
 

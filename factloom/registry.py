@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The search form of ``text`` in SQL.
+FORM = "trim(regexp_replace(lower(translate(text, 'º–—−‘’“”™®', '°---''''\"\"')), '[\\s\\x1c-\\x1f]+', ' ', 'g'))"
 
 
 def query(sql: str | None = None):
