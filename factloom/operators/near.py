@@ -85,6 +85,25 @@ def likest(page: str | None, quote: str | None, least: float = 0.0, head: bool =
     return (best, *window) if window[1] else (0.0, 0, 0)
 
 
+def likest_at(page: str | None, quote: str | None, hint: int) -> tuple[float, int, int]:
+    """As ``likest``, and of windows as long as the quote that score the same the one whose start is nearest to ``hint``."""
+    score, start, end = likest(page, quote)
+    if not score or end - start != len(quote) or start == hint:
+        return score, start, end
+    own, m = _Quote(quote), len(quote)
+    held = round(score * m / 100)
+    reach = abs(start - hint)
+    for way in (-1, 1):
+        i = min(max(hint, 0), len(page) - m)
+        while 0 <= i <= len(page) - m and abs(i - hint) < reach:
+            lack = held - own.common(page[i : i + m])
+            if not lack:
+                start, reach = i, abs(i - hint)
+                break
+            i += way * lack
+    return score, start, start + m
+
+
 @F.pandas_udf(DoubleType())
 def partial_ratio(page: pd.Series, quote: pd.Series) -> pd.Series:
     """Diagnostic likeness 0 to 100 of a quote with its best window of a page; never decides a score."""
@@ -97,6 +116,12 @@ def likest_window(page: pd.Series, quote: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([likest(p, q) for p, q in zip(page, quote, strict=True)], columns=["score", "start", "end"])
 
 
+@F.pandas_udf(StructType().add("score", DoubleType()).add("start", IntegerType()).add("end", IntegerType()))
+def likest_window_at(page: pd.Series, quote: pd.Series, hint: pd.Series) -> pd.DataFrame:
+    """The same with ties settled by nearness to a start."""
+    return pd.DataFrame([likest_at(p, q, 0 if h != h else int(h)) for p, q, h in zip(page, quote, hint, strict=True)], columns=["score", "start", "end"])
+
+
 def edits(size: int, least: float) -> int:
     """Characters that may be missing or added in a window of score ``least``."""
     return int(2 * size * (100 - least) / 100 + 1e-9)

@@ -65,7 +65,9 @@ def form_ranges(words: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def page_words(pages: DataFrame) -> DataFrame:
-    """``document, page, start, end, text, box`` of pages that carry their ``words``."""
+    """``document, page, start, end, text, box`` of pages that carry their ``words``; words without a ``text`` are cut from the page's."""
+    if "text" in pages.schema["words"].dataType.elementType.names:
+        return pages.select("document", F.col("page").cast("int").alias("page"), F.inline("words")).select("document", "page", "start", "end", "text", "box")
     each = pages.select("document", F.col("page").cast("int").alias("page"), F.col("text").alias("_text"), F.inline("words"))
     return each.select("document", "page", "start", "end", F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "box")
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions import text as T
 from .functions import values as V
+from .operators import alignment as A
 from .operators import contracts as K
 from .operators import layout as L
+from .operators import ranges as spots
 from .operators import scoring as S
 from .plans import derivation as D
 from .plans import evaluation as E
@@ -251,3 +253,66 @@ def located_values(spark, sf_dir):
         flags = B.oracle_flags(gold, pages, held).select("document", F.lit(layer).alias("layer"), "value_exact", "value_located", F.size("located_pages").alias("n_located"))
         out = flags if out is None else out.unionByName(flags)
     return out
+
+
+def _plain_layer(docs, form):
+    """One page a document with its words, from a text of words with single spaces (lines end in a newline)."""
+    each = docs.select("document", F.posexplode(F.split(form, "[ \\n]")).alias("no", "word"))
+    order = Window.partitionBy("document").orderBy("no")
+    start = (F.sum(F.length("word") + 1).over(order) - F.length("word") - 1).cast("int")
+    word = F.struct(start.alias("start"), (start + F.length("word")).alias("end"), F.col("word").alias("text"), G.box(start * 0.5, F.lit(0.1), start * 0.5 + 0.25, F.lit(0.2)).alias("box"))
+    words = each.select("document", word.alias("w")).groupBy("document").agg(F.sort_array(F.collect_list("w")).alias("words"))
+    return docs.select("document", F.lit(1).alias("page"), form.alias("text"), form.alias("row_text")).join(words, "document")
+
+
+_ALIGNED = rf"""
+WITH d AS (SELECT doc_id, {_FORM} AS form FROM documents),
+w AS (SELECT doc_id, unnest(string_split(form, ' ')) AS word, unnest(range(0, len(string_split(form, ' ')))) AS no, len(string_split(form, ' ')) AS n FROM d),
+o AS (SELECT *, CASE WHEN no % 7 = 3 AND len(word) > 3 THEN word[1] || '#' || word[3:] ELSE word END AS other,
+  coalesce(sum(len(word) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS a FROM w WHERE n >= 30)
+SELECT doc_id AS document, string_agg(other, ' ' ORDER BY no) AS text, min(a) AS char_start, max(a + len(word))::INT AS char_end,
+  min(a) * 0.5::DOUBLE AS x0, max(a) * 0.5::DOUBLE + 0.25::DOUBLE AS x1 FROM o JOIN d USING (doc_id) WHERE no BETWEEN 12 AND 19
+GROUP BY doc_id HAVING len(string_split(any_value(form), string_agg(word, ' ' ORDER BY no))) = 2"""
+
+
+@query(_ALIGNED)
+def layer_alignment(spark, sf_dir):
+    """A span of eight words that stands once in its document, found again on a layer where every seventh word has one letter misread."""
+    form = T.search_form(F.col("text"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), form.alias("form")).where(F.size(F.split("form", " ")) >= 30)
+    misread = F.transform(F.split("form", " "), lambda w, i: F.when((i % 7 == 3) & (F.length(w) > 3), F.concat(F.substring(w, 1, 1), F.lit("#"), F.substring(w, F.lit(3), F.length(w)))).otherwise(w))
+    native, other = _plain_layer(docs, F.col("form")), _plain_layer(docs, F.array_join(misread, " "))
+    word = F.split("form", " ")
+    ahead, mine = F.array_join(F.slice(word, 1, 12), " "), F.array_join(F.slice(word, 13, 8), " ")
+    spans = docs.select("document", F.lit(1).alias("page"), (F.length(ahead) + 1).alias("char_start"), (F.length(ahead) + 1 + F.length(mine)).alias("char_end"), mine.alias("text"))
+    once = docs.where(F.size(spots.places(F.col("form"), mine)) == 1).select("document")
+    found = A.carry(spans.join(once, "document", "left_semi"), native, other)
+    return found.select("document", "there.text", "there.char_start", "there.char_end", "there.box.x0", "there.box.x1")
+
+
+_CITED = rf"""
+WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_FORM.replace("text", "x")}), lambda x: x <> '')) AS line,
+  generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_FORM.replace("text", "x")}), lambda x: x <> ''), 1) AS no FROM documents),
+p AS (SELECT *, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS a,
+  lag(line) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM l),
+d AS (SELECT doc_id, string_agg(line, ' ' ORDER BY no) AS form FROM l GROUP BY doc_id),
+v AS (SELECT doc_id, form, string_split(form, ' ')[len(string_split(form, ' ')) // 2 + 1] AS quote FROM d),
+h AS (SELECT doc_id, strpos(form, quote) - 1 AS place FROM v),
+c AS (SELECT p.doc_id, CASE WHEN before LIKE '%:' AND NOT contains(line, ':') THEN before || chr(10) || line ELSE line END AS text,
+  CASE WHEN before LIKE '%:' AND NOT contains(line, ':') THEN a - len(before) - 1 ELSE a END AS a, a + len(line) AS e, line FROM h JOIN p ON p.doc_id = h.doc_id AND place >= a AND place < a + len(line) + 1)
+SELECT doc_id AS document, text, a * 0.5::DOUBLE AS x0, (e - len(list_last(string_split(line, ' ')))) * 0.5::DOUBLE + 0.25::DOUBLE AS x1 FROM c"""
+
+
+@query(_CITED)
+def cited_lines(spark, sf_dir):
+    """The middle word of each document is its value: the lines around its first place, with the box of their words."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: T.search_form(x)), lambda x: x != "")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.array_join(lines, "\n").alias("form")).where("form <> ''")
+    words = F.split("form", "[ \\n]")
+    none = F.array().cast(E.SPANS)
+    gold = docs.select(
+        "document", F.lit("product_name").alias("field"), F.lit("PRESENT").alias("state"), F.lit("EXPLICIT").alias("derivation"), F.lit(None).cast("string").alias("rule"),
+        F.get(words, F.floor(F.size(words) / 2).cast("int")).alias("value"), none.alias("evidence"), none.alias("premises"),
+    )
+    found = B.locate_values(gold, _plain_layer(docs, F.col("form")))
+    return found.select("document", "text", "span.box.x0", "span.box.x1")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import cues as Q
 from ..functions import text as T
 from ..functions import values as V
+from ..operators import alignment as A
 from ..operators import extract as X
 from ..operators import near as N
 from ..operators import ranges as R
@@ -170,20 +171,30 @@ def oracle_misses(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("field").startswith("ingredient_")).select(*KEYS, F.explode(miss).alias("layer"))
 
 
-def cite_line(text: Column, start: Column, end: Column) -> Column:
-    """The lines around the characters ``start`` to ``end`` (from 0, end not included), with the line before when that ends
-    in a colon and these have none."""
+def cited_range(text: Column, start: Column, end: Column) -> Column:
+    """First character and end of the lines around the characters ``start`` to ``end``, with the line before when that ends in a
+    colon and these have none."""
     head = F.substring(text, F.lit(1), start)
     begin = start - F.length(F.substring_index(head, "\n", -1))
     stop = end + F.length(F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1))
-    before = F.when(begin > 0, F.substring_index(F.substring(text, F.lit(1), begin - 1), "\n", -1))
-    return search.cited_line(F.substring(text, begin + 1, stop - begin), before)
+    before = F.substring_index(F.substring(text, F.lit(1), begin - 1), "\n", -1)
+    bare = (begin > 0) & F.rtrim(before).endswith(":") & ~F.contains(F.substring(text, begin + 1, stop - begin), F.lit(":"))
+    return F.struct(F.when(bare, begin - 1 - F.length(before)).otherwise(begin).alias("start"), stop.alias("end"))
+
+
+def span_between(page: Column, text: Column, words: Column | None, start: Column, end: Column) -> Column:
+    """The span of a page's characters ``start`` to ``end``: its text without space at its ends and the box of the words under it."""
+    box = F.lit(None) if words is None else R.box_under(words, start, end)
+    return _span(page, F.regexp_replace(F.substring(text, start + 1, end - start), r"^\s+|\s+$", ""), box)
 
 
 def locate_values(gold: DataFrame, pages: DataFrame) -> DataFrame:
-    """``document, field, page, text``: the first page that holds an accepted value, and the line around its first place."""
+    """``document, field, page, text, span``: the first page that holds an accepted value, and the lines around its first place.
+
+    Of several values that a page holds the first counts. Where pages carry their ``words``, the span has their box."""
     wanted = _needles(gold).where(F.size("values") > 0).groupBy("document").agg(F.collect_list(F.struct("field", "values")).alias("needles"))
-    texts = pages.select("document", F.col("page").cast("int").alias("page"), "text", T.search_form(F.col("text")).alias("form"))
+    held = "words" in pages.columns
+    texts = pages.select("document", F.col("page").cast("int").alias("page"), "text", T.search_form(F.col("text")).alias("form"), *(["words"] if held else []))
 
     def read(n: Column) -> Column:
         quotes = F.filter(F.transform(n["values"], lambda v: T.search_form(v)), lambda q: F.coalesce(search.contains(F.col("form"), q), F.lit(False)))
@@ -191,13 +202,15 @@ def locate_values(gold: DataFrame, pages: DataFrame) -> DataFrame:
 
     hits = texts.join(wanted, "document").select("document", "page", F.inline(F.transform("needles", read))).where("quote is not null")
     first = hits.groupBy(*KEYS).agg(F.min(F.struct("page", "quote")).alias("b")).select(*KEYS, "b.*")
-    met = first.join(texts, ["document", "page"]).withColumn("at", F.expr("locate(quote, form)"))
-    met = met.withColumn("places", search.offsets(F.col("text")))
-    return met.select(*KEYS, "page", cite_line(F.col("text"), F.get("places", F.col("at") - 1), F.get("places", F.col("at") + F.length("quote") - 2) + 1).alias("text"))
+    met = first.join(texts, ["document", "page"]).withColumn("at", F.expr("locate(quote, form)")).withColumn("places", search.offsets(F.col("text")))
+    low, high = F.get("places", F.col("at") - 1), F.get("places", F.col("at") + F.length("quote") - 2) + 1
+    met = met.withColumn("lines", cited_range(F.col("text"), low, high))
+    span = span_between(F.col("page"), F.col("text"), F.col("words") if held else None, F.col("lines.start"), F.col("lines.end"))
+    return met.withColumn("span", span).select(*KEYS, "page", F.col("span.text").alias("text"), "span")
 
 
-def _span(page: Column, text: Column) -> Column:
-    return F.struct(page.cast("int").alias("page"), text.alias("text"), F.lit(None).alias("box")).cast(E.SPANS[6:-1])
+def _span(page: Column, text: Column, box: Column | None = None) -> Column:
+    return F.struct(page.cast("int").alias("page"), text.alias("text"), (F.lit(None) if box is None else box).alias("box")).cast(E.SPANS[6:-1])
 
 
 def _claims(rows: DataFrame, state, value, evidence=None, premises=None, rule=None) -> DataFrame:
@@ -214,26 +227,30 @@ def _derived_claims(rows: DataFrame, form: Column, premises: Column) -> DataFram
 
 
 def gold_value_claims(gold: DataFrame, pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """Value, state and form are given; evidence is looked for."""
+    """Value, state and form are given; evidence is looked for. Spans have boxes where ``pages`` carry ``words`` and ``rows`` a ``box``."""
+    box = F.col("box") if "box" in rows.columns else F.lit(None).cast(E.SPANS[6:-1])["box"]
+    boxed = rows.withColumn("box", box)
     g = gold.where("state <> 'NOT_STATED'").withColumn("derived", F.col("derivation").isin(*E.GOLD_DERIVED))
-    told = rows.withColumn("form", Q.form_cue(F.col("text"))).where("form is not null").groupBy("document", "form").agg(F.min(F.struct("page", "row_no", "text")).alias("b"))
-    told = told.select("document", "form", _span(F.col("b.page"), F.col("b.text")).alias("declared"))
+    told = boxed.withColumn("form", Q.form_cue(F.col("text"))).where("form is not null").groupBy("document", "form").agg(F.min(F.struct("page", "row_no", "text", "box")).alias("b"))
+    told = told.select("document", "form", _span(F.col("b.page"), F.col("b.text"), F.col("b.box")).alias("declared"))
     formed = g.where(F.col("derived") | (F.col("field") == P.FORM_FIELD)).withColumn("form", F.when(F.col("derived"), F.col("product_form")).otherwise(F.col("value"))).join(told, ["document", "form"], "left")
-    items = X.ingredient_rows(rows).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("page", "row_no", "at", "text"))).alias("items"))
-    items = items.select("document", F.transform(F.slice("items", 1, 2), lambda i: _span(i["page"], i["text"])).alias("items"))
+    row = boxed.select("document", F.col("page"), "row_no", "box").dropDuplicates(["document", "page", "row_no"])
+    items = X.ingredient_rows(rows).join(row, ["document", "page", "row_no"], "left")
+    items = items.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("page", "row_no", "at", "text", "box"))).alias("items"))
+    items = items.select("document", F.transform(F.slice("items", 1, 2), lambda i: _span(i["page"], i["text"], i["box"])).alias("items"))
     formed = formed.join(items, "document", "left")
     found = F.when(F.col("declared").isNotNull(), F.array("declared")).when(F.col("rule") == D.COMPOSITION_RULE, F.col("items"))
     derived = formed.where("derived").withColumn("found", found).where(F.size("found") > 0)
     out = _derived_claims(derived, F.col("form"), F.col("found"))
     out = out.unionByName(_claims(formed.where("not derived and declared is not null"), F.lit("PRESENT"), F.col("value"), F.col("declared")))
     plain = g.where(~F.col("derived") & (F.col("field") != P.FORM_FIELD))
-    cited = locate_values(plain, pages).withColumnRenamed("text", "line").join(plain.select(*KEYS, "value"), KEYS)
-    out = out.unionByName(_claims(cited, F.lit("PRESENT"), F.col("value"), _span(F.col("page"), F.col("line"))))
+    cited = locate_values(plain, pages).join(plain.select(*KEYS, "value"), KEYS)
+    out = out.unionByName(_claims(cited, F.lit("PRESENT"), F.col("value"), F.col("span")))
     read = P.read_candidates(P.row_candidates(rows)).withColumnRenamed("value", "slot")
     same = read.join(plain.where("state <> 'PRESENT'").select(*KEYS, "state"), [*KEYS, "state"])
     best = same.groupBy(*KEYS).agg(F.min(F.struct("page", "row_no", "state")).alias("b")).select(*KEYS, "b.*")
-    met = best.join(rows.select("document", "page", "row_no", "text"), ["document", "page", "row_no"])
-    return out.unionByName(_claims(met, F.col("state"), None, _span(F.col("page"), F.col("text"))))
+    met = best.join(boxed.select("document", "page", "row_no", "text", "box"), ["document", "page", "row_no"])
+    return out.unionByName(_claims(met, F.col("state"), None, _span(F.col("page"), F.col("text"), F.col("box"))))
 
 
 def after_label(text: Column, field: str) -> Column:
@@ -242,8 +259,36 @@ def after_label(text: Column, field: str) -> Column:
     return F.regexp_replace(T.collapse(text), rf"(?i)^.*?(?<![a-z0-9])(?:{labels})(?![a-z0-9])\s*(?:[:=]\s*)*", "")
 
 
+def spans_on_layer(gold: DataFrame, native: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
+    """``gold`` with its ``evidence`` and ``premises`` as they stand on a layer; a span that is not there is left out.
+
+    Native spans are cut by their own characters. On an OCR layer a span's place is that which resolving it found
+    (``ocr_char_start, ocr_char_end``), else what aligning the two layers finds. Both layers carry ``words``; spans of
+    ``gold`` carry ``char_start, char_end``."""
+    layer = native if ocr is None else ocr
+    arrays = ("evidence", "premises")
+    long = None
+    for name in arrays:
+        one = gold.select(*KEYS, F.lit(name).alias("part"), F.posexplode(name).alias("nr", "s"))
+        fields = [f.name for f in one.schema["s"].dataType.fields]
+        at = [F.col("s.ocr_char_start" if "ocr_char_start" in fields else "s.char_start"), F.col("s.ocr_char_end" if "ocr_char_end" in fields else "s.char_end")]
+        known = F.lit(ocr is None or "ocr_char_start" in fields) & at[0].isNotNull()
+        one = one.select(*KEYS, "part", "nr", F.col("s.page").cast("int").alias("page"), F.col("s.text").alias("text"), F.col("s.char_start").alias("char_start"), F.col("s.char_end").alias("char_end"), known.alias("known"), at[0].alias("at"), at[1].alias("stop"))
+        long = one if long is None else long.unionByName(one)
+    held = layer.select("document", F.col("page").cast("int").alias("page"), F.col("text").alias("_body"), F.col("words").alias("_words"))
+    start, stop = (F.col("char_start"), F.col("char_end")) if ocr is None else (F.col("at"), F.col("stop"))
+    cut = long.where("known").join(held, ["document", "page"]).select(*KEYS, "part", "nr", span_between(F.col("page"), F.col("_body"), F.col("_words"), start, stop).alias("span"))
+    if ocr is not None:
+        carried = A.carry(long.where("not known"), native, ocr).where("there is not null")
+        cut = cut.unionByName(carried.select(*KEYS, "part", "nr", _span(F.col("there.page"), F.col("there.text"), F.col("there.box")).alias("span")))
+    packed = cut.groupBy(*KEYS).agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("nr", "span")))).alias(f"_{name}") for name in arrays])
+    met = gold.drop(*arrays).join(packed, KEYS, "left")
+    spans = {name: F.coalesce(F.transform(f"_{name}", lambda x: x["span"]), F.array().cast(E.SPANS)) for name in arrays}
+    return met.withColumns(spans).drop(*[f"_{name}" for name in arrays])
+
+
 def gold_evidence_claims(gold: DataFrame) -> DataFrame:
-    """The gold spans are given; state and value are read off them."""
+    """The gold spans are given; state and value are read off them. ``spans_on_layer`` puts them on a layer first."""
     g = gold.where("state <> 'NOT_STATED'").withColumn("premises", E._spans(F.col("premises"))).withColumn("first", F.get(E._spans(F.col("evidence")), 0))
     g = g.withColumn("derived", F.col("derivation").isin(*E.GOLD_DERIVED))
     audited = E._audited(g.where(F.col("derived") & (F.size("premises") > 0)).select(*KEYS, "rule", "premises"), KEYS, "premises").withColumn("form", D.established_form())
@@ -266,12 +311,14 @@ def gold_claims(gold: DataFrame) -> DataFrame:
     return g.select(*KEYS, "state", "value", F.when(derived, "DERIVED").otherwise("DIRECT").alias("derivation"), F.when(derived, F.col("rule")).alias("rule"), cited.alias("evidence"), F.when(derived, F.col("spans")).otherwise(F.array().cast(E.SPANS)).alias("premises"))
 
 
-def run_probes(gold: DataFrame, pages: DataFrame, rows: DataFrame, pipeline: DataFrame | None = None) -> DataFrame:
+def run_probes(gold: DataFrame, pages: DataFrame, rows: DataFrame, pipeline: DataFrame | None = None, native: DataFrame | None = None) -> DataFrame:
     """Scored claims of each probe (``probe`` and the columns of ``evaluate``); fields that gold calls NOT_STATED are left out.
 
-    A field for which a probe found no claim has ``predicted_state`` null."""
+    A field for which a probe found no claim has ``predicted_state`` null. ``pages`` are of the layer that is probed; with
+    ``native`` pages it is an OCR layer, and gold spans are read as they stand on it."""
     asked = gold.where("state <> 'NOT_STATED'")
-    made = {"gold_value": gold_value_claims(asked, pages, rows), "gold_evidence": gold_evidence_claims(asked), "gold_verify": gold_claims(asked)}
+    spans = asked if native is None else spans_on_layer(asked, native, pages)
+    made = {"gold_value": gold_value_claims(asked, pages, rows), "gold_evidence": gold_evidence_claims(spans), "gold_verify": gold_claims(asked)}
     if pipeline is not None:
         made["pipeline"] = pipeline.select(*gold_claims(asked).columns)
     claims = reduce(DataFrame.unionByName, [c.withColumn("probe", F.lit(name)) for name, c in made.items()])
