@@ -15,6 +15,7 @@ from .operators import ranges as spots
 from .operators import scoring as S
 from .plans import derivation as D
 from .plans import evaluation as E
+from .plans import extraction as P
 from .plans import probes as B
 from .plans import ranking as R
 from .plans import resolution as N
@@ -316,3 +317,25 @@ def cited_lines(spark, sf_dir):
     )
     found = B.locate_values(gold, _plain_layer(docs, F.col("form")))
     return found.select("document", "text", "span.box.x0", "span.box.x1")
+
+
+_LINEAR = (
+    "WITH s AS (SELECT s_suppkey AS document, s_suppkey % 3 AS kind, s_name AS name, s_suppkey % 90 || ' C' AS t FROM supplier) "
+    "SELECT document, 0 AS row_no, 'product_name' AS field, CASE kind WHEN 2 THEN 'product name' ELSE 'trade name' END AS label, "
+    "name || CASE kind WHEN 0 THEN ' Flash point: ' WHEN 1 THEN ' - Flash point = ' ELSE ' Flash point ' END || t AS value FROM s "
+    "UNION ALL SELECT document, CASE kind WHEN 0 THEN 1 ELSE 3 END, 'flash_point', 'flash point', t FROM s WHERE kind < 2"
+)
+
+
+@query(_LINEAR)
+def extract_linear_labels(spark, sf_dir):
+    """Labels in reading order: within a line, broken over two, behind a list mark, and one that nothing closes."""
+    k = F.col("s_suppkey") % 3
+    t = F.concat((F.col("s_suppkey") % 90).cast("string"), F.lit(" C"))
+    name = F.col("s_name")
+    broken = F.array(F.concat(F.lit("Trade name: "), name), F.lit("Flash"), F.lit("point:"), t)
+    marked = F.array(F.lit("Trade"), F.lit("name:"), name, F.concat(F.lit("- Flash point = "), t))
+    bare = F.array(F.lit("Product name"), F.lit(":"), name, F.concat(F.lit("Flash point "), t))
+    lines = F.when(k == 0, broken).when(k == 1, marked).otherwise(bare)
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document"), F.lit(1).alias("page"), F.posexplode(lines).alias("row_no", "text"))
+    return P.linear_candidates(rows, fields=("product_name", "flash_point")).drop("page")

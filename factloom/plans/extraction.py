@@ -91,35 +91,79 @@ def row_candidates(rows: DataFrame, document: str = "document", fields: tuple[st
     return met.select(document, "page", "row_no", F.inline(F.array_compact(F.array(*map(candidate, fields)))))
 
 
-def linear_candidates(lines: DataFrame, document: str = "document", fields: tuple[str, ...] = tuple(X.LABELS)) -> DataFrame:
-    """The reading-order variant over a page's lines: a label opens its line, behind one list mark at most; the value runs
-    on over the following lines up to twelve tokens or the next label of the field. A label lies within one line."""
+def page_stream(lines: DataFrame, document: str = "document") -> DataFrame:
+    """``document, page, tokens``: a page's words in reading order with their search form, whether they open their line, and its number."""
     words = F.col("words") if "words" in lines.columns else F.transform(F.split(T.collapse(F.col("text")), " "), lambda w: F.struct(w.alias("text")))
-    place = Window.partitionBy(document, "page").orderBy("row_no").rowsBetween(1, X.MAX_LINEAR_TOKENS)
-    texts = _formed(words, False)
-    met = lines.select(document, "page", "row_no", texts.alias("_words")).where(F.size("_words") > 0)
-    met = met.withColumn("_more", F.flatten(F.collect_list("_words").over(place)))
-    first, second = F.get(F.col("_words"), 0)["text"], F.get(F.col("_words"), 1)["text"]
-    one_mark = ~F.coalesce(first.rlike(LINE_PREFIX) & second.rlike(LINE_PREFIX), F.lit(False))
-    index_of = lambda words, ok: F.array_min(F.filter(F.transform(words, lambda w, i: F.when(ok(w, i), i)), lambda i: i.isNotNull()))
+    some = lines.select(document, "page", "row_no", F.filter(words, lambda w: w["text"] != "").alias("_words")).where(F.size("_words") > 0)
+    token = lambda w, i: F.struct(w["text"].alias("text"), T.search_form(w["text"]).alias("form"), (i == 0).alias("opens"), F.col("row_no").alias("row_no"))
+    line = some.select(document, "page", "row_no", F.transform("_words", token).alias("_tokens"))
+    return line.groupBy(document, "page").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "_tokens"))), lambda x: x["_tokens"])).alias("tokens"))
 
-    def candidate(field: str) -> Column:
-        labels, most = X.LABELS[field], F.lit(X.MAX_LINEAR_TOKENS)
 
-        def cut(rest: Column) -> Column:
-            opens = lambda w, i: reduce(lambda a, b: a | b, (_phrase_at(rest, i, label) for label in labels))
-            return _joined(F.slice(rest, 1, F.least(F.coalesce(index_of(rest, opens), most), most)))
+class _Trie:
+    """All labels of all fields as one table: the words of a label, joined, to the fields that it opens and its rank there."""
 
-        def shaped(slot: Column) -> Column:
-            rest = F.concat(slot["rest"], F.col("_more"))
-            start = F.coalesce(index_of(rest, lambda w, i: ~w["text"].isin(":", "=")), F.size(rest))
-            # Eight more tokens than a value holds, so that a label that opens in it is seen whole.
-            value = T.let(F.slice(rest, start + 1, X.MAX_LINEAR_TOKENS + 8), cut)
-            return F.when(slot.isNotNull(), F.struct(F.lit(field).alias("field"), slot["label"].alias("label"), value.alias("value")))
+    def __init__(self, fields: tuple[str, ...]):
+        opened: dict[str, list[tuple[str, int]]] = {}
+        for field in fields:
+            for rank, label in enumerate(X.LABELS[field]):
+                opened.setdefault(label, []).append((field, rank))
+        self.longest = max(len(label.split()) for label in opened)
+        self.first = sorted({label.split()[0] for label in opened})
+        entry = lambda label, field, rank: F.struct(F.lit(field).alias("field"), F.lit(rank).alias("rank"), F.lit(label).alias("label"), F.lit(len(label.split())).alias("n"))
+        pairs = [x for label, to in sorted(opened.items()) for x in (F.lit(label), F.array(*[entry(label, *t) for t in to]))]
+        self.table = F.create_map(*pairs)
 
-        return F.when(one_mark, T.let(label_slot(F.col("_words"), labels, gaps=False), shaped))
+    def may_open(self, token: Column) -> Column:
+        """Most tokens end here: no label begins with their word. A token of several words, or of none, is looked up."""
+        form = token["form"]
+        return (form == "") | F.contains(form, F.lit(" ")) | F.rtrim(form, F.lit(":")).isin(*self.first) | form.isin(*self.first)
 
-    return met.select(document, "page", "row_no", F.inline(F.array_compact(F.array(*map(candidate, fields)))))
+    def at(self, tokens: Column, start: Column) -> Column:
+        """Entries of all labels that the tokens from ``start`` on spell, a colon behind the last word aside."""
+
+        def spelt(n: int) -> Column:
+            forms = F.filter(F.transform(F.slice(tokens, start + 1, n), lambda w: w["form"]), lambda f: f != "")
+            found = F.try_element_at(self.table, F.rtrim(F.array_join(forms, " "), F.lit(":")))
+            return F.when(start + n <= F.size(tokens), F.filter(found, lambda e: e["n"] == n))
+
+        return F.flatten(F.array_compact(F.array(*[spelt(n) for n in range(1, self.longest + 1)])))
+
+
+def linear_candidates(lines: DataFrame, document: str = "document", fields: tuple[str, ...] = tuple(X.LABELS)) -> DataFrame:
+    """The reading-order variant over a page's stream of words: ``document, page, row_no, field, label, value``.
+
+    A label opens a line, behind one list mark at most, and may run over the line's end; a colon or ``=`` follows it, or a
+    line's start or the page's end. The value runs on over the following lines up to twelve tokens or the next label of the
+    field. All labels of all fields are looked up at once where a word begins one; nothing leaves the page's row."""
+    trie = _Trie(fields)
+    most = X.MAX_LINEAR_TOKENS
+
+    def opening(t: Column, i: Column) -> Column:
+        own, before = F.get(t, i), F.get(t, i - 1)
+        return (own["opens"] | ((i > 0) & before["opens"] & before["text"].rlike(LINE_PREFIX))) & trie.may_open(own)
+
+    def closed(t: Column, end: Column) -> Column:
+        after = F.get(t, end)
+        return F.coalesce((end >= F.size(t)) | F.rtrim(F.get(t, end - 1)["text"]).endswith(":") | after["text"].isin(":", "=") | after["opens"], F.lit(False))
+
+    tokens = F.col("tokens")
+    pages = page_stream(lines, document)
+    places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: opening(tokens, i))
+    met = pages.withColumn("start", F.explode(places)).withColumn("entries", trie.at(tokens, F.col("start"))).where(F.size("entries") > 0)
+    valid = F.filter("entries", lambda e: closed(tokens, F.col("start") + e["n"]))
+    best = T.let(valid, lambda v: F.filter(v, lambda e: ~F.exists(v, lambda o: (o["field"] == e["field"]) & (o["rank"] < e["rank"]))))
+    met = met.withColumn("e", F.explode(best)).withColumn("end", F.col("start") + F.col("e.n"))
+    apart = F.filter(F.sequence(F.col("end"), F.greatest(F.col("end"), F.size("tokens") - 1)), lambda i: ~F.coalesce(F.get(tokens, i)["text"].isin(":", "="), F.lit(True)))
+    met = met.withColumn("value", F.slice("tokens", F.coalesce(F.get(apart, 0), F.size("tokens")) + 1, most))
+    # The next label is looked for from the label's end on, separators counted.
+    next_label = F.filter(
+        F.sequence(F.lit(0), F.size("value") - 1),
+        lambda o: trie.may_open(F.get(tokens, F.col("end") + o)) & F.exists(trie.at(tokens, F.col("end") + o), lambda e: e["field"] == F.col("e.field")),
+    )
+    size = F.when(F.size("value") > 0, F.coalesce(F.get(next_label, 0), F.size("value"))).otherwise(F.lit(0))
+    value = F.array_join(F.transform(F.slice("value", 1, size), lambda w: w["text"]), " ")
+    return met.select(document, "page", F.get(tokens, F.col("start"))["row_no"].alias("row_no"), F.col("e.field").alias("field"), F.col("e.label").alias("label"), value.alias("value"))
 
 
 def _by_field(choices: dict[str, Column]) -> Column:

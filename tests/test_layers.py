@@ -104,3 +104,59 @@ def test_value_on_its_own_line_is_cited_with_the_label_line_above(spark):
     cited = pages.select(B.cited_range(F.col("text"), F.lit(15), F.lit(30)).alias("c"), "text", "words", "page")
     span = cited.select(B.span_between(F.col("page"), F.col("text"), F.col("words"), F.col("c.start"), F.col("c.end")).alias("s")).first()["s"]
     assert span["text"] == "· Flash point:\n12 °C (53.6 °F)" and (span["box"]["y0"], span["box"]["y1"]) == (0.0, pytest.approx(0.11))
+
+
+def plain_linear(lines, labels):
+    """Label, value and line of every label that opens a line, over a page's tokens one by one."""
+    import re
+
+    tokens = [(w, n, i == 0) for n, line in enumerate(lines) for i, w in enumerate(line.split())]
+    word = lambda w: "".join(c for c in w if c != "™").lower().replace("º", "°")
+    mark = re.compile(r"^(\d+(\.\d+)*\.?|[•·*\-–])$")
+
+    def spells(i, label):
+        n = len(label.split())
+        return n if i + n <= len(tokens) and " ".join(filter(None, (word(t[0]) for t in tokens[i : i + n]))).rstrip(":") == label else 0
+
+    out = []
+    for i, (_, line, opens) in enumerate(tokens):
+        if not (opens or (i and tokens[i - 1][2] and mark.match(tokens[i - 1][0]))):
+            continue
+        for label in labels:
+            n = spells(i, label)
+            end = i + n
+            if n and (end >= len(tokens) or tokens[end - 1][0].endswith(":") or tokens[end][0] in (":", "=") or tokens[end][2]):
+                at = end
+                while at < len(tokens) and tokens[at][0] in (":", "="):
+                    at += 1
+                value = [t[0] for t in tokens[at : at + 12]]
+                for o in range(len(value)):
+                    if any(spells(end + o, x) for x in labels):
+                        value = value[:o]
+                        break
+                out.append((line, label, " ".join(value)))
+                break
+    return out
+
+
+def test_labels_over_line_ends(spark):
+    from factloom.operators import extract as X
+    from factloom.plans import extraction as P
+
+    rng = random.Random(7)
+    labels = {f: X.LABELS[f] for f in ("product_name", "flash_point", "supplier_name")}
+    pool = [w for ls in labels.values() for label in ls[:6] for w in label.split()] + [":", "=", "61", "°C", "-", "3.1", "Foo", "™", "name:", "point:", "identifier:"]
+    pages = {0: ["Trade", "name:", "Foo", "Bar", "Flash", "point", "61 °C"], 1: ["- Flash", "point : 12 °C Flash point = 13"], 2: ["Product"], 3: [":", "= ="]}
+    for i in range(4, 80):
+        words = []
+        for _ in range(rng.randint(1, 12)):
+            words += rng.choice(rng.choice(list(labels.values()))).split() if rng.random() < 0.4 else [rng.choice(pool)]
+        cut = sorted(rng.sample(range(len(words) + 1), min(len(words), rng.randint(0, 4))))
+        pages[i] = [" ".join(words[a:b]) for a, b in zip([0, *cut], [*cut, len(words)], strict=True)]
+    rows = [(f"d{i}", 1, n, line) for i, lines in pages.items() for n, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "document string, page int, row_no int, text string")
+    got = sorted(tuple(r) for r in P.linear_candidates(lines, fields=tuple(labels)).select("document", "row_no", "field", "label", "value").collect())
+    want = sorted((f"d{i}", n, f, label, value) for i, ls in pages.items() for f, ll in labels.items() for n, label, value in plain_linear(ls, ll))
+    assert got == want
+    assert ("d0", 0, "product_name", "trade name", "Foo Bar Flash point 61 °C") in got and ("d0", 4, "flash_point", "flash point", "61 °C") in got
+    assert P.linear_candidates(lines.limit(0)).count() == 0
