@@ -5,6 +5,8 @@ A claim's premises are rows; an audit is one partial aggregate per claim, then o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,42 @@ def check_rule(rule: Column, field: Column, state: Column, value: Column, n_prem
     return F.when(~F.coalesce(known, F.lit(False)) | ~rule_applies(rule, field, state) | (n_premises == 0), "violated").when(rule == IDENTIFIER_RULE, identifier).otherwise(composition)
 
 
+def lacking(form: str) -> Column:
+    """Over an audit: the roles that a form's composition is short of, as ``role have/needed``."""
+    short = [F.when(F.col(r) < n, F.concat(F.lit(f"{r} "), F.col(r).cast("string"), F.lit(f"/{n}"))) for r, n in REQUIREMENTS[form]]
+    return F.concat_ws(", ", *short)
+
+
+def check_note(rule: Column, field: Column, state: Column, value: Column, n_premises: Column) -> Column:
+    """Over an audit joined to its claim: why ``check_rule`` decides as it does."""
+    form, claim, declared = established_form(), claimed_form(value), F.array_join("declared", ", ")
+    short = lambda of: reduce(lambda out, f: out.when(of == f, lacking(f)), REQUIREMENTS, F)
+    found = F.when(F.size("declared") > 0, F.concat(F.lit("premises declare "), declared)).otherwise(F.concat(F.lit("composition shows "), form))
+    identifier = (
+        F.when(F.size("declared") > 1, F.concat(F.lit("premises declare several forms: "), declared))
+        .when(form.isNull(), F.concat(F.lit("no form established; "), closest_form(), F.lit(" lacks "), short(closest_form())))
+        .when(form.isin("MIXTURE", "ARTICLE", "UNDETERMINED"), found)
+        .otherwise(F.concat(found, F.lit("; identifiers are defined for it")))
+    )
+    composition = (
+        F.when(claim.isNull() | (claim == "UNDETERMINED"), "the claim names no form")
+        .when(F.col("form_declaration") > 0, F.concat(F.lit("premises declare the form themselves: "), declared))
+        .when(~claim.isin(*REQUIREMENTS), F.concat(F.lit("no composition shows "), claim))
+    )
+    for name, other in (("SUBSTANCE", "MIXTURE"), ("MIXTURE", "SUBSTANCE")):
+        composition = composition.when((claim == name) & ~satisfied(name), F.concat(F.lit(f"{name} lacks "), lacking(name)))
+        composition = composition.when((claim == name) & satisfied(other), F.lit(f"the premises show {other} too"))
+    composition = composition.otherwise(F.concat(F.lit("composition shows "), claim))
+    known = F.coalesce(rule.isin(*[name for name, _, _ in RULES]), F.lit(False))
+    return (
+        F.when(~known, F.concat(F.lit("unknown rule "), F.coalesce(rule, F.lit("(none)"))))
+        .when(~rule_applies(rule, field, state), F.concat(F.lit("the rule does not give "), field, F.lit(" "), state))
+        .when(n_premises == 0, F.lit("no premise cited"))
+        .when(rule == IDENTIFIER_RULE, identifier)
+        .otherwise(composition)
+    )
+
+
 def required_roles(value: Column) -> Column:
     """Roles that a claimed form needs, as (role, needed)."""
     claim = claimed_form(value)

@@ -18,11 +18,13 @@ from ..functions import cues as Q
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import scoring as S
+from ..operators.near import partial_ratio
 from ..operators.search import on_page
 from . import derivation as D
 
 LOCAL = ("page", "span", "bbox")
 SPANS = "array<struct<page: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+FORM_FIELD = "substance_or_mixture"
 GOLD_DERIVED = ("ONTOLOGY", "COMPOSITION_IMPLIED")
 
 
@@ -83,11 +85,24 @@ def verbatim(cited: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     return met.groupBy(*keys).agg(F.bool_and("held").alias("verbatim"))
 
 
-def evaluate(gold: DataFrame, predictions: DataFrame, pages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def nearest_quotes(cited: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, verbatim_fuzzy_score``: of the spans of ``cited`` that do not stand on the pages that they name, the largest
+    likeness there, in reading order or in rows. Diagnostic; only pages with such a span go to Python, with that span."""
+    named = pages.select("document", F.col("page").cast("int").alias("page"), F.col("text").alias("_text"), F.col("row_text").alias("_row_text"))
+    met = cited.select(*dict.fromkeys(["document", *keys]), "page", "text").join(named, ["document", "page"])
+    lost = met.where(~F.coalesce(on_page(F.col("_text"), F.col("_row_text"), F.col("text")), F.lit(False)))
+    orders = F.array_distinct(F.array_compact(F.array(T.search_form(F.col("_text")), T.search_form(F.col("_row_text")))))
+    tried = lost.select(*keys, T.search_form(F.col("text")).alias("quote"), F.explode(orders).alias("form"))
+    return tried.select(*keys, partial_ratio(F.col("form"), F.col("quote")).alias("score")).groupBy(*keys).agg(F.max("score").alias("verbatim_fuzzy_score"))
+
+
+def evaluate(gold: DataFrame, predictions: DataFrame, pages: DataFrame, by: tuple[str, ...] = (), fuzzy: bool = False) -> DataFrame:
     """One row a gold field with its seven axes (satisfied, violated, undecidable, n/a), ``joint`` and diagnostics.
 
     A field without a claim fails all that applies. Of claims with a ``seq`` only those of the document's largest count.
-    ``by`` names further key columns of ``gold`` and ``predictions``. A page that is not in ``pages`` has no quotes."""
+    ``by`` names further key columns of ``gold`` and ``predictions``. A page that is not in ``pages`` has no quotes.
+    ``support_note`` says why a claim's support is as it is; ``bbox_provenance`` is the first cited span's (predictions may
+    carry it; a box without one is the system's). With ``fuzzy``, ``verbatim_fuzzy_score`` tells how near lost quotes come."""
     keys = [*by, "document", "field"]
     g = _with(gold, alternative_state=F.lit(None).cast("string"), accepted=F.array().cast("array<string>"), ambiguous=F.lit(False))
     g = g.where(F.col("field").isin(*[name for name, *_ in Q.FIELDS])).withColumn("derived", F.coalesce(F.col("derivation").isin(*GOLD_DERIVED), F.lit(False)))
@@ -98,17 +113,25 @@ def evaluate(gold: DataFrame, predictions: DataFrame, pages: DataFrame, by: tupl
     )
     g = target_groups(g, keys).withColumn("located_needed", (F.col("state") != "NOT_STATED") & (F.size("targets") > 0))
 
-    p = _with(predictions, confidence=F.lit(0.0))
+    p = _with(predictions, confidence=F.lit(0.0), bbox_provenance=F.lit(None).cast("string"))
     if "seq" in p.columns:
         p = p.withColumn("_last", F.max("seq").over(Window.partitionBy(*by, "document"))).where("seq = _last")
     single = F.when(F.col("evidence").isNotNull(), F.array("evidence")).otherwise(F.array())
-    p = p.select(*keys, "state", "value", "derivation", "rule", "confidence", F.when(F.col("derivation") == "DERIVED", _spans(F.col("premises"))).otherwise(_spans(single)).alias("cited"))
+    p = p.select(*keys, "state", "value", "derivation", "rule", "confidence", "bbox_provenance", F.when(F.col("derivation") == "DERIVED", _spans(F.col("premises"))).otherwise(_spans(single)).alias("cited"))
     quotes = verbatim(p.select(*keys, F.inline("cited")), pages, keys)
     # Only derived claims are audited; their verdict joins as one column.
     checked = _audited(p.where("derivation = 'DERIVED'").select(*keys, "rule", "state", "value", "cited"), keys, "cited")
-    checked = checked.select(*keys, D.check_rule(F.col("rule"), F.col("field"), F.col("state"), F.col("value"), F.size("cited")).alias("checked"))
+    asked = (F.col("rule"), F.col("field"), F.col("state"), F.col("value"), F.size("cited"))
+    checked = checked.select(*keys, D.check_rule(*asked).alias("checked"), D.check_note(*asked).alias("checked_note"))
     p = p.join(quotes, keys, "left").join(checked, keys, "left")
-    claim = F.struct("state", "value", "derivation", "rule", "confidence", "cited", F.coalesce("verbatim", F.lit(True)).alias("verbatim"), "checked")
+    near = F.lit(0.0)
+    if fuzzy:
+        p = p.join(nearest_quotes(p.select(*keys, F.inline("cited")), pages, keys), keys, "left")
+        near = F.coalesce("verbatim_fuzzy_score", F.lit(0.0))
+    claim = F.struct(
+        "state", "value", "derivation", "rule", "confidence", "cited", F.coalesce("verbatim", F.lit(True)).alias("verbatim"),
+        "checked", "checked_note", near.alias("near"), "bbox_provenance",
+    )
     met = g.join(p.select(*keys, claim.alias("p")), keys, "left")
     return _axes(met, keys)
 
@@ -144,6 +167,20 @@ def _axes(met: DataFrame, keys: list[str]) -> DataFrame:
         .when(p["derivation"] == "DERIVED", p["checked"])
         .otherwise(direct)
     )
+    declared, cue = Q.form_cue(first), F.coalesce(Q.state_cue(Q.value_part(first)), Q.state_cue(first))
+    backed = (
+        F.when(none, "")
+        .when(p["state"] == "NOT_STATED", F.when(F.size("cited") > 0, "a citation for what is not stated"))
+        .when((F.size("cited") == 0) | blank, "no citation")
+        .when(~p["verbatim"], "the citation is not verbatim")
+        .when(p["derivation"] == "DERIVED", p["checked_note"])
+        .when(support == "satisfied", "")
+        .when(p["state"] != "PRESENT", F.coalesce(F.concat(F.lit("the citation says "), cue), F.lit("the citation has no cue of a state")))
+        .when(~said, "no value")
+        .when(c("field") == FORM_FIELD, F.coalesce(F.concat(F.lit("the citation declares "), declared), F.lit("the citation declares no form")))
+        .otherwise("the value is not in the citation")
+    )
+    provenance = F.coalesce(p["bbox_provenance"], F.when(F.get("cited", 0)["box"].isNotNull(), "system"), F.lit("none"))
     notes = F.array(
         F.when(none, "no claim"),
         F.when(~p["verbatim"], "a citation is not on its page"),
@@ -164,6 +201,7 @@ def _axes(met: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(p["verbatim"], F.lit(True)).alias("verbatim"), (F.size("cited") > 0).alias("cites"), F.coalesce(p["confidence"], F.lit(0.0)).alias("confidence"),
         F.when(c("located_needed") & ~none, F.size("groups")).otherwise(0).alias("target_groups"), F.when(c("located_needed") & ~none, c("n_span")).otherwise(0).alias("groups_located"),
         (c("described") | none | ~c("located_needed")).alias("premise_roles_described"), F.array_join(F.array_compact(notes), "; ").alias("note"),
+        F.coalesce(backed, F.lit("")).alias("support_note"), provenance.alias("bbox_provenance"), F.coalesce(p["near"], F.lit(0.0)).alias("verbatim_fuzzy_score"),
     )
     return scored.withColumn("joint", S.joint())
 

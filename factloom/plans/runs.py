@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import contracts as K
@@ -30,23 +30,32 @@ def extract_grid(rows: dict[tuple[str, str], DataFrame], documents: DataFrame) -
     return out
 
 
-def evaluate_run(gold: DataFrame, claims: DataFrame, pages: DataFrame, folder: str, *, split: str = "dev", allow_locked: bool = False, expect_id: str | None = None, found_id: str | None = None, run: dict | None = None, manifest: DataFrame | None = None) -> dict[str, DataFrame]:
+def evaluate_run(gold: DataFrame, claims: DataFrame, pages: DataFrame, folder: str, *, split: str = "dev", allow_locked: bool = False, expect_id: str | None = None, found_id: str | None = None, run: dict | None = None, manifest: DataFrame | None = None, items: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Guard, score and report one prediction set; returns ``instances, summary, by_field`` and, with a manifest, ``by_family``.
 
+    ``items`` has the ingredients (``gold, predicted``: items, ``gold_blocks, predicted_blocks``: their states); then records are
+    scored and reported too, and ``ingredients, ingredient_summary`` returned. Of predictions only documents of the split count.
+
     ``gold`` has ``split``; reports go below ``folder``, a locked run also to the log there. A guard that fails raises before
     anything is scored."""
     some = gold if split == "all" else gold.where(F.col("split") == split)
     K.guard_split(some.select("document", "split").distinct(), allow_locked)
     K.guard_predictions(some, claims, split, found_id, expect_id)
-    instances = E.evaluate(some, claims.where(F.col("field").isNotNull()), pages)
+    instances = E.evaluate(some, claims.where(F.col("field").isNotNull()), pages, fuzzy=True)
     name = (run or {}).get("system", "system")
-    written = f"{folder}/{name}_instances"
-    reports.write_csv(reports.instance_report(instances), written)
+    reports.write_csv(reports.instance_report(instances), f"{folder}/{name}_instances", ("document", "field"))
     if split == "locked":
         reports.append_run(reports.run_row(gold.sparkSession, split=split, prediction_id=found_id or "", documents=some.select("document").distinct().count(), **(run or {})), f"{folder}/locked_runs")
     out = {"instances": instances, "summary": E.summary(instances), "by_field": E.field_rates(instances)}
     if manifest is not None:
         out["by_family"] = E.family_rates(instances, manifest)
+    if items is not None:
+        asked = some.select("document").distinct()
+        held = {part: rows.join(asked, "document", "left_semi") for part, rows in items.items()}
+        records = E.evaluate_ingredients(held["gold"], held["predicted"], pages)
+        shown = reports.ingredient_report(records, held["gold"], held["predicted"])
+        reports.write_csv(shown, f"{folder}/{name}_ingredients", ("document", "gold_index"))
+        out |= {"ingredients": records, "ingredient_summary": E.ingredient_summary(records, held["gold"], held["predicted"], held["gold_blocks"], held["predicted_blocks"])}
     return out
 
 
@@ -62,11 +71,12 @@ def write_corpus(gold: DataFrame, pages: DataFrame, units: DataFrame, manifest:
         raise CorpusError("; ".join(f"{r['document']}: {r['found']} pages, not {r['pages']}" for r in counts))
     sets = R.evidence_sets(gold)
     for name, df in (("units", units), ("gold_evidence", sets)):
-        df.write.mode("overwrite").json(f"{folder}/{name}")
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{folder}/{name}")
         again = spark.read.schema(df.schema).json(f"{folder}/{name}").count()
-        if again != df.count():
-            raise CorpusError(f"{name}: {again} rows read back")
-    return corpus_stats(sets, units)
+        if again != seen.get["n"]:
+            raise CorpusError(f"{name}: {again} rows read back of {seen.get['n']}")
+    return corpus_stats(spark.read.schema(sets.schema).json(f"{folder}/gold_evidence"), spark.read.schema(units.schema).json(f"{folder}/units"))
 
 
 def corpus_stats(sets: DataFrame, units: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
+from . import store
 
 # Columns of the instance report, of the ingredient report and of the log of locked runs.
 INSTANCE_COLUMNS = (
@@ -62,9 +63,12 @@ def contract_report(breaches: DataFrame) -> DataFrame:
     return breaches.select("document", F.coalesce("field", F.lit("")).alias("field"), "code").orderBy("document", "field", "code")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV with one header; a report is read by people, so it is one file (its rows are fields of documents, not tokens)."""
-    df.coalesce(1).write.mode("overwrite").option("emptyValue", "").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """One CSV with one header, sorted by ``order``; a report is read by people, so it is one file (its rows are fields of
+    documents, not tokens). What comes before runs at its own width; only the finished rows move to one task."""
+    one = df.repartition(1)
+    one = one.sortWithinPartitions(*order) if order else one
+    one.write.mode("overwrite").option("emptyValue", "").csv(path, header=True)
 
 
 def run_row(spark: SparkSession, **values) -> DataFrame:
@@ -72,17 +76,22 @@ def run_row(spark: SparkSession, **values) -> DataFrame:
     return spark.createDataFrame([tuple(str(values.get(c, "")) for c in RUN_COLUMNS)], ", ".join(f"`{c}` string" for c in RUN_COLUMNS))
 
 
+LOG = ", ".join(f"`{c}` string" for c in RUN_COLUMNS)
+
+
 def append_run(row: DataFrame, path: str) -> None:
-    """Append a run to the log: its header is a file of its own, written with the first run only."""
-    spark = row.sparkSession
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fresh = not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    row.coalesce(1).write.mode("append").csv(path, header=fresh)
+    """Append a run to the log in one commit; runs that are logged at one time all stay."""
+    store.publish(row.select(*[F.col(c).cast("string") for c in RUN_COLUMNS]), path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of a log in no order; the header's line is not a run."""
-    return spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in RUN_COLUMNS)).where(F.col("date") != "date")
+    """Runs of a log in no order."""
+    return store.load(spark, path, LOG)
+
+
+def write_log(spark: SparkSession, path: str, target: str) -> None:
+    """The log as one CSV with one header, by date."""
+    write_csv(read_log(spark, path), target, ("date", "prediction_id"))
 
 
 def axis_table(instances: DataFrame) -> DataFrame:

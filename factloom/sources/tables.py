@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import contracts as K
+from . import store
 
 _REF = "struct<page: int, text: string, occurrence: int, case_sensitive: boolean>"
 _FIELD = f"struct<state: string, derivation: string, rule: string, value: string, accepted_values: array<string>, ambiguous: boolean, alternative_state: string, note: string, evidence: array<{_REF}>>"
@@ -106,6 +107,62 @@ def write_predictions(claims: DataFrame, path: str, system: str, configuration:
     record.write.mode("overwrite").json(path)
 
 
+_RESOLVED = (
+    "struct<page: int, text: string, bbox: array<double>, char_start: int, char_end: int, occurrences: int, "
+    "ocr_bbox: array<double>, ocr_char_start: int, ocr_char_end: int, ocr_exact: boolean, ocr_score: double>"
+)
+_GOLD_FIELD = (
+    "struct<state: string, derivation: string, rule: string, value: string, accepted_values: array<string>, alternative_state: string, "
+    f"evidence: array<{_REF}>, resolved_evidence: array<{_RESOLVED}>, resolved_premises: array<{_RESOLVED}>>"
+)
+#: Gold as it is kept: a record a document, its fields by name with references as written and spans as resolved.
+GOLD = f"document string, split string, product_form string, fields map<string, {_GOLD_FIELD}>"
+_BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
+
+
+def _kept_spans(spans: Column, names: list[str]) -> Column:
+    corners = lambda b: F.when(b.isNotNull(), F.array(b["x0"], b["y0"], b["x1"], b["y1"]))
+    has = lambda s, n: s[n] if n in names else F.lit(None)
+
+    def kept(s: Column) -> Column:
+        ocr = corners(s["ocr_box"]) if "ocr_box" in names else F.lit(None)
+        rest = [has(s, n).alias(n) for n in ("char_start", "char_end", "occurrences")]
+        return F.struct(s["page"].alias("page"), s["text"].alias("text"), corners(s["box"]).alias("bbox"), *rest, ocr.alias("ocr_bbox"), *[has(s, f"ocr_{n}").alias(f"ocr_{n}") for n in ("char_start", "char_end", "exact", "score")])
+
+    return F.transform(spans, kept).cast(f"array<{_RESOLVED}>")
+
+
+def write_gold(gold: DataFrame, fields: DataFrame, path: str) -> None:
+    """Resolved gold (``document, split, product_form, field``, a field's columns, span arrays ``evidence, premises``) in the nested
+    shape, as the one version at ``path``; ``fields`` has the references as written (``document, field, evidence``)."""
+    names = gold.schema["evidence"].dataType.elementType.names
+    none = {"accepted_values": "array<string>", "alternative_state": "string", "rule": "string"}
+    some = gold.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in none.items() if c not in gold.columns])
+    refs = fields.select("document", "field", F.col("evidence").cast(f"array<{_REF}>").alias("_refs"))
+    met = some.join(refs, ["document", "field"], "left")
+    record = F.struct(
+        "state", "derivation", "rule", "value", "accepted_values", "alternative_state", F.col("_refs").alias("evidence"),
+        _kept_spans(F.col("evidence"), names).alias("resolved_evidence"), _kept_spans(F.col("premises"), names).alias("resolved_premises"),
+    )
+    packed = met.groupBy("document").agg(F.first("split").alias("split"), F.first("product_form").alias("product_form"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", record.alias("f"))))).alias("fields"))
+    store.replace(packed, path)
+
+
+def read_gold(spark: SparkSession, path: str, split: str = "all") -> DataFrame:
+    """The last gold that was written whole: a row a field, spans with ``box`` structs as plans take them."""
+    rows = store.load(spark, path, GOLD)
+    rows = rows if split == "all" else rows.where(F.col("split") == split)
+    one = rows.select("document", "split", "product_form", F.explode("fields").alias("field", "f"))
+    box = lambda b: F.when(b.isNotNull(), F.struct(*[F.get(b, i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]).cast(_BOX))
+
+    def span(s: Column) -> Column:
+        rest = ("char_start", "char_end", "occurrences", "ocr_char_start", "ocr_char_end", "ocr_exact", "ocr_score")
+        return F.struct(s["page"].alias("page"), s["text"].alias("text"), box(s["bbox"]).alias("box"), *[s[n].alias(n) for n in rest], box(s["ocr_bbox"]).alias("ocr_box"))
+
+    flat = ("state", "derivation", "rule", "value", "accepted_values", "alternative_state")
+    return one.select("document", "split", "product_form", "field", *[F.col(f"f.{c}").alias(c) for c in flat], F.col("f.evidence").alias("references"), *[F.transform(f"f.resolved_{p}", span).alias(p) for p in ("evidence", "premises")])
+
+
 def exploration(fields: DataFrame) -> DataFrame:
     """``what, name, n`` over gold fields: documents by product form, fields by derivation, references by field, and fields
     with more than one reference."""

@@ -118,3 +118,70 @@ def test_ingredients(spark, pages):
     s = E.ingredient_summary(records, a, b, blocks, blocks.where("false")).first()
     assert (s["gold_rows"], s["predicted_rows"], s["matched"], s["records_exact"], s["records_with_evidence"], s["blocks"], s["blocks_agreeing"]) == (3, 3, 3, 2, 1, 1, 0)
     assert s["precision"] == pytest.approx(2 / 3)
+
+
+def test_notes_and_likeness_of_support(spark, pages):
+    form = "Chemical description: mixture"
+    golds = [gold(f, "PRESENT", "x", [span("Product name: Foo")]) for f in ("product_name", "supplier_name", "flash_point", "substance_or_mixture", "molecular_weight")]
+    golds += [gold("product_cas_number", "NOT_APPLICABLE", premises=[span(form)], derivation="ONTOLOGY", rule=D.IDENTIFIER_RULE), gold("chemical_formula", "NOT_STATED")]
+    claims = [
+        said("product_name", "PRESENT", "Foo", span("Product name: Foo")),
+        said("supplier_name", "PRESENT", "Acme", span("Product name: Fob")),
+        said("flash_point", "NO_DATA", None, span("Flash point: 61 °C", box=None)),
+        said("substance_or_mixture", "PRESENT", "SUBSTANCE", span(form)),
+        said("molecular_weight", "PRESENT", "12 g/mol"),
+        said("product_cas_number", "NOT_APPLICABLE", premises=[span(form), span("Formula: no data available")], rule=D.IDENTIFIER_RULE),
+        said("chemical_formula", "NOT_STATED", None, span("Product name: Foo")),
+    ]
+    made = spark.createDataFrame(claims, SAID)
+    rows = {r["field"]: r for r in E.evaluate(spark.createDataFrame(golds, GOLD), made, pages, fuzzy=True).collect()}
+    notes = {f: (r["support"], r["support_note"]) for f, r in rows.items()}
+    assert notes == {
+        "product_name": ("satisfied", ""),
+        "supplier_name": ("violated", "the citation is not verbatim"),
+        "flash_point": ("undecidable", "the citation has no cue of a state"),
+        "substance_or_mixture": ("violated", "the citation declares MIXTURE"),
+        "molecular_weight": ("violated", "no citation"),
+        "product_cas_number": ("satisfied", "premises declare MIXTURE"),
+        "chemical_formula": ("violated", "a citation for what is not stated"),
+    }
+    assert {f: round(r["verbatim_fuzzy_score"], 1) for f, r in rows.items() if r["verbatim_fuzzy_score"]} == {"supplier_name": 97.0}
+    assert {f for f, r in rows.items() if r["bbox_provenance"] == "none"} == {"flash_point", "molecular_weight"}
+    named = E.evaluate(spark.createDataFrame(golds, GOLD), made.withColumn("bbox_provenance", E.F.lit("derived")), pages).select("bbox_provenance").distinct().collect()
+    assert [r[0] for r in named] == ["derived"]
+
+
+def test_notes_of_rules(spark):
+    texts = {
+        "a": ["argon 7440-37-1 100 %"],
+        "b": ["Chemical description: mixture", "3.1. Substances"],
+        "c": ["other words"],
+        "d": ["Ingredient C.A.S. No. % by Wt", "aluminum 7429-90-5 1~10", "copper 7440-50-8 1~15"],
+    }
+    table = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "k string, text string")
+    audits = D.audit(table, ["k"])
+    note = lambda rule, field, state, value: {r["k"]: r["n"] for r in audits.select("k", D.check_note(E.F.lit(rule), E.F.lit(field), E.F.lit(state), E.F.lit(value), E.F.lit(1)).alias("n")).collect()}
+    ident = note(D.IDENTIFIER_RULE, "chemical_formula", "NOT_APPLICABLE", None)
+    assert ident["c"] == "no form established; SUBSTANCE lacks sole_constituent 0/1, completeness_statement 0/1" and ident["d"] == "composition shows MIXTURE"
+    comp = note(D.COMPOSITION_RULE, "substance_or_mixture", "PRESENT", "MIXTURE")
+    assert comp["d"] == "composition shows MIXTURE" and comp["a"].startswith("MIXTURE lacks composition_header 0/1") and comp["b"].startswith("premises declare the form themselves")
+    assert set(note("rule_x", "flash_point", "PRESENT", "x").values()) == {"unknown rule rule_x"}
+    assert set(note(D.COMPOSITION_RULE, "flash_point", "PRESENT", "x").values()) == {"the rule does not give flash_point PRESENT"}
+
+
+def test_run_scores_and_reports_ingredients(spark, pages, tmp_path):
+    from factloom.plans import runs
+
+    golds = spark.createDataFrame([gold("product_name", "PRESENT", "Foo", [span("Product name: Foo")])], GOLD).withColumn("split", E.F.lit("dev"))
+    claims = spark.createDataFrame([said("product_name", "PRESENT", "Foo", span("Product name: Foo"))], SAID)
+    want = spark.createDataFrame([("d", 0, "Aluminum", "7429-90-5", "PRESENT", "1~10", [span("Aluminum 7429-90-5 1~10")]), ("d", 1, "Copper", "7440-50-8", "PRESENT", "1~15", [])], ITEM + f"array<{SPAN}>")
+    got = spark.createDataFrame([("d", 0, "Aluminum", "7429-90-5", None, "1~10", span("Aluminum 7429-90-5 1~10")), ("z", 0, "Zinc", None, None, None, None)], ITEM + SPAN)
+    blocks = spark.createDataFrame([("d", "PRESENT")], "document string, state string")
+    items = {"gold": want, "predicted": got, "gold_blocks": blocks, "predicted_blocks": blocks}
+    out = runs.evaluate_run(golds, claims, pages, str(tmp_path), run={"system": "s"}, items=items)
+    lines = [x for f in (tmp_path / "s_ingredients").glob("part-*") for x in f.read_text().splitlines()]
+    assert lines[0] == ",".join(runs.reports.INGREDIENT_COLUMNS) and len(lines) == 2 and lines[1].startswith("d,0,0,cas,Aluminum,Aluminum,1~10,1~10,True,True,True,True,True,True,True")
+    one = out["ingredient_summary"].first()
+    assert (one["matched"], one["gold_rows"], one["predicted_rows"], one["records_exact"], one["blocks_agreeing"]) == (1, 2, 1, 1, 1)
+    shown = [x for f in (tmp_path / "s_instances").glob("part-*") for x in f.read_text().splitlines()]
+    assert shown[0].split(",").index("support_note") == 38 and len(shown) == 2

@@ -82,7 +82,8 @@ def test_sinks(spark, tmp_path):
     log = str(tmp_path / "log")
     for n in ("1", "2"):
         reports.append_run(reports.run_row(spark, date="2020-01-01", split="locked", prediction_id=n), log)
-    lines = [x for f in sorted((tmp_path / "log").glob("part-*")) for x in f.read_text().splitlines()]
+    reports.write_log(spark, log, str(tmp_path / "shown"))
+    lines = [x for f in sorted((tmp_path / "shown").glob("part-*")) for x in f.read_text().splitlines()]
     assert sum(x.startswith("date,") for x in lines) == 1 and len(lines) == 3
     assert {r["prediction_id"] for r in reports.read_log(spark, log).collect()} == {"1", "2"}
 
