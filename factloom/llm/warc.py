@@ -13,7 +13,9 @@ Reader: for each archive of the manifest it reads the end of the file, the ZIP64
 members (local headers tell where their bytes start), reads the index members, and deals records over tasks, which
 range-read their bytes, neighbours in one read of at most ``read_bytes``. Data are all stored members
 ``archive/*.warc`` and ``archive/*.warc.gz``; indexes are ``indexes/`` members of JSON lines or CDXJ (``offset``, ``length`` and,
-where there are several data members, ``filename``). A data member that no index names is scanned record by record.
+where there are several data members, ``filename``). What no index names of a data member, between indexed records too, is
+scanned record by record, so a partial index loses nothing. A compressed data or index member, an index line that names a
+member that is not there, and ranges that overlap or pass the member's end raise an error.
 Records of any type are read; ids other than this writer's are null. Revisits take length from their response.
 
 Paths are URIs; Python tasks open them with Arrow file systems. Defined results: null html is an empty payload; a null
@@ -30,8 +32,11 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -120,6 +125,10 @@ class ZipWriter:
         self._put(struct.pack("<IHHHHIIH", _END, 0, 0, 0xFFFF, 0xFFFF, _BIG, _BIG, 0))
 
 
+_DATA = re.compile(r"archive/.+\.warc(\.gz)?$")
+_INDEX = re.compile(r"indexes/.+\.(jsonl|cdxj?|idx)(\.gz)?$")
+
+
 def members_of(read_at, size: int) -> dict[str, tuple[int, int]]:
     """Name to (offset, length) of the stored members; ``read_at(length, offset)`` range-reads the archive."""
     tail = read_at(min(size, 65_557), max(0, size - 65_557))
@@ -150,6 +159,8 @@ def members_of(read_at, size: int) -> dict[str, tuple[int, int]]:
                 packed = wide.pop(0) if packed == _BIG and wide else packed
                 local = wide.pop(0) if local == _BIG and wide else local
             extra = extra[4 + long :]
+        if method and (_DATA.match(name) or _INDEX.match(name)):
+            raise ValueError(f"{name} is compressed: archives and indexes are read in place, so they must be stored")
         if method == 0 and not name.endswith("/"):
             head = read_at(30, local)
             skip = struct.unpack_from("<HH", head, 26)
@@ -214,8 +225,6 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = 100, arc
 
 
 _ENTRIES = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("packed", pa.bool_())])
-_DATA = re.compile(r"archive/.+\.warc(\.gz)?$")
-_INDEX = re.compile(r"indexes/.+\.(jsonl|cdxj?|idx)(\.gz)?$")
 
 
 def _index_lines(read_at, at: int, size: int, packed: bool) -> Iterator[bytes]:
@@ -240,22 +249,33 @@ def indexed(found: dict[str, tuple[int, int]], read_at) -> Iterator[tuple[str, i
             for line in _index_lines(read_at, at, size, name.endswith(".gz")):
                 brace = line.find(b"{")
                 entry = json.loads(line[brace:]) if brace >= 0 else {}
-                member = "archive/" + entry["filename"].rpartition("/")[2] if "filename" in entry else data[0] if len(data) == 1 else None
-                if member in found and "offset" in entry and "length" in entry:
+                if "offset" in entry and "length" in entry:
+                    member = "archive/" + entry["filename"].rpartition("/")[2] if "filename" in entry else data[0] if len(data) == 1 else None
+                    if member not in found:
+                        raise ValueError(f"{name} names {member or 'no archive of several'}, which is not there")
                     yield member, int(entry["offset"]), int(entry["length"])
 
 
-def scanned(read_at, at: int, size: int, packed: bool, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Offset and length, from the member's start, of every record of a data member, by reading it through."""
+def scanned(read_at, at: int, size: int, packed: bool, step: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Offset and length, from ``at``, of every record of ``size`` bytes of a data member, by reading them through once."""
+    block, begin = b"", 0
+
+    def ahead(low: int) -> bytes:
+        """Bytes from ``low`` on: what is left of the last block read, or the next one."""
+        nonlocal block, begin
+        if not begin <= low < begin + len(block):
+            block, begin = read_at(min(step, size - low), at + low), low
+        if not block:
+            raise ValueError("a WARC record is cut short")
+        return block[low - begin :]
+
     pos = 0
     while pos < size:
         low, done = pos, None
         if packed:
             unzip = zlib.decompressobj(31)
             while done is None:
-                data = read_at(min(step, size - low), at + low)
-                if not data:
-                    raise ValueError("a WARC record is cut short")
+                data = ahead(low)
                 unzip.decompress(data)
                 low += len(data)
                 if unzip.eof:
@@ -263,9 +283,7 @@ def scanned(read_at, at: int, size: int, packed: bool, step: int = 1 << 20) -> I
         else:
             head = b""
             while b"\r\n\r\n" not in head:
-                data = read_at(min(65_536, size - low), at + low)
-                if not data:
-                    raise ValueError("a WARC record is cut short")
+                data = ahead(low)
                 head += data
                 low += len(data)
             end = head.index(b"\r\n\r\n")
@@ -275,20 +293,33 @@ def scanned(read_at, at: int, size: int, packed: bool, step: int = 1 << 20) -> I
         pos = done
 
 
+def ranges_of(found: dict[str, tuple[int, int]], read_at, member: str, named: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Offset and length of every record of a data member: those that indexes name, and what a scan finds between them."""
+    start, long = found[member]
+    packed, at = member.endswith(".gz"), 0
+    for low, size in [*np.unique(named.reshape(-1, 2), axis=0).tolist(), [long, 0]]:
+        if low < at or size < 0 or low + size > long:
+            raise ValueError(f"an index of {member} names bytes {low} to {low + size}, which do not fit")
+        for offset, length in scanned(read_at, start + at, low - at, packed):
+            yield at + offset, length
+        if size:
+            yield low, size
+        at = low + size
+
+
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for (uri,) in C.rows_of(batches, ["archive"]):
             fs, path = open_fs(uri)
             with fs.open_input_file(path) as f:
                 read_at = lambda n, at, f=f: f.read_at(n, at)
-                found, named = members_of(read_at, f.size()), set()
+                found, named = members_of(read_at, f.size()), defaultdict(lambda: array("q"))
                 for member, at, size in indexed(found, read_at):
-                    named.add(member)
-                    yield uri, found[member][0] + at, size, member.endswith(".gz")
-                for member, (start, long) in found.items():
-                    if _DATA.match(member) and member not in named:
-                        for at, size in scanned(read_at, start, long, member.endswith(".gz")):
-                            yield uri, start + at, size, member.endswith(".gz")
+                    named[member].extend((at, size))
+                for member in found:
+                    if _DATA.match(member):
+                        for at, size in ranges_of(found, read_at, member, np.array(named[member], np.int64)):
+                            yield uri, found[member][0] + at, size, member.endswith(".gz")
 
     yield from C.emit(_ENTRIES, rows(), 16_384)
 
@@ -350,12 +381,20 @@ def page_records(pages: DataFrame, *, folder: str | None = None, min_revisit: in
     spark = pages.sparkSession
     manifest = write_archives(pages, folder or C.scratch_path(spark, "warc"), min_revisit=min_revisit)
     records = C.table(read_archives(manifest, blocks=False).drop("block"), "warc-records")
-    # A revisit's length is its response's; responses that several pages share are few beside their revisits.
-    wanted = records.where("record_type = 'revisit'").select("payload_digest").distinct()
-    sizes = C.table(records.where("record_type = 'response'").join(wanted, "payload_digest", "left_semi").groupBy(F.col("payload_digest").alias("of")).agg(F.max("block_bytes").alias("long")), "warc-sizes")
-    own = records.where("record_type = 'response'").select("page_id", F.col("block_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = records.where("record_type = 'revisit'").join(sizes, F.col("payload_digest") == F.col("of")).select("page_id", F.col("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    return own.unionByName(again)
+    # A revisit's length is its response's. Payloads with more than a 1 / (2 * partitions) share of the revisits number at most
+    # twice the partitions and meet by a bounded broadcast; the others are joined by digest.
+    again = records.where("record_type = 'revisit'")
+    counted = again.groupBy(F.col("payload_digest").alias("of")).agg(F.count("*").alias("n"))
+    response = records.where("record_type = 'response'")
+    sizes = counted.join(response, F.col("of") == F.col("payload_digest")).groupBy("of").agg(F.max("block_bytes").alias("long"), F.first("n").alias("n"))
+    sizes = C.table(sizes, "warc-sizes")
+    often = F.col("n") > (sizes.agg(F.sum("n")).first()[0] or 0) / (2 * C.width(spark))
+    very = F.broadcast(sizes.where(often).select(F.col("of").alias("hot"), F.col("long").alias("hot_long")))
+    met = again.join(very, F.col("payload_digest") == F.col("hot"), "left")
+    key = F.when(F.col("hot").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("hot "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    met = met.join(sizes.where(~often).select("of", "long"), key == F.col("of"), "left").withColumn("long", F.coalesce("hot_long", "long")).where("long is not null")
+    own = response.select("page_id", F.col("block_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return own.unionByName(met.select("page_id", F.col("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
 ORACLE = """

@@ -259,3 +259,48 @@ def _last(step, word):
     for c in word.tolist():
         state = step[state, c]
     return state
+
+
+# -- archives ------------------------------------------------------------------------------------
+
+
+def test_archive_reader_loses_no_record(spark, tmp_path):
+    """A partial index, none, and broken ones, over one member of five records."""
+    import gzip
+    import json
+    import zipfile
+
+    from factloom.llm import warc
+
+    body_of = lambda i: f"text {i} ".encode() * 40
+    raws = [warc.record("response", i, f"http://{i}", body_of(i), hashlib.sha256(body_of(i)).hexdigest(), len(body_of(i)), None) for i in range(5)]
+    packed = [gzip.compress(r) for r in raws]
+    starts = [sum(map(len, packed[:i])) for i in range(5)]
+    line = lambda i, **more: json.dumps({"offset": starts[i], "length": len(packed[i]), **more})
+
+    def read(name, lines, method=zipfile.ZIP_STORED, body=packed, member="archive/a.warc.gz"):
+        path = tmp_path / f"{name}.zip"
+        with zipfile.ZipFile(path, "w", method) as z:
+            z.writestr(member, b"".join(body))
+            if lines is not None:
+                z.writestr("indexes/i.jsonl", "\n".join(lines))
+        rows = warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "archive string")).collect()
+        return sorted(r["page_id"] for r in rows)
+
+    every = list(range(5))
+    assert read("none", None) == read("blank", ["", "{}"]) == every
+    for i in every:
+        assert read(f"one{i}", [line(i)]) == every
+    assert read("three", [line(4), line(0), line(2), line(2)]) == read("all", [line(i) for i in every]) == every
+    assert read("plain", None, body=raws, member="archive/a.warc") == every
+    broken = {
+        "deflated": lambda: read("deflated", [line(0)], zipfile.ZIP_DEFLATED),
+        "unknown": lambda: read("unknown", [line(0, filename="b.warc.gz")]),
+        "overlap": lambda: read("overlap", [line(0), json.dumps({"offset": 1, "length": 9})]),
+        "past": lambda: read("past", [json.dumps({"offset": starts[4], "length": 10_000_000})]),
+        "short": lambda: read("short", None, body=[*packed[:4], packed[4][:-9]]),
+    }
+    for name, attempt in broken.items():
+        with pytest.raises(Exception, match="compressed|not there|do not fit|cut short"):
+            attempt()
+        assert name
