@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -183,38 +183,55 @@ def _raw(conv, turns: list[tuple]) -> tuple[str, list[int]]:
     return "\n".join(lines), states
 
 
-_RAW = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("raw", pa.string()), ("states", pa.list_(pa.int32()))])
+_RAW = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("name", pa.int64()), ("raw", pa.string()), ("states", pa.list_(pa.int32()))])
+_PLACED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("part", pa.int64()), ("nr", pa.int64()), ("chars", pa.int64())])
 
 
-def _write(segment: int, segment_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId() << 32
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with their place in their conversation and the characters before them, both from the task's start on."""
+    part = TaskContext.get().partitionId()
 
-        def rows() -> Iterator[tuple]:
-            number = place
-            for (conv,), group in C.groups_of(C.rows_of(batches, ["conv_id", "turn", "role", "text"]), 1):
-                held, chars = [], 0
-                for _, turn, role, text in group:
-                    if held and (len(held) == segment or chars + len(text or "") > segment_chars):
-                        yield conv, number, *_raw(conv, held)
-                        number, held, chars = number + 1, [], 0
-                    held.append((turn, role, text))
-                    chars += len(text or "")
-                yield conv, number, *_raw(conv, held)
-                number += 1
-
-        yield from C.emit(_RAW, rows(), 256)
+    def rows() -> Iterator[tuple]:
+        for (conv,), group in C.groups_of(C.rows_of(batches, ["conv_id", "turn", "role", "text"]), 1):
+            chars = 0
+            for nr, (_, turn, role, text) in enumerate(group):
+                yield conv, turn, role, text, part, nr, chars
+                chars += len(text or "")
 
-    return run
+    yield from C.emit(_PLACED, rows(), 1024)
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = TaskContext.get().partitionId() << 32
+
+    def rows() -> Iterator[tuple]:
+        groups = C.groups_of(C.rows_of(batches, ["conv_id", "place", "turn", "role", "text"]), 2)
+        for number, ((conv, cut), group) in enumerate(groups):
+            yield conv, cut, first + number, *_raw(conv, [row[2:] for row in group])
+
+    yield from C.emit(_RAW, rows(), 256)
 
 
 def transcripts_of(conversations: DataFrame, segment: int = 128, segment_chars: int = 4_000_000) -> DataFrame:
-    """``conv_id, place, raw, states``: raw transcripts, cut in segments that ``place`` orders, with each line's true state."""
+    """``conv_id, place, name, raw, states``: raw transcripts in segments, which ``place`` orders in a conversation and ``name`` tells apart, with each line's
+    true state. A segment ends where the count of turns passes a multiple of ``segment``, or that of characters one of
+    ``segment_chars``, so cuts are the same however rows are dealt."""
     some = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
+    keyed = lambda df: df.withColumn("head", F.substring("text", 1, 32)).withColumn("tail", F.xxhash64("text"))
+    width = C.width(conversations.sparkSession)
     order = ["conv_id", "turn", "role", "head", "tail"]
-    keyed = some.withColumn("head", F.substring("text", 1, 32)).withColumn("tail", F.xxhash64("text"))
-    spread = keyed.repartitionByRange(C.width(conversations.sparkSession), *order).sortWithinPartitions(*order)
-    return spread.mapInArrow(_write(segment, segment_chars), "conv_id long, place long, raw string, states array<int>")
+    spread = keyed(some).repartitionByRange(width, *order).sortWithinPartitions(*order)
+    placed = C.table(spread.mapInArrow(_place, "conv_id long, turn long, role string, text string, part long, nr long, chars long"), "chat-placed")
+    # A conversation goes on in later partitions only where it ends one and begins the next: at most two rows a partition.
+    sums = placed.groupBy(F.col("conv_id").alias("of"), F.col("part").alias("at")).agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("long"))
+    wide = sums.withColumn("parts", F.count("*").over(Window.partitionBy("of"))).where("parts > 1")
+    earlier = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = wide.select("of", "at", F.sum("n").over(earlier).alias("n_before"), F.sum("long").over(earlier).alias("long_before"))
+    met = placed.join(F.broadcast(before), F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")), "left")
+    nr, chars = (F.col(c) + F.coalesce(F.col(b), F.lit(0)) for c, b in (("nr", "n_before"), ("chars", "long_before")))
+    cut = F.shiftleft(F.floor(nr / segment).cast("long"), 31) + F.floor(chars / segment_chars).cast("long")
+    dealt = keyed(met.select("conv_id", "turn", "role", "text", cut.alias("place"))).repartition(width, "conv_id", "place").sortWithinPartitions("conv_id", "place", *order[1:])
+    return dealt.mapInArrow(_write, "conv_id long, place long, name long, raw string, states array<int>")
 
 
 _COUNTS = pa.schema([("kind", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
@@ -244,14 +261,14 @@ def train(transcripts: DataFrame) -> Hmm:
     return Hmm(*(t.reshape(s) for t, s in zip(tables, shapes, strict=True)))
 
 
-_TRANSFERS = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("scores", pa.binary())])
+_TRANSFERS = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("name", pa.int64()), ("scores", pa.binary())])
 _CUTS = pa.schema([("at", pa.int64()), ("segment", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("ends", pa.bool_())])
 
 
 def _transfer(model: Hmm):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = C.rows_of(batches, ["conv_id", "place", "raw"])
-        yield from C.emit(_TRANSFERS, ((conv, place, model.transfer([features(x) for x in raw.split("\n")]).tobytes()) for conv, place, raw in rows))
+        rows = C.rows_of(batches, ["conv_id", "place", "name", "raw"])
+        yield from C.emit(_TRANSFERS, ((conv, place, name, model.transfer([features(x) for x in raw.split("\n")]).tobytes()) for conv, place, name, raw in rows))
 
     return run
 
@@ -259,9 +276,9 @@ def _transfer(model: Hmm):
 def _cut(model: Hmm):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for _, group in C.groups_of(C.rows_of(batches, ["conv_id", "place", "scores"]), 1):
+            for _, group in C.groups_of(C.rows_of(batches, ["conv_id", "place", "name", "scores"]), 1):
                 places, transfers = [], []
-                for _, place, scores in group:
+                for _, _, place, scores in group:
                     places.append(place)
                     transfers.append(np.frombuffer(scores).reshape(6, 6))
                 found = model.cuts(transfers)
@@ -278,7 +295,7 @@ def cut_states(transcripts: DataFrame, model: Hmm) -> DataFrame:
     last line, and whether its last turn ends there. A task holds 288 bytes a segment of its conversations."""
     many = transcripts.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("of"))
     split = transcripts.where("raw is not null").join(many, F.col("conv_id").eqNullSafe(F.col("of")), "left_semi")
-    scored = split.mapInArrow(_transfer(model), "conv_id long, place long, scores binary")
+    scored = split.mapInArrow(_transfer(model), "conv_id long, place long, name long, scores binary")
     dealt = scored.repartition(C.width(transcripts.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")
     return dealt.mapInArrow(_cut(model), "at long, segment long, first int, last int, ends boolean")
 
@@ -304,7 +321,7 @@ def _parse(model: Hmm):
 def parse(transcripts: DataFrame, model: Hmm) -> DataFrame:
     """``conv_id, segment, n_lines, roles, texts, rendered, n_right`` (lines whose role is the known one) for each segment."""
     cuts = C.table(cut_states(transcripts, model), "chat-cuts")
-    met = transcripts.join(cuts, F.col("place") == F.col("at"), "left").select("conv_id", "segment", "first", "last", "ends", "raw", "states")
+    met = transcripts.join(cuts, F.col("name") == F.col("at"), "left").select("conv_id", "segment", "first", "last", "ends", "raw", "states")
     return met.mapInArrow(_parse(model), "conv_id long, segment long, n_lines long, roles array<string>, texts array<string>, rendered string, n_right long")
 
 
@@ -313,3 +330,20 @@ def format_chats(conversations: DataFrame, learn: Column, *, segment: int = 128)
     ``held_out`` tells the others."""
     raw = C.table(transcripts_of(conversations, segment), "chat-raw")
     return parse(raw, train(raw.where(learn))).withColumn("held_out", ~F.coalesce(learn, F.lit(False)))
+
+
+def whole_chats(pieces: DataFrame) -> DataFrame:
+    """A row a conversation from its pieces: ``conv_id, n_segments, n_lines, n_turns, roles, rendered_sha256, held_out, n_right``.
+
+    ``rendered_sha256`` chains the digests of the pieces in their order, so no conversation's text is gathered; a turn that
+    goes on over a cut counts in its first piece."""
+    goes_on = F.col("rendered").startswith("\n")
+    roles = F.when(goes_on, F.slice("roles", 2, F.size("roles"))).otherwise(F.col("roles"))
+    piece = pieces.select("conv_id", "segment", "n_lines", roles.alias("roles"), F.sha2("rendered", 256).alias("digest"), "held_out", "n_right")
+    whole = piece.groupBy("conv_id").agg(
+        F.count("*").alias("n_segments"), F.sum("n_lines").alias("n_lines"), F.sum("n_right").alias("n_right"), F.first("held_out").alias("held_out"),
+        F.sort_array(F.collect_list(F.struct("segment", "roles", "digest"))).alias("p"),
+    )
+    all_roles = F.flatten(F.transform("p", lambda x: x["roles"]))
+    chained = F.sha2(F.array_join(F.transform("p", lambda x: x["digest"]), ""), 256)
+    return whole.select("conv_id", "n_segments", "n_lines", F.size(all_roles).alias("n_turns"), F.array_join(all_roles, ",").alias("roles"), chained.alias("rendered_sha256"), "held_out", "n_right")

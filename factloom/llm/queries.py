@@ -65,10 +65,10 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import format_chats
+    """A row a conversation: written as a raw transcript, roles recovered, digest of its canonical form; cases as in ``chat``."""
+    from .chat import format_chats, whole_chats
 
-    out = format_chats(_read(spark, sf_dir, "conversations"), F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(5)) != 0)
-    return out.select("conv_id", "segment", "n_lines", F.size("roles").alias("n_turns"), F.concat_ws(",", "roles").alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"), "held_out", "n_right")
+    return whole_chats(format_chats(_read(spark, sf_dir, "conversations"), F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(5)) != 0))
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,3 +304,31 @@ def test_archive_reader_loses_no_record(spark, tmp_path):
         with pytest.raises(Exception, match="compressed|not there|do not fit|cut short"):
             attempt()
         assert name
+
+
+# -- chats ---------------------------------------------------------------------------------------
+
+
+def test_chats_do_not_depend_on_partitions(spark):
+    """One row a conversation, the same under any number of partitions, with long conversations cut in segments."""
+    from factloom.llm import chat
+
+    rng = random.Random(12)
+    rows = []
+    for conv in [*range(40), None]:
+        for turn in range(rng.choice([1, 4, 60])):
+            role = "user" if turn % 2 == 0 else "assistant"
+            rows.append((conv, turn, role, "\n".join(" ".join(rng.choice(["what", "is", "this", "a", "long", "line", "ok?"]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 3)))))
+    rows += [(50, 0, None, None), (50, None, "user", ""), rows[0]]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 4, 8, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            pieces = chat.format_chats(table.repartition(n), F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(5)) != 0, segment=16)
+            found.append(sorted((tuple(r) for r in chat.whole_chats(pieces).collect()), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(f == found[0] for f in found) and len(found[0]) == 42 and max(r[1] for r in found[0]) == 4
+    assert chat.whole_chats(chat.format_chats(table.limit(0), F.lit(True))).count() == 0
