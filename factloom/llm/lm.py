@@ -17,7 +17,7 @@ Data flow (texts never cross the network; blocks of documents exchange sorted li
    each pair's count and tables; blocks average the samples' predictive probabilities and sum logarithms per document.
 
 Discounts come from the counts of counts of each level (``n1 / (n1 + 2 n2)``). From 64 customers of a dish on,
-seating goes in doubling steps with a binomial number of new tables. Results depend on seed and shard number only.
+seating goes in steps of an eighth with a binomial number of new tables. Results depend on seed and shard number only.
 Seatings that no kept sample needs are deleted as soon as the next one is written.
 
 Defined results: null and empty texts are one end token; repeated rows are texts of their own; a null id learns (its
@@ -194,7 +194,10 @@ def _pairs(keys: Keys, least: float):
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating each dish's customers one by one; ``weight`` is a new table's mass, ``(theta + d T) P``."""
+    """Tables after seating each dish's customers; ``weight`` is a new table's mass, ``(theta + d T) P``.
+
+    The first 64 customers are seated one by one, then an eighth of those seated at a time, by one binomial draw at the
+    chance of the step's middle: mean table counts stay within 1 % of seating all one by one (tested up to 100,000)."""
     tables = (customers > 0).astype(np.int64)
     order = np.argsort(-customers, kind="stable")
     c, w, t = customers[order], weight[order], tables[order]
@@ -206,10 +209,12 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
     low = 64
     while low < top:
         m = int(np.searchsorted(-c, -low, side="left"))
-        span = np.minimum(2 * low, c[:m]) - low
-        new = w[:m] / (w[:m] + low + span / 2 - discount * t[:m])
+        span = np.minimum(low + low // 8, c[:m]) - low
+        # The chance at the step's middle, with the tables that the first half is expected to add.
+        held = t[:m] + span / 2 * w[:m] / (w[:m] + low - discount * t[:m])
+        new = w[:m] / (w[:m] + low + span / 2 - discount * held)
         t[:m] += rng.binomial(span, np.clip(new, 0, 1))
-        low *= 2
+        low += low // 8
     tables[order] = t
     return tables
 

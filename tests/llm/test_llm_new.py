@@ -332,3 +332,22 @@ def test_chats_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(f == found[0] for f in found) and len(found[0]) == 42 and max(r[1] for r in found[0]) == 4
     assert chat.whole_chats(chat.format_chats(table.limit(0), F.lit(True))).count() == 0
+
+
+# -- seating -------------------------------------------------------------------------------------
+
+
+def test_seats_of_large_dishes_have_the_right_mean():
+    """Above 64 customers seats are drawn in steps; mean table counts equal those of seating one by one within 1 %."""
+    from factloom.llm import lm
+
+    rng = np.random.default_rng(3)
+    for n, reps in ((65, 20_000), (2_000, 20_000), (100_000, 2_000)):
+        for mass in (0.5, 5.0, 50.0):
+            tables = np.ones(reps)
+            for i in range(1, n):
+                tables += rng.random(reps) < mass / (mass + i - 0.5 * tables)
+            drawn = lm.seat(np.full(reps, n), np.full(reps, mass), 0.5, rng)
+            noise = 3 * tables.std() / tables.mean() * (2 / reps) ** 0.5  # of the two sample means
+            assert abs(drawn.mean() / tables.mean() - 1) < 0.01 + noise
+            assert abs(drawn.std() / tables.std() - 1) < 0.1
