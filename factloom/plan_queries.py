@@ -13,6 +13,7 @@ from .operators import contracts as K
 from .operators import layout as L
 from .operators import ranges as spots
 from .operators import scoring as S
+from .operators import validation as W
 from .plans import derivation as D
 from .plans import evaluation as E
 from .plans import extraction as P
@@ -339,3 +340,29 @@ def extract_linear_labels(spark, sf_dir):
     lines = F.when(k == 0, broken).when(k == 1, marked).otherwise(bare)
     rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document"), F.lit(1).alias("page"), F.posexplode(lines).alias("row_no", "text"))
     return P.linear_candidates(rows, fields=("product_name", "flash_point")).drop("page")
+
+
+_CHECKED = """
+WITH b AS (SELECT l_orderkey AS document, l_linenumber AS nr, l_partkey % 3 AS page, l_discount::DOUBLE * 12 AS x0, l_tax::DOUBLE * 13 AS x1, l_suppkey % 5 AS n,
+  l_quantity::DOUBLE / 40 AS confidence FROM lineitem)
+SELECT document, nr, 'confidence' AS path, 'out_of_range' AS code FROM b WHERE confidence > 1
+UNION ALL SELECT document, nr, 'evidence.page', 'page_number' FROM b WHERE page < 1
+UNION ALL SELECT document, nr, 'evidence.bbox', 'box_size' FROM b WHERE n = 0
+UNION ALL SELECT document, nr, 'evidence.bbox', 'box_range' FROM b WHERE n > 0 AND greatest(x0, x1) > 1.01
+UNION ALL SELECT document, nr, 'evidence.bbox', 'box_order' FROM b WHERE n > 0 AND x0 > x1"""
+
+
+@query(_CHECKED)
+def prediction_problems(spark, sf_dir):
+    """Every rule that a claim with one span breaks, by path: pages from 0, boxes that reach out, lie reversed or lack a corner."""
+    li = read(spark, sf_dir, "lineitem")
+    x0, x1 = F.col("l_discount").cast("double") * 12, F.col("l_tax").cast("double") * 13
+    box = F.when(F.col("l_suppkey") % 5 == 0, F.array(x0, F.lit(0.0), x1)).otherwise(F.array(x0, F.lit(0.0), x1, F.lit(0.5)))
+    span = F.struct((F.col("l_partkey") % 3).cast("int").alias("page"), F.lit("x").alias("text"), box.alias("bbox"), F.lit("system").alias("bbox_provenance"))
+    none = F.array().cast("array<struct<page: int, text: string, bbox: array<double>, bbox_provenance: string>>")
+    claim = F.struct(
+        F.lit("PRESENT").alias("state"), F.lit("v").alias("value"), span.alias("evidence"), F.lit("DIRECT").alias("derivation"), F.lit(None).cast("string").alias("rule"),
+        none.alias("premises"), (F.col("l_quantity").cast("double") / 40).alias("confidence"),
+    )
+    rows = li.select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("nr"), claim.alias("c"))
+    return W.found(rows, W.CLAIM, "c", "document", "nr")
