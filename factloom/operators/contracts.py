@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -118,24 +119,56 @@ def cache_misses(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return requests.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def call_model(requests: DataFrame, caller: Callable[[str], str], key: str = "key", prompt: str = "prompt", tries: int = 1) -> DataFrame:
-    """``key, response, error``: an injected caller over requests, asked up to ``tries`` times; an error becomes a row, not a
-    failed task."""
+#: Errors that another attempt does not mend.
+FINAL = (ValueError, TypeError, KeyError, PermissionError)
+
+
+class TokenBucket:
+    """At most ``rate`` calls a second on average and ``burst`` at once; ``take`` waits for its turn."""
+
+    def __init__(self, rate: float, burst: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.burst, self.clock, self.sleep = rate, burst, clock, sleep
+        self.held, self.at = float(burst), clock()
+
+    def take(self) -> None:
+        now = self.clock()
+        self.held, self.at = min(self.burst, self.held + (now - self.at) * self.rate), now
+        if self.held < 1:
+            self.sleep((1 - self.held) / self.rate)
+            self.at = self.clock()
+            self.held = 1.0
+        self.held -= 1
+
+
+def _answered(caller: Callable[[str], str], prompt: str, tries: int, wait: float, most: float, bucket: TokenBucket | None) -> tuple[str | None, str | None, int]:
+    """Response, error and attempts of one prompt: an error that may pass is tried again after a time that doubles, or after
+    the error's own ``retry_after``; one that will not pass is not."""
+    for attempt in range(1, tries + 1):
+        if bucket:
+            bucket.take()
+        try:
+            return caller(prompt), None, attempt
+        except Exception as e:
+            if attempt == tries or isinstance(e, FINAL):
+                return None, str(e)[:500], attempt
+            asked = getattr(e, "retry_after", None)
+            pause = min(most, wait * 2 ** (attempt - 1) if asked is None else float(asked))
+            if pause > 0:
+                time.sleep(pause)
+    return None, "not asked", 0
+
+
+def call_model(requests: DataFrame, caller: Callable[[str], str], key: str = "key", prompt: str = "prompt", tries: int = 1, *, wait: float = 0.0, most_wait: float = 60.0, rate: float | None = None) -> DataFrame:
+    """``key, response, error, attempts``: an injected caller over requests, asked up to ``tries`` times; an error becomes a row, not
+    a failed task. A task makes at most ``rate`` calls a second."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = TokenBucket(rate) if rate else None
         for batch in batches:
-            rows = []
-            for k, p in zip(batch[key], batch[prompt], strict=True):
-                for left in range(tries - 1, -1, -1):
-                    try:
-                        rows.append((k, caller(p), None))
-                        break
-                    except Exception as e:
-                        if not left:
-                            rows.append((k, None, str(e)[:500]))
-            yield pd.DataFrame(rows, columns=["key", "response", "error"])
-
-    return requests.select(key, prompt).mapInPandas(run, "key string, response string, error string")
+            rows = [(k, *_answered(caller, p, tries, wait, most_wait, bucket)) for k, p in zip(batch[key], batch[prompt], strict=True)]
+            yield pd.DataFrame(rows, columns=["key", "response", "error", "attempts"])
+
+    return requests.select(key, prompt).mapInPandas(run, "key string, response string, error string, attempts int")
 
 
 def judge_score(p_yes: Column, p_no: Column) -> Column:

@@ -282,9 +282,3 @@ def extract_documents(rows: DataFrame, layout: str = "rows", document: str = "do
         F.when((is_form & known) | barred, F.col("confidence")).when(read, confidence_of(_by_field({k: F.lit(v) for k, v in PRIORS.items()}), e["seen"])).alias("confidence"),
         F.when(flagged, "CAS check digit failed").when(derived_form, "composition table").when(barred, F.concat(F.lit("identifiers are undefined for "), F.col("form"))).alias("rationale"),
     ).withColumn("state", F.coalesce("state", F.lit("NOT_STATED")))
-
-
-def extract_grid(layers: dict[str, DataFrame], layouts: tuple[str, ...] = LAYOUTS) -> DataFrame:
-    """Claims of each text layer under each layout."""
-    runs = [extract_documents(rows, layout).select(F.lit(layer).alias("layer"), F.lit(layout).alias("layout"), "*") for layer, rows in layers.items() for layout in layouts]
-    return reduce(DataFrame.unionByName, runs)

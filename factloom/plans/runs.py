@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import contracts as K
+from ..operators import quarantine
 from ..operators import retrieval as R
 from ..sources import reports
 from . import evaluation as E
@@ -18,14 +19,16 @@ class CorpusError(ValueError):
 
 
 def extract_grid(rows: dict[tuple[str, str], DataFrame], documents: DataFrame) -> DataFrame:
-    """Claims of every (layer, layout) table of rows, with ``layer, layout, error``: a document without rows has one row that
-    says so instead of claims."""
+    """Claims of every (layer, layout) table of rows, with ``layer, layout, error``: a document without rows, or with rows that
+    cannot be read, has one row that says so instead of claims, and the others go on."""
     out = None
     for (layer, layout), table in rows.items():
         tag = lambda df, layer=layer, layout=layout: df.withColumns({"layer": F.lit(layer), "layout": F.lit(layout)})
-        claims = tag(P.extract_documents(table, layout)).withColumn("error", F.lit(None).cast("string"))
+        good, off = quarantine.split(table, quarantine.row_checks(table))
+        claims = tag(P.extract_documents(good, layout)).withColumn("error", F.lit(None).cast("string"))
         lost = documents.select("document").distinct().join(table.select("document").distinct(), "document", "left_anti")
-        both = claims.unionByName(tag(lost).withColumn("error", F.lit("no text on this layer")), allowMissingColumns=True)
+        failed = lost.withColumn("error", F.lit("no text on this layer")).unionByName(off.select("document", "error"))
+        both = claims.unionByName(tag(failed), allowMissingColumns=True)
         out = both if out is None else out.unionByName(both, allowMissingColumns=True)
     return out
 

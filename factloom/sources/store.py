@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import contracts as K
+
 VECTORS = "digest string, vector array<double>"
 
 
@@ -121,3 +123,26 @@ def embed_missing(pages: DataFrame, path: str, model: str, embed: Callable[[list
             compact(spark, path, VECTORS, ["digest"], ["digest"])
     held = load(spark, path, VECTORS).dropDuplicates(["digest"]).withColumnRenamed("digest", "_digest")
     return named.join(held, "_digest", "left").drop("_digest")
+
+
+ANSWERS = "key string, response string, error string, attempts int"
+
+
+def ask_missing(requests: DataFrame, path: str, caller: Callable[[str], str], *, parts: int = 16, **how) -> DataFrame:
+    """Answers (``key, response, error, attempts``) to ``requests`` (``key, prompt``), kept at ``path``: only prompts without an answer are asked.
+
+    Keys are dealt in ``parts`` by hash and each part is published when it is answered, so a run that dies asks no more than one
+    part again. Errors are not kept: a later run asks those prompts anew. ``how`` goes to ``contracts.call_model``."""
+    spark = requests.sparkSession
+    asked = requests.select(F.col("key").cast("string").alias("key"), "prompt").where("key is not null").dropDuplicates(["key"])
+    known = load(spark, path, ANSWERS).where("response is not null")
+    lost = None
+    for part in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).join(known.select("key"), "key", "left_anti")
+        if not some.limit(1).isEmpty():
+            name = publish(K.call_model(some, caller, **how), path)
+            errors = spark.read.schema(ANSWERS).parquet(f"{path}/data/{name}").where("error is not null")
+            lost = errors if lost is None else lost.unionByName(errors)
+    held = load(spark, path, ANSWERS).where("response is not null").dropDuplicates(["key"])
+    answers = asked.select("key").join(held, "key")
+    return answers if lost is None else answers.unionByName(lost)

@@ -82,3 +82,83 @@ def test_gold_written_and_read_back(spark, tmp_path):
     assert {r["field"]: len(r["evidence"] or []) for r in fields.collect()} == {f: len(r or []) for f, r in written.items()}
     S.write_gold(gold.where("field = 'flash_point'"), fields, path)
     assert [r["field"] for r in S.read_gold(spark, path).collect()] == ["flash_point"] and S.read_gold(spark, path, "locked").count() == 0
+
+
+def test_answers_survive_a_lost_run(spark, tmp_path):
+    """A run whose driver dies after some parts asks none of their prompts again; errors are asked anew."""
+    from factloom.operators import contracts as K
+
+    path, log = str(tmp_path / "answers"), tmp_path / "asked"
+    log.mkdir()
+
+    def caller(prompt, broken=()):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(prompt)
+        if prompt in broken:
+            raise RuntimeError("busy")
+        return prompt.upper()
+
+    calls = lambda: sorted(f.read_text() for f in log.glob("*"))
+    asked = spark.createDataFrame([(str(i), f"p{i}") for i in range(20)] + [("3", "p3"), (None, "x")], "key string, prompt string")
+    some = asked.where(F.pmod(F.xxhash64("key"), F.lit(4)) < 2)  # what a run got done before it was lost
+    store.ask_missing(some, path, caller, parts=4)
+    before = calls()
+    got = {r["key"]: r["response"] for r in store.ask_missing(asked, path, caller, parts=4).collect()}
+    assert got == {str(i): f"P{i}" for i in range(20)} and calls() == sorted(f"p{i}" for i in range(20)) and 0 < len(before) < 20
+    more = spark.createDataFrame([("a", "new"), ("b", "bad"), ("0", "p0")], "key string, prompt string")
+    answers = {r["key"]: (r["response"], r["error"], r["attempts"]) for r in store.ask_missing(more, path, lambda p: caller(p, ("bad",)), tries=2).collect()}
+    assert answers == {"a": ("NEW", None, 1), "b": (None, "busy", 2), "0": ("P0", None, 1)}
+    assert {r["key"]: r["response"] for r in store.ask_missing(more, path, caller).collect()} == {"a": "NEW", "b": "BAD", "0": "P0"}
+    assert K.FINAL
+
+
+def test_waits_follow_the_error_and_the_rate():
+    from factloom.operators import contracts as K
+
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(round(s, 6))
+        now[0] += s
+
+    bucket = K.TokenBucket(2.0, 3, lambda: now[0], sleep)
+    for _ in range(5):
+        bucket.take()
+    assert slept == [0.5, 0.5]
+    now[0] += 10
+    for _ in range(3):
+        bucket.take()
+    assert len(slept) == 2
+    tried = []
+
+    def refuse(prompt):
+        tried.append(prompt)
+        raise ValueError("never")
+
+    assert K._answered(refuse, "p", 5, 0.0, 1.0, None) == (None, "never", 1) and len(tried) == 1
+
+
+def test_one_poisoned_document_costs_one_row(spark):
+    import pandas as pd
+
+    from factloom.operators import quarantine as Q
+    from factloom.plans import runs
+
+    rows = [(f"d{i}", 1, n, t) for i in range(60) for n, t in enumerate(["Product name: Foo", "Flash point: 61 °C"])]
+    rows += [("p", 1, 0, "Product name: Bar"), ("p", 1, None, None), ("q", 0, 0, "x"), (None, 1, 0, "lost")]
+    table = spark.createDataFrame(rows, "document string, page int, row_no int, text string")
+    docs = table.select("document").where("document is not null").distinct()
+    out = runs.extract_grid({("native", "rows"): table}, docs)
+    errors = {r["document"]: r["error"] for r in out.where("error is not null").collect()}
+    assert errors == {"p": "no row number; no text", "q": "page number below 1", None: "no document"}
+    claims = out.where("error is null").groupBy("document").count().collect()
+    assert len(claims) == 60 and {r["count"] for r in claims} == {7}
+
+    def extract(group):
+        if group["document"].iloc[0] == "d7":
+            raise RuntimeError("bad page")
+        return pd.DataFrame({"document": group["document"].iloc[:1], "n": [len(group)]}) if group["document"].iloc[0] != "d8" else pd.DataFrame({"document": ["d8"]})
+
+    got = {r["document"]: (r["n"], r["error"]) for r in Q.per_document(table.where("document like 'd%'"), extract, "document string, n long").collect()}
+    assert len(got) == 60 and got["d7"] == (None, "RuntimeError: bad page") and got["d8"][1].startswith("KeyError") and got["d0"] == (2, None)
