@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 KS = (1, 2, 3, 5, 10)
 BUDGETS = (500, 1000, 2000)
@@ -39,12 +40,17 @@ def bm25(units: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.
     return met.groupBy("document", "unit", "query_id").agg(F.sum(part).alias("score"))
 
 
-def all_scores(scores: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every unit of a document under every query, 0 without a common word. A stated query set, sent as one array in blocks
-    of rows: each unit is repeated for each query, as the ranking of all units needs."""
-    spread = F.lit(1).alias("one")
-    listed = queries.select("query_id", spread).groupBy("one").agg(F.collect_set("query_id").alias("asked"))
-    every = units.select("document", "unit", spread).join(listed, "one").select("document", "unit", F.explode("asked").alias("query_id"))
+def all_scores(scores: DataFrame, units: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every unit of a document under every query, 0 without a common word.
+
+    The queries are a stated set of at most ``most``, which is checked: each row is repeated for the literal list of their ids, as
+    the ranking of all units needs, and nothing is shuffled for it."""
+    asked = [r[0] for r in queries.select("query_id").distinct().limit(most + 1).collect()]
+    if len(asked) > most:
+        raise ValueError(f"more than {most} queries; rank them in parts")
+    kind = queries.schema["query_id"].dataType
+    listed = F.array(*[F.lit(q) for q in asked]).cast(ArrayType(kind)) if asked else F.array().cast(ArrayType(kind))
+    every = units.select("document", "unit", F.explode(listed).alias("query_id"))
     return every.join(scores, ["document", "unit", "query_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -119,8 +125,13 @@ def nearest_by_cosine(vectors: DataFrame, is_query: Column, *, k: int = 5, digit
     """``query_id, vec_id, score, rank``: each query row's k rows of largest rounded cosine among all others, ties to the smaller id.
 
     Rows and queries are packed in blocks; each block of rows meets each block of queries once, as one matrix product, and
-    passes on k rows a query. Vectors are of one length; null ones take no part."""
-    some = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    passes on k rows a query. Vectors that are null, empty, zero or of another length than most, and those with a component
+    that is null or no finite number, take no part."""
+    some = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    some = some.where(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
+    sizes = some.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    some = some.where(F.size("embedding") == F.lit(sizes["size"] if sizes else 0))
     asked = some.where(is_query)
     parts = max(1, -(-asked.count() // block))
     queries = asked.repartition(parts).mapInArrow(_pack("vec_id", "embedding", block), _PACKED).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("n").alias("q_n"), F.col("part").alias("q"))

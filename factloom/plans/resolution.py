@@ -157,7 +157,8 @@ def premise_verifiable(gold: DataFrame) -> DataFrame:
 
 def gold_report(gold: DataFrame) -> DataFrame:
     """``what, name, n``: fields by state and derivation, spans, premises, spans that occur more than once or lack an OCR
-    place, derived fields that the rules cannot verify."""
+    place, derived fields that the rules cannot verify or whose premises do not fill their rule's roles (``ungrouped``), and
+    the sets of roles, with the number needed of each, that the premises of the others are grouped by (``role_sets``)."""
     spans = gold.select("document", "field", F.inline_outer(F.concat("evidence", "premises")))
     flags = {"spans": F.col("page").isNotNull(), "ambiguous_spans": F.col("occurrences") > 1}
     if "ocr_box" in spans.columns:
@@ -169,7 +170,43 @@ def gold_report(gold: DataFrame) -> DataFrame:
         out = out.unionByName(gold.groupBy(F.col(what).alias("name")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n"))
     out = out.unionByName(gold.agg(F.sum(F.size("premises")).alias("n")).select(F.lit("spans").alias("what"), F.lit("premise_spans").alias("name"), F.coalesce("n", F.lit(0)).alias("n")))
     unproven = premise_verifiable(gold).where(~F.col("verifiable")).agg(F.count("*").alias("n"))
-    return out.unionByName(unproven.select(F.lit("rules").alias("what"), F.lit("unverifiable").alias("name"), "n"))
+    out = out.unionByName(unproven.select(F.lit("rules").alias("what"), F.lit("unverifiable").alias("name"), "n"))
+    filled = role_cover(gold)
+    loose = filled.where(~F.col("grouped")).agg(F.count("*").alias("n"))
+    out = out.unionByName(loose.select(F.lit("rules").alias("what"), F.lit("ungrouped").alias("name"), "n"))
+    sets = filled.where("grouped").groupBy(F.col("needs").alias("name")).agg(F.count("*").alias("n"))
+    return out.unionByName(sets.select(F.lit("role_sets").alias("what"), "name", "n"))
+
+
+def role_cover(gold: DataFrame) -> DataFrame:
+    """``document, field, rule, roles, minimal, grouped, needs`` of every derived field: the roles that its premises fill together,
+    the least number of premises that fill them all, whether they fill what the rule needs, and that (``2x role + 1x role``).
+
+    A span's roles are bits; a field's are the ``bit_or`` of its spans'. Of the few subsets of the five roles, a span's mask is
+    one, so the least cover is found over the distinct masks by trying sets of masks in order of size."""
+    keys = ["document", "field"]
+    order = F.array(*[F.lit(r) for r in D.ROLES])
+    bits = F.aggregate(F.transform(order, lambda r, i: F.when(F.array_contains("_roles", r), F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    derived = gold.where(F.col("derivation").isin(*E.GOLD_DERIVED))
+    spans = derived.select(*keys, F.explode(F.transform("premises", lambda p: p["text"])).alias("text")).withColumn("_roles", Q.premise_roles(F.col("text")))
+    masks = spans.select(*keys, bits.alias("mask")).groupBy(*keys).agg(F.bit_or("mask").alias("cover"), F.array_sort(F.collect_set("mask")).alias("masks"))
+    join = lambda a, b: a.bitwiseOR(b)
+    # Covers of one mask, of two, and so on: five roles need five masks at most.
+    level, least = F.col("masks"), F.when(F.array_contains("masks", F.col("cover")), 1)
+    for size in range(2, len(D.ROLES) + 1):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda a: F.transform("masks", lambda b: join(a, b)))))
+        masks = masks.withColumn(f"_level{size}", level)
+        level = F.col(f"_level{size}")
+        least = least.when(F.array_contains(level, F.col("cover")), size)
+    roles = F.filter(F.transform(order, lambda r, i: F.when(F.col("cover").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0, r)), lambda r: r.isNotNull())
+    told = masks.select(*keys, roles.alias("roles"), F.when(F.col("cover") == 0, 0).otherwise(least).alias("minimal"))
+    shaped = derived.select(*keys, "rule", "value", F.lit(True).alias("derived"), E._spans(F.transform("premises", lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text"), p["box"].alias("box")))).alias("targets"))
+    needs = F.array_join(F.transform("groups", lambda g: F.concat(g["needed"].cast("string"), F.lit("x "), g["role"])), " + ")
+    grouped = E.target_groups(shaped, keys).select(*keys, "rule", F.col("described").alias("grouped"), F.when(F.col("described"), needs).alias("needs"))
+    none = F.array().cast("array<string>")
+    return grouped.join(told, keys, "left").select(*keys, "rule", F.coalesce("roles", none).alias("roles"), F.coalesce("minimal", F.lit(0)).alias("minimal"), "grouped", "needs")
+
+
 
 
 def best_place(pages: DataFrame, needles: DataFrame, least: float = 90.0) -> DataFrame:

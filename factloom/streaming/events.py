@@ -17,10 +17,11 @@ def windowed_counts(events: DataFrame, *, late: str = "10 minutes", window: str
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def watch_passages(texts: DataFrame, passages: DataFrame, out: str, checkpoint: str):
-    """Append hits of each micro-batch to ``out``; passages are a table."""
+def watch_passages(texts: DataFrame, passages: DataFrame, out: str, checkpoint: str, key: str = "doc_id"):
+    """Hits of each micro-batch under ``out`` as ``batch=<id>``; passages are a table. A batch that is run again after a failure
+    replaces its own folder, so no hit is written twice."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        passages_in(batch, passages).write.mode("append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        passages_in(batch, passages, key=key).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

@@ -103,3 +103,24 @@ def test_series_and_tables(spark, tmp_path):
 def test_percentile_row(spark):
     values = spark.createDataFrame([(g, n) for g in ("a", "b") for n in range(10 if g == "a" else 1)] + [("a", None)], "g string, n int")
     assert {r["g"]: r["p90"] for r in R.percentile_row(values, ["g"], "n").collect()} == {"a": 9, "b": 0}
+
+
+def test_unusable_vectors_take_no_part(spark):
+    """Null, empty, zero, ragged and non-finite vectors neither ask nor answer, and crash nothing."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["rank"]) for r in R.nearest_by_cosine(table, F.col("vec_id") % 5 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2)]
+    assert R.nearest_by_cosine(table.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_query_sets_are_checked(spark):
+    units = spark.createDataFrame([("a", 1), ("a", 2)], "document string, unit int")
+    scores = spark.createDataFrame([("a", 1, "q", 2.0)], "document string, unit int, query_id string, score double")
+    queries = spark.createDataFrame([("q",), ("r",)], "query_id string")
+    got = sorted(tuple(r[c] for c in ("unit", "query_id", "score")) for r in R.all_scores(scores, units, queries).collect())
+    assert got == [(1, "q", 2.0), (1, "r", 0.0), (2, "q", 0.0), (2, "r", 0.0)]
+    assert R.all_scores(scores, units, queries.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        R.all_scores(scores, units, queries, most=1)

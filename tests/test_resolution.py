@@ -92,10 +92,36 @@ def test_gold_and_its_report(spark, pages):
     assert told["chemical_formula"] is True and told["flash_point"] is None
     report = {(r["what"], r["name"]): r["n"] for r in N.gold_report(gold).collect()}
     assert report["state", "NOT_APPLICABLE"] == 3 and report["spans", "premise_spans"] == 5 and report["rules", "unverifiable"] == 0 and report["spans", "ambiguous_spans"] == 1
+    assert report["rules", "ungrouped"] == 0 and report["role_sets", "1x form_declaration"] == 3
     assert N.span_offsets_off(gold, pages).count() == 0
     assert N.load_gold(fields_of(spark), pages, split="locked").count() == 0
 
 
+def test_role_cover(spark):
+    """Roles that premises fill together, the least number of them that does, and sets that fall short of their rule."""
+    header, part, other, whole, done = "Ingredient C.A.S. No. % by Wt", "aluminum 7429-90-5 1~10", "copper 7440-50-8 1~15", "argon 7440-37-1 100 %", "There are no impurities or stabilizers"
+    comp, ident = "composition_implies_form", "identifier_undefined_for_form"
+    cases = {
+        "mix": (comp, "MIXTURE", [header, part, other]),
+        "short": (comp, "MIXTURE", [header, part]),
+        "pure": (comp, "SUBSTANCE", [whole, done, whole]),
+        "told": (ident, None, ["Chemical description: mixture", "nothing here"]),
+        "none": (ident, None, []),
+        "words": (ident, None, ["only words"]),
+    }
+    kind = "array<struct<page: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    gold = spark.createDataFrame([(d, "f", "ONTOLOGY" if r == ident else "COMPOSITION_IMPLIED", r, v, [(1, t, None) for t in ts]) for d, (r, v, ts) in cases.items()], f"document string, field string, derivation string, rule string, value string, premises {kind}")
+    got = {r["document"]: (r["roles"], r["minimal"], r["grouped"], r["needs"]) for r in N.role_cover(gold).collect()}
+    assert got == {
+        "mix": (["composition_header", "partial_constituent"], 2, True, "1x composition_header + 2x partial_constituent"),
+        "short": (["composition_header", "partial_constituent"], 2, False, None),
+        "pure": (["sole_constituent", "completeness_statement"], 2, True, "1x sole_constituent + 1x completeness_statement"),
+        "told": (["form_declaration"], 1, True, "1x form_declaration"),
+        "none": ([], 0, False, None),
+        "words": ([], 0, False, None),
+    }
+
+
 def test_gold_problems_raise(spark, pages):
     broken = fields_of(spark).withColumn("evidence", F.when(F.col("field") == "flash_point", F.array(F.struct(F.lit(1), F.lit("62 °C"), F.lit(1), F.lit(False))).cast(N.REFERENCES)).otherwise(F.col("evidence")))
     _, problems = N.build_gold(broken.where("field <> 'product_name'"), pages)
