@@ -202,13 +202,14 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
     order = np.argsort(-customers, kind="stable")
     c, w, t = customers[order], weight[order], tables[order]
     top = int(c[0]) if len(c) else 0
+    more = lambda n: len(c) - int(np.searchsorted(c[::-1], n, side="right"))  # dishes of more than n customers
     for n in range(1, min(top, 64)):
-        m = int(np.searchsorted(-c, -n, side="left"))
+        m = more(n)
         new = w[:m] / (w[:m] + n - discount * t[:m])
         t[:m] += rng.random(m) < new
     low = 64
     while low < top:
-        m = int(np.searchsorted(-c, -low, side="left"))
+        m = more(low)
         span = np.minimum(low + low // 8, c[:m]) - low
         # The chance at the step's middle, with the tables that the first half is expected to add.
         held = t[:m] + span / 2 * w[:m] / (w[:m] + low - discount * t[:m])
