@@ -351,3 +351,21 @@ def test_seats_of_large_dishes_have_the_right_mean():
             noise = 3 * tables.std() / tables.mean() * (2 / reps) ** 0.5  # of the two sample means
             assert abs(drawn.mean() / tables.mean() - 1) < 0.01 + noise
             assert abs(drawn.std() / tables.std() - 1) < 0.1
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    from factloom.llm import common as C
+
+    class Session:
+        def __init__(self, **conf):
+            self.held = conf
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.held.get(key, default)
+
+    assert C.shared_dir(Session(**{"spark.checkpoint.dir": "s3://x/", "spark.master": "yarn"})) == "s3://x"
+    assert C.shared_dir(Session(**{"spark.master": "local[4]"})).startswith("file://")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+            C.shared_dir(Session(**{"spark.master": master}))
