@@ -66,18 +66,21 @@ def _scan(needles: list[tuple[str, object]], key: str):
                     for column, v in zip(out, (doc, item, n, first), strict=True):
                         column.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[key, "item_id", "n_hits", "first_offset"])
+                kinds = [batch.schema.field(0).type, pa.string() if isinstance(out[1][0], str) else pa.int64(), pa.int64(), pa.int64()]
+                cells = [pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cells, names=[key, "item_id", "n_hits", "first_offset"])
 
     return run
 
 
 def passages_in(texts: DataFrame, passages: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_chars: int = 8_000_000, form: bool = True) -> DataFrame:
     """``key, item_id, n_hits, first_offset`` (0-based, in search form) for every text and passage that it holds; with
-    ``form`` false the passages are in search form already (pieces keep the spaces at their ends)."""
+    ``form`` false the passages are in search form already (pieces keep the spaces at their ends). Ids are numbers or strings."""
     normal = passages.select("item_id", (T.search_form(F.col("text")) if form else F.col("text")).alias("n")).where("n <> ''")
     parts = normal.agg(F.coalesce(F.sum(F.length("n")), F.lit(0))).first()[0] // chunk_chars + 1
-    pages = texts.select(F.col(key).cast("long").alias(key), T.search_form(F.col(text)).alias("n"))
-    schema = f"{key} long, item_id long, n_hits long, first_offset long"
+    kind = lambda df, c: "string" if dict(df.dtypes)[c] == "string" else "long"
+    pages = texts.select(F.col(key).cast(kind(texts, key)).alias(key), T.search_form(F.col(text)).alias("n"))
+    schema = f"{key} {kind(texts, key)}, item_id {kind(passages, 'item_id')}, n_hits long, first_offset long"
     out = None
     for part in range(parts):
         needles = [(r["n"], r["item_id"]) for r in normal.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()]

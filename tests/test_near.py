@@ -171,3 +171,35 @@ def test_best_place_is_the_best_window(spark):
     got = [tuple(r) for r in N.best_place(pages, needles).collect()]
     score = plain_score("x" * 40 + "flash point of sixty degrees" + "y" * 400, "flash point of sixtty degrees")
     assert got == [("a", "flash point of sixtty degrees", 1, got[0][3], False, pytest.approx(score))] and 36 <= got[0][3] <= 40 and score >= 90
+
+
+def test_passages_with_named_ids(spark):
+    from factloom.operators import search
+
+    texts = spark.createDataFrame([("a", "One  two three two"), ("b", None), ("c", "two")], "doc_id string, text string")
+    asked = spark.createDataFrame([("p", "two"), ("q", "ONE two"), ("r", " ")], "item_id string, text string")
+    assert sorted(tuple(r) for r in search.passages_in(texts, asked).collect()) == [("a", "p", 2, 4), ("a", "q", 1, 0), ("c", "p", 1, 0)]
+    assert search.passages_in(texts, asked.where("item_id = 'r'")).count() == 0
+
+
+def test_watched_batches_are_written_once(spark, tmp_path):
+    """A batch that is run again replaces its own hits."""
+    from factloom.streaming import events
+
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    asked = spark.createDataFrame([(1, "two")], "item_id long, text string")
+    for i, text in enumerate(["one two", "two two", "none"]):
+        spark.createDataFrame([(i, text)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+    texts = events.stream(spark, source, "doc_id long, text string", files=1)
+    query = events.watch_passages(texts, asked, out, check)
+    query.processAllAvailable()
+    query.stop()
+    read = lambda: sorted((r["doc_id"], r["n_hits"]) for r in spark.read.parquet(out).collect())
+    assert read() == [(0, 1), (1, 2)]
+    last = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for f in (last, last.with_name(f".{last.name}.crc")):
+        f.unlink(missing_ok=True)  # the commit of the last batch was lost, so it runs again
+    query = events.watch_passages(events.stream(spark, source, "doc_id long, text string", files=1), asked, out, check)
+    query.processAllAvailable()
+    query.stop()
+    assert read() == [(0, 1), (1, 2)]
