@@ -332,3 +332,31 @@ def probe_rates(scored: DataFrame) -> DataFrame:
     ok = F.when(F.col("probe") == "gold_value", has & S.joint(E.LOCAL)).when(F.col("probe") == "gold_evidence", has & S.joint(("state", "value"))).when(F.col("probe") == "gold_verify", F.col("support") == "satisfied").otherwise(F.col("joint"))
     counted = scored.where(F.col("gold_requires_evidence") & (has | (F.col("probe") != "gold_verify")))
     return counted.groupBy("probe").agg(F.count("*").alias("n"), F.count_if(has).alias("claims"), F.count_if(ok).alias("passed"), F.avg(ok.cast("int")).alias("rate"))
+
+
+# Columns of a diagnostics row.
+PROBE_COLUMNS = (
+    "document", "field", "gold_state", "gold_derivation", "value_cited", "value_page", "value_span", "value_bbox", "value_support", "value_localized",
+    "evidence_available", "evidence_read", "evidence_state", "evidence_value", "evidence_support", "verify_available", "verify_support", "verify_note", "pipeline_joint",
+)
+
+
+def diagnostics_rows(scored: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of ``run_probes`` as one row a field, a probe's axes side by side (n/a where it found no claim).
+
+    ``spans`` is the gold as it stands on the probed layer (``spans_on_layer``): a field's evidence is available where one of its
+    spans is there. ``pipeline_joint`` is blank without a pipeline."""
+    made = lambda probe: (F.col("probe") == probe) & F.col("predicted_state").isNotNull()
+    axis = lambda probe, name: F.coalesce(F.max(F.when(made(probe), F.col(name))), F.lit("n/a"))
+    some = lambda probe, ok=None: F.coalesce(F.bool_or(made(probe) & (F.lit(True) if ok is None else ok)), F.lit(False))
+    joint = F.max(F.when(F.col("probe") == "pipeline", F.when(F.col("joint"), "yes").otherwise("no")))
+    held = spans.select(*KEYS, ((F.size(E._spans(F.col("evidence"))) + F.size(E._spans(F.col("premises")))) > 0).alias("evidence_available"))
+    rows = scored.groupBy(*KEYS).agg(
+        F.first("gold_state").alias("gold_state"), F.first("gold_derivation").alias("gold_derivation"), some("gold_value").alias("value_cited"),
+        *[axis("gold_value", a).alias(f"value_{a}") for a in ("page", "span", "bbox", "support")], some("gold_value", S.joint(E.LOCAL)).alias("value_localized"),
+        some("gold_evidence").alias("evidence_read"), *[axis("gold_evidence", a).alias(f"evidence_{a}") for a in ("state", "value", "support")],
+        some("gold_verify").alias("verify_available"), axis("gold_verify", "support").alias("verify_support"),
+        F.coalesce(F.max(F.when(made("gold_verify"), F.col("support_note"))), F.lit("")).alias("verify_note"), F.coalesce(joint, F.lit("")).alias("pipeline_joint"),
+    )
+    met = rows.join(held, KEYS, "left").withColumn("evidence_available", F.coalesce("evidence_available", F.lit(False)))
+    return met.select(*PROBE_COLUMNS)

@@ -11,6 +11,7 @@ from ..operators import retrieval as R
 from ..sources import reports
 from . import evaluation as E
 from . import extraction as P
+from . import probes as B
 from . import resolution as N
 
 
@@ -62,6 +63,16 @@ def evaluate_run(gold: DataFrame, claims: DataFrame, pages: DataFrame, folder: s
     return out
 
 
+def diagnose_run(gold: DataFrame, pages: DataFrame, rows: DataFrame, folder: str, *, pipeline: DataFrame | None = None, native: DataFrame | None = None, layer: str = "native") -> dict[str, DataFrame]:
+    """Run the probes of one layer and write their report below ``folder``; ``rows, rates``. ``pipeline`` are the claims of a
+    prediction set, as ``tables.predictions`` reads it and plans take it; ``native`` as in ``run_probes``."""
+    scored = B.run_probes(gold, pages, rows, pipeline, native)
+    spans = gold if native is None else B.spans_on_layer(gold, native, pages)
+    told = B.diagnostics_rows(scored, spans)
+    reports.write_csv(reports.probe_report(told), f"{folder}/diagnostics_{layer}", ("document", "field"))
+    return {"rows": told, "rates": B.probe_rates(scored)}
+
+
 def write_corpus(gold: DataFrame, pages: DataFrame, units: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
     """Write ``units`` and evidence sets as JSON lines below ``folder`` after checks of span offsets and page counts, read
     them back, and return the corpus statistics (``what, name, n``). A check that fails raises."""

@@ -63,6 +63,11 @@ def contract_report(breaches: DataFrame) -> DataFrame:
     return breaches.select("document", F.coalesce("field", F.lit("")).alias("field"), "code").orderBy("document", "field", "code")
 
 
+def probe_report(rows: DataFrame) -> DataFrame:
+    """Rows of ``diagnostics_rows`` (or of an oracle table) as text, columns in their order."""
+    return rows.select(*[_shown(rows, c) for c in rows.columns])
+
+
 def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
     """One CSV with one header, sorted by ``order``; a report is read by people, so it is one file (its rows are fields of
     documents, not tokens). What comes before runs at its own width; only the finished rows move to one task."""

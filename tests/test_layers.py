@@ -99,6 +99,23 @@ def test_probes_have_boxes(spark, golds):
     assert rates["gold_value"] == (4, 4, 4) and rates["gold_evidence"] == (4, 4, 4) and rates["gold_verify"] == (4, 4, 4)
 
 
+def test_diagnostics_report(spark, golds, tmp_path):
+    """One row a field with every probe's axes, written as CSV; the pipeline's claims are read beside them."""
+    from factloom.plans import runs
+
+    pages, rows = page_of(spark, NATIVE), rows_of(spark, NATIVE)
+    boxed = B.spans_on_layer(golds, pages)
+    pipeline = B.gold_claims(boxed).where("field <> 'flash_point'")
+    out = runs.diagnose_run(boxed, pages, rows, str(tmp_path), pipeline=pipeline)
+    got = {r["field"]: r for r in out["rows"].collect()}
+    assert set(got) == {"product_name", "supplier_name", "flash_point", "product_cas_number"} and list(out["rows"].columns) == list(B.PROBE_COLUMNS)
+    flash, cas = got["flash_point"], got["product_cas_number"]
+    assert (flash["value_cited"], flash["value_localized"], flash["evidence_state"], flash["evidence_value"], flash["verify_support"], flash["pipeline_joint"]) == (True, True, "satisfied", "satisfied", "satisfied", "no")
+    assert (cas["value_localized"], cas["evidence_available"], cas["verify_note"], cas["pipeline_joint"]) == (True, True, "premises declare MIXTURE", "yes")
+    lines = [x for f in (tmp_path / "diagnostics_native").glob("part-*") for x in f.read_text().splitlines()]
+    assert lines[0] == ",".join(B.PROBE_COLUMNS) and len(lines) == 5 and lines[1].startswith("d,flash_point,PRESENT,EXPLICIT,True,satisfied")
+
+
 def test_value_on_its_own_line_is_cited_with_the_label_line_above(spark):
     pages = page_of(spark, [("d", 1, "· Flash point:\n12 °C (53.6 °F)\nmore")])
     cited = pages.select(B.cited_range(F.col("text"), F.lit(15), F.lit(30)).alias("c"), "text", "words", "page")
