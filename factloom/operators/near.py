@@ -138,9 +138,16 @@ def _sure(size: Column, least: float) -> tuple[Column, Column]:
 
 
 def blocks(form: Column, wide: Column) -> Column:
-    """Overlapping blocks (``at, text``) of a text such that a window of ``wide`` characters lies whole in one of them."""
-    steps = F.sequence(F.lit(0), F.greatest(F.floor((F.length(form) - 1) / wide) - 1, F.lit(0)).cast("int"))
-    return F.transform(steps, lambda i: F.struct((i * wide).cast("int").alias("at"), F.substring(form, (i * wide + 1).cast("int"), (2 * wide).cast("int")).alias("text")))
+    """Overlapping blocks (``at, text``) of a text such that a window of ``wide`` characters lies whole in one of them.
+
+    The text is cut once from left to right, and each block is two neighbouring cuts: the work grows with the text."""
+    cuts = F.regexp_extract_all(form, F.concat(F.lit("(?s).{1,"), wide.cast("string"), F.lit("}")), F.lit(0))
+
+    def paired(c: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0)))
+        return F.transform(steps, lambda i: F.struct((i * wide).cast("int").alias("at"), F.concat(F.coalesce(F.get(c, i), F.lit("")), F.coalesce(F.get(c, i + 1), F.lit(""))).alias("text")))
+
+    return T.let(cuts, paired)
 
 
 def held_pieces(block: Column, quote: Column, wide: Column) -> Column:
