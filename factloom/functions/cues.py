@@ -35,6 +35,16 @@ FIELDS = (
     ("molecular_weight", "quantity", 0.05, ("SUBSTANCE",)),
     ("flash_point", "temperature", 0.6, ()),
 )
+# Sections of a sheet where a field is usually found.
+SECTIONS = {
+    "product_name": ("1.1",),
+    "supplier_name": ("1.3",),
+    "substance_or_mixture": ("3.1", "3.2"),
+    "product_cas_number": ("1.1", "3.1"),
+    "chemical_formula": ("1.1", "3.1", "9.1"),
+    "molecular_weight": ("3.1", "9.1", "9.2"),
+    "flash_point": ("9.1",),
+}
 # What each field is, as queries for it say.
 DESCRIPTIONS = {
     "product_name": "Trade name / product identifier.",
@@ -119,6 +129,12 @@ def field_defined(field: Column, form: Column) -> Column:
     return ~field.isin(*limited) | form.isNull() | form.isin("UNDETERMINED", "SUBSTANCE")
 
 
+def typical_sections(field: Column) -> Column:
+    """Sections where a product field is usually found; none for any other field."""
+    table = F.create_map(*[x for name, at in SECTIONS.items() for x in (F.lit(name), F.array(*map(F.lit, at)))])
+    return F.coalesce(F.try_element_at(table, field), F.array().cast("array<string>"))
+
+
 def constituent_shares(c: Column) -> Column:
     """Array of (cas, share): the share behind a registry number up to the next, else the one before it."""
     return T.let(T.collapse(F.lower(c)), _shares_of)

@@ -104,3 +104,10 @@ def test_boxes(spark):
 def test_field_defined(spark):
     assert one(spark, Q.field_defined(lit("chemical_formula"), lit("MIXTURE"))) is False
     assert one(spark, Q.field_defined(lit("flash_point"), lit("MIXTURE"))) is True
+
+
+def test_sections_of_fields(spark):
+    rows = spark.createDataFrame([("flash_point",), ("chemical_formula",), ("colour",), (None,)], "field string")
+    got = [r[0] for r in rows.select(Q.typical_sections(F.col("field"))).collect()]
+    assert got == [["9.1"], ["1.1", "3.1", "9.1"], [], []]
+    assert set(Q.SECTIONS) == {name for name, *_ in Q.FIELDS}
