@@ -22,8 +22,16 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition by the ICU library that Spark ships, on the JVM; ASCII texts pass untouched."""
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
-    return F.when(c.rlike(r"[^\x00-\x7f]"), composed).otherwise(c)
+
+    def composed(x: Column) -> Column:
+        return F.when(beyond_ascii(x), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(True))).otherwise(x)
+
+    return let(c, composed)
+
+
+def beyond_ascii(c: Column) -> Column:
+    """Characters and bytes differ in number; no regular expression is needed for it."""
+    return F.length(c) != F.octet_length(c)
 
 
 def let(value: Column, body) -> Column:
@@ -83,7 +91,7 @@ def normalize_cas(c: Column, compat: bool = True) -> Column:
 
 def cas_word(word: Column) -> Column:
     """``normalize_cas`` of a word without white space; plain ASCII words need no composition."""
-    return F.when(word.rlike(r"[^\x00-\x7f]"), normalize_cas(word)).otherwise(F.trim(word, F.lit(" .,:;")))
+    return F.when(beyond_ascii(word), normalize_cas(word)).otherwise(F.trim(word, F.lit(" .,:;")))
 
 
 CAS = r"^(\d{2,7})-(\d{2})-(\d)$"

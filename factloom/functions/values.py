@@ -27,14 +27,23 @@ def number(c: Column) -> Column:
 
 
 def comparator(prefix: Column) -> Column:
-    out = F.lit("=")
-    for pattern, symbol in reversed(COMPARATORS):
-        out = F.when(prefix.rlike(pattern), symbol).otherwise(out)
-    return out
+    def read(p: Column) -> Column:
+        out = F.when(p == "", "=")
+        for pattern, symbol in COMPARATORS:
+            out = out.when(p.rlike(pattern), symbol)
+        return out.otherwise("=")
 
+    return T.let(prefix, read)
 
-def _quantity(found: Column, value: Column, unit: str, prefix: Column) -> Column:
-    return F.when(found, F.struct(value.alias("value"), F.lit(unit).alias("unit"), comparator(prefix).alias("comparator")))
+
+def _first(low: Column, pattern: str, unit: str, read, other: Column | None = None) -> Column:
+    """The first figure of a text by a pattern of (what stands before, figure), each taken once; without one ``other``."""
+
+    def quantity(figure: Column) -> Column:
+        out = F.when(figure != "", F.struct(read(number(figure)).alias("value"), F.lit(unit).alias("unit"), comparator(F.regexp_extract(low, pattern, 1)).alias("comparator")))
+        return out if other is None else out.otherwise(other)
+
+    return T.let(F.regexp_extract(low, pattern, 2), quantity)
 
 
 def parse_temperature(c: Column, compat: bool = True) -> Column:
@@ -45,17 +54,17 @@ def parse_temperature(c: Column, compat: bool = True) -> Column:
     def pattern(unit: str) -> str:
         return rf"(?s)^(.*?)({NUMBER})\s*°?\s*{unit}\b"
 
-    has_c, has_f = low.rlike(pattern("c")), low.rlike(pattern("f"))
-    in_c = number(F.regexp_extract(low, pattern("c"), 2))
-    in_f = (number(F.regexp_extract(low, pattern("f"), 2)) - 32.0) * 5.0 / 9.0
-    prefix = F.when(has_c, F.regexp_extract(low, pattern("c"), 1)).otherwise(F.regexp_extract(low, pattern("f"), 1))
-    return _quantity(has_c | has_f, F.when(has_c, in_c).otherwise(in_f), "C", prefix)
+    def read(low: Column) -> Column:
+        in_f = _first(low, pattern("f"), "C", lambda n: (n - 32.0) * 5.0 / 9.0)
+        return _first(low, pattern("c"), "C", lambda n: n, in_f)
+
+    return T.let(low, read)
 
 
 def parse_quantity(c: Column, unit: str = MOLAR, compat: bool = True) -> Column:
     low = F.lower(T.nfkc(c) if compat else c)
     pattern = rf"(?s)^(.*?)({NUMBER})\s*(?:{unit})?"
-    return _quantity(low.rlike(pattern), number(F.regexp_extract(low, pattern, 2)), "g/mol", F.regexp_extract(low, pattern, 1))
+    return T.let(low, lambda low: _first(low, pattern, "g/mol", lambda n: n))
 
 
 def close(a: Column, b: Column, tolerance: float | Column) -> Column:
@@ -69,7 +78,7 @@ def quantities_match(a: Column, b: Column, tolerance: float | Column) -> Column:
 
 def parse_concentration(c: Column, compat: bool = True) -> Column:
     """Struct low, high, low_inclusive, high_inclusive in percent; a null bound is none; null when nothing is read."""
-    return F.when(c.isNotNull() & (c != ""), T.let(share_form(c, compat), share_of))
+    return T.let(c, lambda c: F.when(c.isNotNull() & (c != ""), T.let(share_form(c, compat), share_of)))
 
 
 def share_form(c: Column, compat: bool = True) -> Column:
@@ -94,16 +103,21 @@ def share_of(low: Column) -> Column:
         return _interval(number(part(1)), number(part(3)), F.lit(True), part(2) != "<")
 
     def single(found: Column) -> Column:
-        mark, value = F.trim(F.regexp_extract(found, SINGLE, 1)), number(F.regexp_extract(found, SINGLE, 2))
-        none, out = F.lit(None).cast("double"), _interval(value, value, F.lit(True), F.lit(True))
-        for pattern, bound, inclusive in reversed(MARKS):
+        both = F.struct(F.trim(F.regexp_extract(found, SINGLE, 1)).alias("mark"), number(F.regexp_extract(found, SINGLE, 2)).alias("value"))
+        return T.let(both, lambda x: marked(x["mark"], x["value"]))
+
+    def marked(mark: Column, value: Column) -> Column:
+        none, plain = F.lit(None).cast("double"), _interval(value, value, F.lit(True), F.lit(True))
+        out = F.when(mark == "", plain)
+        for pattern, bound, inclusive in MARKS:
             high = bound == "high"
             set_ = _interval(none if high else value, value if high else none, F.lit(high or inclusive), F.lit(inclusive or not high))
-            out = F.when(mark.rlike(f"^(?:{pattern})$"), set_).otherwise(out)
-        return out
+            out = out.when(mark.rlike(f"^(?:{pattern})$"), set_)
+        return out.otherwise(plain)
 
-    # Only the stretch that matched is taken apart, and only once.
-    return F.when(low.rlike(RANGE), T.let(F.regexp_extract(low, RANGE, 0), ranged)).when(low.rlike(SINGLE), T.let(F.regexp_extract(low, SINGLE, 0), single))
+    # Only the stretch that matched is taken apart, and only once; a match has a figure, so it is not empty.
+    one = T.let(F.regexp_extract(low, SINGLE, 0), lambda found: F.when(found != "", single(found)))
+    return T.let(F.regexp_extract(low, RANGE, 0), lambda found: F.when(found != "", ranged(found)).otherwise(one))
 
 
 def _interval(a: Column, b: Column, a_in: Column, b_in: Column) -> Column:
@@ -114,26 +128,33 @@ def _bound(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(close(a, b, 1e-6))
 
 
+def _of_both(a: Column, b: Column, read) -> Column:
+    """``read`` of two columns that are computed once."""
+    return T.let(F.struct(a.alias("a"), b.alias("b")), lambda x: read(x["a"], x["b"]))
+
+
 def concentrations_equal(a: Column, b: Column) -> Column:
-    no_a, no_b = a.isNull() | (a == ""), b.isNull() | (b == "")
-    x, y = parse_concentration(a), parse_concentration(b)
-    same = _bound(x["low"], y["low"]) & _bound(x["high"], y["high"]) & (x["low_inclusive"] == y["low_inclusive"]) & (x["high_inclusive"] == y["high_inclusive"])
-    return (
-        F.when(no_a & no_b, True)
-        .when(no_a | no_b, False)
-        .when(x.isNull() & y.isNull(), T.normalize_text(a) == T.normalize_text(b))
-        .when(x.isNull() | y.isNull(), False)
-        .otherwise(same)
-    )
+    def compared(a: Column, b: Column) -> Column:
+        def intervals(x: Column, y: Column) -> Column:
+            same = _bound(x["low"], y["low"]) & _bound(x["high"], y["high"]) & (x["low_inclusive"] == y["low_inclusive"]) & (x["high_inclusive"] == y["high_inclusive"])
+            return F.when(x.isNull() & y.isNull(), T.normalize_text(a) == T.normalize_text(b)).when(x.isNull() | y.isNull(), False).otherwise(same)
+
+        no_a, no_b = a.isNull() | (a == ""), b.isNull() | (b == "")
+        return F.when(no_a & no_b, True).when(no_a | no_b, False).otherwise(_of_both(parse_concentration(a), parse_concentration(b), intervals))
+
+    return _of_both(a, b, compared)
 
 
 def six_digits(value: Column) -> Column:
     """A number to six significant digits, no zeros at the end, with an exponent below -4 and from 6 on; a value whose shortest
     form lies halfway between two rounds up."""
 
-    def shown(e: Column) -> Column:
+    def parts(e: Column) -> Column:
         power = F.substring_index(e, "e", -1).cast("int")
         digits = F.translate(F.substring_index(e, "e", 1), "-.", "")
+        return T.let(F.struct(e.alias("e"), power.alias("power"), digits.alias("digits")), lambda x: shown(x["e"], x["power"], x["digits"]))
+
+    def shown(e: Column, power: Column, digits: Column) -> Column:
         trim = lambda c: F.regexp_replace(c, r"\.?0+$", "")
         long = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))
         far = F.concat(trim(long), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
@@ -142,7 +163,7 @@ def six_digits(value: Column) -> Column:
         sign = F.when(F.startswith(e, F.lit("-")) & (digits != "000000"), "-").otherwise("")
         return F.concat(sign, F.when(digits == "000000", "0").when((power < -4) | (power >= 6), far).when(power < 0, trim(small)).when(power == 5, digits).otherwise(trim(whole)))
 
-    return F.when(value.isNotNull(), T.let(F.format_string("%.5e", value), shown))
+    return F.when(value.isNotNull(), T.let(F.format_string("%.5e", value), parts))
 
 
 def canonical_value(c: Column, kind: str) -> Column:
@@ -154,27 +175,31 @@ def canonical_value(c: Column, kind: str) -> Column:
     if kind == "categorical":
         return F.replace(F.upper(T.normalize_text(c)), F.lit(" "), F.lit("_"))
     if kind in ("temperature", "quantity"):
-        q = parse_temperature(c) if kind == "temperature" else parse_quantity(c)
-        shown = six_digits(q["value"])
-        return F.coalesce(F.concat(F.when(q["comparator"] == "=", "").otherwise(q["comparator"]), shown, F.lit(" "), q["unit"]), T.normalize_text(c))
+        parse = parse_temperature if kind == "temperature" else parse_quantity
+        shown = lambda q: F.concat(F.when(q["comparator"] == "=", "").otherwise(q["comparator"]), six_digits(q["value"]), F.lit(" "), q["unit"])
+        return T.let(c, lambda c: F.coalesce(T.let(parse(c), shown), T.normalize_text(c)))
     return T.normalize_name(c)
 
 
 def values_equal(a: Column, b: Column, kind: str, tolerance: float = 0.0) -> Column:
     if kind in ("temperature", "quantity"):
         parse = parse_temperature if kind == "temperature" else parse_quantity
-        x, y = parse(a), parse(b)
-        return F.when(x.isNotNull() & y.isNotNull(), quantities_match(x, y, tolerance)).when(x.isNull() & y.isNull(), T.normalize_text(a) == T.normalize_text(b)).otherwise(False)
+        told = lambda a, b: lambda x, y: F.when(x.isNotNull() & y.isNotNull(), quantities_match(x, y, tolerance)).when(x.isNull() & y.isNull(), T.normalize_text(a) == T.normalize_text(b)).otherwise(False)
+        return _of_both(a, b, lambda a, b: _of_both(parse(a), parse(b), told(a, b)))
     return canonical_value(a, kind) == canonical_value(b, kind)
 
 
 def value_supported_by(value: Column, span: Column, kind: str) -> Column:
     """Whether the span holds the value: numbers by the span's first figure, else by the normalised text."""
+    return _of_both(value, span, lambda value, span: _supported(value, span, kind))
+
+
+def _supported(value: Column, span: Column, kind: str) -> Column:
     some = F.coalesce((value != "") & (span != ""), F.lit(False))
     if kind in ("temperature", "quantity"):
         parse, limit = (parse_temperature, 0.6) if kind == "temperature" else (parse_quantity, 0.05)
-        x, y = parse(value), parse(span)
-        held = F.when(x.isNotNull() & y.isNotNull(), quantities_match(y, x, limit)).otherwise(F.contains(T.normalize_text(span), T.normalize_text(value)))
+        told = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), quantities_match(y, x, limit)).otherwise(F.contains(T.normalize_text(span), T.normalize_text(value)))
+        held = _of_both(parse(value), parse(span), told)
     else:
         form = {"formula": T.normalize_formula, "identifier": T.normalize_cas}.get(kind, T.normalize_name)
         held = F.contains(form(span), form(value))
