@@ -15,3 +15,11 @@ def test_concentrations_are_parsed_once_a_side(spark):
     out = df.select("same", V.concentrations_equal(F.col("a"), F.col("b")).alias("found"))
     assert _times(out, "w/w|v/v") <= 2
     assert all(r.same == r.found for r in out.collect())
+
+
+def test_canonical_values_are_parsed_once(spark):
+    """Before, every part of the canonical form stated the pattern of the figure again."""
+    df = spark.createDataFrame([("at least 12,50 ℃", ">=12.5 C"), ("212 °F", "100 C"), ("none °", "none °"), (None, None), ("below 1234567 ºc", "<1.23457e+06 C"), ("0.00001234 C", "1.234e-05 C")], "a string, shown string")
+    out = df.select("shown", V.canonical_value(F.col("a"), "temperature").alias("found"))
+    assert _times(out, "format_string") == 1 and _times(out, "compose") <= 2
+    assert all(r.shown == r.found for r in out.collect())
