@@ -23,3 +23,11 @@ def test_canonical_values_are_parsed_once(spark):
     out = df.select("shown", V.canonical_value(F.col("a"), "temperature").alias("found"))
     assert _times(out, "format_string") == 1 and _times(out, "compose") <= 2
     assert all(r.shown == r.found for r in out.collect())
+
+
+def test_quantities_are_parsed_once_a_side(spark):
+    """Before, comparators and values each stated the pattern of the figure again."""
+    df = spark.createDataFrame([("18,0 g/mol", "18.04 G / Mole", True), ("above 18", "18", False), ("none", "None", True), ("none", "18", False), (None, "18", False)], "a string, b string, same boolean")
+    out = df.select("same", V.values_equal(F.col("a"), F.col("b"), "quantity", 0.05).alias("found"))
+    assert _times(out, "regexp_extract") <= 4
+    assert all(r.same == r.found for r in out.collect())
