@@ -3,7 +3,7 @@
 Runs of ``n`` words whose search forms stand once on each layer's page pair up as anchors. Of a page's pairs, in order on one
 layer, the longest chain that is in order on the other too is kept, so that a run that was moved does not mislead. A span lies
 between two anchors; on the other layer it lies between their partners, and there the words in the window likest its text are taken (of equal windows, that at its place).
-Only pairs and the stretch between two anchors go to Python.
+A page's words stay in its row: the two layers of a page meet once, as packed arrays, and no word is a row of its own.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions import text as T
 from . import near, ranges, search
@@ -43,50 +43,103 @@ def longest_chain(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def chain(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: longest_chain(list(v)))
+#: What anchors need of a page's words.
+_WORDS = ranges.PACKED[:3]
+_ANCHOR = ("start", "end", "other_start", "other_end")
 
 
-def _runs(pages: DataFrame, n: int, side: str) -> DataFrame:
-    """Runs of ``n`` words that stand once on their page: ``document, page, run`` and their characters on that layer."""
-    words = ranges.page_words(pages).withColumn("form", T.search_form(F.col("text"))).where("form <> ''")
-    order = Window.partitionBy(*PAGE).orderBy("start", "end")
-    ahead = [F.col("form"), *[F.lead("form", i).over(order) for i in range(1, n)]]
-    last = F.lead("end", n - 1).over(order) if n > 1 else F.col("end")
-    runs = words.select(*PAGE, F.concat_ws(" ", *ahead).alias("run"), F.col("start"), last.alias("stop")).where("stop is not null")
-    once = runs.groupBy(*PAGE, "run").agg(F.count("*").alias("times"), F.first("start").alias(f"{side}_start"), F.first("stop").alias(f"{side}_end"))
-    return once.where("times = 1").drop("times")
+def _packed(pages: DataFrame) -> list[Column]:
+    own = "text" in pages.schema["words"].dataType.elementType.names
+    return ranges.packed(text=None if own else "text")
+
+
+def _once(lines: str | None, start, end, n: int) -> dict[str, tuple[int, int]]:
+    """Runs of ``n`` words that stand once on their page, with their characters there."""
+    if start is None or not len(start):
+        return {}
+    words = sorted((int(s), int(e), w) for s, e, w in zip(start, end, ranges.forms_of(lines), strict=True) if w)
+    found: dict[str, tuple[int, int] | None] = {}
+    for i in range(len(words) - n + 1):
+        run = " ".join(w for _, _, w in words[i : i + n])
+        found[run] = None if run in found else (words[i][0], words[i + n - 1][1])
+    return {run: at for run, at in found.items() if at}
+
+
+def _anchors(n: int):
+    schema = StructType()
+    for name in _ANCHOR:
+        schema.add(name, ArrayType(IntegerType()))
+
+    @F.pandas_udf(schema)
+    def paired(lines: pd.Series, start: pd.Series, end: pd.Series, other: pd.Series, other_start: pd.Series, other_end: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in zip(lines, start, end, other, other_start, other_end, strict=True):
+            here, there = _once(*page[:3], n), _once(*page[3:], n)
+            pairs = sorted(at + there[run] for run, at in here.items() if run in there)
+            kept = [pairs[i] for i in longest_chain([p[2] for p in pairs])]
+            rows.append([[p[i] for p in kept] for i in range(4)])
+        return pd.DataFrame(rows, columns=list(_ANCHOR))
+
+    return paired
 
 
 def anchors(layer: DataFrame, other: DataFrame, n: int = 2) -> DataFrame:
-    """``document, page, anchors``: structs of characters (``start, end`` here, ``other_start, other_end`` there), in order on both.
+    """``document, page, anchors``: arrays of characters (``start, end`` here, ``other_start, other_end`` there), in order on both.
 
     Both layers have ``document, page, text, words``. A page without anchors is not there."""
-    met = _runs(layer, n, "here").join(_runs(other, n, "there"), [*PAGE, "run"])
-    pair = F.struct(F.col("here_start").alias("start"), F.col("here_end").alias("end"), F.col("there_start").alias("other_start"), F.col("there_end").alias("other_end"))
-    packed = met.groupBy(*PAGE).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    kept = packed.withColumn("kept", chain(F.transform("pairs", lambda p: p["other_start"])))
-    return kept.select(*PAGE, F.transform("kept", lambda i: F.get("pairs", i)).alias("anchors"))
+    side = lambda pages, name: pages.select("document", F.col("page").cast("int").alias("page"), *[c.alias(f"{name}{w}") for w, c in zip(_WORDS, _packed(pages), strict=False)])
+    met = side(layer, "a").join(side(other, "b"), PAGE)
+    found = met.select(*PAGE, _anchors(n)(*[F.col(f"{name}{w}") for name in "ab" for w in _WORDS]).alias("anchors"))
+    return found.where(F.size("anchors.start") > 0)
 
 
 def _between(anchors: Column, start: Column, end: Column, size: Column) -> Column:
     """Where the characters ``start`` to ``end`` lie on the other layer: from the last anchor that begins by then to the first
     that ends no earlier; and the place there that is as far from the first as the span is here."""
-    before = F.filter(anchors, lambda a: a["start"] <= start)
-    after = F.filter(anchors, lambda a: a["end"] >= end)
-    last = F.get(before, F.size(before) - 1)
-    low = F.coalesce(last["other_start"], F.lit(0))
-    return F.struct(low.alias("low"), F.coalesce(F.get(after, 0)["other_end"], size).alias("high"), (start - F.coalesce(last["start"], F.lit(0))).alias("hint"))
+    last, after = F.size(F.filter(anchors["start"], lambda s: s <= start)) - 1, F.size(F.filter(anchors["end"], lambda e: e < end))
+
+    def stretch(x: Column) -> Column:
+        of = lambda name, at: F.get(anchors[name], x[at])
+        low, hint = F.coalesce(of("other_start", "last"), F.lit(0)), start - F.coalesce(of("start", "last"), F.lit(0))
+        return F.struct(low.alias("low"), F.coalesce(of("other_end", "after"), size).alias("high"), hint.alias("hint"))
+
+    return T.let(F.struct(last.alias("last"), after.alias("after")), stretch)
 
 
 def carry(spans: DataFrame, layer: DataFrame, other: DataFrame, least: float = LEAST, n: int = 2) -> DataFrame:
     """``spans`` (``document, page, char_start, char_end, text`` and others) with ``there``: the span on the other layer as a struct of
     ``page, text, char_start, char_end, box, score``, or null where nothing there is like enough."""
-    named = other.select(F.col("document").alias("_d"), F.col("page").cast("int").alias("_p"), F.col("text").alias("_body"), F.col("words").alias("_words"))
-    met = spans.join(anchors(layer, other, n), PAGE, "left").join(named, (F.col("document") == F.col("_d")) & (F.col("page") == F.col("_p")), "left")
-    none = F.array().cast("array<struct<start: int, end: int, other_start: int, other_end: int>>")
-    at = _between(F.coalesce("anchors", none), F.col("char_start"), F.col("char_end"), F.length("_body"))
+    # A page's spans meet its two layers in one row, once; only pages with spans do.
+    asked = spans.groupBy(*PAGE).agg(F.collect_list(F.struct(*spans.columns)).alias("_spans"))
+    held = [F.col("document").alias("_d"), F.col("page").cast("int").alias("_p"), F.col("text").alias("_body")]
+    there = other.select(*held, *_packed(other))
+    here = layer.select(F.col("document").alias("_hd"), F.col("page").cast("int").alias("_hp"), *_here(_packed(layer)))
+    met = asked.join(there, (F.col("document") == F.col("_d")) & (F.col("page") == F.col("_p")), "left")
+    met = met.join(here, (F.col("document") == F.col("_hd")) & (F.col("page") == F.col("_hp")), "left")
+    return _carried(met, least, n).select(*spans.columns, "there")
+
+
+def carry_rows(rows: DataFrame, least: float = LEAST, n: int = 2) -> DataFrame:
+    """As ``carry`` where a row holds a page on both layers, so that nothing moves: ``document, page, spans`` (an array of
+    ``char_start, char_end, text`` and others), ``words`` here and ``other_text, other_words`` there, words with their ``text``.
+    ``document, page``, the fields of a span and ``there``."""
+    named = F.transform("spans", lambda s: F.struct(F.col("document"), F.col("page"), s.alias("_s")))
+    met = rows.select(F.col("page").cast("int").alias("_p"), F.col("other_text").alias("_body"), *ranges.packed("other_words"), *_here(ranges.packed("words")), named.alias("_spans"))
+    fields = rows.schema["spans"].dataType.elementType.names
+    return _carried(met, least, n, fields).select(*PAGE, *fields, "there")
+
+
+def _here(words: list[Column]) -> list[Column]:
+    return [c.alias(f"_h{name}") for name, c in zip(_WORDS, words, strict=False)]
+
+
+def _carried(met: DataFrame, least: float, n: int, fields: list[str] | None = None) -> DataFrame:
+    """The spans of each row (``_spans``), found between the anchors of its two layers."""
+    met = met.withColumn("anchors", _anchors(n)(*[F.col(f"_h{name}") for name in _WORDS], *_WORDS))
+    met = met.select("_p", "_body", *ranges.PACKED[1:], "anchors", F.inline("_spans"))
+    if fields:
+        met = met.select("*", *[F.col("_s")[f].alias(f) for f in fields]).drop("_s")
+    at = _between(F.col("anchors"), F.col("char_start"), F.col("char_end"), F.length("_body"))
     met = met.withColumn("_at", at).withColumn("_part", F.substring(F.col("_body"), F.col("_at.low") + 1, F.col("_at.high") - F.col("_at.low")))
     near_there = near.likest_window_at(T.search_form(F.col("_part")), T.search_form(F.col("text")), F.col("_at.hint"))
     met = met.withColumns({"_near": near_there, "_places": search.offsets(F.col("_part"))})
@@ -95,11 +148,11 @@ def carry(spans: DataFrame, layer: DataFrame, other: DataFrame, least: float = L
     met = met.withColumns({"_low": low, "_high": high})
     # The window is as long as the quote; the span is the words that lie in it by half or more.
     inside = F.filter(
-        ranges.run_under(F.col("_words"), F.col("_low"), F.col("_high")),
+        ranges.packed_under(F.col("_low"), F.col("_high")),
         lambda w: 2 * (F.least(w["end"], F.col("_high")) - F.greatest(w["start"], F.col("_low"))) >= w["end"] - w["start"],
     )
     met = met.withColumn("_run", inside).withColumns({"_low": F.get("_run", 0)["start"], "_high": F.get("_run", F.size("_run") - 1)["end"]})
     text = F.substring(F.col("_body"), F.col("_low") + 1, F.col("_high") - F.col("_low"))
-    box = ranges.box_under(F.col("_words"), F.col("_low"), F.col("_high"))
+    box = ranges.packed_box(F.col("_low"), F.col("_high"))
     found = F.struct(F.col("_p").alias("page"), text.alias("text"), F.col("_low").alias("char_start"), F.col("_high").alias("char_end"), box.alias("box"), F.col("_near.score").alias("score"))
-    return met.select(*spans.columns, F.when((F.col("_near.score") >= least) & F.col("_low").isNotNull(), found).alias("there"))
+    return met.withColumn("there", F.when((F.col("_near.score") >= least) & F.col("_low").isNotNull(), found))

@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import geometry as G
 from ..functions import text as T
@@ -104,6 +107,58 @@ def run_under(words: Column, start: Column, end: Column) -> Column:
     return F.slice(words, first + 1, F.greatest(stop - first, F.lit(0)))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def word_starts(sizes: pa.Array) -> pa.Array:
+    """Where words of these sizes start, from 0, when one character stands between two."""
+    n = np.diff(sizes.offsets.to_numpy())
+    wide = sizes.values.slice(sizes.offsets[0].as_py(), int(n.sum())).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    before = np.cumsum(wide) - wide
+    first = np.concatenate([[0], np.cumsum(n)])
+    page = np.append(before, 0)[np.minimum(first[:-1], len(before))] if len(n) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(before - np.repeat(page, n), pa.int32()))
+
+
+#: Names of a page's words as arrays of plain values, which move and sort at a fraction of an array of structs.
+PACKED = ("_forms", "_start", "_end", "_x0", "_y0", "_x1", "_y1")
+
+
+def packed(words: str = "words", text: str | None = None) -> list[Column]:
+    """The words of a page's row as ``PACKED`` arrays, ``_forms`` as one text with a line a word; ``text`` names the page's
+    text where its words have none of their own."""
+    w = F.col(words)
+    own = w["text"] if text is None else F.transform(w, lambda x: F.substring(F.col(text), x["start"] + 1, x["end"] - x["start"]))
+    cells = {"_forms": word_forms(own), "_start": w["start"], "_end": w["end"], **{f"_{c}": w["box"][c] for c in ("x0", "y0", "x1", "y1")}}
+    return [cells[c].alias(c) for c in PACKED]
+
+
+def word_forms(texts: Column) -> Column:
+    """Words folded at once, a line a word; ``forms_of`` closes their white space."""
+    return F.lower(T.fold(F.array_join(F.transform(texts, lambda t: F.translate(t, "\n", " ")), "\n", "")))
+
+
+def forms_of(lines: str | None) -> list[str]:
+    """The words' search forms from ``word_forms`` (Python's white space is that of the search form)."""
+    return [" ".join(w.split()) for w in (lines or "").split("\n")]
+
+
+def packed_under(start: Column, end: Column) -> Column:
+    """The words (``start, end, box``) of a ``packed`` page that lie under the characters ``start`` to ``end``."""
+    first = _bisect(F.col("_end"), lambda e: e <= start)
+    stop = _bisect(F.col("_start"), lambda s: s < end)
+
+    def cut(x: Column) -> Column:
+        at = lambda c, i: F.get(F.col(c), x["first"] + i)
+        some = F.slice("_start", x["first"] + 1, F.greatest(x["stop"] - x["first"], F.lit(0)))
+        return F.transform(some, lambda s, i: F.struct(s.alias("start"), at("_end", i).alias("end"), G.box(*[at(c, i) for c in PACKED[3:]]).alias("box")))
+
+    return T.let(F.struct(first.alias("first"), stop.alias("stop")), cut)
+
+
+def packed_box(start: Column, end: Column) -> Column:
+    """The box around the words of a ``packed`` page under the characters ``start`` to ``end``, or null."""
+    return T.let(packed_under(start, end), lambda run: G.union(F.transform(run, lambda w: w["box"])))
+
+
 def box_under(words: Column, start: Column, end: Column) -> Column:
     """The box around the words under the characters ``start`` to ``end``, or null."""
     return T.let(run_under(words, start, end), lambda run: G.union(F.transform(run, lambda w: w["box"])))

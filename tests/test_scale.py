@@ -1,8 +1,15 @@
 """Figures that must not grow faster than the input: expressions evaluated once, words that stay in their page's row."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from factloom.functions import cues as Q
+from factloom.functions import text as T
 from factloom.functions import values as V
+from factloom.operators import alignment as A
+from factloom.operators import extract as X
+from factloom.operators import ranges as R
 
 
 def _times(df, needle):
@@ -31,3 +38,50 @@ def test_quantities_are_parsed_once_a_side(spark):
     out = df.select("same", V.values_equal(F.col("a"), F.col("b"), "quantity", 0.05).alias("found"))
     assert _times(out, "regexp_extract") <= 4
     assert all(r.same == r.found for r in out.collect())
+
+
+def test_words_of_two_layers_stay_in_their_rows(spark):
+    """Before, every word was a row of its own in several shuffles, which filled the disk."""
+    words = lambda text: [(m.start(), m.end(), m.group(), (0.1 * m.start(), 0.1, 0.1 * m.end(), 0.2)) for m in re.finditer(r"\S+", text)]
+    here, there = "one two three four five six seven", "one two thr#e four five  six seven"
+    word = "array<struct<start: int, end: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    native = spark.createDataFrame([("d", 1, here, words(here))], f"document string, page int, text string, words {word}")
+    other = spark.createDataFrame([("d", 1, there, words(there))], f"document string, page int, text string, words {word}")
+    spans = spark.createDataFrame([("d", 1, 8, 18, "three four"), ("e", 1, 0, 3, "one")], "document string, page int, char_start int, char_end int, text string")
+    out = A.carry(spans, native, other)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan and plan.count("Join") == 2
+    got = {r.document: r.there for r in out.collect()}
+    assert got["e"] is None and (got["d"].text, got["d"].char_start, got["d"].char_end) == ("thr#e four", 8, 18)
+    assert got["d"].box.x0 == 0.1 * 8 and got["d"].box.x1 == 0.1 * 18
+    rows = spark.createDataFrame([("d", 1, words(here), there, words(there), [(8, 18, "three four")])], f"document string, page int, words {word}, other_text string, other_words {word}, spans array<struct<char_start: int, char_end: int, text: string>>")
+    assert A.carry_rows(rows).first().there == got["d"]
+
+
+def test_starts_of_words_in_sliced_batches(spark):
+    df = spark.createDataFrame([(i, [1] * (i % 4)) for i in range(50)], "i int, n array<int>").repartition(3)
+    for r in df.where("i % 3 > 0").select("i", R.word_starts(F.col("n")).alias("s")).collect():
+        assert r.s == [2 * k for k in range(r.i % 4)]
+
+
+def test_composition_rows_meet_once(spark):
+    """Before, a document's rows were joined twice with bounds of their own; shares were matched in rows without a number too."""
+    texts = ["intro", "4. First aid", "3. Composition", "iron 7439-89-6 10 - 20 %", "no number 5 %", "iron 7439-89-6 5 %", "4. First aid", "zinc 7440-66-6 5 %"]
+    rows = spark.createDataFrame([("d", 1, i, t) for i, t in enumerate(texts)] + [("e", 1, 0, "zinc 7440-66-6 5 %"), (None, 1, 0, "3. Composition"), (None, 1, 1, "zinc 7440-66-6 5 %")], "document string, page int, row_no int, text string")
+    out = X.ingredient_rows(rows)
+    assert _times(out, "Join") == 0
+    assert [(r.document, r.cas, r.name, r.concentration, r.row_no) for r in out.collect()] == [("d", "7439-89-6", "iron", "10 - 20 %", 3)]
+
+
+def test_space_is_that_of_unicode(spark):
+    """The listed white space is Java's Unicode class and Python's, and is found without a property lookup a character."""
+    assert "(?U)" not in T.SPACE
+    df = spark.createDataFrame([(i, chr(i)) for i in range(1, 0x3100)], "i int, c string")
+    got = df.select("i", F.col("c").rlike(T.SPACE).alias("a"), F.col("c").rlike(r"(?U)[\s\x1c-\x1f]+").alias("b")).collect()
+    assert all(r.a == r.b == chr(r.i).isspace() for r in got)
+
+
+def test_shares_are_read_where_figures_stand(spark):
+    df = spark.createDataFrame([("iron 7439-89-6 100 %", 1, 0), ("5 - 10 % iron 7439-89-6 pure", 0, 1), ("iron 7439-89-6 ５ %", 0, 1), ("a 200-001-8 7439-89-6 none", 0, 0)], "t string, whole int, partial int")
+    for r in df.select("*", Q.premise(F.col("t")).alias("p")).collect():
+        assert (len(r.p.shares.whole), len(r.p.shares.partial)) == (r.whole, r.partial), r.t
