@@ -129,10 +129,13 @@ def share_run(words: Column) -> Column:
     """Struct (start, end) of the run of share tokens with most figures; of equals the last. Null without a figure."""
     start = F.struct(F.lit(-1).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("best_n"), F.lit(-1).alias("best_s"), F.lit(-1).alias("best_e"), F.lit(0).alias("i"))
 
+    # Each word is matched once: null outside of a share, else its figures, none or one.
+    figures = F.transform(words, lambda w: F.when(w.rlike(SHARE_TOKEN), w.rlike(r"\d").cast("int")))
+
     def step(a: Column, w: Column) -> Column:
-        inside = w.rlike(SHARE_TOKEN)
+        inside = w.isNotNull()
         s = F.when(inside, F.when(a["s"] >= 0, a["s"]).otherwise(a["i"])).otherwise(F.lit(-1))
-        n = F.when(inside, F.when(a["s"] >= 0, a["n"]).otherwise(F.lit(0)) + w.rlike(r"\d").cast("int")).otherwise(F.lit(0))
+        n = F.when(inside, F.when(a["s"] >= 0, a["n"]).otherwise(F.lit(0)) + w).otherwise(F.lit(0))
         better = inside & (n > 0) & (n >= a["best_n"])
         return F.struct(
             s.alias("s"), n.alias("n"), F.when(better, n).otherwise(a["best_n"]).alias("best_n"), F.when(better, s).otherwise(a["best_s"]).alias("best_s"),
@@ -140,16 +143,20 @@ def share_run(words: Column) -> Column:
         )
 
     run = lambda best: F.when(best["best_n"] > 0, F.struct(best["best_s"].alias("start"), best["best_e"].alias("end")))
-    return T.let(F.aggregate(words, start, step), run)
+    return T.let(F.aggregate(figures, start, step), run)
 
 
 def ingredient_rows(rows: DataFrame, document: str = "document") -> DataFrame:
     """One item per registry number of section 3, its first row: ``document, cas, name, concentration, page, row_no, at, text``."""
     inside = composition_rows(rows, document).withColumn("words", F.split(T.collapse(F.col("text")), " "))
-    numbered = inside.withColumn("run", share_run(F.col("words"))).select("*", F.posexplode("words").alias("at", "word")).withColumn("cas", T.cas_word(F.col("word"))).where(F.col("cas").rlike(T.CAS))
+    # Only a word with a dash, or beyond ASCII, can be read as a number of a registry; only first items are searched for shares.
+    dashed = lambda w: F.contains(w, F.lit("-")) | T.beyond_ascii(w)
+    worded = inside.select("*", F.posexplode("words").alias("at", "word")).where(dashed(F.col("word")))
+    numbered = worded.withColumn("cas", T.cas_word(F.col("word"))).where(F.col("cas").rlike(T.CAS))
     first = numbered.withColumn("n", F.row_number().over(Window.partitionBy(document, "cas").orderBy("page", "row_no", "at"))).where("n = 1")
+    first = first.withColumn("run", share_run(F.col("words")))
     kept = F.filter(
-        F.transform("words", lambda w, i: F.when((i != F.col("at")) & ~F.coalesce((i >= F.col("run.start")) & (i < F.col("run.end")), F.lit(False)) & ~T.cas_word(w).rlike(EC_TOKEN) & ~w.rlike(LABEL_TOKEN), w)),
+        F.transform("words", lambda w, i: F.when((i != F.col("at")) & ~F.coalesce((i >= F.col("run.start")) & (i < F.col("run.end")), F.lit(False)) & ~(dashed(w) & T.cas_word(w).rlike(EC_TOKEN)) & ~w.rlike(LABEL_TOKEN), w)),
         lambda w: w.isNotNull(),
     )
     share = F.when(F.col("run").isNotNull(), F.array_join(F.slice("words", F.col("run.start") + 1, F.col("run.end") - F.col("run.start")), " "))

@@ -79,10 +79,10 @@ def ocr_lines(words: DataFrame, page: list[str], order: str = "word_no") -> Data
 def composition_rows(rows: DataFrame, document: str = "document") -> DataFrame:
     """Rows from the first heading of section 3 up to the next heading of section 4; a row that is both heads section 4."""
     place = F.struct("page", "row_no")
-    head = F.trim("text")
-    marked = rows.withColumn("s4", head.rlike(SECTION_4)).withColumn("s3", head.rlike(SECTION_3) & ~head.rlike(SECTION_4))
-    starts = marked.where("s3").groupBy(document).agg(F.min(place).alias("start"))
-    met = marked.join(starts, document)
-    ends = met.where(F.col("s4") & (place > F.col("start"))).groupBy(document).agg(F.min(place).alias("end"))
-    inside = met.join(ends, document, "left").where((place >= F.col("start")) & (F.col("end").isNull() | (place < F.col("end"))))
+    head, whole = F.trim("text"), Window.partitionBy(document)
+    # A document's rows meet once: both bounds come from windows over them.
+    marked = rows.where(F.col(document).isNotNull()).withColumn("s4", head.rlike(SECTION_4)).withColumn("s3", ~F.col("s4") & head.rlike(SECTION_3))
+    begun = marked.withColumn("start", F.min(F.when(F.col("s3"), place)).over(whole)).where("start is not null")
+    ended = begun.withColumn("end", F.min(F.when(F.col("s4") & (place > F.col("start")), place)).over(whole))
+    inside = ended.where((place >= F.col("start")) & (F.col("end").isNull() | (place < F.col("end"))))
     return inside.where(~F.col("s4")).select(*rows.columns)

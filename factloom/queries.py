@@ -556,8 +556,8 @@ def extract_ingredients(spark, sf_dir):
     line = F.concat(F.lit("material "), F.char(96 + n), F.lit(" CAS No. "), F.format_string("%d-10-%d", n + 1000, n % 10), F.format_string(" %d - %d %%", n * 10, n * 10 + 5))
     rows = li.select(F.col("l_orderkey").alias("document"), F.lit(1).alias("page"), (n * 2).alias("row_no"), line.alias("text"))
     orders = li.select("l_orderkey").distinct()
-    for at, text in ((1, "SECTION 3: Composition"), (90, "Section 4: First aid"), (91, "other 7439-89-6 50 %")):
-        rows = rows.unionByName(orders.select(F.col("l_orderkey").alias("document"), F.lit(1).alias("page"), F.lit(at).alias("row_no"), F.lit(text).alias("text")))
+    more = F.array(*[F.struct(F.lit(at).alias("row_no"), F.lit(text).alias("text")) for at, text in ((1, "SECTION 3: Composition"), (90, "Section 4: First aid"), (91, "other 7439-89-6 50 %"))])
+    rows = rows.unionByName(orders.select(F.col("l_orderkey").alias("document"), F.lit(1).alias("page"), F.inline(more)))
     return X.ingredient_rows(rows).select("document", "cas", "name", "concentration")
 
 
