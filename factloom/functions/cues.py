@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,6 +102,11 @@ def form_cue(c: Column) -> Column:
     return T.let(T.collapse(F.lower(c)), declared_form)
 
 
+def _any_of(c: Column, *words: str) -> Column:
+    """One of the words is in the text: a plain search, ahead of the expressions that need one of them."""
+    return reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words])
+
+
 _FORM_WORD = r"(?s)^.*?(?<![a-z0-9])(" + "|".join(re.escape(cue) for cues in FORM_CUES.values() for cue in cues) + r")(?![a-z0-9])"
 
 
@@ -114,8 +120,9 @@ def declared_form(low: Column) -> Column:
             form = F.when(word.isin(*cues), name).otherwise(form)
         return F.when((word != "") & ~part.rlike(NEGATED_FORM), form)
 
+    # Every expression below needs one of these.
     return (
-        F.when(low == "", None)
+        F.when(~_any_of(low, "3.1", *(cue for cues in FORM_CUES.values() for cue in cues if not cue.endswith("s"))), None)
         .when(low.rlike(NEGATED_ENTRY), "MIXTURE")
         .when(low.rlike(BOTH_HEADINGS), None)
         .when(low.rlike(HEADING), F.when(F.regexp_extract(low, HEADING, 1) == "mixtures", "MIXTURE").otherwise("SUBSTANCE"))
@@ -144,11 +151,15 @@ def _shares_of(low: Column) -> Column:
     def read(low: Column) -> Column:
         numbers = F.regexp_extract_all(low, F.lit(f"({CAS_NUMBER})"), F.lit(1))
         gaps = F.split(low, CAS_NUMBER, -1)
-        shares = F.transform(gaps, lambda g: T.let(V.share_form(F.regexp_replace(g, EC_NUMBER, " ")), V.share_of))
-        return F.struct(numbers.alias("numbers"), shares.alias("shares"))
+        return F.struct(numbers.alias("numbers"), gaps.alias("gaps"))
+
+    def share_in(gap: Column) -> Column:
+        # A share has a figure, which composition may make of a character beyond ASCII.
+        bare = lambda g: F.when(F.contains(g, F.lit("-")), F.regexp_replace(g, EC_NUMBER, " ")).otherwise(g)
+        return T.let(gap, lambda g: F.when(g.rlike(r"\d|[^\x00-\x7f]"), T.let(V.share_form(bare(g)), V.share_of)))
 
     def paired(x: Column) -> Column:
-        return F.transform(x["numbers"], lambda n, i: F.struct(n.alias("cas"), F.coalesce(F.element_at(x["shares"], i + 2), F.element_at(x["shares"], i + 1)).alias("share")))
+        return F.transform(x["numbers"], lambda n, i: F.struct(n.alias("cas"), F.coalesce(share_in(F.get(x["gaps"], i + 1)), share_in(F.get(x["gaps"], i))).alias("share")))
 
     share = "struct<low: double, high: double, low_inclusive: boolean, high_inclusive: boolean>"
     return F.when(low.rlike(CAS_NUMBER), T.let(read(low), paired)).otherwise(F.array().cast(f"array<struct<cas: string, share: {share}>>"))
@@ -173,8 +184,8 @@ def premise(c: Column) -> Column:
     def read(low: Column) -> Column:
         return F.struct(
             declared_form(low).alias("form"),
-            F.coalesce(low.rlike(COMPOSITION_HEADER), F.lit(False)).alias("header"),
-            F.coalesce(low.rlike(COMPLETENESS), F.lit(False)).alias("complete"),
+            F.coalesce(_any_of(low, "cas", "c.a.s") & low.rlike(COMPOSITION_HEADER), F.lit(False)).alias("header"),
+            F.coalesce(_any_of(low, "no ", "contain", "100", "purity") & low.rlike(COMPLETENESS), F.lit(False)).alias("complete"),
             T.let(_shares_of(low), split).alias("shares"),
         )
 

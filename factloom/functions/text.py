@@ -17,7 +17,7 @@ SUFFIXES = ("inc", "ltd", "co", "corp", "llc", "gmbh", "sa", "bv", "plc", "kg",
 TOKEN_PUNCTUATION = ".,:;()[]{}\"'"
 
 #: White space as the contract counts it: Unicode white space and the four separators U+001C to U+001F.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def nfkc(c: Column) -> Column:
