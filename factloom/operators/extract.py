@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +44,14 @@ LABEL_TOKEN = r"(?i)^(?:cas|cas[:#]|cas-?no\.?:?|c\.a\.s\.?|no\.?:?|number:?|nr\
 MAX_COMPANY_TOKENS, MAX_LINEAR_TOKENS = 8, 12
 
 
+def slot_pattern(labels: Iterable[str]) -> str:
+    """What a row's text opens with, lower-cased, where it holds one of the labels."""
+    return rf"^(?:[·•*\-]|\d+(?:\.\d+)*\.?)?\s*({'|'.join(map(re.escape, labels))})\s*(?:[:=]\s*|$)"
+
+
 def label_slot(row: Column, labels: tuple[str, ...]) -> Column:
     """Struct (label, value) of the first label in order that opens the row's text, ahead of a colon, ``=`` or the end."""
-    pattern = rf"^(?:[·•*\-]|\d+(?:\.\d+)*\.?)?\s*({'|'.join(map(re.escape, labels))})\s*(?:[:=]\s*|$)"
+    pattern = slot_pattern(labels)
 
     def read(bare: Column) -> Column:
         slot = lambda label: F.when(label != "", F.struct(label.alias("label"), F.regexp_replace(bare, f"(?i){pattern}", "").alias("value")))
@@ -115,14 +122,26 @@ def first_usable(found: DataFrame, field: str, document: str = "document") -> Da
 
 def declared_form(rows: DataFrame, document: str = "document", phrases: tuple[tuple[str, str], ...] = FORM_DECLARATIONS) -> DataFrame:
     """Per document the first (phrase, page, row) whose text holds the phrase and is read as its form."""
-    def hits(x: Column) -> Column:
-        met = [F.when(F.contains(x["low"], F.lit(p)) & (x["form"] == f), F.struct(F.lit(i).alias("phrase"), F.lit(f).alias("form"))) for i, (p, f) in enumerate(phrases)]
+    return declared_forms(rows, document, {"b": phrases}).select(document, "b.form", "b.page", "b.row_no", "b.text")
+
+
+def declared_forms(rows: DataFrame, document: str, tables: dict[str, tuple[tuple[str, str], ...]]) -> DataFrame:
+    """``declared_form`` by several tables of phrases at once: per document a struct (phrase, page, row_no, form, text) by the name
+    of each table, null where none of its phrases is met. A row's text is folded once, and read where it holds a phrase."""
+
+    def hits(low: Column) -> Column:
+        held = reduce(Column.__or__, [F.contains(low, F.lit(p)) for phrases in tables.values() for p, _ in phrases])
+        return F.when(held, T.let(Q.form_cue(F.col("text")), lambda form: F.struct(*[hit(low, form, phrases).alias(name) for name, phrases in tables.items()])))
+
+    def hit(low: Column, form: Column, phrases: tuple[tuple[str, str], ...]) -> Column:
+        met = [F.when(F.contains(low, F.lit(p)) & (form == f), F.struct(F.lit(i).alias("phrase"), F.lit(f).alias("form"))) for i, (p, f) in enumerate(phrases)]
         return F.array_min(F.array_compact(F.array(*met)))
 
-    read = T.let(F.struct(T.search_form(F.col("text")).alias("low"), Q.form_cue(F.col("text")).alias("form")), hits)
-    found = rows.withColumn("hit", read).where("hit is not null")
-    best = found.groupBy(document).agg(F.min(F.struct("hit.phrase", "page", "row_no", "hit.form", "text")).alias("b"))
-    return best.select(document, F.col("b.form").alias("form"), F.col("b.page").alias("page"), F.col("b.row_no").alias("row_no"), F.col("b.text").alias("text"))
+    # No filter ahead of the aggregate: it would move in front of the shuffle, to as few tasks as the file has splits.
+    found = rows.withColumn("hit", T.let(T.search_form(F.col("text")), hits))
+    first = lambda h: F.min(F.when(h.isNotNull(), F.struct(h["phrase"].alias("phrase"), "page", "row_no", h["form"].alias("form"), "text")))
+    best = found.groupBy(document).agg(*[first(F.col(f"hit.{name}")).alias(name) for name in tables])
+    return best.where(reduce(Column.__or__, [F.col(name).isNotNull() for name in tables]))
 
 
 def share_run(words: Column) -> Column:

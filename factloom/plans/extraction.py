@@ -15,6 +15,7 @@ from ..functions import cues as Q
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import extract as X
+from ..operators.joins import merged
 from ..operators.layout import composition_rows
 from . import derivation as D
 
@@ -70,13 +71,15 @@ def label_slot(words: Column, labels: tuple[str, ...], gaps: bool = True) -> Col
 
 
 def row_candidates(rows: DataFrame, document: str = "document", fields: tuple[str, ...] = tuple(X.LABELS)) -> DataFrame:
-    """``document, page, row_no, field, label, value``: an empty slot takes the next row unless that holds a label."""
+    """``document, page, row_no, field, label, value`` and the row's own ``row``: an empty slot takes the next row unless that holds a label."""
     boxed = "words" in rows.columns
     source = "words" if boxed else "text"
     place = Window.partitionBy(document, "page").orderBy("row_no")
     if boxed:
         rows = rows.withColumn("words", _formed(F.col("words"), True))
     met = rows.withColumn("_after", F.lead("text").over(place)).withColumn("_next", F.lead(source).over(place))
+    if not boxed:  # most rows hold no label and end here
+        met = met.where(F.lower(T.collapse(F.col("text"))).rlike(X.slot_pattern([label for field in fields for label in X.LABELS[field]])))
 
     def candidate(field: str) -> Column:
         read = lambda c: (label_slot if boxed else X.label_slot)(c, X.LABELS[field])
@@ -88,7 +91,9 @@ def row_candidates(rows: DataFrame, document: str = "document", fields: tuple[st
 
         return T.let(read(F.col(source)), shaped)
 
-    return met.select(document, "page", "row_no", F.inline(F.array_compact(F.array(*map(candidate, fields)))))
+    kept = [c for c in ("text", "confidence") if c in rows.columns]
+    row = F.struct(*kept).alias("row")
+    return met.select(document, "page", "row_no", row, F.inline(F.array_compact(F.array(*map(candidate, fields)))))
 
 
 def page_stream(lines: DataFrame, document: str = "document") -> DataFrame:
@@ -179,13 +184,20 @@ def read_candidates(found: DataFrame) -> DataFrame:
 
 
 def first_claims(found: DataFrame, document: str = "document") -> DataFrame:
-    """Of each field the first candidate by page and row that gives a state or a value: one aggregate for all fields."""
-    best = read_candidates(found).groupBy(document, "field").agg(F.min(F.struct("page", "row_no", "state", "parsed")).alias("b"))
-    return best.select(document, "field", F.col("b.state").alias("state"), F.col("b.parsed").alias("value"), F.col("b.page").alias("page"), F.col("b.row_no").alias("row_no"))
+    """Of each field the first candidate by page and row that gives a state or a value: one aggregate for all fields. Its
+    ``row`` comes along where candidates carry it."""
+    carried = ["row"] if "row" in found.columns else []
+    best = read_candidates(found).groupBy(document, "field").agg(F.min(F.struct("page", "row_no", "state", "parsed", *carried)).alias("b"))
+    return best.select(document, "field", F.col("b.state").alias("state"), F.col("b.parsed").alias("value"), F.col("b.page").alias("page"), F.col("b.row_no").alias("row_no"), *[f"b.{c}" for c in carried])
 
 
 def composition_form(rows: DataFrame, document: str = "document") -> DataFrame:
-    """``document, form, premises`` where section 3 gives one set of premises that the composition rule accepts.
+    """``document, form, premises`` where section 3 gives one set of premises that the composition rule accepts (``compositions``)."""
+    return compositions(rows, document).where("form is not null")
+
+
+def compositions(rows: DataFrame, document: str = "document") -> DataFrame:
+    """``document, form, premises`` of every document with constituents; ``form`` is null where the rule accepts none.
 
     SUBSTANCE: one share of 100, no partial share, a completeness statement. MIXTURE: no share of 100, a header and at
     least two partial shares, the first two cited."""
@@ -200,27 +212,34 @@ def composition_form(rows: DataFrame, document: str = "document") -> DataFrame:
     stated = marked.groupBy(document).agg(first("composition_header").alias("header"), first("completeness_statement").alias("complete"))
     substance = (F.size("whole") == 1) & (F.size("partial") == 0) & F.col("complete").isNotNull()
     mixture = (F.size("whole") == 0) & (F.size("partial") >= 2) & F.col("header").isNotNull()
-    tried = shares.join(stated, document).select(
+    tried = merged(shares, stated, document, "left").select(
         document,
         F.when(substance, "SUBSTANCE").when(mixture, "MIXTURE").alias("form"),
         F.when(substance, F.array(F.get("whole", 0), F.col("complete"))).when(mixture, F.array(F.col("header"), F.get("partial", 0), F.get("partial", 1))).alias("premises"),
-    ).where("form is not null")
-    audited = D.audit(tried.select(document, F.inline("premises")), [document])
+    )
+    audited = D.audit(tried.where("form is not null").select(document, F.inline("premises")), [document])
     verdict = D.check_rule(F.lit(D.COMPOSITION_RULE), F.lit(FORM_FIELD), F.lit("PRESENT"), F.col("form"), F.size("premises"))
-    return tried.join(audited, document).where(verdict == "satisfied").select(document, "form", "premises")
+    held = F.col("form").isNotNull() & F.coalesce(verdict == "satisfied", F.lit(False))
+    return merged(tried, audited, document, "left").select(document, F.when(held, F.col("form")).alias("form"), F.when(held, F.col("premises")).alias("premises"))
 
 
 def product_form(rows: DataFrame, document: str = "document") -> DataFrame:
     """``document, form, rule, confidence, premises``: a declaration, else a section heading of a document with
     constituents, else a justified composition. The cited rows are ``premises``, a declaration's too."""
-    cited = F.array(F.struct("page", "row_no", F.lit(0).alias("at"), "text"))
-    stated = lambda found, order: found.select(document, F.lit(order).alias("order"), "form", F.lit(None).cast("string").alias("rule"), F.lit(DECLARED_CONFIDENCE).alias("confidence"), cited.alias("premises"))
-    items = X.ingredient_rows(rows, document).select(document).distinct()
-    declared = stated(X.declared_form(rows, document), 0)
-    headed = stated(X.declared_form(rows, document, X.HEADING_DECLARATIONS).join(items, document, "left_semi"), 1)
-    derived = composition_form(rows, document).select(document, F.lit(2).alias("order"), "form", F.lit(D.COMPOSITION_RULE).alias("rule"), F.lit(DERIVED_CONFIDENCE).alias("confidence"), "premises")
-    best = declared.unionByName(headed).unionByName(derived).groupBy(document).agg(F.min(F.struct("order", "form", "rule", "confidence", "premises")).alias("b"))
-    return best.select(document, "b.form", "b.rule", "b.confidence", "b.premises")
+    premise = "array<struct<page: int, row_no: int, at: int, text: string>>"
+
+    def stated(b: Column) -> Column:
+        cited = F.array(F.struct(b["page"], b["row_no"], F.lit(0).alias("at"), b["text"]).cast(premise[6:-1]))
+        return F.when(b.isNotNull(), F.struct(b["form"].alias("form"), F.lit(None).cast("string").alias("rule"), F.lit(DECLARED_CONFIDENCE).alias("confidence"), cited.alias("premises")))
+
+    told = X.declared_forms(rows, document, {"declared": X.FORM_DECLARATIONS, "headed": X.HEADING_DECLARATIONS})
+    composed = F.struct(F.col("form"), F.lit(D.COMPOSITION_RULE).alias("rule"), F.lit(DERIVED_CONFIDENCE).alias("confidence"), F.col("premises").cast(premise).alias("premises"))
+    found = told.select(document, stated(F.col("declared")).alias("declared"), stated(F.col("headed")).alias("headed"), F.lit(None).cast("boolean").alias("held"))
+    derived = compositions(rows, document).select(document, F.lit(True).alias("held"), F.when(F.col("form").isNotNull(), composed).alias("derived"))
+    # Each side has one row a document.
+    met = found.unionByName(derived, allowMissingColumns=True).groupBy(document).agg(*[F.max(c).alias(c) for c in ("declared", "headed", "held", "derived")])
+    best = F.coalesce("declared", F.when(F.col("held"), F.col("headed")), "derived")
+    return met.select(document, best.alias("b")).where("b is not null").select(document, "b.form", "b.rule", "b.confidence", "b.premises")
 
 
 def confidence_of(prior: Column, seen: Column) -> Column:
@@ -238,7 +257,7 @@ def ingredient_blocks(rows: DataFrame, document: str = "document") -> DataFrame:
     holds the word CAS if any; else NOT_STATED."""
     items = X.ingredient_rows(rows, document).select(document).distinct().withColumn("held", F.lit(True))
     heads = composition_rows(rows, document).where(F.lower("text").rlike(r"(?<![a-z])cas(?![a-z])")).groupBy(document).agg(F.min(F.struct("page", "row_no", "text")).alias("head"))
-    met = rows.select(document).distinct().join(items, document, "left").join(heads, document, "left")
+    met = merged(merged(rows.select(document).distinct(), items, document, "left"), heads, document, "left")
     return met.select(document, F.when(F.col("held"), "PRESENT").otherwise("NOT_STATED").alias("state"), F.when(F.col("held"), F.col("head")).alias("evidence"))
 
 
@@ -249,18 +268,25 @@ def extract_documents(rows: DataFrame, layout: str = "rows", document: str = "do
     layer may carry ``confidence``, the mean of their words' 0 to 100."""
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout}")
+    # A document's rows are dealt out once and stay where they are: what follows is keyed by document.
+    rows = rows.repartition(document)
     found = (row_candidates if layout == "rows" else linear_candidates)(rows, document)
     explicit = first_claims(found, document)
     forms = product_form(rows, document)
     audited = D.audit(forms.select(document, F.inline("premises")), [document]).select(document, F.struct(*D.ROLES, "declared").alias("audit"))
     # The verdict of the identifier rule depends on the premises only, so it is taken once a document.
     licensed = D.check_rule(F.lit(D.IDENTIFIER_RULE), F.lit("chemical_formula"), F.lit("NOT_APPLICABLE"), F.lit(None).cast("string"), F.size("premises")) == "satisfied"
-    forms = forms.join(audited, document).select(document, "form", F.col("rule").alias("form_rule"), "confidence", "premises", "audit.*").withColumn("licensed", licensed).drop(*D.ROLES, "declared")
+    forms = merged(forms, audited, document).select(document, "form", F.col("rule").alias("form_rule"), "confidence", "premises", "audit.*").withColumn("licensed", licensed).drop(*D.ROLES, "declared")
+    if layout == "rows":
+        texts = explicit.select("*", "row.*")
+    else:
+        kept = [c for c in ("text", "confidence") if c in rows.columns]
+        texts = merged(explicit, rows.select(document, "page", "row_no", *kept), [document, "page", "row_no"], "left")
     seen = F.col("confidence").cast("double") if "confidence" in rows.columns else F.lit(None).cast("double")
-    texts = explicit.join(rows.select(document, "page", "row_no", "text", seen.alias("seen")), [document, "page", "row_no"], "left")
+    texts = texts.withColumn("seen", seen)
     by_field = texts.groupBy(document).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("state", "value", F.struct("page", "row_no", "text").alias("evidence"), "seen")))).alias("explicit"))
     names = F.array(*[F.lit(name) for name, *_ in Q.FIELDS])
-    base = rows.select(document).distinct().join(by_field, document, "left").join(forms, document, "left").withColumn("field", F.explode(names))
+    base = merged(merged(rows.select(document).distinct(), by_field, document, "left"), forms, document, "left").withColumn("field", F.explode(names))
     base = base.withColumn("e", F.try_element_at("explicit", F.col("field")))
     is_form, e = F.col("field") == FORM_FIELD, F.col("e")
     known = F.coalesce(F.col("form") != "UNDETERMINED", F.lit(False))

@@ -1,5 +1,9 @@
 """Whole-document extraction on small pages."""
 
+from factloom.functions import text as T
+from pyspark.sql import functions as F
+
+from factloom.functions import text as T
 from factloom.plans import derivation as D
 from factloom.plans import extraction as P
 
@@ -87,3 +91,18 @@ def test_confidence_and_blocks(spark):
     assert blocks == {"a": ("PRESENT", 2), "b": ("NOT_STATED", None)}
     words = spark.createDataFrame([("a", 0, 90.0), ("a", 0, 70.0), ("a", 0, -1.0), ("a", 1, -1.0)], "document string, row_no int, confidence double")
     assert {r["row_no"]: r["confidence"] for r in P.row_confidence(words, ["document", "row_no"]).collect()} == {0: 80.0, 1: None}
+
+
+def test_no_table_of_a_document_goes_through_the_driver(spark):
+    rows = spark.createDataFrame([(1, 1, 0, "Product name: Acid"), (1, 1, 1, "3.2 Mixtures"), (2, 1, 0, "Flash point: 20 C")], "document long, page int, row_no int, text string")
+    for layout in P.LAYOUTS:
+        claims = P.extract_documents(rows, layout)
+        assert "Broadcast" not in claims._jdf.queryExecution().executedPlan().toString()
+    got = {(r["document"], r["field"]): (r["value"], r["evidence"] and r["evidence"]["text"]) for r in P.extract_documents(rows).where("state = 'PRESENT'").collect()}
+    assert got == {(1, "product_name"): ("Acid", "Product name: Acid"), (1, "substance_or_mixture"): ("MIXTURE", "3.2 Mixtures"), (2, "flash_point"): ("20 C", "Flash point: 20 C")}
+
+
+def test_white_space_class_is_that_of_the_contract(spark):
+    wide = {*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+    texts = spark.createDataFrame([(i, f"a{chr(i)}b") for i in (*range(1, 0x3100), 0xFEFF)], "id int, t string")
+    assert {r["id"] for r in texts.where(F.regexp_replace("t", T.SPACE, " ") == "a b").collect()} == wide
