@@ -18,6 +18,7 @@ from ..functions import cues as Q
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import scoring as S
+from ..operators.joins import merged
 from ..operators.near import partial_ratio
 from ..operators.search import on_page
 from . import derivation as D
@@ -47,7 +48,7 @@ def _by_field(field: Column, choose) -> Column:
 def _audited(claims: DataFrame, keys: list[str], spans: str) -> DataFrame:
     """``claims`` with the audit of their spans (null for claims without one)."""
     texts = claims.where(F.size(spans) > 0).select(*keys, F.explode(F.transform(spans, lambda s: s["text"])).alias("text"))
-    return claims.join(D.audit(texts, keys), keys, "left")
+    return merged(claims, D.audit(texts, keys), keys, "left")
 
 
 def target_groups(gold: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +65,7 @@ def target_groups(gold: DataFrame, keys: list[str]) -> DataFrame:
     found = derived.select(*keys, required.alias("required"), roles.alias("roles")).select(*keys, filled.alias("filled"))
     whole = F.coalesce(F.forall("filled", lambda g: F.size(g["at"]) >= g["needed"]), F.lit(False))
     every = lambda role: F.array(F.struct(F.lit(role).alias("role"), F.lit(1).alias("needed"), places("targets", lambda _: F.lit(True)).alias("at")))
-    return gold.join(found, keys, "left").select(
+    return merged(gold, found, keys, "left").select(
         *gold.columns,
         F.when(~F.col("derived"), every("evidence")).when(whole, F.col("filled")).otherwise(every("premises")).alias("groups"),
         (~F.col("derived") | whole).alias("described"),
@@ -81,7 +82,7 @@ def verbatim(cited: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     one = cited.groupBy(*dict.fromkeys(["document", *keys]), "page").agg(F.collect_set("text").alias("quotes"))
     held = F.forall("quotes", lambda q: F.coalesce(on_page(F.col("_text"), F.col("_row_text"), q), F.lit(False)))
     named = pages.select("document", F.col("page").cast("int").alias("page"), F.col("text").alias("_text"), F.col("row_text").alias("_row_text"))
-    met = one.join(named, ["document", "page"], "left").withColumn("held", F.col("_text").isNotNull() & held)
+    met = merged(one, named, ["document", "page"], "left").withColumn("held", F.col("_text").isNotNull() & held)
     return met.groupBy(*keys).agg(F.bool_and("held").alias("verbatim"))
 
 
@@ -123,7 +124,7 @@ def evaluate(gold: DataFrame, predictions: DataFrame, pages: DataFrame, by: tupl
     checked = _audited(p.where("derivation = 'DERIVED'").select(*keys, "rule", "state", "value", "cited"), keys, "cited")
     asked = (F.col("rule"), F.col("field"), F.col("state"), F.col("value"), F.size("cited"))
     checked = checked.select(*keys, D.check_rule(*asked).alias("checked"), D.check_note(*asked).alias("checked_note"))
-    p = p.join(quotes, keys, "left").join(checked, keys, "left")
+    p = merged(merged(p, quotes, keys, "left"), checked, keys, "left")
     near = F.lit(0.0)
     if fuzzy:
         p = p.join(nearest_quotes(p.select(*keys, F.inline("cited")), pages, keys), keys, "left")
@@ -132,7 +133,7 @@ def evaluate(gold: DataFrame, predictions: DataFrame, pages: DataFrame, by: tupl
         "state", "value", "derivation", "rule", "confidence", "cited", F.coalesce("verbatim", F.lit(True)).alias("verbatim"),
         "checked", "checked_note", near.alias("near"), "bbox_provenance",
     )
-    met = g.join(p.select(*keys, claim.alias("p")), keys, "left")
+    met = merged(g, p.select(*keys, claim.alias("p")), keys, "left")
     return _axes(met, keys)
 
 

@@ -185,3 +185,10 @@ def test_run_scores_and_reports_ingredients(spark, pages, tmp_path):
     assert (one["matched"], one["gold_rows"], one["predicted_rows"], one["records_exact"], one["blocks_agreeing"]) == (1, 2, 1, 1, 1)
     shown = [x for f in (tmp_path / "s_instances").glob("part-*") for x in f.read_text().splitlines()]
     assert shown[0].split(",").index("support_note") == 38 and len(shown) == 2
+
+
+def test_claims_and_gold_meet_without_the_driver(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["evaluate_claims"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
