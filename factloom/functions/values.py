@@ -194,13 +194,38 @@ def value_supported_by(value: Column, span: Column, kind: str) -> Column:
     return _of_both(value, span, lambda value, span: _supported(value, span, kind))
 
 
+# How far a span's figure may lie from a value of a kind, and the forms in which other kinds are compared.
+_FIGURES = {"temperature": (parse_temperature, 0.6), "quantity": (parse_quantity, 0.05)}
+_TEXT_FORMS = {"formula": T.normalize_formula, "identifier": T.normalize_cas}
+
+
 def _supported(value: Column, span: Column, kind: str) -> Column:
     some = F.coalesce((value != "") & (span != ""), F.lit(False))
     if kind in ("temperature", "quantity"):
-        parse, limit = (parse_temperature, 0.6) if kind == "temperature" else (parse_quantity, 0.05)
+        parse, limit = _FIGURES[kind]
         told = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), quantities_match(y, x, limit)).otherwise(F.contains(T.normalize_text(span), T.normalize_text(value)))
         held = _of_both(parse(value), parse(span), told)
     else:
-        form = {"formula": T.normalize_formula, "identifier": T.normalize_cas}.get(kind, T.normalize_name)
+        form = _TEXT_FORMS.get(kind, T.normalize_name)
         held = F.contains(form(span), form(value))
     return F.when(some, held).otherwise(False)
+
+
+def support_form(span: Column, kind: str) -> Column:
+    """What ``supported_in`` reads of a span, once for all values; null for a missing or empty one."""
+    if kind in ("temperature", "quantity"):
+        form = F.struct(_FIGURES[kind][0](span).alias("figure"), T.normalize_text(span).alias("text"))
+    else:
+        form = F.struct(_TEXT_FORMS.get(kind, T.normalize_name)(span).alias("text"))
+    return F.when(span != "", form)
+
+
+def supported_in(value: Column, form: Column, kind: str) -> Column:
+    """``value_supported_by`` of a span in ``support_form``."""
+    if kind in ("temperature", "quantity"):
+        parse, limit = _FIGURES[kind]
+        told = lambda q: F.when(q.isNotNull() & form["figure"].isNotNull(), quantities_match(form["figure"], q, limit)).otherwise(F.contains(form["text"], T.normalize_text(value)))
+        held = T.let(parse(value), told)
+    else:
+        held = F.contains(form["text"], _TEXT_FORMS.get(kind, T.normalize_name)(value))
+    return F.when(F.coalesce(value != "", F.lit(False)) & form.isNotNull(), held).otherwise(False)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
 from ..functions import geometry as G
 from ..functions import text as T
@@ -133,7 +133,7 @@ def packed(words: str = "words", text: str | None = None) -> list[Column]:
 
 def word_forms(texts: Column) -> Column:
     """Words folded at once, a line a word; ``forms_of`` closes their white space."""
-    return F.lower(T.fold(F.array_join(F.transform(texts, lambda t: F.translate(t, "\n", " ")), "\n", "")))
+    return T.let(F.array_join(F.transform(texts, lambda t: F.translate(F.coalesce(t, F.lit("")), "\n", " ")), "\n", ""), lambda lines: F.lower(T.fold(lines)))
 
 
 def forms_of(lines: str | None) -> list[str]:
@@ -141,6 +141,49 @@ def forms_of(lines: str | None) -> list[str]:
     return [" ".join(w.split()) for w in (lines or "").split("\n")]
 
 
+def packed_words(words: str = "words", text: str | None = None) -> list[Column]:
+    """What ``boxed_hits`` takes of a page's words; ``text`` as in ``packed``."""
+    lines, start, end = packed(words, text)[:3]
+    return [lines, start, end, F.transform(F.col(words)["box"], lambda b: b.isNotNull())]
+
+
+def _places_in(page: str, quote: str) -> list[int]:
+    """``places`` of a quote that is not empty."""
+    out, at = [], page.find(quote)
+    while at >= 0:
+        out.append(at)
+        at = page.find(quote, at + len(quote))
+    return out
+
+
+@F.arrow_udf(ArrayType(BooleanType()))
+def boxed_hits(form: pa.Array, quotes: pa.Array, lines: pa.Array, starts: pa.Array, ends: pa.Array, boxed: pa.Array) -> pa.Array:
+    """For each list of ``quotes`` of a page whether a place of one of them in the page's search ``form`` has a word with a box
+    under it. Words come as ``word_forms`` (``lines``), their places in the text and whether they are ``boxed``."""
+    out = []
+    for row, (page, asked, text, held) in enumerate(zip(form.to_pylist(), quotes.to_pylist(), lines.to_pylist(), boxed, strict=True)):
+        held = np.zeros(0, bool) if held.values is None else held.values.to_numpy(zero_copy_only=False).astype(bool)
+        if page is None or asked is None or not held.any() or not any(asked):
+            out.append(None if asked is None else [False] * len(asked))
+            continue
+        size = np.fromiter((len(w) for w in forms_of(text)), np.int64, len(held))
+        at, to = (c[row].values.to_numpy(zero_copy_only=False) for c in (starts, ends))
+        if (np.diff(at) < 0).any() or (np.diff(to) < 0).any():
+            order = np.lexsort((to, at))
+            size, held = size[order], held[order]
+        wide = np.where(size > 0, size + 1, 0)
+        start = np.cumsum(wide) - wide
+        end, seen = start + size, np.concatenate([[0], np.cumsum(held)])
+
+        def some(quote: str, page=page, start=start, end=end, seen=seen) -> bool:
+            hit = np.array(_places_in(page, quote), np.int64)
+            first, stop = np.searchsorted(end, hit, "right"), np.searchsorted(start, hit + len(quote), "left")
+            return bool((seen[np.maximum(first, stop)] > seen[first]).any())
+
+        out.append([any(map(some, group or [])) for group in asked])
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
 def packed_under(start: Column, end: Column) -> Column:
     """The words (``start, end, box``) of a ``packed`` page that lie under the characters ``start`` to ``end``."""
     first = _bisect(F.col("_end"), lambda e: e <= start)

@@ -7,9 +7,10 @@ passes over the texts, not a larger broadcast.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,35 +91,83 @@ def passages_in(texts: DataFrame, passages: DataFrame, *, key: str = "doc_id", t
     return texts.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _places(value: str | None, low: bool) -> list[int] | None:
-    if value is None:
-        return None
-    out: list[int] = []
-    space, last = True, 0
-    for i, ch in enumerate(value):
-        if ch in T.DROPPED:
-            continue
-        ch = T.LIGATURES.get(ch, ch)
-        if ch.isspace():
-            if not space:
-                out.append(i)
-            space = True
-        else:
-            out += [i] * len(ch.lower() if low else ch)
-            space, last = False, len(out)
-    return out[:last]
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def offsets(text: pd.Series) -> pd.Series:
+#: Characters of a text that are placed at once.
+_CHUNK = 1_000_000
+
+
+@functools.cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: how many characters its search form has (dropped marks 0), and whether it is white space."""
+    wide, space = np.ones(0x110000, np.int8), np.zeros(0x110000, bool)
+    for c in T.DROPPED:
+        wide[ord(c)] = 0
+    for c, form in T.LIGATURES.items():
+        wide[ord(c)] = len(form)
+    space[[i for i in range(0x3001) if chr(i).isspace()]] = True
+    return wide, space
+
+
+def _placed(texts: list[str], low: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each character of the texts' search forms its place in its text, and how many each text has."""
+    wide, space = _kinds()
+    size = np.array([len(v) for v in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row, first = np.repeat(np.arange(len(texts)), size), np.cumsum(size) - size
+    # Dropped marks first: white space on both sides of one is one run.
+    kept = np.flatnonzero(wide[codes])
+    blank, of = space[codes[kept]], row[kept]
+    solid = np.flatnonzero(~blank)
+    # A space stays where a character stands before it and another one after it in the same text.
+    stays = ~blank
+    gaps = np.flatnonzero(blank[1:] & ~blank[:-1] & (of[1:] == of[:-1])) + 1
+    after = np.searchsorted(solid, gaps)
+    gaps, after = gaps[after < len(solid)], after[after < len(solid)]
+    stays[gaps[of[solid[after]] == of[gaps]]] = True
+    kept = kept[stays]
+    times = wide[codes[kept]].astype(np.int64)
+    if low:
+        times[codes[kept] == 0x130] = 2  # the one letter whose small form has two characters
+    return np.repeat(kept - first[row[kept]], times), np.bincount(row[kept], times, len(texts)).astype(np.int64)
+
+
+def _chunks(texts: list[str | None], low: bool) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows in runs of about ``_CHUNK`` characters with what ``_placed`` finds of them; nulls as empty texts."""
+    start, size = 0, 0
+    for i, v in enumerate(texts):
+        size += len(v or "")
+        if size >= _CHUNK or i + 1 == len(texts):
+            yield slice(start, i + 1), *_placed([v or "" for v in texts[start : i + 1]], low)
+            start, size = i + 1, 0
+
+
+def _listed(text: pa.Array, low: bool) -> pa.Array:
+    texts = text.to_pylist()
+    parts = [(places, n) for _, places, n in _chunks(texts, low)]
+    ends = np.cumsum(np.concatenate([[0], *[n for _, n in parts]]))
+    values = np.concatenate([np.zeros(0, np.int64), *[p for p, _ in parts]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([v is None for v in texts], pa.bool_()))
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def offsets(text: pa.Array) -> pa.Array:
     """For each character of the search form, the place in the original text that it stems from."""
-    return text.map(lambda v: _places(v, True))
+    return _listed(text, True)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def exact_offsets(text: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(IntegerType()))
+def exact_offsets(text: pa.Array) -> pa.Array:
     """The same for the search form that keeps case."""
-    return text.map(lambda v: _places(v, False))
+    return _listed(text, False)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def offsets_at(text: pa.Array, at: pa.Array) -> pa.Array:
+    """``offsets`` of the characters ``at`` alone (from 0); null outside the search form."""
+    texts, asked, out = text.to_pylist(), at.to_pylist(), []
+    for rows, places, n in _chunks(texts, True):
+        for begin, count, wanted in zip(np.cumsum(n) - n, n, asked[rows], strict=True):
+            out.append([int(places[begin + i]) if i is not None and 0 <= i < count else None for i in wanted or []])
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def lines_with_offsets(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

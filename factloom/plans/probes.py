@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import alignment as A
 from ..operators import extract as X
+from ..operators import joins as J
 from ..operators import near as N
 from ..operators import ranges as R
 from ..operators import scoring as S
@@ -64,29 +65,28 @@ def oracle_flags(gold: DataFrame, pages: DataFrame, words: DataFrame | None = No
     text, box``) or the ``words`` that pages carry tell; without either every place counts. ``value_on_gold_page`` goes by
     located pages. Flags are null where gold has no value or span; a document without pages holds nothing."""
     needles = _needles(gold)
-    packed = needles.groupBy("document").agg(F.collect_list(F.struct("field", "kind", "values", "spans")).alias("needles"))
-    texts = pages.select("document", F.col("page").cast("int").alias("page"), "text", "row_text", T.search_form(F.col("text")).alias("form"))
+    forms = lambda c: F.array_distinct(F.transform(c, lambda v: T.search_form(v)))
+    packed = needles.groupBy("document").agg(F.collect_list(F.struct("field", "kind", "values", forms("values").alias("quotes"), forms("spans").alias("spans"))).alias("needles"))
+    boxed = words is not None or "words" in pages.columns
+    texts = pages.select("document", F.col("page").cast("int").alias("page"), "text", "row_text", T.search_form(F.col("text")).alias("form"), *(["words"] if boxed and words is None else []))
+    if words is not None:
+        texts = J.merged(texts, _by_page(words), ["document", "page"], "left")
+    own = None if boxed and "text" in texts.schema["words"].dataType.elementType.names else "text"
     kinds = (*S.KINDS, "categorical")
-    typed = lambda n, v, c: reduce(lambda out, k: out.when(n["kind"] == k, V.value_supported_by(v, c, k)), kinds, F)
     yes = lambda c: F.coalesce(c, F.lit(False))
-    read = lambda n: F.struct(
-        n["field"].alias("field"),
-        F.exists(n["values"], lambda v: F.exists(F.array("text", "row_text"), lambda c: yes(typed(n, v, c)))).alias("typed"),
-        F.exists(n["spans"], lambda s: yes(_holds(F.col("form"), s))).alias("span"),
-        F.array_distinct(F.filter(F.transform(n["values"], lambda v: T.search_form(v)), lambda q: yes(search.contains(F.col("form"), q)))).alias("quotes"),
-    )
-    found = texts.join(packed, "document").select("document", "page", "form", F.inline(F.transform("needles", read)))
-    found = found.withColumn("exact", F.size("quotes") > 0)
+    held = lambda q: yes(search.contains(F.col("form"), q))
+    # Each is an array beside ``needles``: what a caller does not ask for is not computed.
+    read = J.streamed(texts, packed, "document").withColumn("quotes", F.transform("needles", lambda n: F.filter(n["quotes"], held)))
+    read = read.withColumns({"typed": _typed(kinds), "span": F.transform("needles", lambda n: F.exists(n["spans"], held))})
+    if boxed:
+        read = read.withColumn("boxed", R.boxed_hits("form", "quotes", *R.packed_words("words", own)))
+    at_needle = lambda c: F.get(c, F.col("i"))
+    found = read.select("document", "page", "quotes", "typed", "span", *(["boxed"] if boxed else []), F.posexplode(F.transform("needles", lambda n: n["field"])).alias("i", "field"))
+    exact = F.size(at_needle("quotes")) > 0
+    found = found.select("document", "page", "field", exact.alias("exact"), at_needle("typed").alias("typed"), at_needle("span").alias("span"), (yes(at_needle("boxed")) if boxed else exact).alias("boxed"))
     at = lambda c: F.array_sort(F.collect_set(F.when(F.col(c), F.col("page"))))
-    held = found.groupBy(*KEYS).agg(F.bool_or("exact").alias("e"), F.bool_or("typed").alias("t"), F.bool_or("span").alias("s"), at("exact").alias("at"))
+    held = found.groupBy(*KEYS).agg(F.bool_or("exact").alias("e"), F.bool_or("typed").alias("t"), F.bool_or("span").alias("s"), at("exact").alias("at"), at("boxed").alias("located"))
     met = needles.join(held, KEYS, "left")
-    if words is None and "words" in pages.columns:
-        words = R.page_words(pages)
-    if words is None:
-        met = met.withColumn("located", F.col("at"))
-    else:
-        located = located_pages(found.where("exact"), words)
-        met = met.join(located.groupBy(*KEYS).agg(F.array_sort(F.collect_set("page")).alias("located")), KEYS, "left")
     valued, spanned = F.size("values") > 0, F.size("spans") > 0
     none = F.array().cast("array<int>")
     at, located = F.coalesce("at", none), F.coalesce("located", none)
@@ -99,16 +99,27 @@ def oracle_flags(gold: DataFrame, pages: DataFrame, words: DataFrame | None = No
     )
 
 
-def located_pages(found: DataFrame, words: DataFrame) -> DataFrame:
-    """``document, page, field`` where a place of one of the ``quotes`` in the page's ``form`` has a word with a box under it."""
-    page = ["document", "page"]
-    placed = found.select(*page, "field", "form", F.explode("quotes").alias("quote"))
-    placed = placed.select(*page, "field", F.length("quote").alias("size"), F.explode(R.places(F.col("form"), F.col("quote"))).alias("start"))
-    hits = placed.select(*page, "field", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
-    # Words of pages without a hit are not merged.
-    asked = words.join(hits.select(*page).distinct(), page, "left_semi")
-    boxes = R.boxes_under(hits, R.form_ranges(asked, page), page, ["field", "start", "end"])
-    return boxes.where("box is not null").select(*page, "field").distinct()
+def _typed(kinds: tuple[str, ...]) -> Column:
+    """For each of a row's ``needles`` whether one of its values is supported by the page's text or rows; the page is normalised
+    once for each kind that is looked for."""
+
+    def of(kind: str) -> Column:
+        def read(forms: Column) -> Column:
+            some = lambda n: F.exists(n["values"], lambda v: F.exists(forms, lambda f: F.coalesce(V.supported_in(v, f, kind), F.lit(False))))
+            return F.transform("needles", lambda n: F.coalesce((n["kind"] == kind) & some(n), F.lit(False)))
+
+        forms = F.transform(F.array_distinct(F.array("text", "row_text")), lambda c: V.support_form(c, kind))
+        asked = F.exists("needles", lambda n: F.coalesce(n["kind"] == kind, F.lit(False)))
+        return F.when(asked, T.let(forms, read)).otherwise(F.array().cast("array<boolean>"))
+
+    either = lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+    return reduce(lambda out, kind: F.zip_with(out, of(kind), either), kinds, F.transform("needles", lambda n: F.lit(False)))
+
+
+def _by_page(words: DataFrame) -> DataFrame:
+    """``document, page, words`` of words that are rows."""
+    word = F.struct(*[F.col(c) for c in ("start", "end", "text", "box")])
+    return words.groupBy("document", F.col("page").cast("int").alias("page")).agg(F.collect_list(word).alias("words"))
 
 
 def fuzzy_flags(gold: DataFrame, pages: DataFrame, least: float = 90.0) -> DataFrame:
@@ -174,12 +185,15 @@ def oracle_misses(rows: DataFrame) -> DataFrame:
 def cited_range(text: Column, start: Column, end: Column) -> Column:
     """First character and end of the lines around the characters ``start`` to ``end``, with the line before when that ends in a
     colon and these have none."""
-    head = F.substring(text, F.lit(1), start)
-    begin = start - F.length(F.substring_index(head, "\n", -1))
+    begin = start - F.length(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1))
     stop = end + F.length(F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1))
-    before = F.substring_index(F.substring(text, F.lit(1), begin - 1), "\n", -1)
-    bare = (begin > 0) & F.rtrim(before).endswith(":") & ~F.contains(F.substring(text, begin + 1, stop - begin), F.lit(":"))
-    return F.struct(F.when(bare, begin - 1 - F.length(before)).otherwise(begin).alias("start"), stop.alias("end"))
+
+    def led(x: Column) -> Column:
+        before = F.substring_index(F.substring(text, F.lit(1), x["start"] - 1), "\n", -1)
+        bare = lambda before: (x["start"] > 0) & F.rtrim(before).endswith(":") & ~F.contains(F.substring(text, x["start"] + 1, x["end"] - x["start"]), F.lit(":"))
+        return T.let(before, lambda b: F.struct(F.when(bare(b), x["start"] - 1 - F.length(b)).otherwise(x["start"]).alias("start"), x["end"].alias("end")))
+
+    return T.let(F.struct(begin.alias("start"), stop.alias("end")), led)
 
 
 def span_between(page: Column, text: Column, words: Column | None, start: Column, end: Column) -> Column:
@@ -192,21 +206,29 @@ def locate_values(gold: DataFrame, pages: DataFrame) -> DataFrame:
     """``document, field, page, text, span``: the first page that holds an accepted value, and the lines around its first place.
 
     Of several values that a page holds the first counts. Where pages carry their ``words``, the span has their box."""
-    wanted = _needles(gold).where(F.size("values") > 0).groupBy("document").agg(F.collect_list(F.struct("field", "values")).alias("needles"))
+    sought = F.when(F.size("values") > 0, F.struct("field", F.transform("values", lambda v: T.search_form(v)).alias("quotes")))
+    wanted = _needles(gold).groupBy("document").agg(F.collect_list(sought).alias("needles"))
     held = "words" in pages.columns
     texts = pages.select("document", F.col("page").cast("int").alias("page"), "text", T.search_form(F.col("text")).alias("form"), *(["words"] if held else []))
 
     def read(n: Column) -> Column:
-        quotes = F.filter(F.transform(n["values"], lambda v: T.search_form(v)), lambda q: F.coalesce(search.contains(F.col("form"), q), F.lit(False)))
-        return F.struct(n["field"].alias("field"), F.get(quotes, 0).alias("quote"))
-
-    hits = texts.join(wanted, "document").select("document", "page", F.inline(F.transform("needles", read))).where("quote is not null")
-    first = hits.groupBy(*KEYS).agg(F.min(F.struct("page", "quote")).alias("b")).select(*KEYS, "b.*")
-    met = first.join(texts, ["document", "page"]).withColumn("at", F.expr("locate(quote, form)")).withColumn("places", search.offsets(F.col("text")))
-    low, high = F.get("places", F.col("at") - 1), F.get("places", F.col("at") + F.length("quote") - 2) + 1
-    met = met.withColumn("lines", cited_range(F.col("text"), low, high))
-    span = span_between(F.col("page"), F.col("text"), F.col("words") if held else None, F.col("lines.start"), F.col("lines.end"))
-    return met.withColumn("span", span).select(*KEYS, "page", F.col("span.text").alias("text"), "span")
+        places = F.transform(n["quotes"], lambda q: F.struct(q.alias("quote"), F.position(q, F.col("form")).alias("at"), F.length(q).alias("size")))
+        first = F.get(F.filter(places, lambda p: (p["at"] > 0) & (p["size"] > 0)), 0)
+        return T.let(first, lambda p: F.struct(n["field"].alias("field"), p["quote"].alias("quote"), (p["at"] - 1).alias("first"), (p["at"] + p["size"] - 2).alias("last")))
+
+    # The page stays in its row: places are asked for once, and only lines with their boxes leave it.
+    met = J.streamed(texts, wanted, "document").withColumn("found", F.filter(F.transform("needles", read), lambda x: x["quote"].isNotNull()))
+    asked = F.flatten(F.transform("found", lambda x: F.array(x["first"], x["last"])))
+    met = met.withColumn("places", search.offsets_at(F.when(F.size("found") > 0, F.col("text")), asked))
+
+    def cite(x: Column, i: Column) -> Column:
+        lines = cited_range(F.col("text"), F.get("places", i * 2), F.get("places", i * 2 + 1) + 1)
+        span = T.let(lines, lambda at: span_between(F.col("page"), F.col("text"), F.col("words") if held else None, at["start"], at["end"]))
+        return F.struct(x["field"].alias("field"), x["quote"].alias("quote"), span.alias("span"))
+
+    hits = met.select("document", "page", F.inline(F.transform("found", cite)))
+    first = hits.groupBy(*KEYS).agg(F.min_by(F.struct("page", "span"), F.struct("page", "quote")).alias("b"))
+    return first.select(*KEYS, "b.page", F.col("b.span.text").alias("text"), "b.span")
 
 
 def _span(page: Column, text: Column, box: Column | None = None) -> Column:

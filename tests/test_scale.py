@@ -10,6 +10,7 @@ from factloom.functions import values as V
 from factloom.operators import alignment as A
 from factloom.operators import extract as X
 from factloom.operators import ranges as R
+from factloom.plans import probes as B
 
 
 def _times(df, needle):
@@ -85,3 +86,23 @@ def test_shares_are_read_where_figures_stand(spark):
     df = spark.createDataFrame([("iron 7439-89-6 100 %", 1, 0), ("5 - 10 % iron 7439-89-6 pure", 0, 1), ("iron 7439-89-6 ５ %", 0, 1), ("a 200-001-8 7439-89-6 none", 0, 0)], "t string, whole int, partial int")
     for r in df.select("*", Q.premise(F.col("t")).alias("p")).collect():
         assert (len(r.p.shares.whole), len(r.p.shares.partial)) == (r.whole, r.partial), r.t
+
+
+def test_oracle_flags_keep_words_in_their_pages(spark):
+    """Before, each word was a row in four sorted unions; a page was normalised for each value, asked for or not."""
+    word = "array<struct<start: int, end: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    text, box = "ﬁne  ™ red FINE  end", (0.0, 0.0, 1.0, 1.0)
+    words = [(m.start(), m.end(), m.group(), None if m.group() in ("ﬁne", "red") else box) for m in re.finditer(r"\S+", text)]
+    pages = spark.createDataFrame([("d", 1, text, text, words[::-1]), ("e", 1, None, None, None)], f"document string, page int, text string, row_text string, words {word}")
+    none = "array<struct<page: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    gold = [("d", f, "PRESENT", "EXPLICIT", v, [], [], []) for f, v in (("product_name", "fine"), ("supplier_name", "RED"), ("flash_point", "fine red"), ("molecular_weight", "blue"))] + [("e", "product_name", "PRESENT", "EXPLICIT", "x", [], [], [])]
+    golds = spark.createDataFrame(gold, f"document string, field string, state string, derivation string, value string, accepted array<string>, evidence {none}, premises {none}")
+    out = B.oracle_flags(golds, pages).select("document", "field", "value_exact", "value_located")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan and "compose" not in plan
+    # The mark between two words has a box; the second "fine" has one, the first has none.
+    want = {("d", "product_name"): (True, True), ("d", "supplier_name"): (True, False), ("d", "flash_point"): (True, True), ("d", "molecular_weight"): (False, False), ("e", "product_name"): (False, False)}
+    assert {(r.document, r.field): (r.value_exact, r.value_located) for r in out.collect()} == want
+    rows = pages.select("document", "page", F.inline("words"))
+    again = B.oracle_flags(golds, pages.drop("words"), rows).select("document", "field", "value_exact", "value_located")
+    assert {(r.document, r.field): (r.value_exact, r.value_located) for r in again.collect()} == want
