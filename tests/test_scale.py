@@ -144,3 +144,14 @@ def test_offsets_of_batches(spark):
         else:
             assert (r.a, r.b) == (walk(r.t, True), walk(r.t, False)), repr(r.t)
             assert r.c == [r.a[i] if 0 <= i < len(r.a) else None for i in (0, 2, -1)]
+
+
+def test_pages_are_normalised_once_a_kind(spark):
+    """Before, a page was normalised again for each value of its document, and also where no typed flag was asked for."""
+    none = "array<struct<page: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    gold = [("d", f, "PRESENT", "EXPLICIT", v, [], [], []) for f, v in (("product_name", "Acme  Co."), ("supplier_name", "none"), ("flash_point", "142 °F"), ("chemical_formula", "H₂O"), ("product_cas_number", ".,:"))]
+    golds = spark.createDataFrame(gold, f"document string, field string, state string, derivation string, value string, accepted array<string>, evidence {none}, premises {none}")
+    pages = spark.createDataFrame([("d", 1, "acme co H2O", "flash point 61 °C")], "document string, page int, text string, row_text string")
+    flags = B.oracle_flags(golds, pages)
+    assert "compose" not in flags.select("document", "value_exact", "note")._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.field: r.value_typed for r in flags.collect()} == {"product_name": True, "supplier_name": False, "flash_point": True, "chemical_formula": True, "product_cas_number": True}
