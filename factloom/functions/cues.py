@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -112,22 +112,27 @@ _FORM_WORD = r"(?s)^.*?(?<![a-z0-9])(" + "|".join(re.escape(cue) for cues in FOR
 
 def declared_form(low: Column) -> Column:
     """``form_cue`` of a lower-cased text with single spaces: the first form word decides."""
+    first = lambda part: T.let(F.regexp_extract(part, _FORM_WORD, 1), lambda word: _form_by(part, word))
+    return F.when(_form_words(low), F.coalesce(_headed(low), F.when(~low.rlike(BOTH_HEADINGS), T.let(_value_part(low), first))))
 
-    def first(part: Column) -> Column:
-        word = F.regexp_extract(part, _FORM_WORD, 1)
-        form = F.lit(None).cast("string")
-        for name, cues in FORM_CUES.items():
-            form = F.when(word.isin(*cues), name).otherwise(form)
-        return F.when((word != "") & ~part.rlike(NEGATED_FORM), form)
-
-    # Every expression below needs one of these.
-    return (
-        F.when(~_any_of(low, "3.1", *(cue for cues in FORM_CUES.values() for cue in cues if not cue.endswith("s"))), None)
-        .when(low.rlike(NEGATED_ENTRY), "MIXTURE")
-        .when(low.rlike(BOTH_HEADINGS), None)
-        .when(low.rlike(HEADING), F.when(F.regexp_extract(low, HEADING, 1) == "mixtures", "MIXTURE").otherwise("SUBSTANCE"))
-        .otherwise(T.let(_value_part(low), first))
-    )
+
+def _form_words(low: Column) -> Column:
+    """Every expression of ``declared_form`` needs one of these."""
+    return _any_of(low, "3.1", *(cue for cues in FORM_CUES.values() for cue in cues if not cue.endswith("s")))
+
+
+def _headed(low: Column) -> Column:
+    """The form that a negated entry or a heading declares."""
+    heading = F.when(F.regexp_extract(low, HEADING, 1) == "mixtures", "MIXTURE").otherwise("SUBSTANCE")
+    return F.when(low.rlike(NEGATED_ENTRY), "MIXTURE").when(~low.rlike(BOTH_HEADINGS) & low.rlike(HEADING), heading)
+
+
+def _form_by(part: Column, word: Column) -> Column:
+    """The form of the first form word in a value part."""
+    form = F.lit(None).cast("string")
+    for name, cues in FORM_CUES.items():
+        form = F.when(word.isin(*cues), name).otherwise(form)
+    return F.when((word != "") & ~part.rlike(NEGATED_FORM), form)
 
 
 def field_defined(field: Column, form: Column) -> Column:
@@ -154,9 +159,7 @@ def _shares_of(low: Column) -> Column:
         return F.struct(numbers.alias("numbers"), gaps.alias("gaps"))
 
     def share_in(gap: Column) -> Column:
-        # A share has a figure, which composition may make of a character beyond ASCII.
-        bare = lambda g: F.when(F.contains(g, F.lit("-")), F.regexp_replace(g, EC_NUMBER, " ")).otherwise(g)
-        return T.let(gap, lambda g: F.when(g.rlike(r"\d|[^\x00-\x7f]"), T.let(V.share_form(bare(g)), V.share_of)))
+        return T.let(gap, lambda g: T.let(V.share_form(_share_text(g)), V.share_of))
 
     def paired(x: Column) -> Column:
         return F.transform(x["numbers"], lambda n, i: F.struct(n.alias("cas"), F.coalesce(share_in(F.get(x["gaps"], i + 1)), share_in(F.get(x["gaps"], i))).alias("share")))
@@ -165,6 +168,13 @@ def _shares_of(low: Column) -> Column:
     return F.when(low.rlike(CAS_NUMBER), T.let(read(low), paired)).otherwise(F.array().cast(f"array<struct<cas: string, share: {share}>>"))
 
 
+def _share_text(gap: Column) -> Column:
+    """A gap without EC numbers if it may state a share: that has a figure, which composition may make of a character beyond
+    ASCII."""
+    bare = F.when(F.contains(gap, F.lit("-")), F.regexp_replace(gap, EC_NUMBER, " ")).otherwise(gap)
+    return F.when(gap.rlike(r"\d|[^\x00-\x7f]"), bare)
+
+
 def whole_share(s: Column) -> Column:
     return F.coalesce((F.abs(s["low"] - 100.0) < 1e-6) & (F.abs(s["high"] - 100.0) < 1e-6), F.lit(False))
 
@@ -173,6 +183,14 @@ def partial_share(s: Column) -> Column:
     return F.coalesce((s["high"] < 100.0 - 1e-6) | ((F.abs(s["high"] - 100.0) < 1e-6) & ~s["high_inclusive"]), F.lit(False))
 
 
+def _is_header(low: Column) -> Column:
+    return F.coalesce(_any_of(low, "cas", "c.a.s") & low.rlike(COMPOSITION_HEADER), F.lit(False))
+
+
+def _is_complete(low: Column) -> Column:
+    return F.coalesce(_any_of(low, "no ", "contain", "100", "purity") & low.rlike(COMPLETENESS), F.lit(False))
+
+
 def premise(c: Column) -> Column:
     """What one span gives an audit: its form, header and completeness flags, whole and partial registry numbers."""
     def split(shares: Column) -> Column:
@@ -184,14 +202,41 @@ def premise(c: Column) -> Column:
     def read(low: Column) -> Column:
         return F.struct(
             declared_form(low).alias("form"),
-            F.coalesce(_any_of(low, "cas", "c.a.s") & low.rlike(COMPOSITION_HEADER), F.lit(False)).alias("header"),
-            F.coalesce(_any_of(low, "no ", "contain", "100", "purity") & low.rlike(COMPLETENESS), F.lit(False)).alias("complete"),
+            _is_header(low).alias("header"),
+            _is_complete(low).alias("complete"),
             T.let(_shares_of(low), split).alias("shares"),
         )
 
     return T.let(T.collapse(F.lower(c)), read)
 
 
+def premise_rows(spans: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``premise`` of whole tables, in compiled steps: keys, ``form, header, complete, cas, whole, partial``, a row for each
+    registry number of a span or one for a span without any. The span's own flags stand on its first row only."""
+    low, part, gaps = F.col("_low"), F.col("_part"), F.col("_gaps")
+    read = T.staged(
+        spans.select(*keys, T.collapse(F.lower(F.col(text))).alias("_low")),
+        {"_formed": F.when(_form_words(low), low)},
+        {"_headed": _headed(F.col("_formed"))},
+        {"_part": F.when(F.col("_headed").isNull() & ~F.col("_formed").rlike(BOTH_HEADINGS), _value_part(F.col("_formed")))},
+        {"_word": F.regexp_extract(part, _FORM_WORD, 1)},
+        {"form": F.coalesce(F.col("_headed"), _form_by(part, F.col("_word"))), "header": _is_header(low), "complete": _is_complete(low)},
+        {"cas": F.regexp_extract_all(low, F.lit(f"({CAS_NUMBER})"), F.lit(1))},
+        # No line ends are left in the text, so one can stand for a number; a plain split compiles no expression a row.
+        {"_gaps": F.when(F.size("cas") > 0, F.split(F.regexp_replace(low, CAS_NUMBER, "\n"), "\n", -1))},
+        {"_before": F.slice(gaps, F.lit(1), F.size("cas")), "_after": F.slice(gaps, F.lit(2), F.size("cas"))},
+    )
+    flags = ("form", "header", "complete")
+    each = read.select(*keys, *flags, F.posexplode_outer(F.arrays_zip("cas", "_before", "_after")).alias("_i", "_n"))
+    first = F.coalesce(F.col("_i") == 0, F.lit(True))
+    each = each.select(*keys, *[F.when(first, F.col(c)).alias(c) for c in flags], "_n.cas", F.col("_n._before").alias("_before"), _share_text(F.col("_n._after")).alias("_after"))
+    # The share behind a number counts, else the one before it, which is only then looked for.
+    near = V.with_share(each, "_after", "_share").withColumn("_before", F.when(F.col("_share").isNull(), _share_text(F.col("_before"))))
+    met = V.with_share(near, "_before", "_other").withColumn("_share", F.coalesce("_share", "_other"))
+    share = F.col("_share")
+    return met.select(*keys, *flags, "cas", whole_share(share).alias("whole"), (~whole_share(share) & partial_share(share)).alias("partial"))
+
+
 def premise_roles(c: Column) -> Column:
     """Sorted array of the roles that one span fills."""
     found = lambda p: F.array(

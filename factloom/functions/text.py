@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lookalike characters of the search form.
@@ -24,12 +26,14 @@ SPACE = r"[\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0[\u1680-\u3000&&[\u16
 def nfkc(c: Column) -> Column:
     """Compatibility composition by the ICU library that Spark ships, on the JVM; ASCII texts pass untouched."""
 
-    def composed(x: Column) -> Column:
-        return F.when(beyond_ascii(x), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(True))).otherwise(x)
-
     return let(c, composed)
 
 
+def composed(x: Column) -> Column:
+    """``nfkc`` of a column that is computed already."""
+    return F.when(beyond_ascii(x), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(True))).otherwise(x)
+
+
 def beyond_ascii(c: Column) -> Column:
     """Characters and bytes differ in number; no regular expression is needed for it."""
     return F.length(c) != F.octet_length(c)
@@ -40,6 +44,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def staged(rows: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """Rows with the columns of each step in turn. Where whole tables are read this stands for ``let``: a step's columns are
+    computed once, and compiled, while bodies of lambdas are interpreted node by node."""
+    return reduce(lambda out, step: out.withColumns(step), steps, rows)
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 

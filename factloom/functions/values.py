@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -82,7 +82,11 @@ def parse_concentration(c: Column, compat: bool = True) -> Column:
 
 
 def share_form(c: Column, compat: bool = True) -> Column:
-    low = F.translate(F.lower(T.nfkc(c) if compat else c), "–—−", "---")
+    return _bare_share(T.nfkc(c) if compat else c)
+
+
+def _bare_share(c: Column) -> Column:
+    low = F.translate(F.lower(c), "–—−", "---")
     return T.collapse(F.regexp_replace(low, f"(?i){NOISE}", " "))
 
 
@@ -98,26 +102,51 @@ MARKS = (
 def share_of(low: Column) -> Column:
     """The interval that a text in share form states."""
 
-    def ranged(found: Column) -> Column:
-        part = lambda i: F.regexp_extract(found, RANGE, i)
-        return _interval(number(part(1)), number(part(3)), F.lit(True), part(2) != "<")
-
     def single(found: Column) -> Column:
-        both = F.struct(F.trim(F.regexp_extract(found, SINGLE, 1)).alias("mark"), number(F.regexp_extract(found, SINGLE, 2)).alias("value"))
-        return T.let(both, lambda x: marked(x["mark"], x["value"]))
-
-    def marked(mark: Column, value: Column) -> Column:
-        none, plain = F.lit(None).cast("double"), _interval(value, value, F.lit(True), F.lit(True))
-        out = F.when(mark == "", plain)
-        for pattern, bound, inclusive in MARKS:
-            high = bound == "high"
-            set_ = _interval(none if high else value, value if high else none, F.lit(high or inclusive), F.lit(inclusive or not high))
-            out = out.when(mark.rlike(f"^(?:{pattern})$"), set_)
-        return out.otherwise(plain)
+        both = F.struct(_mark(found).alias("mark"), _figure(found).alias("value"))
+        return T.let(both, lambda x: _marked(x["mark"], x["value"]))
 
     # Only the stretch that matched is taken apart, and only once; a match has a figure, so it is not empty.
     one = T.let(F.regexp_extract(low, SINGLE, 0), lambda found: F.when(found != "", single(found)))
-    return T.let(F.regexp_extract(low, RANGE, 0), lambda found: F.when(found != "", ranged(found)).otherwise(one))
+    return T.let(F.regexp_extract(low, RANGE, 0), lambda found: F.when(found != "", _ranged(found)).otherwise(one))
+
+
+def _ranged(found: Column) -> Column:
+    part = lambda i: F.regexp_extract(found, RANGE, i)
+    return _interval(number(part(1)), number(part(3)), F.lit(True), part(2) != "<")
+
+
+def _mark(found: Column) -> Column:
+    return F.trim(F.regexp_extract(found, SINGLE, 1))
+
+
+def _figure(found: Column) -> Column:
+    return number(F.regexp_extract(found, SINGLE, 2))
+
+
+def _marked(mark: Column, value: Column) -> Column:
+    none, plain = F.lit(None).cast("double"), _interval(value, value, F.lit(True), F.lit(True))
+    out = F.when(mark == "", plain)
+    for pattern, bound, inclusive in MARKS:
+        high = bound == "high"
+        set_ = _interval(none if high else value, value if high else none, F.lit(high or inclusive), F.lit(inclusive or not high))
+        out = out.when(mark.rlike(f"^(?:{pattern})$"), set_)
+    return out.otherwise(plain)
+
+
+def with_share(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Rows with the interval that a column of texts states (``share_of`` its ``share_form``), in compiled steps."""
+    c = lambda name: F.col(f"_{name}")
+    found = T.staged(
+        rows,
+        {"_form": T.composed(F.col(text))},
+        {"_form": _bare_share(c("form"))},
+        {"_range": F.regexp_extract(c("form"), RANGE, 0)},
+        {"_single": F.when(c("range") == "", F.regexp_extract(c("form"), SINGLE, 0))},
+        {"_mark": _mark(c("single")), "_figure": F.when(c("single") != "", _figure(c("single")))},
+        {out: F.when(c("range") != "", _ranged(c("range"))).when(c("single") != "", _marked(c("mark"), c("figure")))},
+    )
+    return found.drop("_form", "_range", "_single", "_mark", "_figure")
 
 
 def _interval(a: Column, b: Column, a_in: Column, b_in: Column) -> Column:

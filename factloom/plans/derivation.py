@@ -28,16 +28,19 @@ ROLES = ("form_declaration", "composition_header", "sole_constituent", "partial_
 
 def audit(premises: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Per claim: how many spans fill each role (constituents by distinct registry number) and the declared forms."""
-    read = premises.select(*keys, Q.premise(F.col(text)).alias("p"))
-    flat = read.select(*keys, F.col("p.form").alias("form"), F.col("p.header").alias("header"), F.col("p.complete").alias("complete"), F.col("p.shares").alias("shares"))
-    grouped = flat.groupBy(*keys).agg(
-        F.count("form").alias("form_declaration"),
-        F.count_if("header").alias("composition_header"),
-        F.count_if("complete").alias("completeness_statement"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("shares.whole")))).cast("long").alias("sole_constituent"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("shares.partial")))).cast("long").alias("partial_constituent"),
-        F.array_sort(F.collect_set("form")).alias("declared"),
-    )
+    # One exchange by claim; then registry numbers are told apart by a hash aggregate, without sets as values.
+    read = Q.premise_rows(premises, keys, text).repartition(*keys)
+    forms = sorted(Q.FORM_CUES)
+    by_number = read.groupBy(*keys, "cas").agg(
+        F.count("form").alias("form_declaration"), F.count_if("header").alias("composition_header"), F.count_if("complete").alias("completeness_statement"),
+        F.bool_or("whole").alias("whole"), F.bool_or("partial").alias("partial"), *[F.bool_or(F.col("form") == f).alias(f"_{f}") for f in forms],
+    )
+    numbered = lambda c: F.count_if(F.col("cas").isNotNull() & F.col(c))
+    grouped = by_number.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("form_declaration", "composition_header", "completeness_statement")],
+        numbered("whole").alias("sole_constituent"), numbered("partial").alias("partial_constituent"),
+        F.array_compact(F.array(*[F.when(F.bool_or(f"_{f}"), f) for f in forms])).alias("declared"),
+    )
     return grouped.select(*keys, *ROLES, "declared")
 
 

@@ -11,6 +11,7 @@ from factloom.operators import alignment as A
 from factloom.operators import extract as X
 from factloom.operators import ranges as R
 from factloom.operators import search
+from factloom.plans import derivation as D
 from factloom.plans import probes as B
 
 
@@ -155,3 +156,20 @@ def test_pages_are_normalised_once_a_kind(spark):
     flags = B.oracle_flags(golds, pages)
     assert "compose" not in flags.select("document", "value_exact", "note")._jdf.queryExecution().optimizedPlan().toString()
     assert {r.field: r.value_typed for r in flags.collect()} == {"product_name": True, "supplier_name": False, "flash_point": True, "chemical_formula": True, "product_cas_number": True}
+
+
+def test_premises_are_read_in_compiled_steps(spark):
+    """Before, a span's whole reading was one lambda, interpreted node by node for each row, with sets of arrays in its aggregate."""
+    texts = (
+        "3.1. Substances", "Substances or 3.2 Mixtures", "3.1. Substances Not applicable", "Mixture", "not a mixture", "Use: preparation", "C.A.S. No. % by Wt", "100 % pure", "no further ingredients", "", None, "x\n5 % 7439-89-6",
+        "iron 7439-89-6 100 % zinc 7440-66-6 5 - 10 %", "7439-89-6 231-096-4 ５ %", "max 99,5 % 7439-89-6 and 7440-66-6 < 100 % 7440-66-6 > 3", "7439-89-6", "a 7440-02-0 ≤ 100 w/w a 7440-02-0 NMT 100",
+    )
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    both = df.crossJoin(spark.range(1, 4).withColumnRenamed("id", "n")).select(F.expr("if(n = 1, k, div(k, n) + 100 * n)").alias("k"), "text")
+    out = D.audit(both, ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "collect_set" not in plan and plan.count("Exchange hashpartitioning") == 1
+    p = both.select("k", Q.premise(F.col("text")).alias("p")).groupBy("k")
+    numbers = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(f"p.shares.{c}")))).cast("long")
+    want = p.agg(F.count("p.form"), F.count_if("p.header"), numbers("whole"), numbers("partial"), F.count_if("p.complete"), F.array_sort(F.collect_set("p.form")))
+    assert {tuple(map(str, r)) for r in out.collect()} == {tuple(map(str, r)) for r in want.collect()}
