@@ -27,13 +27,14 @@ def number(c: Column) -> Column:
 
 
 def comparator(prefix: Column) -> Column:
-    def read(p: Column) -> Column:
-        out = F.when(p == "", "=")
-        for pattern, symbol in COMPARATORS:
-            out = out.when(p.rlike(pattern), symbol)
-        return out.otherwise("=")
+    return T.let(prefix, _comparator)
 
-    return T.let(prefix, read)
+
+def _comparator(p: Column) -> Column:
+    out = F.when(p == "", "=")
+    for pattern, symbol in COMPARATORS:
+        out = out.when(p.rlike(pattern), symbol)
+    return out.otherwise("=")
 
 
 def _first(low: Column, pattern: str, unit: str, read, other: Column | None = None) -> Column:
@@ -46,6 +47,45 @@ def _first(low: Column, pattern: str, unit: str, read, other: Column | None = No
     return T.let(F.regexp_extract(low, pattern, 2), quantity)
 
 
+def _fahrenheit(n: Column) -> Column:
+    return (n - 32.0) * 5.0 / 9.0
+
+
+def _temperature_figure(unit: str) -> str:
+    return rf"({NUMBER})\s*°?\s*{unit}\b"
+
+
+def with_quantity(rows: DataFrame, kind: str, read: dict[str, str]) -> DataFrame:
+    """Rows with ``parse_temperature`` or ``parse_quantity`` of columns of texts, each under its new name, in compiled steps."""
+    mark = F.lit("º"), F.lit("°")
+    c, steps = (lambda part, out: F.col(f"_{part}_{out}")), [{}, {}, {}, {}, {}, {}]
+    for out, text in read.items():
+        low, found, other, before = c("low", out), c("found", out), c("other", out), c("before", out)
+        raw, size = F.col(text), lambda figure: F.length(figure) > 0
+        steps[0][f"_low_{out}"] = F.replace(raw, *mark) if kind == "temperature" else raw
+        steps[1][f"_low_{out}"] = T.composed(low)
+        steps[2][f"_low_{out}"] = F.lower(low)
+        # A figure is found as the first place of its pattern; only what stands before it needs the whole text.
+        ahead = lambda figure: rf"(?s)^(.*?){figure}"
+        if kind == "temperature":
+            in_c, in_f = map(_temperature_figure, "cf")
+            steps[3][f"_found_{out}"] = F.regexp_extract(low, in_c, 1)
+            steps[4][f"_other_{out}"] = F.when(found == "", F.regexp_extract(low, in_f, 1))
+            steps[5][f"_before_{out}"] = F.when(size(found), F.regexp_extract(low, ahead(in_c), 1)).when(size(other), F.regexp_extract(low, ahead(in_f), 1))
+        else:
+            plain = f"({NUMBER})"
+            steps[3][f"_found_{out}"] = F.regexp_extract(low, plain, 1)
+            steps[4][f"_other_{out}"] = F.lit(None).cast("string")
+            steps[5][f"_before_{out}"] = F.when(size(found), F.regexp_extract(low, ahead(plain), 1))
+    last = {}
+    for out in read:
+        found, other, before = c("found", out), c("other", out), c("before", out)
+        value = F.when(F.length(found) > 0, number(found)).otherwise(_fahrenheit(number(other)))
+        unit = "C" if kind == "temperature" else "g/mol"
+        last[out] = F.when(before.isNotNull(), F.struct(value.alias("value"), F.lit(unit).alias("unit"), _comparator(before).alias("comparator")))
+    return T.staged(rows, *steps, last).drop(*[f"_{part}_{out}" for out in read for part in ("low", "found", "other", "before")])
+
+
 def parse_temperature(c: Column, compat: bool = True) -> Column:
     """Struct value (Celsius), unit, comparator; the first Celsius figure wins over Fahrenheit; null without a unit."""
     low = F.replace(c, F.lit("º"), F.lit("°"))
@@ -55,7 +95,7 @@ def parse_temperature(c: Column, compat: bool = True) -> Column:
         return rf"(?s)^(.*?)({NUMBER})\s*°?\s*{unit}\b"
 
     def read(low: Column) -> Column:
-        in_f = _first(low, pattern("f"), "C", lambda n: (n - 32.0) * 5.0 / 9.0)
+        in_f = _first(low, pattern("f"), "C", _fahrenheit)
         return _first(low, pattern("c"), "C", lambda n: n, in_f)
 
     return T.let(low, read)
@@ -179,22 +219,43 @@ def six_digits(value: Column) -> Column:
     form lies halfway between two rounds up."""
 
     def parts(e: Column) -> Column:
-        power = F.substring_index(e, "e", -1).cast("int")
-        digits = F.translate(F.substring_index(e, "e", 1), "-.", "")
-        return T.let(F.struct(e.alias("e"), power.alias("power"), digits.alias("digits")), lambda x: shown(x["e"], x["power"], x["digits"]))
-
-    def shown(e: Column, power: Column, digits: Column) -> Column:
-        trim = lambda c: F.regexp_replace(c, r"\.?0+$", "")
-        long = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))
-        far = F.concat(trim(long), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-        whole = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-        sign = F.when(F.startswith(e, F.lit("-")) & (digits != "000000"), "-").otherwise("")
-        return F.concat(sign, F.when(digits == "000000", "0").when((power < -4) | (power >= 6), far).when(power < 0, trim(small)).when(power == 5, digits).otherwise(trim(whole)))
+        return T.let(F.struct(e.alias("e"), _power(e).alias("power"), _digits(e).alias("digits")), lambda x: _shown(x["e"], x["power"], x["digits"]))
 
     return F.when(value.isNotNull(), T.let(F.format_string("%.5e", value), parts))
 
 
+def _power(e: Column) -> Column:
+    return F.substring_index(e, "e", -1).cast("int")
+
+
+def _digits(e: Column) -> Column:
+    return F.translate(F.substring_index(e, "e", 1), "-.", "")
+
+
+def _shown(e: Column, power: Column, digits: Column) -> Column:
+    trim = lambda c: F.rtrim(F.rtrim(c, F.lit("0")), F.lit("."))  # each holds a point
+    long = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))
+    far = F.concat(trim(long), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    whole = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    sign = F.when(F.startswith(e, F.lit("-")) & (digits != "000000"), "-").otherwise("")
+    return F.concat(sign, F.when(digits == "000000", "0").when((power < -4) | (power >= 6), far).when(power < 0, trim(small)).when(power == 5, digits).otherwise(trim(whole)))
+
+
+def with_canonical(rows: DataFrame, kind: str, read: dict[str, str]) -> DataFrame:
+    """Rows with ``canonical_value`` of columns of texts that state temperatures or quantities, each under its new name, in
+    compiled steps."""
+    c, steps = (lambda part, out: F.col(f"_{part}_{out}")), [{}, {}, {}]
+    parsed = with_quantity(rows, kind, {f"_q_{out}": text for out, text in read.items()})
+    for out, text in read.items():
+        q, e = c("q", out), c("e", out)
+        steps[0][f"_e_{out}"] = F.when(q["value"].isNotNull(), F.format_string("%.5e", q["value"]))
+        steps[1] |= {f"_power_{out}": _power(e), f"_digits_{out}": _digits(e)}
+        shown = F.concat(F.when(q["comparator"] == "=", "").otherwise(q["comparator"]), _shown(e, c("power", out), c("digits", out)), F.lit(" "), q["unit"])
+        steps[2][out] = F.coalesce(shown, T.normalize_text(F.col(text)))
+    return T.staged(parsed, *steps).drop(*[f"_{part}_{out}" for out in read for part in ("q", "e", "power", "digits")])
+
+
 def canonical_value(c: Column, kind: str) -> Column:
     """Canonical string of a value of one kind: name, identifier, formula, categorical, temperature or quantity."""
     if kind == "formula":
@@ -218,6 +279,13 @@ def values_equal(a: Column, b: Column, kind: str, tolerance: float = 0.0) -> Col
     return canonical_value(a, kind) == canonical_value(b, kind)
 
 
+def with_equality(rows: DataFrame, kind: str, a: str, b: str, out: str, tolerance: float = 0.0) -> DataFrame:
+    """Rows with ``values_equal`` of two columns of texts that state temperatures or quantities, in compiled steps."""
+    x, y = F.col("_a"), F.col("_b")
+    same = F.when(x.isNotNull() & y.isNotNull(), quantities_match(x, y, tolerance)).when(x.isNull() & y.isNull(), T.normalize_text(F.col(a)) == T.normalize_text(F.col(b))).otherwise(False)
+    return with_quantity(rows, kind, {"_a": a, "_b": b}).withColumn(out, same).drop("_a", "_b")
+
+
 def value_supported_by(value: Column, span: Column, kind: str) -> Column:
     """Whether the span holds the value: numbers by the span's first figure, else by the normalised text."""
     return _of_both(value, span, lambda value, span: _supported(value, span, kind))

@@ -173,3 +173,35 @@ def test_premises_are_read_in_compiled_steps(spark):
     numbers = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(f"p.shares.{c}")))).cast("long")
     want = p.agg(F.count("p.form"), F.count_if("p.header"), numbers("whole"), numbers("partial"), F.count_if("p.complete"), F.array_sort(F.collect_set("p.form")))
     assert {tuple(map(str, r)) for r in out.collect()} == {tuple(map(str, r)) for r in want.collect()}
+
+
+_FIGURES = (
+    "at least 12,50 ℃", "212 °F", "none °", None, "", "below 1234567 ºc", "0.00001234 C", "-0.0 C", "5 cm above 5 c", "5 f, over 7.25 c", "not more than\n-40 f", "1.2.3 c", "100000 c", "999999.95 C", "123456.5 C", "0.5 g / mole",
+    "NLT 18,0 g/mol", "≥ 20", "1e5", "２０ ℃", "0 c", "10.00 C", "-12345678.9 °f", "x 9",
+)
+
+
+def _interpreted(df):
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return [x for x in ("regexp_extract(lambda", "format_string(%.5e, lambda", "rlike(lambda") if x in plan]
+
+
+def test_canonical_values_of_tables_are_compiled(spark):
+    """Before, the query read each figure in nested lambdas, interpreted node by node for each row."""
+    df = spark.createDataFrame([(t,) for t in _FIGURES], "a string").withColumn("b", F.reverse("a"))
+    for kind in ("temperature", "quantity"):
+        out = V.with_canonical(df, kind, {"x": "a", "y": "b"})
+        assert _interpreted(out) == [] and out.columns == ["a", "b", "x", "y"]
+        want = df.select("a", "b", V.canonical_value(F.col("a"), kind).alias("x"), V.canonical_value(F.col("b"), kind).alias("y"))
+        assert _interpreted(want) != [] and out.collect() == want.collect()
+
+
+def test_quantities_of_tables_are_compiled(spark):
+    """Before, the query read both sides in nested lambdas, interpreted node by node for each row."""
+    df = spark.createDataFrame([(t,) for t in _FIGURES], "a string")
+    df = df.crossJoin(df.withColumnRenamed("a", "b"))
+    for kind in ("temperature", "quantity"):
+        out = V.with_equality(df, kind, "a", "b", "same", 0.05)
+        assert _interpreted(out) == []
+        want = df.select("a", "b", V.values_equal(F.col("a"), F.col("b"), kind, 0.05).alias("same"))
+        assert out.collect() == want.collect()
