@@ -85,7 +85,8 @@ def quantity_within_tolerance(spark, sf_dir):
     a = F.concat(F.format_string("%.2f", F.col("l_quantity")), F.lit(" g/mol"))
     step = F.when(F.col("l_linenumber") % 2 == 0, F.lit(0.0)).otherwise(0.04 * (F.col("l_linenumber") % 3))
     b = F.concat(F.replace(F.format_string("%.2f", F.col("l_quantity") + step), F.lit("."), F.lit(",")), F.lit(" G / Mole"))
-    return li.select("l_orderkey", "l_linenumber", V.values_equal(a, b, "quantity", 0.05).alias("same"))
+    texts = li.select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"))
+    return V.with_equality(texts, "quantity", "a", "b", "same", 0.05).select("l_orderkey", "l_linenumber", "same")
 
 
 @query(
