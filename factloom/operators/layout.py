@@ -27,6 +27,20 @@ def page_text(tokens: DataFrame, page: list[str], line: str = "line_no", word: s
     return whole.select(*page, F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
 
 
+def placed_words(tokens: DataFrame, page: list[str], line: str = "line_no", word: str = "word_no") -> DataFrame:
+    """Each page's ``text`` (``page_text``) and its ``words`` (start, end, box) by ``char_spans``: tokens, with their ``box``, meet
+    once by page. Tokens without a text are left out."""
+    order = Window.partitionBy(*page).orderBy(line, word, "text")
+    some = tokens.where("text is not null").withColumn("_line", F.struct(line)).withColumn("_before", F.lag("_line").over(order))
+    start = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gap = F.when(F.col("_before").isNull(), "").when(F.col("_before") == F.col("_line"), " ").otherwise("\n")
+    one = F.struct(start.alias("start"), (start + F.length("text")).alias("end"), "box", F.concat(gap, F.col("text")).alias("said"))
+    # The window's exchange serves the aggregate as well.
+    whole = some.select(*page, one.alias("w")).groupBy(*page).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    words = F.transform("w", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["box"].alias("box")))
+    return whole.select(*page, F.array_join(F.col("w.said"), "").alias("text"), words.alias("words"))
+
+
 def _fold(tokens: Column, joins) -> Column:
     """Labels of a fold in which a token joins the last group or opens one; groups keep a running band (top, bottom)."""
     empty = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), F.lit(-1).alias("no"), F.array().cast("array<int>").alias("labels"))

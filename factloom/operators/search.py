@@ -35,8 +35,13 @@ def on_page(text: Column, row_text: Column, quote: Column) -> Column:
 def positions(page: Column, quote: Column) -> Column:
     """All 0-based starts of the quote in the page, overlapping ones too; for short pages."""
     last = F.length(page) - F.length(quote) + 1
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(page, i, F.length(quote)) == quote)
-    return F.when((quote == "") | (last < 1), F.array().cast("array<int>")).otherwise(F.transform(starts, lambda i: i - 1))
+
+    def behind(first: Column) -> Column:
+        # A plain search finds the first place; only what lies behind it is tried one by one.
+        starts = F.filter(F.sequence(first, F.greatest(last, first)), lambda i: F.substring(page, i, F.length(quote)) == quote)
+        return F.when((quote == "") | (first == 0), F.array().cast("array<int>")).otherwise(F.transform(starts, lambda i: i - 1))
+
+    return T.let(F.coalesce(F.position(quote, page), F.lit(0)), behind)
 
 
 def nth_position(page: Column, quote: Column, n: Column) -> Column:

@@ -9,6 +9,7 @@ from factloom.functions import text as T
 from factloom.functions import values as V
 from factloom.operators import alignment as A
 from factloom.operators import extract as X
+from factloom.operators import layout as L
 from factloom.operators import ranges as R
 from factloom.operators import search
 from factloom.plans import derivation as D
@@ -205,3 +206,22 @@ def test_quantities_of_tables_are_compiled(spark):
         assert _interpreted(out) == []
         want = df.select("a", "b", V.values_equal(F.col("a"), F.col("b"), kind, 0.05).alias("same"))
         assert out.collect() == want.collect()
+
+
+def test_words_and_texts_of_pages_meet_once(spark):
+    """Before, a page's words went through three exchanges and a join; each place of a page was tried for every quote."""
+    words = [(1, 1, 0, 1, "b"), (1, 1, 0, 0, "a"), (1, 1, 2, 0, "cc"), (1, 2, None, 0, "x"), (1, 2, 0, 0, ""), (1, 2, 0, 0, None), (2, 1, 5, 1, "é"), (2, 1, 5, 0, "ff"), (2, 1, 6, 0, "g")]
+    tokens = spark.createDataFrame([(*w, float(i)) for i, w in enumerate(words)], "document int, page int, line_no int, word_no int, text string, box double")
+    out = L.placed_words(tokens, ["document", "page"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r.document, r.page): r for r in out.collect()}
+    some = tokens.where("text is not null")
+    assert {k: r.text for k, r in got.items()} == {(r.document, r.page): r.text for r in L.page_text(some, ["document", "page"]).collect()}
+    for r in L.char_spans(some, ["document", "page"]).collect():
+        page = got[r.document, r.page]
+        assert (r.char_start, r.char_end, r.box) in [tuple(w) for w in page.words] and page.text[r.char_start : r.char_end] == r.text
+    cases = [("aaaa", "aa", [0, 1, 2]), ("abcab", "ab", [0, 3]), ("ab", "abc", []), ("ab", "", []), ("", "a", []), ("xéa", "éa", [1]), ("ab", "c", []), (None, "a", []), ("a", None, [])]
+    at = spark.createDataFrame(cases, "p string, q string, want array<int>").select("want", search.positions(F.col("p"), F.col("q")).alias("got"))
+    assert all(r.want == r.got for r in at.collect()) and _times(at, "position(") >= 1
