@@ -9,11 +9,14 @@ A page's words stay in its row: the two layers of a page meet once, as packed ar
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import repeat
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..functions import text as T
 from . import near, ranges, search
@@ -53,16 +56,53 @@ def _packed(pages: DataFrame) -> list[Column]:
     return ranges.packed(text=None if own else "text")
 
 
-def _once(lines: str | None, start, end, n: int) -> dict[str, tuple[int, int]]:
-    """Runs of ``n`` words that stand once on their page, with their characters there."""
-    if start is None or not len(start):
-        return {}
-    words = sorted((int(s), int(e), w) for s, e, w in zip(start, end, ranges.forms_of(lines), strict=True) if w)
-    found: dict[str, tuple[int, int] | None] = {}
-    for i in range(len(words) - n + 1):
-        run = " ".join(w for _, _, w in words[i : i + n])
-        found[run] = None if run in found else (words[i][0], words[i + n - 1][1])
-    return {run: at for run, at in found.items() if at}
+def _in_order(lines: str | None, start: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A page's words that have a form, by place, with their starts and ends."""
+    words = ranges.forms_of(lines)
+    order = range(len(words))
+    if (np.diff(start) <= 0).any():
+        order = sorted(order, key=lambda i: (start[i], end[i], words[i]))
+    elif all(words):
+        return words, start, end
+    held = [i for i in order if words[i]]
+    return [words[i] for i in held], start[held], end[held]
+
+
+def _once(words: list[str], n: int) -> dict[str, int]:
+    """Runs of ``n`` words that stand once among these, with the number of their first word, in order."""
+    runs = list(map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
+    last = dict(zip(runs, range(len(runs)), strict=True))
+    if len(last) < len(runs):
+        for run in {run for i, run in enumerate(runs) if last[run] != i}:
+            del last[run]
+    return last
+
+
+def _paired(here: tuple, there: tuple, n: int) -> np.ndarray:
+    """The anchors of a page, a column each of ``_ANCHOR``; a layer is its words' forms, starts and ends."""
+    if any(cell is None or not len(cell) for cell in (here[1], there[1])):
+        return np.zeros((0, 4), np.int64)
+    (words, start, end), (other, other_start, other_end) = _in_order(*here), _in_order(*there)
+    own, found = _once(words, n), _once(other, n)
+    at = np.fromiter(own.values(), np.int64, len(own))
+    to = np.fromiter(map(found.get, own, repeat(-1)), np.int64, len(own))
+    at, to = at[to >= 0], to[to >= 0]
+    pairs = np.stack([start[at], end[at + n - 1], other_start[to], other_end[to + n - 1]], axis=1).astype(np.int64)
+    if (np.diff(pairs[:, 0]) <= 0).any():
+        pairs = pairs[np.lexsort(pairs.T[::-1])]
+    return pairs if (np.diff(pairs[:, 2]) > 0).all() else pairs[longest_chain(pairs[:, 2].tolist())]
+
+
+def _cells(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """The arrays of a column of integer lists."""
+    whole, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for i, held in enumerate(column.is_valid().to_pylist()):
+        yield whole[ends[i] : ends[i + 1]] if held else None
+
+
+def _layers(lines: pa.Array, start: pa.Array, end: pa.Array, other: pa.Array, other_start: pa.Array, other_end: pa.Array) -> Iterator[tuple[tuple, tuple]]:
+    here, there = zip(lines.to_pylist(), _cells(start), _cells(end), strict=True), zip(other.to_pylist(), _cells(other_start), _cells(other_end), strict=True)
+    return zip(here, there, strict=True)
 
 
 def _anchors(n: int):
@@ -70,19 +110,58 @@ def _anchors(n: int):
     for name in _ANCHOR:
         schema.add(name, ArrayType(IntegerType()))
 
-    @F.pandas_udf(schema)
-    def paired(lines: pd.Series, start: pd.Series, end: pd.Series, other: pd.Series, other_start: pd.Series, other_end: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page in zip(lines, start, end, other, other_start, other_end, strict=True):
-            here, there = _once(*page[:3], n), _once(*page[3:], n)
-            pairs = sorted(at + there[run] for run, at in here.items() if run in there)
-            kept = [pairs[i] for i in longest_chain([p[2] for p in pairs])]
-            rows.append([[p[i] for p in kept] for i in range(4)])
-        return pd.DataFrame(rows, columns=list(_ANCHOR))
+    @F.arrow_udf(schema)
+    def paired(lines: pa.Array, start: pa.Array, end: pa.Array, other: pa.Array, other_start: pa.Array, other_end: pa.Array) -> pa.Array:
+        pages = [_paired(here, there, n) for here, there in _layers(lines, start, end, other, other_start, other_end)]
+        ends = pa.array(np.cumsum([0, *map(len, pages)]), pa.int32())
+        whole = np.concatenate([np.zeros((0, 4), np.int64), *pages])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(whole[:, i], pa.int32())) for i in range(4)], names=list(_ANCHOR))
 
     return paired
 
 
+_STRETCH = ("low", "high", "hint")
+
+
+def _stretches(n: int):
+    """Of each page's ``spans`` (their starts and ends) where they lie on the other layer: from the last anchor that begins by
+    then to the first that ends no earlier; and the place there that is as far from the first as the span is here."""
+    schema = StructType()
+    for name in _STRETCH:
+        schema.add(name, IntegerType())
+
+    @F.arrow_udf(ArrayType(schema))
+    def between(lines: pa.Array, start: pa.Array, end: pa.Array, other: pa.Array, other_start: pa.Array, other_end: pa.Array, size: pa.Array, first: pa.Array, stop: pa.Array) -> pa.Array:
+        out = []
+        for (here, there), wide, starts, stops in zip(_layers(lines, start, end, other, other_start, other_end), size.to_pylist(), first.to_pylist(), stop.to_pylist(), strict=True):
+            held = _paired(here, there, n) if starts else None
+            rows = []
+            for s, e in zip(starts or [], stops or [], strict=True):
+                last = -1 if s is None else int(np.searchsorted(held[:, 0], s, "right")) - 1
+                after = 0 if e is None else int((held[:, 1] < e).sum())
+                rows.append({
+                    "low": int(held[last, 2]) if last >= 0 else 0,
+                    "high": int(held[after, 3]) if after < len(held) else wide,
+                    "hint": None if s is None else s - (int(held[last, 0]) if last >= 0 else 0),
+                })
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct([(name, pa.int32()) for name in _STRETCH])))
+
+    return between
+
+
+@F.arrow_udf(StructType().add("score", DoubleType()).add("low", IntegerType()).add("high", IntegerType()))
+def _likest(part: pa.Array, form: pa.Array, quote: pa.Array, hint: pa.Array) -> pa.Array:
+    """The window of a part's search form that is likest a quote, by the part's own characters."""
+    found = [near.likest_at(p, q, h or 0) for p, q, h in zip(form.to_pylist(), quote.to_pylist(), hint.to_pylist(), strict=True)]
+    cells = []
+    for rows, places, n in search.chunks(part.to_pylist(), True):
+        for begin, count, (score, start, end) in zip(np.cumsum(n) - n, n, found[rows], strict=True):
+            low = int(places[begin + start]) if start < count else None
+            cells.append({"score": score, "low": low, "high": int(places[begin + end - 1]) + 1 if 0 < end <= count else None})
+    return pa.array(cells, pa.struct([("score", pa.float64()), ("low", pa.int32()), ("high", pa.int32())]))
+
+
 def anchors(layer: DataFrame, other: DataFrame, n: int = 2) -> DataFrame:
     """``document, page, anchors``: arrays of characters (``start, end`` here, ``other_start, other_end`` there), in order on both.
 
@@ -93,19 +172,6 @@ def anchors(layer: DataFrame, other: DataFrame, n: int = 2) -> DataFrame:
     return found.where(F.size("anchors.start") > 0)
 
 
-def _between(anchors: Column, start: Column, end: Column, size: Column) -> Column:
-    """Where the characters ``start`` to ``end`` lie on the other layer: from the last anchor that begins by then to the first
-    that ends no earlier; and the place there that is as far from the first as the span is here."""
-    last, after = F.size(F.filter(anchors["start"], lambda s: s <= start)) - 1, F.size(F.filter(anchors["end"], lambda e: e < end))
-
-    def stretch(x: Column) -> Column:
-        of = lambda name, at: F.get(anchors[name], x[at])
-        low, hint = F.coalesce(of("other_start", "last"), F.lit(0)), start - F.coalesce(of("start", "last"), F.lit(0))
-        return F.struct(low.alias("low"), F.coalesce(of("other_end", "after"), size).alias("high"), hint.alias("hint"))
-
-    return T.let(F.struct(last.alias("last"), after.alias("after")), stretch)
-
-
 def carry(spans: DataFrame, layer: DataFrame, other: DataFrame, least: float = LEAST, n: int = 2) -> DataFrame:
     """``spans`` (``document, page, char_start, char_end, text`` and others) with ``there``: the span on the other layer as a struct of
     ``page, text, char_start, char_end, box, score``, or null where nothing there is like enough."""
@@ -135,17 +201,14 @@ def _here(words: list[Column]) -> list[Column]:
 
 def _carried(met: DataFrame, least: float, n: int, fields: list[str] | None = None) -> DataFrame:
     """The spans of each row (``_spans``), found between the anchors of its two layers."""
-    met = met.withColumn("anchors", _anchors(n)(*[F.col(f"_h{name}") for name in _WORDS], *_WORDS))
-    met = met.select("_p", "_body", *ranges.PACKED[1:], "anchors", F.inline("_spans"))
-    if fields:
-        met = met.select("*", *[F.col("_s")[f].alias(f) for f in fields]).drop("_s")
-    at = _between(F.col("anchors"), F.col("char_start"), F.col("char_end"), F.length("_body"))
-    met = met.withColumn("_at", at).withColumn("_part", F.substring(F.col("_body"), F.col("_at.low") + 1, F.col("_at.high") - F.col("_at.low")))
-    near_there = near.likest_window_at(T.search_form(F.col("_part")), T.search_form(F.col("text")), F.col("_at.hint"))
-    met = met.withColumns({"_near": near_there, "_places": search.offsets(F.col("_part"))})
-    low = F.get("_places", F.col("_near.start")) + F.col("_at.low")
-    high = F.get("_places", F.col("_near.end") - 1) + 1 + F.col("_at.low")
-    met = met.withColumns({"_low": low, "_high": high})
+    at = lambda name: F.transform("_spans", lambda s: (s["_s"] if fields else s)[name].cast("int"))
+    met = met.withColumn("_at", _stretches(n)(*[F.col(f"_h{name}") for name in _WORDS], *_WORDS, F.length("_body"), at("char_start"), at("char_end")))
+    # What only the search for anchors needs does not leave it.
+    met = met.select("_p", "_body", *ranges.PACKED[1:], F.inline(F.arrays_zip("_spans", "_at")))
+    met = met.select("*", *[F.col("_spans._s")[f].alias(f) for f in fields], "_spans.document", "_spans.page") if fields else met.select("*", "_spans.*")
+    met = met.drop("_spans").withColumn("_part", F.substring(F.col("_body"), F.col("_at.low") + 1, F.col("_at.high") - F.col("_at.low")))
+    met = met.withColumn("_near", _likest(F.col("_part"), T.search_form(F.col("_part")), T.search_form(F.col("text")), F.col("_at.hint")))
+    met = met.withColumns({"_low": F.col("_near.low") + F.col("_at.low"), "_high": F.col("_near.high") + F.col("_at.low")})
     # The window is as long as the quote; the span is the words that lie in it by half or more.
     inside = F.filter(
         ranges.packed_under(F.col("_low"), F.col("_high")),

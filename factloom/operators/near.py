@@ -116,12 +116,6 @@ def likest_window(page: pd.Series, quote: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([likest(p, q) for p, q in zip(page, quote, strict=True)], columns=["score", "start", "end"])
 
 
-@F.pandas_udf(StructType().add("score", DoubleType()).add("start", IntegerType()).add("end", IntegerType()))
-def likest_window_at(page: pd.Series, quote: pd.Series, hint: pd.Series) -> pd.DataFrame:
-    """The same with ties settled by nearness to a start."""
-    return pd.DataFrame([likest_at(p, q, 0 if h != h else int(h)) for p, q, h in zip(page, quote, hint, strict=True)], columns=["score", "start", "end"])
-
-
 def edits(size: int, least: float) -> int:
     """Characters that may be missing or added in a window of score ``least``."""
     return int(2 * size * (100 - least) / 100 + 1e-9)

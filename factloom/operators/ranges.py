@@ -124,21 +124,31 @@ PACKED = ("_forms", "_start", "_end", "_x0", "_y0", "_x1", "_y1")
 
 def packed(words: str = "words", text: str | None = None) -> list[Column]:
     """The words of a page's row as ``PACKED`` arrays, ``_forms`` as one text with a line a word; ``text`` names the page's
-    text where its words have none of their own."""
+    text where its words have none of their own. Words are an array of structs, or one struct of arrays (``flat_words``)."""
     w = F.col(words)
     own = w["text"] if text is None else F.transform(w, lambda x: F.substring(F.col(text), x["start"] + 1, x["end"] - x["start"]))
     cells = {"_forms": word_forms(own), "_start": w["start"], "_end": w["end"], **{f"_{c}": w["box"][c] for c in ("x0", "y0", "x1", "y1")}}
     return [cells[c].alias(c) for c in PACKED]
 
 
+def flat_words(texts: Column, starts: Column, box) -> Column:
+    """A page's words as one struct of arrays, where a word is no struct of its own: ``box`` makes the arrays ``x0, y0, x1, y1``
+    from those of starts and ends. Words follow each other, with one character between two."""
+    ends = F.zip_with(texts, starts, lambda w, s: s + F.length(w))
+    return F.struct(starts.alias("start"), ends.alias("end"), texts.alias("text"), G.box(*box(starts, ends)).alias("box"))
+
+
 def word_forms(texts: Column) -> Column:
     """Words folded at once, a line a word; ``forms_of`` closes their white space."""
-    return T.let(F.array_join(F.transform(texts, lambda t: F.translate(F.coalesce(t, F.lit("")), "\n", " ")), "\n", ""), lambda lines: F.lower(T.fold(lines)))
+    apart = F.array_join(F.transform(texts, lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit("\n"), F.lit(" "))), "\n", "")
+    lines = F.when(F.contains(F.array_join(texts, "", ""), F.lit("\n")), apart).otherwise(F.array_join(texts, "\n", ""))
+    return T.let(lines, lambda lines: F.lower(T.fold(lines)))
 
 
 def forms_of(lines: str | None) -> list[str]:
     """The words' search forms from ``word_forms`` (Python's white space is that of the search form)."""
-    return [" ".join(w.split()) for w in (lines or "").split("\n")]
+    words = (lines or "").split("\n")
+    return words if words == (lines or "").split() else [" ".join(w.split()) for w in words]
 
 
 def packed_words(words: str = "words", text: str | None = None) -> list[Column]:

@@ -135,7 +135,7 @@ def _placed(texts: list[str], low: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(kept - first[row[kept]], times), np.bincount(row[kept], times, len(texts)).astype(np.int64)
 
 
-def _chunks(texts: list[str | None], low: bool) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def chunks(texts: list[str | None], low: bool) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Rows in runs of about ``_CHUNK`` characters with what ``_placed`` finds of them; nulls as empty texts."""
     start, size = 0, 0
     for i, v in enumerate(texts):
@@ -147,7 +147,7 @@ def _chunks(texts: list[str | None], low: bool) -> Iterator[tuple[slice, np.ndar
 
 def _listed(text: pa.Array, low: bool) -> pa.Array:
     texts = text.to_pylist()
-    parts = [(places, n) for _, places, n in _chunks(texts, low)]
+    parts = [(places, n) for _, places, n in chunks(texts, low)]
     ends = np.cumsum(np.concatenate([[0], *[n for _, n in parts]]))
     values = np.concatenate([np.zeros(0, np.int64), *[p for p, _ in parts]])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([v is None for v in texts], pa.bool_()))
@@ -169,7 +169,7 @@ def exact_offsets(text: pa.Array) -> pa.Array:
 def offsets_at(text: pa.Array, at: pa.Array) -> pa.Array:
     """``offsets`` of the characters ``at`` alone (from 0); null outside the search form."""
     texts, asked, out = text.to_pylist(), at.to_pylist(), []
-    for rows, places, n in _chunks(texts, True):
+    for rows, places, n in chunks(texts, True):
         for begin, count, wanted in zip(np.cumsum(n) - n, n, asked[rows], strict=True):
             out.append([int(places[begin + i]) if i is not None and 0 <= i < count else None for i in wanted or []])
     return pa.array(out, pa.list_(pa.int32()))

@@ -62,6 +62,24 @@ def test_words_of_two_layers_stay_in_their_rows(spark):
     assert A.carry_rows(rows).first().there == got["d"]
 
 
+def test_spans_are_carried_from_flat_words(spark):
+    """Before, a page's anchors left Python as arrays, to be counted in lambdas, and windows and their places took a step each; a word was a struct."""
+    texts = [("d", "one two three four five six seven", "one two thr#e four five six seven"), ("e", "a a b\u2003c\nd a", "x"), ("f", "", "a"), ("g", None, "a b")]
+    box = lambda s, e: (F.transform(s, lambda x: x * 0.1), F.transform(s, lambda x: x * 0.0), F.transform(e, lambda x: x * 0.1), F.transform(e, lambda x: x * 0.0 + 1))
+    flat = lambda c: R.flat_words(F.split(c, " "), R.word_starts(F.transform(F.split(c, " "), lambda w: F.length(w))), box)
+    spans = F.expr("array(named_struct('char_start', 8, 'char_end', 18, 'text', 'three four'), named_struct('char_start', null, 'char_end', null, 'text', 'a'))")
+    rows = spark.createDataFrame(texts, "document string, here string, other_text string").select("document", F.lit(1).alias("page"), flat(F.col("here")).alias("words"), "other_text", flat(F.col("other_text")).alias("other_words"), spans.alias("spans"))
+    out = A.carry_rows(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython [") == 3
+    each = lambda c: F.arrays_zip(f"{c}.start", f"{c}.end", f"{c}.text", F.arrays_zip(*[f"{c}.box.{x}" for x in ("x0", "y0", "x1", "y1")]).alias("box"))
+    word = "array<struct<start: int, end: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    structs = rows.withColumns({c: each(c).cast(word) for c in ("words", "other_words")})
+    got, want = ({(r.document, r.text): r.there for r in df.collect()} for df in (out, A.carry_rows(structs)))
+    assert got == want and (got["d", "three four"].text, got["d", "three four"].box.x1) == ("thr#e four", 0.1 * 18)
+    assert got["g", "a"].text == "a" and got["e", "a"] is None
+
+
 def test_starts_of_words_in_sliced_batches(spark):
     df = spark.createDataFrame([(i, [1] * (i % 4)) for i in range(50)], "i int, n array<int>").repartition(3)
     for r in df.where("i % 3 > 0").select("i", R.word_starts(F.col("n")).alias("s")).collect():
