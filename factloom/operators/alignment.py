@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ..functions import text as T
 from . import near, ranges, search
@@ -123,31 +123,48 @@ def _anchors(n: int):
 _STRETCH = ("low", "high", "hint")
 
 
-def _stretches(n: int):
-    """Of each page's ``spans`` (their starts and ends) where they lie on the other layer: from the last anchor that begins by
-    then to the first that ends no earlier; and the place there that is as far from the first as the span is here."""
-    schema = StructType()
+def _stretch(held: np.ndarray, size: int | None, start: int | None, end: int | None) -> tuple[int, int | None, int | None]:
+    """Where the characters ``start`` to ``end`` lie on the other layer: from the last anchor that begins by then to the first
+    that ends no earlier; and the place there that is as far from the first as the span is here."""
+    last = -1 if start is None else int(np.searchsorted(held[:, 0], start, "right")) - 1
+    after = 0 if end is None else int((held[:, 1] < end).sum())
+    low, begin = (int(held[last, 2]), int(held[last, 0])) if last >= 0 else (0, 0)
+    return low, int(held[after, 3]) if after < len(held) else size, None if start is None else start - begin
+
+
+def _stretches(met: DataFrame, n: int) -> DataFrame:
+    """``_p, _span``, the stretch of the other layer's text that may hold the span (``_part, low, high, hint``) and its words
+    (``ranges.PACKED`` but the forms). Pages stream through Python, and only this leaves it."""
+    kept = ranges.PACKED[1:]
+    fields = {f.name: f.dataType for f in met.schema.fields}
+    out = StructType().add("_p", fields["_p"]).add("_span", fields["_spans"].elementType).add("_part", StringType())
     for name in _STRETCH:
-        schema.add(name, IntegerType())
-
-    @F.arrow_udf(ArrayType(schema))
-    def between(lines: pa.Array, start: pa.Array, end: pa.Array, other: pa.Array, other_start: pa.Array, other_end: pa.Array, size: pa.Array, first: pa.Array, stop: pa.Array) -> pa.Array:
-        out = []
-        for (here, there), wide, starts, stops in zip(_layers(lines, start, end, other, other_start, other_end), size.to_pylist(), first.to_pylist(), stop.to_pylist(), strict=True):
-            held = _paired(here, there, n) if starts else None
-            rows = []
-            for s, e in zip(starts or [], stops or [], strict=True):
-                last = -1 if s is None else int(np.searchsorted(held[:, 0], s, "right")) - 1
-                after = 0 if e is None else int((held[:, 1] < e).sum())
-                rows.append({
-                    "low": int(held[last, 2]) if last >= 0 else 0,
-                    "high": int(held[after, 3]) if after < len(held) else wide,
-                    "hint": None if s is None else s - (int(held[last, 0]) if last >= 0 else 0),
-                })
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([(name, pa.int32()) for name in _STRETCH])))
-
-    return between
+        out.add(name, IntegerType())
+    for name in kept:
+        out.add(name, fields[name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            layers = _layers(*[col[f"_h{w}"] for w in _WORDS], *[col[w] for w in _WORDS])
+            first = col["_start"].offsets.to_numpy()
+            owner, parts, cells, picks, sizes = [], [], [], [np.zeros(0, np.int64)], [0]
+            for row, ((here, there), body, starts, stops) in enumerate(zip(layers, col["_body"].to_pylist(), col["_first"].to_pylist(), col["_stop"].to_pylist(), strict=True)):
+                held = _paired(here, there, n) if starts else None
+                for s, e in zip(starts or [], stops or [], strict=True):
+                    low, high, hint = _stretch(held, None if body is None else len(body), s, e)
+                    a, b = (0, 0) if there[1] is None or high is None else (int(np.searchsorted(there[2], low, "right")), int(np.searchsorted(there[1], high, "left")))
+                    owner.append(row)
+                    parts.append(None if body is None or high is None else body[low : max(low, high)])
+                    cells.append((low, high, hint))
+                    picks.append(first[row] + np.arange(a, max(a, b)))
+                    sizes.append(max(a, b) - a)
+            pick, ends = pa.array(np.concatenate(picks)), pa.array(np.cumsum(sizes), pa.int32())
+            around = [pa.ListArray.from_arrays(ends, col[name].values.take(pick)) for name in kept]
+            stretch = [pa.array([c[i] for c in cells], pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([col["_p"].take(pa.array(owner, pa.int64())), col["_spans"].flatten(), pa.array(parts, pa.string()), *stretch, *around], names=out.names)
+
+    return met.mapInArrow(run, out)
 
 
 @F.arrow_udf(StructType().add("score", DoubleType()).add("low", IntegerType()).add("high", IntegerType()))
@@ -187,10 +204,11 @@ def carry(spans: DataFrame, layer: DataFrame, other: DataFrame, least: float = L
 
 def carry_rows(rows: DataFrame, least: float = LEAST, n: int = 2) -> DataFrame:
     """As ``carry`` where a row holds a page on both layers, so that nothing moves: ``document, page, spans`` (an array of
-    ``char_start, char_end, text`` and others), ``words`` here and ``other_text, other_words`` there, words with their ``text``.
+    ``char_start, char_end, text`` and others), ``words`` here and ``other_text, other_words`` there, words with their ``text`` or ``ranges.FLAT``.
     ``document, page``, the fields of a span and ``there``."""
+    flat = lambda c: isinstance(rows.schema[c].dataType, StructType)
     named = F.transform("spans", lambda s: F.struct(F.col("document"), F.col("page"), s.alias("_s")))
-    met = rows.select(F.col("page").cast("int").alias("_p"), F.col("other_text").alias("_body"), *ranges.packed("other_words"), *_here(ranges.packed("words")), named.alias("_spans"))
+    met = rows.select(F.col("page").cast("int").alias("_p"), F.col("other_text").alias("_body"), *ranges.packed("other_words", flat=flat("other_words")), *_here(ranges.packed("words", flat=flat("words"))), named.alias("_spans"))
     fields = rows.schema["spans"].dataType.elementType.names
     return _carried(met, least, n, fields).select(*PAGE, *fields, "there")
 
@@ -202,20 +220,18 @@ def _here(words: list[Column]) -> list[Column]:
 def _carried(met: DataFrame, least: float, n: int, fields: list[str] | None = None) -> DataFrame:
     """The spans of each row (``_spans``), found between the anchors of its two layers."""
     at = lambda name: F.transform("_spans", lambda s: (s["_s"] if fields else s)[name].cast("int"))
-    met = met.withColumn("_at", _stretches(n)(*[F.col(f"_h{name}") for name in _WORDS], *_WORDS, F.length("_body"), at("char_start"), at("char_end")))
-    # What only the search for anchors needs does not leave it.
-    met = met.select("_p", "_body", *ranges.PACKED[1:], F.inline(F.arrays_zip("_spans", "_at")))
-    met = met.select("*", *[F.col("_spans._s")[f].alias(f) for f in fields], "_spans.document", "_spans.page") if fields else met.select("*", "_spans.*")
-    met = met.drop("_spans").withColumn("_part", F.substring(F.col("_body"), F.col("_at.low") + 1, F.col("_at.high") - F.col("_at.low")))
-    met = met.withColumn("_near", _likest(F.col("_part"), T.search_form(F.col("_part")), T.search_form(F.col("text")), F.col("_at.hint")))
-    met = met.withColumns({"_low": F.col("_near.low") + F.col("_at.low"), "_high": F.col("_near.high") + F.col("_at.low")})
+    asked = met.select("_p", "_body", *ranges.PACKED, *[f"_h{name}" for name in _WORDS], "_spans", at("char_start").alias("_first"), at("char_end").alias("_stop"))
+    met = _stretches(asked, n)
+    met = met.select("*", *[F.col("_span._s")[f].alias(f) for f in fields], "_span.document", "_span.page") if fields else met.select("*", "_span.*")
+    met = met.withColumn("_near", _likest(F.col("_part"), T.search_form(F.col("_part")), T.search_form(F.col("text")), F.col("hint")))
+    met = met.withColumns({"_low": F.col("_near.low") + F.col("low"), "_high": F.col("_near.high") + F.col("low")})
     # The window is as long as the quote; the span is the words that lie in it by half or more.
     inside = F.filter(
         ranges.packed_under(F.col("_low"), F.col("_high")),
         lambda w: 2 * (F.least(w["end"], F.col("_high")) - F.greatest(w["start"], F.col("_low"))) >= w["end"] - w["start"],
     )
     met = met.withColumn("_run", inside).withColumns({"_low": F.get("_run", 0)["start"], "_high": F.get("_run", F.size("_run") - 1)["end"]})
-    text = F.substring(F.col("_body"), F.col("_low") + 1, F.col("_high") - F.col("_low"))
+    text = F.substring(F.col("_part"), F.col("_low") - F.col("low") + 1, F.col("_high") - F.col("_low"))
     box = ranges.packed_box(F.col("_low"), F.col("_high"))
     found = F.struct(F.col("_p").alias("page"), text.alias("text"), F.col("_low").alias("char_start"), F.col("_high").alias("char_end"), box.alias("box"), F.col("_near.score").alias("score"))
     return met.withColumn("there", F.when((F.col("_near.score") >= least) & F.col("_low").isNotNull(), found))

@@ -8,13 +8,15 @@ only touches a word does not hold it; an empty range, or one between words, hold
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StructField, StructType
 
 from ..functions import geometry as G
 from ..functions import text as T
@@ -122,26 +124,69 @@ def word_starts(sizes: pa.Array) -> pa.Array:
 PACKED = ("_forms", "_start", "_end", "_x0", "_y0", "_x1", "_y1")
 
 
-def packed(words: str = "words", text: str | None = None) -> list[Column]:
+def packed(words: str = "words", text: str | None = None, flat: bool = False) -> list[Column]:
     """The words of a page's row as ``PACKED`` arrays, ``_forms`` as one text with a line a word; ``text`` names the page's
-    text where its words have none of their own. Words are an array of structs, or one struct of arrays (``flat_words``)."""
+    text where its words have none of their own. Words are an array of structs, or
+    with ``flat`` one struct of arrays."""
     w = F.col(words)
-    own = w["text"] if text is None else F.transform(w, lambda x: F.substring(F.col(text), x["start"] + 1, x["end"] - x["start"]))
-    cells = {"_forms": word_forms(own), "_start": w["start"], "_end": w["end"], **{f"_{c}": w["box"][c] for c in ("x0", "y0", "x1", "y1")}}
+    own = lambda: w["text"] if text is None else F.transform(w, lambda x: F.substring(F.col(text), x["start"] + 1, x["end"] - x["start"]))
+    cells = {"_forms": line_forms(w["lines"]) if flat else word_forms(own()), "_start": w["start"], "_end": w["end"], **{f"_{c}": w["box"][c] for c in ("x0", "y0", "x1", "y1")}}
     return [cells[c].alias(c) for c in PACKED]
 
 
-def flat_words(texts: Column, starts: Column, box) -> Column:
-    """A page's words as one struct of arrays, where a word is no struct of its own: ``box`` makes the arrays ``x0, y0, x1, y1``
-    from those of starts and ends. Words follow each other, with one character between two."""
-    ends = F.zip_with(texts, starts, lambda w, s: s + F.length(w))
-    return F.struct(starts.alias("start"), ends.alias("end"), texts.alias("text"), G.box(*box(starts, ends)).alias("box"))
+#: A page's words as one struct of arrays, where a word is no struct of its own; ``lines`` are the words' texts, a line a word.
+FLAT = "struct<lines: string, start: array<int>, end: array<int>, box: struct<x0: array<double>, y0: array<double>, x1: array<double>, y1: array<double>>>"
+#: Characters of texts whose words are laid out at once.
+_CHUNK = 1_000_000
+
+
+def _laid(texts: list[str | None], spaces: str, box) -> pa.Array:
+    cut = [re.sub(f"[{spaces}]", "\n", t.replace("\n", "\n" if "\n" in spaces else " ")) if t is not None else None for t in texts]
+    sizes = [np.fromiter(map(len, t.split("\n")), np.int64) if t is not None else np.zeros(0, np.int64) for t in cut]
+    n = np.array([len(x) for x in sizes], np.int64)
+    size, first = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([[0], np.cumsum(n)])
+    before = np.cumsum(size + 1) - size - 1
+    start = before - np.repeat(np.append(before, 0)[np.minimum(first[:-1], len(before))], n)
+    end = start + size
+    listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
+    boxes = pa.StructArray.from_arrays([listed(v, pa.float64()) for v in box(start, end)], names=["x0", "y0", "x1", "y1"])
+    return pa.StructArray.from_arrays([pa.array(cut, pa.string()), listed(start, pa.int32()), listed(end, pa.int32()), boxes], names=["lines", "start", "end", "box"])
+
+
+def runs_of(sizes: list[int], least: int = _CHUNK) -> Iterator[slice]:
+    """Rows in runs of about ``least`` characters."""
+    begin, size = 0, 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= least or i + 1 == len(sizes):
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+
+
+def flat_words(pages: DataFrame, names: dict[str, str], spaces: str, box) -> DataFrame:
+    """``pages`` with the words of each text (``{text: name}``), cut at each one of ``spaces``, as ``FLAT``; ``box`` makes the four arrays
+    of boxes from those of starts and ends. Pages stream through Python and wait nowhere."""
+    schema = pages.schema
+    for name in names.values():
+        schema = StructType([*schema.fields, StructField(name, DataType.fromDDL(FLAT))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in runs_of(pc.utf8_length(batch.column(batch.schema.names.index(next(iter(names))))).fill_null(0).to_pylist()):
+                some = batch.slice(rows.start, rows.stop - rows.start)
+                cells = [_laid(some.column(some.schema.names.index(text)).to_pylist(), spaces, box) for text in names]
+                yield pa.RecordBatch.from_arrays([*some.columns, *cells], names=schema.names)
+
+    return pages.mapInArrow(run, schema)
 
 
 def word_forms(texts: Column) -> Column:
     """Words folded at once, a line a word; ``forms_of`` closes their white space."""
     apart = F.array_join(F.transform(texts, lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit("\n"), F.lit(" "))), "\n", "")
-    lines = F.when(F.contains(F.array_join(texts, "", ""), F.lit("\n")), apart).otherwise(F.array_join(texts, "\n", ""))
+    return line_forms(F.when(F.contains(F.array_join(texts, "", ""), F.lit("\n")), apart).otherwise(F.array_join(texts, "\n", "")))
+
+
+def line_forms(lines: Column) -> Column:
     return T.let(lines, lambda lines: F.lower(T.fold(lines)))
 
 
@@ -166,6 +211,24 @@ def _places_in(page: str, quote: str) -> list[int]:
     return out
 
 
+def _boxed_groups(page: str, asked: list, words: list[str], at: np.ndarray, to: np.ndarray, held: np.ndarray) -> list[bool]:
+    """Whether a place of one of each group's quotes has a word that is ``held`` under it; ``words`` are search forms."""
+    size = np.fromiter(map(len, words), np.int64, len(held))
+    if (np.diff(at) < 0).any() or (np.diff(to) < 0).any():
+        order = np.lexsort((to, at))
+        size, held = size[order], held[order]
+    wide = np.where(size > 0, size + 1, 0)
+    start = np.cumsum(wide) - wide
+    end, seen = start + size, np.concatenate([[0], np.cumsum(held)])
+
+    def some(quote: str) -> bool:
+        hit = np.array(_places_in(page, quote), np.int64)
+        first, stop = np.searchsorted(end, hit, "right"), np.searchsorted(start, hit + len(quote), "left")
+        return bool((seen[np.maximum(first, stop)] > seen[first]).any())
+
+    return [any(map(some, group or [])) for group in asked]
+
+
 @F.arrow_udf(ArrayType(BooleanType()))
 def boxed_hits(form: pa.Array, quotes: pa.Array, lines: pa.Array, starts: pa.Array, ends: pa.Array, boxed: pa.Array) -> pa.Array:
     """For each list of ``quotes`` of a page whether a place of one of them in the page's search ``form`` has a word with a box
@@ -176,24 +239,45 @@ def boxed_hits(form: pa.Array, quotes: pa.Array, lines: pa.Array, starts: pa.Arr
         if page is None or asked is None or not held.any() or not any(asked):
             out.append(None if asked is None else [False] * len(asked))
             continue
-        size = np.fromiter((len(w) for w in forms_of(text)), np.int64, len(held))
         at, to = (c[row].values.to_numpy(zero_copy_only=False) for c in (starts, ends))
-        if (np.diff(at) < 0).any() or (np.diff(to) < 0).any():
-            order = np.lexsort((to, at))
-            size, held = size[order], held[order]
-        wide = np.where(size > 0, size + 1, 0)
-        start = np.cumsum(wide) - wide
-        end, seen = start + size, np.concatenate([[0], np.cumsum(held)])
-
-        def some(quote: str, page=page, start=start, end=end, seen=seen) -> bool:
-            hit = np.array(_places_in(page, quote), np.int64)
-            first, stop = np.searchsorted(end, hit, "right"), np.searchsorted(start, hit + len(quote), "left")
-            return bool((seen[np.maximum(first, stop)] > seen[first]).any())
-
-        out.append([any(map(some, group or [])) for group in asked])
+        out.append(_boxed_groups(page, asked, forms_of(text), at, to, held))
     return pa.array(out, pa.list_(pa.bool_()))
 
 
+def flat_hits(pages: DataFrame, ids: Sequence[str], form: str = "form", quotes: str = "quotes", words: str = "words") -> DataFrame:
+    """``ids, quotes, boxed``: ``boxed_hits`` of pages with ``FLAT`` words, where only these columns leave Python, so that no page
+    waits for its answer. A word has a box where its ``x0`` is not null."""
+    w = F.col(words)
+    asked = pages.select(*ids, quotes, F.col(form).alias("_form"), line_forms(w["lines"]).alias("_lines"), w["start"].alias("_at"), w["end"].alias("_to"), w["box"]["x0"].alias("_x0"))
+    kept = [*ids, quotes]
+    schema = StructType([*asked.select(*kept).schema.fields, StructField("boxed", ArrayType(BooleanType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, forms, lines, at, to, x0 = (batch.column(batch.schema.names.index(c)) for c in (quotes, "_form", "_lines", "_at", "_to", "_x0"))
+            out = []
+            for row, groups in enumerate(batch.column(len(ids)).to_pylist()):
+                page, held = forms[row].as_py(), x0[row].values
+                if groups is None or page is None or not any(groups) or held is None or held.null_count == len(held):
+                    out.append(None if groups is None else [False] * len(groups))
+                    continue
+                places = (c[row].values.to_numpy(zero_copy_only=False) for c in (at, to))
+                out.append(_boxed_groups(page, groups, forms_of(lines[row].as_py()), *places, held.is_valid().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.list_(pa.bool_()))], names=schema.names)
+
+    return asked.mapInArrow(run, schema)
+
+
+def flat_box(words: Column, start: Column, end: Column) -> Column:
+    """The box around the ``FLAT`` words under the characters ``start`` to ``end``, or null."""
+
+    def around(x: Column) -> Column:
+        cut = lambda c: F.slice(words["box"][c], x["first"] + 1, F.greatest(x["stop"] - x["first"], F.lit(0)))
+        return F.when(x["stop"] > x["first"], G.box(F.array_min(cut("x0")), F.array_min(cut("y0")), F.array_max(cut("x1")), F.array_max(cut("y1"))))
+
+    return T.let(F.struct(_bisect(words["end"], lambda e: e <= start).alias("first"), _bisect(words["start"], lambda s: s < end).alias("stop")), around)
+
+
 def packed_under(start: Column, end: Column) -> Column:
     """The words (``start, end, box``) of a ``packed`` page that lie under the characters ``start`` to ``end``."""
     first = _bisect(F.col("_end"), lambda e: e <= start)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import text as T
 from . import near
@@ -175,6 +175,23 @@ def offsets_at(text: pa.Array, at: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int32()))
 
 
+def with_places(pages: DataFrame, text: str, asked: str) -> DataFrame:
+    """``pages`` with ``places``: ``offsets_at`` of the characters that the column ``asked`` names, or null. Pages stream through
+    Python, where those that wait for an answer beside it would fill memory and then the disk."""
+    schema = StructType([*pages.schema.fields, StructField("places", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = (batch.column(batch.schema.names.index(c)).to_pylist() for c in (text, asked))
+            done = 0
+            for rows, places, n in chunks([t if w else None for t, w in zip(texts, wanted, strict=True)], True):
+                out = [[int(places[b + i]) if i is not None and 0 <= i < count else None for i in w or []] for b, count, w in zip(np.cumsum(n) - n, n, wanted[rows], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, rows.stop - done).columns, pa.array(out, pa.list_(pa.int32()))], names=schema.names)
+                done = rows.stop
+
+    return pages.mapInArrow(run, schema)
+
+
 def lines_with_offsets(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Lines of a page with their first character's place and the line before."""
     lines = pages.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))

@@ -38,16 +38,22 @@ def ingredient_fields(items: DataFrame) -> DataFrame:
     )
 
 
+def _values(state: Column, value: Column, accepted: Column) -> Column:
+    """The values of a gold field that are looked for."""
+    none = F.array().cast("array<string>")
+    values = F.filter(F.concat(F.array(value), F.coalesce(accepted, none)), lambda v: F.coalesce(v != "", F.lit(False)))
+    return F.when(state == "PRESENT", values).otherwise(none)
+
+
 def _needles(gold: DataFrame) -> DataFrame:
     """``document, field, kind, values, spans, pages``: what is looked for."""
     g = E._with(gold, accepted=F.array().cast("array<string>"))
     kind = reduce(lambda out, f: out.when(F.col("field") == f[0], f[1]), Q.FIELDS, F.when(F.col("field").startswith("ingredient_cas"), "identifier"))
-    values = F.filter(F.concat(F.array("value"), F.coalesce("accepted", F.array().cast("array<string>"))), lambda v: F.coalesce(v != "", F.lit(False)))
     targets = F.when(F.col("derivation").isin(*E.GOLD_DERIVED), E._spans(F.col("premises"))).otherwise(E._spans(F.col("evidence")))
     g = g.withColumn("_t", targets)
     return g.select(
         *KEYS, "state", "derivation", "value", kind.alias("kind"),
-        F.when(F.col("state") == "PRESENT", values).otherwise(F.array().cast("array<string>")).alias("values"),
+        _values(F.col("state"), F.col("value"), F.col("accepted")).alias("values"),
         F.filter(F.transform("_t", lambda t: t["text"]), lambda t: F.coalesce(t != "", F.lit(False))).alias("spans"),
         F.array_distinct(F.transform("_t", lambda t: t["page"])).alias("pages"),
     )
@@ -99,6 +105,25 @@ def oracle_flags(gold: DataFrame, pages: DataFrame, words: DataFrame | None = No
     )
 
 
+def oracle_flags_rows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """As ``oracle_flags`` where a row holds a document's only page and its gold, so that nothing moves: ``document, page, text``, ``words``
+    (``ranges.FLAT``) and ``golds``, an array of ``field, state, value, accepted``; rows may differ by more columns, such as a layer.
+    ``document, by, field, value_exact, value_located, located_pages``."""
+    needle = lambda g: T.let(_values(g["state"], g["value"], g["accepted"]), lambda v: F.struct(g["field"].alias("field"), (F.size(v) > 0).alias("valued"), F.array_distinct(F.transform(v, lambda x: T.search_form(x))).alias("quotes")))
+    held = lambda q: F.coalesce(search.contains(F.col("form"), q), F.lit(False)) & F.col("document").isNotNull()
+    read = rows.select("document", *by, F.col("page").cast("int").alias("page"), "words", T.search_form(F.col("text")).alias("form"), F.transform("golds", needle).alias("needles"))
+    read = read.withColumn("quotes", F.transform("needles", lambda n: F.filter(n["quotes"], held)))
+    asked = read.select("document", *by, "page", "words", "form", "quotes", F.transform("needles", lambda n: F.struct(n["field"].alias("field"), n["valued"].alias("valued"))).alias("needles"))
+    found = R.flat_hits(asked, ["document", *by, "page", "needles"])
+    found = found.select("document", *by, "page", "quotes", "boxed", F.posexplode("needles").alias("i", "n"))
+    at, valued = lambda c: F.get(c, F.col("i")), F.col("n.valued")
+    boxed = F.coalesce(at("boxed"), F.lit(False))
+    return found.select(
+        "document", *by, "n.field", F.when(valued, F.size(at("quotes")) > 0).alias("value_exact"), F.when(valued, boxed).alias("value_located"),
+        F.when(valued, F.when(boxed, F.array("page")).otherwise(F.array().cast("array<int>"))).alias("located_pages"),
+    )
+
+
 def _typed(kinds: tuple[str, ...]) -> Column:
     """For each of a row's ``needles`` whether one of its values is supported by the page's text or rows; the page is normalised
     once for each kind that is looked for."""
@@ -196,12 +221,42 @@ def cited_range(text: Column, start: Column, end: Column) -> Column:
     return T.let(F.struct(begin.alias("start"), stop.alias("end")), led)
 
 
-def span_between(page: Column, text: Column, words: Column | None, start: Column, end: Column) -> Column:
+def span_between(page: Column, text: Column, words: Column | None, start: Column, end: Column, box_under=R.box_under) -> Column:
     """The span of a page's characters ``start`` to ``end``: its text without space at its ends and the box of the words under it."""
-    box = F.lit(None) if words is None else R.box_under(words, start, end)
+    box = F.lit(None) if words is None else box_under(words, start, end)
     return _span(page, F.regexp_replace(F.substring(text, start + 1, end - start), r"^\s+|\s+$", ""), box)
 
 
+def _first_place(n: Column) -> Column:
+    """The first of a needle's ``quotes`` that the page's ``form`` holds, and its first and last character there."""
+    places = F.transform(n["quotes"], lambda q: F.struct(q.alias("quote"), F.position(q, F.col("form")).alias("at"), F.length(q).alias("size")))
+    first = F.get(F.filter(places, lambda p: (p["at"] > 0) & (p["size"] > 0)), 0)
+    return T.let(first, lambda p: F.struct(n["field"].alias("field"), p["quote"].alias("quote"), (p["at"] - 1).alias("first"), (p["at"] + p["size"] - 2).alias("last")))
+
+
+def _cite(words: Column | None, box_under=R.box_under):
+    """The lines around a value found, whose characters are two of the page's ``places``."""
+
+    def cite(x: Column, i: Column) -> Column:
+        lines = cited_range(F.col("text"), F.get("places", i * 2), F.get("places", i * 2 + 1) + 1)
+        span = T.let(lines, lambda at: span_between(F.col("page"), F.col("text"), words, at["start"], at["end"], box_under))
+        return F.struct(x["field"].alias("field"), x["quote"].alias("quote"), span.alias("span"))
+
+    return cite
+
+
+def locate_rows(rows: DataFrame) -> DataFrame:
+    """As ``locate_values`` where a row holds a document's only page and its gold, so that nothing moves: ``document, page, text``,
+    ``words`` (``ranges.FLAT``) and ``golds``, an array of ``field, state, value, accepted``."""
+    quotes = lambda g: F.transform(_values(g["state"], g["value"], g["accepted"]), lambda v: T.search_form(v))
+    needles = F.transform("golds", lambda g: F.struct(g["field"].alias("field"), quotes(g).alias("quotes")))
+    met = rows.where("document is not null").select("document", F.col("page").cast("int").alias("page"), "text", "words", T.search_form(F.col("text")).alias("form"), needles.alias("needles"))
+    met = met.withColumn("found", F.filter(F.transform("needles", _first_place), lambda x: x["quote"].isNotNull())).drop("form", "needles")
+    met = search.with_places(met.withColumn("asked", F.flatten(F.transform("found", lambda x: F.array(x["first"], x["last"])))), "text", "asked")
+    hits = met.select("document", "page", F.inline(F.transform("found", _cite(F.col("words"), R.flat_box))))
+    return hits.select(*KEYS, "page", F.col("span.text").alias("text"), "span")
+
+
 def locate_values(gold: DataFrame, pages: DataFrame) -> DataFrame:
     """``document, field, page, text, span``: the first page that holds an accepted value, and the lines around its first place.
 
@@ -211,22 +266,12 @@ def locate_values(gold: DataFrame, pages: DataFrame) -> DataFrame:
     held = "words" in pages.columns
     texts = pages.select("document", F.col("page").cast("int").alias("page"), "text", T.search_form(F.col("text")).alias("form"), *(["words"] if held else []))
 
-    def read(n: Column) -> Column:
-        places = F.transform(n["quotes"], lambda q: F.struct(q.alias("quote"), F.position(q, F.col("form")).alias("at"), F.length(q).alias("size")))
-        first = F.get(F.filter(places, lambda p: (p["at"] > 0) & (p["size"] > 0)), 0)
-        return T.let(first, lambda p: F.struct(n["field"].alias("field"), p["quote"].alias("quote"), (p["at"] - 1).alias("first"), (p["at"] + p["size"] - 2).alias("last")))
-
     # The page stays in its row: places are asked for once, and only lines with their boxes leave it.
-    met = J.streamed(texts, wanted, "document").withColumn("found", F.filter(F.transform("needles", read), lambda x: x["quote"].isNotNull()))
+    met = J.streamed(texts, wanted, "document").withColumn("found", F.filter(F.transform("needles", _first_place), lambda x: x["quote"].isNotNull()))
     asked = F.flatten(F.transform("found", lambda x: F.array(x["first"], x["last"])))
     met = met.withColumn("places", search.offsets_at(F.when(F.size("found") > 0, F.col("text")), asked))
 
-    def cite(x: Column, i: Column) -> Column:
-        lines = cited_range(F.col("text"), F.get("places", i * 2), F.get("places", i * 2 + 1) + 1)
-        span = T.let(lines, lambda at: span_between(F.col("page"), F.col("text"), F.col("words") if held else None, at["start"], at["end"]))
-        return F.struct(x["field"].alias("field"), x["quote"].alias("quote"), span.alias("span"))
-
-    hits = met.select("document", "page", F.inline(F.transform("found", cite)))
+    hits = met.select("document", "page", F.inline(F.transform("found", _cite(F.col("words") if held else None))))
     first = hits.groupBy(*KEYS).agg(F.min_by(F.struct("page", "span"), F.struct("page", "quote")).alias("b"))
     return first.select(*KEYS, "b.page", F.col("b.span.text").alias("text"), "b.span")
 

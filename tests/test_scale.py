@@ -62,24 +62,72 @@ def test_words_of_two_layers_stay_in_their_rows(spark):
     assert A.carry_rows(rows).first().there == got["d"]
 
 
+_WORD = "array<struct<start: int, end: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+
+
+_tenths = lambda start, end: (start * 0.1, start * 0.0, end * 0.1, end * 0.0 + 1)  # noqa: E731  (a lambda goes to the workers whole)
+
+
+def _structs(words):
+    """``FLAT`` words as an array of structs."""
+    boxes = F.arrays_zip(*[f"{words}.box.{x}" for x in ("x0", "y0", "x1", "y1")])
+    boxes = F.transform(boxes, lambda b: F.when(b["x0"].isNotNull(), b))
+    return F.arrays_zip(f"{words}.start", f"{words}.end", F.split(f"{words}.lines", "\n", -1).alias("text"), boxes.alias("box")).cast(_WORD)
+
+
+def _shuffles(df):
+    return len(re.findall("Exchange|EvalPython", df._jdf.queryExecution().executedPlan().toString()))
+
+
 def test_spans_are_carried_from_flat_words(spark):
-    """Before, a page's anchors left Python as arrays, to be counted in lambdas, and windows and their places took a step each; a word was a struct."""
+    """Before, a page's anchors left Python as arrays, to be counted in lambdas, windows and their places took a step each, and pages
+    waited for the answers of three steps; a word was a struct."""
     texts = [("d", "one two three four five six seven", "one two thr#e four five six seven"), ("e", "a a b\u2003c\nd a", "x"), ("f", "", "a"), ("g", None, "a b")]
-    box = lambda s, e: (F.transform(s, lambda x: x * 0.1), F.transform(s, lambda x: x * 0.0), F.transform(e, lambda x: x * 0.1), F.transform(e, lambda x: x * 0.0 + 1))
-    flat = lambda c: R.flat_words(F.split(c, " "), R.word_starts(F.transform(F.split(c, " "), lambda w: F.length(w))), box)
     spans = F.expr("array(named_struct('char_start', 8, 'char_end', 18, 'text', 'three four'), named_struct('char_start', null, 'char_end', null, 'text', 'a'))")
-    rows = spark.createDataFrame(texts, "document string, here string, other_text string").select("document", F.lit(1).alias("page"), flat(F.col("here")).alias("words"), "other_text", flat(F.col("other_text")).alias("other_words"), spans.alias("spans"))
+    rows = spark.createDataFrame(texts, "document string, here string, other_text string")
+    rows = R.flat_words(rows, {"here": "words", "other_text": "other_words"}, " ", _tenths).select("document", F.lit(1).alias("page"), "words", "other_text", "other_words", spans.alias("spans"))
     out = A.carry_rows(rows)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("EvalPython [") == 3
-    each = lambda c: F.arrays_zip(f"{c}.start", f"{c}.end", f"{c}.text", F.arrays_zip(*[f"{c}.box.{x}" for x in ("x0", "y0", "x1", "y1")]).alias("box"))
-    word = "array<struct<start: int, end: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
-    structs = rows.withColumns({c: each(c).cast(word) for c in ("words", "other_words")})
+    assert _shuffles(out) == 1  # short stretches alone wait for their likest windows
+    structs = rows.withColumns({c: _structs(c) for c in ("words", "other_words")})
     got, want = ({(r.document, r.text): r.there for r in df.collect()} for df in (out, A.carry_rows(structs)))
     assert got == want and (got["d", "three four"].text, got["d", "three four"].box.x1) == ("thr#e four", 0.1 * 18)
     assert got["g", "a"].text == "a" and got["e", "a"] is None
 
 
+def test_flat_words_in_many_batches(spark):
+    texts = ["", " ", "a", "b  c\td", None, "é\n𝒳 y", "x\n"] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    for r in R.flat_words(df, {"t": "w"}, " \n", _tenths).collect():
+        parts = re.split("[ \n]", r.t) if r.t is not None else []
+        starts = [sum(len(p) + 1 for p in parts[:k]) for k in range(len(parts))]
+        assert (r.w.lines, r.w.start) == (None if r.t is None else "\n".join(parts), starts) and r.w.end == [s + len(p) for s, p in zip(starts, parts, strict=True)]
+        assert r.w.box.x0 == [s * 0.1 for s in starts]
+    assert list(R.runs_of([5, 1, 0, 9], 6)) == [slice(0, 2), slice(2, 4)] and list(R.runs_of([1, 1], 6)) == [slice(0, 2)]
+
+
+def _rows_with_gold(spark):
+    """One page a document, with ``FLAT`` words of which the second of three has no box, and its gold; the same as tables."""
+    made = [("d", "Name:\nRED  ﬁre ™ two"), ("e", "x y"), ("f", None), (None, "x y"), ("g", "")]
+    golds = "array(named_struct('field', 'product_name', 'state', 'PRESENT', 'value', 'none', 'accepted', array('FIRE', null)), named_struct('field', 'supplier_name', 'state', 'PRESENT', 'value', 'RED', 'accepted', cast(null as array<string>)), named_struct('field', 'flash_point', 'state', 'NO_DATA', 'value', 'x', 'accepted', array('x')))"
+    rows = spark.createDataFrame(made, "document string, text string").select("document", F.lit(1).alias("page"), "text", F.expr(golds).alias("golds"))
+    rows = R.flat_words(rows, {"text": "words"}, " \n", _tenths)
+    holes = F.transform(F.col("words.box.x0"), lambda x, i: F.when(i % 3 != 1, x))
+    rows = rows.withColumn("words", F.col("words").withField("box", F.col("words.box").withField("x0", holes)))
+    none = "array<struct<page: int, text: string, box: struct<x0: double, y0: double, x1: double, y1: double>>>"
+    gold = rows.select("document", F.inline("golds")).withColumns({"derivation": F.lit("EXPLICIT"), "rule": F.lit(None).cast("string"), "evidence": F.array().cast(none), "premises": F.array().cast(none)})
+    return rows, gold, rows.select("document", "page", "text", F.col("text").alias("row_text"), _structs("words").alias("words"))
+
+
+def test_oracle_flags_of_rows_move_nothing(spark):
+    """Before, a page's words met its gold in a shuffle of twenty times the text, and waited for Python beside it."""
+    rows, gold, pages = _rows_with_gold(spark)
+    out = B.oracle_flags_rows(rows.withColumn("layer", F.lit("native")), ("layer",))
+    assert _shuffles(out) == 0
+    want = B.oracle_flags(gold, pages)
+    key = lambda df: sorted((str(r.document), r.field, r.value_exact, r.value_located, str(r.located_pages)) for r in df.collect())
+    assert key(out) == key(want) and {("d", "product_name", True, True, "[1]"), ("d", "supplier_name", True, False, "[]")} <= set(key(out))
+
+
 def test_starts_of_words_in_sliced_batches(spark):
     df = spark.createDataFrame([(i, [1] * (i % 4)) for i in range(50)], "i int, n array<int>").repartition(3)
     for r in df.where("i % 3 > 0").select("i", R.word_starts(F.col("n")).alias("s")).collect():
