@@ -128,6 +128,15 @@ def test_oracle_flags_of_rows_move_nothing(spark):
     assert key(out) == key(want) and {("d", "product_name", True, True, "[1]"), ("d", "supplier_name", True, False, "[]")} <= set(key(out))
 
 
+def test_values_of_rows_are_located_in_place(spark):
+    """Before, a page's words met its gold in a shuffle of twelve times the text, and waited for Python beside it."""
+    rows, gold, pages = _rows_with_gold(spark)
+    out = B.locate_rows(rows)
+    assert _shuffles(out) == 0
+    got, want = ({(r.document, r.field): r for r in df.collect()} for df in (out, B.locate_values(gold, pages)))
+    assert got == want and set(got) == {("d", "product_name"), ("d", "supplier_name")} and got["d", "product_name"].text == "Name:\nRED  ﬁre ™ two"
+
+
 def test_starts_of_words_in_sliced_batches(spark):
     df = spark.createDataFrame([(i, [1] * (i % 4)) for i in range(50)], "i int, n array<int>").repartition(3)
     for r in df.where("i % 3 > 0").select("i", R.word_starts(F.col("n")).alias("s")).collect():
