@@ -100,8 +100,13 @@ def _cells(column: pa.Array) -> Iterator[np.ndarray | None]:
         yield whole[ends[i] : ends[i + 1]] if held else None
 
 
+def _each(column: pa.Array) -> Iterator:
+    """The values of a column one at a time, so that they are not all held."""
+    return (cell.as_py() for cell in column)
+
+
 def _layers(lines: pa.Array, start: pa.Array, end: pa.Array, other: pa.Array, other_start: pa.Array, other_end: pa.Array) -> Iterator[tuple[tuple, tuple]]:
-    here, there = zip(lines.to_pylist(), _cells(start), _cells(end), strict=True), zip(other.to_pylist(), _cells(other_start), _cells(other_end), strict=True)
+    here, there = zip(_each(lines), _cells(start), _cells(end), strict=True), zip(_each(other), _cells(other_start), _cells(other_end), strict=True)
     return zip(here, there, strict=True)
 
 
@@ -149,7 +154,7 @@ def _stretches(met: DataFrame, n: int) -> DataFrame:
             layers = _layers(*[col[f"_h{w}"] for w in _WORDS], *[col[w] for w in _WORDS])
             first = col["_start"].offsets.to_numpy()
             owner, parts, cells, picks, sizes = [], [], [], [np.zeros(0, np.int64)], [0]
-            for row, ((here, there), body, starts, stops) in enumerate(zip(layers, col["_body"].to_pylist(), col["_first"].to_pylist(), col["_stop"].to_pylist(), strict=True)):
+            for row, ((here, there), body, starts, stops) in enumerate(zip(layers, _each(col["_body"]), _each(col["_first"]), _each(col["_stop"]), strict=True)):
                 held = _paired(here, there, n) if starts else None
                 for s, e in zip(starts or [], stops or [], strict=True):
                     low, high, hint = _stretch(held, None if body is None else len(body), s, e)
@@ -162,7 +167,9 @@ def _stretches(met: DataFrame, n: int) -> DataFrame:
             pick, ends = pa.array(np.concatenate(picks)), pa.array(np.cumsum(sizes), pa.int32())
             around = [pa.ListArray.from_arrays(ends, col[name].values.take(pick)) for name in kept]
             stretch = [pa.array([c[i] for c in cells], pa.int32()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([col["_p"].take(pa.array(owner, pa.int64())), col["_spans"].flatten(), pa.array(parts, pa.string()), *stretch, *around], names=out.names)
+            found = [col["_p"].take(pa.array(owner, pa.int64())), pa.concat_arrays([col["_spans"].flatten()]), pa.array(parts, pa.string()), *stretch, *around]
+            del batch, col, layers, parts  # before the next pages come
+            yield pa.RecordBatch.from_arrays(found, names=out.names)
 
     return met.mapInArrow(run, out)
 

@@ -137,7 +137,7 @@ def packed(words: str = "words", text: str | None = None, flat: bool = False) ->
 #: A page's words as one struct of arrays, where a word is no struct of its own; ``lines`` are the words' texts, a line a word.
 FLAT = "struct<lines: string, start: array<int>, end: array<int>, box: struct<x0: array<double>, y0: array<double>, x1: array<double>, y1: array<double>>>"
 #: Characters of texts whose words are laid out at once.
-_CHUNK = 1_000_000
+_CHUNK = 250_000
 
 
 def _laid(texts: list[str | None], spaces: str, box) -> pa.Array:
@@ -256,14 +256,16 @@ def flat_hits(pages: DataFrame, ids: Sequence[str], form: str = "form", quotes:
         for batch in batches:
             _, forms, lines, at, to, x0 = (batch.column(batch.schema.names.index(c)) for c in (quotes, "_form", "_lines", "_at", "_to", "_x0"))
             out = []
-            for row, groups in enumerate(batch.column(len(ids)).to_pylist()):
-                page, held = forms[row].as_py(), x0[row].values
+            for row, cell in enumerate(batch.column(len(ids))):
+                groups, page, held = cell.as_py(), forms[row].as_py(), x0[row].values
                 if groups is None or page is None or not any(groups) or held is None or held.null_count == len(held):
                     out.append(None if groups is None else [False] * len(groups))
                     continue
                 places = (c[row].values.to_numpy(zero_copy_only=False) for c in (at, to))
                 out.append(_boxed_groups(page, groups, forms_of(lines[row].as_py()), *places, held.is_valid().to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.list_(pa.bool_()))], names=schema.names)
+            cells = [*batch.columns[: len(kept)], pa.array(out, pa.list_(pa.bool_()))]
+            del batch, forms, lines, at, to, x0  # before the next pages come
+            yield pa.RecordBatch.from_arrays(cells, names=schema.names)
 
     return asked.mapInArrow(run, schema)
 

@@ -182,12 +182,14 @@ def with_places(pages: DataFrame, text: str, asked: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wanted = (batch.column(batch.schema.names.index(c)).to_pylist() for c in (text, asked))
-            done = 0
-            for rows, places, n in chunks([t if w else None for t, w in zip(texts, wanted, strict=True)], True):
-                out = [[int(places[b + i]) if i is not None and 0 <= i < count else None for i in w or []] for b, count, w in zip(np.cumsum(n) - n, n, wanted[rows], strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(done, rows.stop - done).columns, pa.array(out, pa.list_(pa.int32()))], names=schema.names)
-                done = rows.stop
+            texts, wanted = (batch.column(batch.schema.names.index(c)) for c in (text, asked))
+            for begin in range(0, len(texts), 256):
+                some = [w or [] for w in wanted[begin : begin + 256].to_pylist()]
+                out = []
+                for rows, places, n in chunks([t if w else None for t, w in zip(texts[begin : begin + 256].to_pylist(), some, strict=True)], True):
+                    out += [[int(places[b + i]) if i is not None and 0 <= i < count else None for i in w] for b, count, w in zip(np.cumsum(n) - n, n, some[rows], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(begin, 256).columns, pa.array(out, pa.list_(pa.int32()))], names=schema.names)
+            del batch, texts, wanted  # before the next pages come
 
     return pages.mapInArrow(run, schema)
 
